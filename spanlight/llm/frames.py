@@ -66,3 +66,26 @@ def blocks(offsets: np.ndarray, most: int = BLOCK_BYTES) -> Iterator[tuple[int,
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)
         yield i, min(j, n)
         i = min(j, n)
+
+
+def map_texts(df: DataFrame, make, added: str, rows: int = 512) -> DataFrame:
+    """df with the columns of the DDL ``added``, in place of clashing ones. ``make()`` runs once a task and returns a function from a
+    list of texts (None where null) to a list of arrays, one for each added column; it gets up to ``rows`` texts at a time."""
+    fields = df.sparkSession.createDataFrame([], added).schema.fields
+    names = {f.name.lower() for f in fields}
+    keep = [c for c in df.columns if c.lower() not in names]
+    passed = [c for c in keep if c != "text"] + ["text"]
+
+    def run(batches):
+        work = make()
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                found = work(part.column(len(passed) - 1).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(passed) - ("text" not in keep))] + found, names=out_names)
+
+    out_names = passed[: len(passed) - ("text" not in keep)] + [f.name for f in fields]
+    schema = df.select(*out_names[: len(out_names) - len(fields)]).schema
+    for f in fields:
+        schema = schema.add(f)
+    return df.select(*passed).mapInArrow(run, schema)

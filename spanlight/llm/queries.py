@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import byte_bpe, mixing, quality
 
 QUERIES = {
+    "op4_quality_rules": quality.op4_quality_rules,
+    "op9_byte_bpe": byte_bpe.op9_byte_bpe,
     "op10_mixing": mixing.op10_mixing,
 }
 
 ORACLE_SQL = {
+    "op4_quality_rules": quality.OP4_SQL,
     "op10_mixing": mixing.OP10_SQL,
 }
