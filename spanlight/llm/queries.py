@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, mixing, quality
+from . import byte_bpe, mixing, quality, suffix_dedup
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op4_quality_rules": quality.op4_quality_rules,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
     "op10_mixing": mixing.op10_mixing,
