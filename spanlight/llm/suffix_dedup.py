@@ -278,3 +278,11 @@ def deduplicated(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def trimmed_documents(docs: DataFrame) -> DataFrame:
+    """docs without what repeats, with the columns of docs; n_chars, if there, is the new length."""
+    out = deduplicated(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
