@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, html_text, media, mixing, near_dedup, quality, suffix_dedup
+from . import byte_bpe, html_text, language_id, media, mixing, near_dedup, quality, suffix_dedup
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_minhash_near_dedup": near_dedup.op3_minhash_near_dedup,
     "op4_quality_rules": quality.op4_quality_rules,
     "op6_lossless_webp": media.op6_lossless_webp,
+    "op7_language_id": language_id.op7_language_id,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
     "op10_mixing": mixing.op10_mixing,
 }
