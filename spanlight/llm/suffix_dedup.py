@@ -100,8 +100,9 @@ def repeated_windows(docs: DataFrame, stage: Stage, batches: int = BATCHES) -> D
     repeated = matches[0]
     for m in matches[1:]:
         repeated = repeated.unionByName(m)
-    runs = stage.write(suffixes.drop("batch").join(repeated.distinct(), list(SUFFIX), "left_semi"), "runs")
-    stage.drop("suffixes", *[f"matches-{i + 1}" for i in range(batches)], *[name for _, name, _ in index.levels])
+    repeated = stage.write(repeated.distinct(), "repeated")
+    runs = stage.write(suffixes.drop("batch").join(repeated, list(SUFFIX), "left_semi"), "runs")
+    stage.drop("suffixes", "repeated", *[f"matches-{i + 1}" for i in range(batches)], *[name for _, name, _ in index.levels])
 
     of_context = [*SUFFIX, "context"]
     contexts = stage.write(runs.groupBy(*of_context).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("print", "doc_id", "first", "last")).alias("at")), "contexts")
