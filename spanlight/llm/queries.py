@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, html_text, language_id, media, mixing, near_dedup, quality, suffix_dedup
+from . import byte_bpe, html_text, language_id, lm_scoring, media, mixing, near_dedup, quality, suffix_dedup
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_html_extraction": html_text.op2_html_extraction,
     "op3_minhash_near_dedup": near_dedup.op3_minhash_near_dedup,
     "op4_quality_rules": quality.op4_quality_rules,
+    "op5_stupid_backoff": lm_scoring.op5_stupid_backoff,
     "op6_lossless_webp": media.op6_lossless_webp,
     "op7_language_id": language_id.op7_language_id,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
@@ -17,5 +18,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op4_quality_rules": quality.OP4_SQL,
+    "op5_stupid_backoff": lm_scoring.OP5_SQL,
     "op10_mixing": mixing.OP10_SQL,
 }
