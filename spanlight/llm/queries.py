@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, html_text, language_id, lm_scoring, media, mixing, near_dedup, quality, suffix_dedup
+from . import byte_bpe, html_text, language_id, lm_scoring, media, mixing, near_dedup, quality, suffix_dedup, warc
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_stupid_backoff": lm_scoring.op5_stupid_backoff,
     "op6_lossless_webp": media.op6_lossless_webp,
     "op7_language_id": language_id.op7_language_id,
+    "op8_warc_revisits": warc.op8_warc_revisits,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
     "op10_mixing": mixing.op10_mixing,
 }
@@ -19,5 +20,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op4_quality_rules": quality.OP4_SQL,
     "op5_stupid_backoff": lm_scoring.OP5_SQL,
+    "op8_warc_revisits": warc.OP8_SQL,
     "op10_mixing": mixing.OP10_SQL,
 }
