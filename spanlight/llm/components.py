@@ -1,33 +1,30 @@
-"""Connected components of a graph of long ids, by alternating large-star and small-star steps."""
+"""Connected components of a graph of long ids."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .frames import Stage
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    return down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v")))
-
-
 def components(edges: DataFrame, stage: Stage, name: str) -> DataFrame:
-    """edges (u, v) -> (u, v) with v the least id that u reaches, for all u but those least ids. Each round is written to the
-    shared folder; the rounds end when one changes nothing, after a number that grows with the logarithm of the longest path."""
-    state, before, i = stage.write(edges.select("u", "v").where("u <> v").distinct(), f"{name}-0"), None, 0
+    """edges (u, v) -> (u, v) with v the least id that u reaches, for all u but those least ids.
+
+    In a round every id connects itself and its neighbours to the least of them, with one shuffle; a round in which no id had
+    a neighbour besides that least one ends it, after a number of rounds that grows with the logarithm of the longest path. Each round is
+    written to the shared folder."""
+    state, i = edges.select("u", "v").where("u <> v"), 0
     while True:
+        both = state.select(F.col("u").alias("id"), F.col("v").alias("near")).unionByName(state.select(F.col("v").alias("id"), F.col("u").alias("near")))
+        both = both.repartition("id").dropDuplicates(["id", "near"])
+        least = F.least("id", F.min("near").over(Window.partitionBy("id")))
+        own = F.struct(F.col("id").alias("u"), F.col("least").alias("v"))
+        neighbour = F.struct(F.col("near").alias("u"), F.col("least").alias("v"))
+        rows = both.withColumn("least", least).withColumn("moved", (F.col("id") != F.col("least")) & (F.col("near") != F.col("least")))
+        rows = rows.select("moved", F.explode(F.array(own, neighbour)).alias("e")).select("e.*", "moved").where("u <> v")
+        state = stage.write(rows, f"{name}-{i}")
+        if i:
+            stage.drop(f"{name}-{i - 1}")
+        if state.where("moved").isEmpty():
+            return state.select("u", "v").distinct()
         i += 1
-        state = stage.write(_small_star(_large_star(state)).distinct(), f"{name}-{i}")
-        stage.drop(f"{name}-{i - 1}")
-        now = state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            return state
-        before = now

@@ -173,8 +173,19 @@ def matrix(column, width: int, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), width)
 
 
+def stars(node: np.ndarray, component: np.ndarray, u: list, v: list) -> None:
+    """Adds an edge from each node to the least one of its component."""
+    order = np.lexsort((node, component))
+    new = np.ones(len(order), bool)
+    new[1:] = component[order[1:]] != component[order[:-1]]
+    least = node[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+    other = node[order] != least
+    u += node[order][other].tolist()
+    v += least[other].tolist()
+
+
 def candidates(nodes: DataFrame) -> DataFrame:
-    """nodes with node, sign -> (u, v): candidate pairs that span what candidates connect."""
+    """nodes with node, sign -> (u, v): nodes that candidates connect within a part of the forest, each with the least one of them."""
     tree = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.xxhash64(F.lit(t), F.substring("sign", 4 * DEPTH * t + 1, 4 * DEPTH)).alias("region")) for t in range(TREES)])).alias("x")
     placed = nodes.select("node", tree).select("node", "x.*")
     shared = placed.groupBy("region").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("region")
@@ -186,11 +197,13 @@ def candidates(nodes: DataFrame) -> DataFrame:
         for rows in groups(batches, "region"):
             region, node = rows.column("region").to_numpy(), rows.column("node").to_numpy()
             signs = matrix(rows.column("order"), VALUES, ">u4").astype(np.uint32)
-            u, v = [], []
+            ids, place = np.unique(node, return_inverse=True)
+            union = Union(len(ids))
             for a, b in segments(region):
                 for i, j in spanned(signs[a:b]):
-                    u.append(node[a + i])
-                    v.append(node[a + j])
+                    union.join(int(place[a + i]), int(place[a + j]))
+            u, v = [], []
+            stars(ids, np.array([union.find(i) for i in range(len(ids))], np.int64), u, v)
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     return forest.mapInArrow(run, "u long, v long")
@@ -223,26 +236,45 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return SHARE[1] * common >= SHARE[0] * (both - common)
 
 
-def linked(signs: np.ndarray, sets: list[np.ndarray], asked: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links that span all links between the documents, or between those ``asked`` and all. Pairs that are already
-    connected aren't compared; the most typical document goes first, so a group around one text takes about one comparison each."""
-    m, union, out = len(sets), Union(len(sets)), []
-    rows = np.arange(m) if asked is None else np.flatnonzero(asked)
+def linked(signs: np.ndarray, sets: list[np.ndarray], asked: np.ndarray | None = None) -> np.ndarray:
+    """The component of each document (the place of one of its members), by all links between the documents, or by those of
+    the ``asked`` ones to all. Pairs that are already connected aren't compared; the most typical document goes first, so a group around one
+    text takes about one comparison each. A document with many candidates is compared with all at once, by marks on its shingles."""
+    m = len(sets)
+    component = np.arange(m)
+    rows = component if asked is None else np.flatnonzero(asked)
     if asked is None and m > 8:
         sample = signs[:: max(1, m // 256)]
-        typical = np.array([np.bincount(np.unique(c, return_inverse=True)[1]).argmax() for c in sample.T])
-        mode = np.array([np.unique(c)[k] for c, k in zip(sample.T, typical)], np.uint32)
-        rows = np.argsort(-(signs == mode).sum(1), kind="stable")
+        mode = []
+        for c in sample.T:
+            values, counts = np.unique(c, return_counts=True)
+            mode.append(values[counts.argmax()])
+        rows = np.argsort(-(signs == np.array(mode, np.uint32)).sum(1), kind="stable")
+    sizes = np.array([len(s) for s in sets])
+    places = marks = None
     for i in rows.tolist():
-        for j in np.flatnonzero((signs == signs[i]).sum(1) >= AGREE).tolist():
-            if union.find(i) != union.find(j) and alike(sets[i], sets[j]):
-                union.join(i, j)
-                out.append((i, j))
-    return out
+        near = np.flatnonzero(((signs == signs[i]).sum(1) >= AGREE) & (component != component[i]))
+        if not len(near):
+            continue
+        if len(near) <= 8:
+            hits = [j for j in near.tolist() if alike(sets[i], sets[j])]
+        else:
+            if places is None:
+                places = np.unique(np.concatenate(sets), return_inverse=True)[1]
+                marks, edges = np.zeros(int(places.max()) + 1, bool), np.concatenate(([0], np.cumsum(sizes)))
+            own = places[edges[i] : edges[i + 1]]
+            marks[own] = True
+            common = np.add.reduceat(marks[places], edges[:-1], dtype=np.int64)
+            marks[own] = False
+            hits = near[SHARE[1] * common[near] >= SHARE[0] * (sizes[i] + sizes[near] - common[near])].tolist()
+        for j in hits:
+            if component[j] != component[i]:
+                component[component == component[j]] = component[i]
+    return component
 
 
 def _links(sets: DataFrame, key: str) -> DataFrame:
-    """Rows with key, node, sign, shingles and asked (null: all) -> (u, v): links that span those of each key."""
+    """Rows with key, node, sign, shingles and asked (null: all) -> (u, v): each node with the least one that it is linked to within its key."""
     dealt = sets.select(key, "node", "asked", "sign", "shingles").repartition(key).sortWithinPartitions(key, "node")
 
     def run(batches):
@@ -253,9 +285,8 @@ def _links(sets: DataFrame, key: str) -> DataFrame:
             for a, b in segments(rows.column(key).to_numpy()):
                 shingles = [np.frombuffer(x, np.uint64) for x in rows.column("shingles").slice(a, b - a).to_pylist()]
                 some = asked.slice(a, b - a)
-                for i, j in linked(signs[a:b], shingles, some.to_numpy(zero_copy_only=False).astype(bool) if some.null_count == 0 else None):
-                    u.append(node[a + i])
-                    v.append(node[a + j])
+                of = linked(signs[a:b], shingles, some.to_numpy(zero_copy_only=False).astype(bool) if some.null_count == 0 else None)
+                stars(node[a:b], of, u, v)
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     return dealt.mapInArrow(run, "u long, v long")
@@ -295,11 +326,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = stage.write(members.join(nodes, "node"), "members")
     totals = members.groupBy("group").agg(F.sum("n").alias("total"))
     sets = stage.write(with_sets(plain, members.join(totals, "group")).withColumn("asked", F.lit(None).cast("boolean")), "sets")
-    links = _links(sets.where(F.col("total") <= TASK_SHINGLES), "group")
+    found = _links(sets.where(F.col("total") <= TASK_SHINGLES), "group")
     large = sets.where(F.col("total") > TASK_SHINGLES)
     if not large.isEmpty():
-        links = links.unionByName(_large_groups(large, stage))
-    found = components(stage.write(links, "links"), stage, "linked")
+        found = found.unionByName(components(stage.write(_large_groups(large, stage), "links"), stage, "linked"))
+    found = stage.write(found.distinct(), "found")
     stage.drop("sets", "members", "candidates")
     classes = nodes.join(found, nodes["node"] == found["u"], "left").select("print", F.coalesce("v", "node").alias("class"))
     out = every.join(classes, "print", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("class", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
