@@ -114,8 +114,7 @@ class LambertConformalConic:
         rho = sign * F.sqrt(dx * dx + dy * dy)
         t = F.pow(rho / (self.e.a * self.f), F.lit(1 / self.n))
         p = math.pi / 2 - 2 * F.atan(t)
-        for _ in range(5):
-            p = math.pi / 2 - 2 * F.atan(t * F.pow((1 - k * F.sin(p)) / (1 + k * F.sin(p)), F.lit(k / 2)))
+        p = F.aggregate(F.sequence(F.lit(1), F.lit(6)), p, lambda p, _: math.pi / 2 - 2 * F.atan(t * F.pow((1 - k * F.sin(p)) / (1 + k * F.sin(p)), F.lit(k / 2))))
         return F.degrees(F.atan2(sign * dx, sign * dy) / self.n) + self.lon0, F.degrees(p)
 
 
@@ -142,9 +141,12 @@ class AlbersEqualArea:
         dx, dy, e2 = x - self.east, self.rho0 - (y - self.north), self.e.e2
         rho2 = dx * dx + dy * dy
         q = (self.c - rho2 * self.n * self.n / self.e.a**2) / self.n
-        p = F.asin(q / 2)
-        for _ in range(5):
+
+        def better(p: Column) -> Column:
             s = F.sin(p)
-            p = p + (1 - e2 * s * s) * (1 - e2 * s * s) / (2 * F.cos(p)) * (q / (1 - e2) - s / (1 - e2 * s * s) + F.log((1 - self.k * s) / (1 + self.k * s)) / (2 * self.k))
+            w = 1 - e2 * s * s
+            return p + w * w / (2 * F.cos(p)) * (q / (1 - e2) - s / w + F.log((1 - self.k * s) / (1 + self.k * s)) / (2 * self.k))
+
+        p = F.aggregate(F.sequence(F.lit(1), F.lit(5)), F.asin(q / 2), lambda p, _: better(p))
         sign = math.copysign(1, self.n)
         return F.degrees(F.atan2(sign * dx, sign * dy) / self.n) + self.lon0, F.degrees(p)

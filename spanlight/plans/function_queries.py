@@ -1 +1,189 @@
-"""Queries."""
+"""Queries of scalar functions: strings and paths, geometry, curves, robust weights, map projections."""
+
+from pyspark.sql import functions as F
+
+from ..functions import crs, geometry as g, strings as s
+from ..sources.points import KEY, P, points
+from .filter_queries import K
+from .registry import query
+
+
+def parts(spark, sf):
+    return spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", "p_name")
+
+
+def urls(spark, sf):
+    return spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url")
+
+
+@query("n1_trim", "SELECT p_partkey, trim('  ' || p_name || ' ') AS a, ltrim('..' || p_name, '.') AS b, rtrim(p_name || '--', '-') AS c FROM part")
+def n1(spark, sf):
+    n = F.col("p_name")
+    return parts(spark, sf).select("p_partkey", F.trim(F.concat(F.lit("  "), n, F.lit(" "))).alias("a"), F.ltrim(F.concat(F.lit(".."), n), F.lit(".")).alias("b"), F.rtrim(F.concat(n, F.lit("--")), F.lit("-")).alias("c"))
+
+
+@query("n2_find", "SELECT p_partkey, CAST(instr(p_name, 'a') - 1 AS INT) AS first, CAST(CASE WHEN instr(reverse(p_name), 'a') > 0 THEN length(p_name) - instr(reverse(p_name), 'a') ELSE -1 END AS INT) AS last, CAST(coalesce(least(nullif(instr(p_name, 'e'), 0), nullif(instr(p_name, 'o'), 0)) - 1, -1) AS INT) AS any_of, substring(p_name, 3, 4) AS mid, left(p_name, 3) AS l, right(p_name, 3) AS r FROM part")
+def n2(spark, sf):
+    n = F.col("p_name")
+    return parts(spark, sf).select("p_partkey", s.find(n, "a").alias("first"), s.reverse_find(n, "a").alias("last"), s.find_one_of(n, "eo").alias("any_of"), s.mid(n, 2, 4).alias("mid"), s.left(n, 3).alias("l"), s.right(n, 3).alias("r"))
+
+
+@query("n3_edit", "SELECT p_partkey, replace(p_name, 'e', 'EE') AS a, translate(p_name, 'o', '') AS b, substring(p_name, 1, 2) || '++' || substring(p_name, 3) AS c, substring(p_name, 1, 1) || substring(p_name, 4) AS d, upper(p_name) AS e, lower(p_name) AS f, reverse(p_name) AS g FROM part")
+def n3(spark, sf):
+    n = F.col("p_name")
+    return parts(spark, sf).select("p_partkey", F.replace(n, F.lit("e"), F.lit("EE")).alias("a"), s.remove(n, "o").alias("b"), s.insert(n, 2, "++").alias("c"), s.delete(n, 1, 2).alias("d"), F.upper(n).alias("e"), F.lower(n).alias("f"), F.reverse(n).alias("g"))
+
+
+@query("n4_compare_and_span", "SELECT p_partkey, lower(p_name) = lower(upper(p_name)) AS same, regexp_extract(p_name, '^[a-z]*', 0) AS a, regexp_extract(p_name, '^[^ #]*', 0) AS b, printf('%s:%05d', left(p_name, 2), p_partkey) AS f FROM part")
+def n4(spark, sf):
+    n = F.col("p_name")
+    return parts(spark, sf).select("p_partkey", (F.lower(n) == F.lower(F.upper(n))).alias("same"), s.span_including(n, "abcdefghijklmnopqrstuvwxyz").alias("a"), s.span_excluding(n, " #").alias("b"), F.format_string("%s:%05d", s.left(n, 2), "p_partkey").alias("f"))
+
+
+@query("n5_words", "SELECT p_partkey, CAST(len(list_filter(string_split(p_name, ' '), lambda w: w <> '')) AS INT) AS n, coalesce(list_filter(string_split(p_name, ' '), lambda w: w <> '')[2], '') AS second FROM part")
+def n5(spark, sf):
+    return parts(spark, sf).select("p_partkey", s.count_words(F.col("p_name")).alias("n"), s.word(F.col("p_name"), 1).alias("second"))
+
+
+@query("n6_numbers", "SELECT p_partkey, coalesce(regexp_full_match(t, '[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?'), false) AS is_number, try_cast(t AS DOUBLE) AS v, CASE WHEN contains(t, '.') THEN regexp_replace(regexp_replace(t, '0+$', ''), '\\.$', '') ELSE t END AS trimmed FROM (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_name WHEN p_partkey % 3 = 1 THEN p_partkey || '.500' ELSE '-' || p_partkey || '.000' END AS t FROM part)")
+def n6(spark, sf):
+    t = parts(spark, sf).selectExpr("p_partkey", "CASE WHEN p_partkey % 3 = 0 THEN p_name WHEN p_partkey % 3 = 1 THEN p_partkey || '.500' ELSE '-' || p_partkey || '.000' END AS t")
+    return t.select("p_partkey", s.is_number(F.col("t")).alias("is_number"), F.col("t").try_cast("double").alias("v"), s.trim_number(F.col("t")).alias("trimmed"))
+
+
+@query("n7_compare_versions", "WITH v AS (SELECT p_partkey, p_partkey % 3 AS a1, p_partkey % 7 AS a2, p_partkey % 2 AS b1, p_partkey % 11 AS b2 FROM part) SELECT p_partkey, CASE WHEN a1 < b1 THEN -1 WHEN a1 > b1 THEN 1 WHEN a2 < b2 THEN -1 WHEN a2 > b2 THEN 1 ELSE 0 END AS c FROM v")
+def n7(spark, sf):
+    k = F.col("p_partkey")
+    v = lambda a, b: F.concat_ws(".", (k % a).cast("string"), (k % b).cast("string"))
+    return parts(spark, sf).select("p_partkey", s.compare_versions(v(3, 7), v(2, 11)).alias("c"))
+
+
+@query("n8_special_characters", "SELECT page_id, regexp_replace(url, '[^A-Za-z0-9]', '_', 'g') AS safe, CAST(octet_length(encode(url)) AS INT) AS bytes FROM pages")
+def n8(spark, sf):
+    return urls(spark, sf).select("page_id", F.regexp_replace("url", "[^A-Za-z0-9]", "_").alias("safe"), F.octet_length("url").alias("bytes"))
+
+
+@query("n9_after_and_starts", "SELECT page_id, CASE WHEN contains(url, '://') THEN substring(url, instr(url, '://') + 3) ELSE url END AS after, starts_with(url, 'https') AS secure FROM pages")
+def n9(spark, sf):
+    u = F.col("url")
+    return urls(spark, sf).select("page_id", F.when(F.instr(u, "://") > 0, s.mid(u, 0).substr(F.instr(u, "://") + 3, F.length(u))).otherwise(u).alias("after"), u.startswith("https").alias("secure"))
+
+
+@query("n10_csv", "SELECT vec_id, array_to_string(list_transform(string_split(CAST(vec_id AS VARCHAR) || ', ' || label || ',7', ','), lambda v: CAST(CAST(trim(v) AS BIGINT) AS VARCHAR)), ', ') AS csv FROM embeddings")
+def n10(spark, sf):
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    text = F.concat(F.col("vec_id").cast("string"), F.lit(", "), F.col("label").cast("string"), F.lit(",7"))
+    return e.select("vec_id", s.to_csv_text(F.transform(s.csv_numbers(text), lambda v: v.cast("long"))).alias("csv"))
+
+
+@query("n11_paths", "SELECT page_id, regexp_extract(path, '(\\.[^./\\\\]*)$', 1) AS ext, regexp_extract(regexp_replace(path, '[/\\\\]+$', ''), '([^/\\\\]*)$', 1) AS base, regexp_replace(regexp_replace(path, '[/\\\\]+$', ''), '[/\\\\]?[^/\\\\]*$', '') AS parent, regexp_replace('root/', '/+$', '') || '/' || regexp_replace(path, '^/+', '') AS joined FROM (SELECT page_id, '/' || regexp_replace(url, '^[a-z]+://', '') || CASE WHEN page_id % 2 = 0 THEN '.html' ELSE '' END AS path FROM pages)")
+def n11(spark, sf):
+    path = F.concat(F.lit("/"), F.regexp_replace("url", "^[a-z]+://", ""), F.when(F.col("page_id") % 2 == 0, ".html").otherwise(""))
+    p = urls(spark, sf).select("page_id", path.alias("path"))
+    c = F.col("path")
+    return p.select("page_id", s.extension(c).alias("ext"), s.base_name(c).alias("base"), s.parent(c).alias("parent"), s.joined_path(F.lit("root/"), c).alias("joined"))
+
+
+@query("n12_format_bytes")
+def n12(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    return d.select("doc_id", s.format_bytes(F.col("n_chars") * 1000).alias("size"))
+
+
+@query("g1_segments_cross", f"WITH {P} SELECT {K}, ((600.0*(y-100)-500.0*(x-100))*(600.0*(z*10-100)-500.0*(y-100)) < 0) AND ((y-x)*(100-y)-(z*10-y)*(100-x))*((y-x)*(600-y)-(z*10-y)*(700-x)) < 0 AS cross_ FROM p WHERE l_linenumber = 4")
+def g1(spark, sf):
+    x, y, z = F.col("x"), F.col("y"), F.col("z")
+    return points(spark, sf).where("l_linenumber = 4").select(*KEY, g.segments_cross(100, 100, 700, 600, x, y, y, z * 10).alias("cross_"))
+
+
+SEG = "greatest(0, least(1, ((x - 100) * 600.0 + (y - 50) * 700.0) / 850000.0))"
+
+
+@query("g2_squared_segment_distance", f"WITH {P}, t AS (SELECT *, {SEG} AS t FROM p) SELECT {K}, round((x - (100 + t * 600)) ** 2 + (y - (50 + t * 700)) ** 2, 6) AS d2 FROM t")
+def g2(spark, sf):
+    return points(spark, sf).select(*KEY, F.round(g.squared_segment_distance(F.col("x"), F.col("y"), 100, 50, 700, 750), 6).alias("d2"))
+
+
+@query("g3_near_segment", f"WITH {P}, t AS (SELECT *, {SEG} AS t FROM p) SELECT {K} FROM t WHERE sqrt((x - (100 + t * 600)) ** 2 + (y - (50 + t * 700)) ** 2) <= 20")
+def g3(spark, sf):
+    return points(spark, sf).where(F.sqrt(g.squared_segment_distance(F.col("x"), F.col("y"), 100, 50, 700, 750)) <= 20).select(*KEY)
+
+
+@query("g5_barycentric", f"WITH {P}, b AS (SELECT {K}, ((400.0)*(x-900)+(-300.0)*(y-100)) / (400.0*(-800.0)+(-300.0)*0.0) AS u, (0.0*(x-900)+(-800.0)*(y-100)) / (400.0*(-800.0)+(-300.0)*0.0) AS v FROM p) SELECT {K}, round(u * 10 + v * 50 + (1 - u - v) * 30, 6) AS h FROM b WHERE u >= 0 AND v >= 0 AND 1 - u - v >= 0")
+def g5(spark, sf):
+    h = g.barycentric(F.col("x"), F.col("y"), (100.0, 100.0, 10.0), (600.0, 500.0, 50.0), (900.0, 100.0, 30.0))
+    return points(spark, sf).withColumn("h", h).where(F.col("h") < float("inf")).select(*KEY, F.round("h", 6).alias("h"))
+
+
+@query("g6_curve_distance", f"WITH {P} SELECT {K}, round(sqrt((x - 300)**2 + (z - (0.0001*y*y - 0.1*y + 60))**2), 6) AS d FROM p WHERE y BETWEEN 100 AND 800")
+def g6(spark, sf):
+    curve = {"x0": 300.0, "a": 0.0001, "b": -0.1, "c": 60.0, "y_min": 100.0, "y_max": 800.0}
+    d = g.curve_distance(F.col("x"), F.col("y"), F.col("z"), curve)
+    return points(spark, sf).withColumn("d", d).where(F.col("d") < float("inf")).select(*KEY, F.round("d", 6).alias("d"))
+
+
+@query("g7_clamp", f"WITH {P} SELECT {K}, least(greatest(z, 20.0), 60.0) AS c, CAST(round(x) AS BIGINT) AS r FROM p WHERE l_linenumber = 5")
+def g7(spark, sf):
+    return points(spark, sf).where("l_linenumber = 5").select(*KEY, g.clamp(F.col("z"), 20, 60).alias("c"), F.round("x").cast("long").alias("r"))
+
+
+RES = "abs(z - 50) / 10.0 + 0.01"
+
+
+@query("g8_robust_weights", f"WITH {P}, r AS (SELECT z, {RES} AS r FROM p) SELECT z, round(any_value(0.7 / power(r, 1.3)), 8) AS pnorm, round(any_value(CASE WHEN r > 3 THEN 0 ELSE power(1 - (r / 3) * (r / 3), 2) END), 8) AS tukey, round(any_value(1 / (1 + r / 2)), 8) AS fair, round(any_value(tanh(r / 2) / (r / 2)), 8) AS logistic, any_value(CASE WHEN r > 2 THEN 0.0 ELSE 1.0 END)::DOUBLE AS trimmed, round(any_value(exp(-(r / 2) * (r / 2) / 2)), 8) AS welsch FROM r GROUP BY z")
+def g8(spark, sf):
+    r = F.abs(F.col("z") - 50) / 10.0 + 0.01
+    kinds = {"pnorm": 0.7, "tukey": 3.0, "fair": 2.0, "logistic": 2.0, "trimmed": 2.0, "welsch": 2.0}
+    return points(spark, sf).select("z").distinct().select("z", *[F.round(g.robust_weight(r, k, p), 8).alias(k) for k, p in kinds.items()])
+
+
+@query("g9_crown_radius", f"WITH {P} SELECT DISTINCT z, round(CASE WHEN z < 10 THEN 1.0 WHEN z > 60 THEN 5.0 ELSE 4.0 / (1 - exp(-0.08 * 50)) * (1 - exp(-0.08 * (z - 10))) + 1 END, 8) AS r FROM p")
+def g9(spark, sf):
+    return points(spark, sf).select("z").distinct().select("z", F.round(g.crown_radius(F.col("z"), 10, 60, 1, 5), 8).alias("r"))
+
+
+def places(spark, sf):
+    """Longitudes and latitudes of the suppliers."""
+    return spark.read.parquet(f"{sf}/supplier.parquet").selectExpr("s_suppkey", "(s_suppkey * 37 % 3590) / 10.0D - 179.5D AS lon", "(s_suppkey * 13 % 1590) / 10.0D - 79.5D AS lat")
+
+
+PLACES = "t AS (SELECT s_suppkey, (s_suppkey * 37 % 3590) / 10.0 - 179.5 AS lon, (s_suppkey * 13 % 1590) / 10.0 - 79.5 AS lat FROM supplier)"
+
+
+@query("x1_utm_round_trip", f"WITH {PLACES} SELECT s_suppkey, CAST(floor((lon + 180) / 6) % 60 + 1 AS INT) AS zone, round(lon, 5) AS lon, round(lat, 5) AS lat FROM t")
+def x1(spark, sf):
+    zone, x, y = crs.to_utm(F.col("lon"), F.col("lat"))
+    t = places(spark, sf).select("s_suppkey", zone.alias("zone"), x.alias("x"), y.alias("y"), (F.col("lat") < 0).alias("south"))
+    lon, lat = crs.from_utm(F.col("zone"), F.col("x"), F.col("y"), F.col("south"))
+    return t.select("s_suppkey", "zone", (F.round(lon, 5) + 0.0).alias("lon"), (F.round(lat, 5) + 0.0).alias("lat"))
+
+
+@query("x2_lambert_round_trip", f"WITH {PLACES} SELECT s_suppkey, round(lon / 10, 6) AS lon, round(30 + abs(lat) / 4, 6) AS lat FROM t")
+def x2(spark, sf):
+    p = crs.LambertConformalConic(30.0, 60.0, 40.0, 5.0, 1000.0, 2000.0)
+    t = places(spark, sf).select("s_suppkey", (F.col("lon") / 10).alias("lon"), (30 + F.abs("lat") / 4).alias("lat"))
+    x, y = p.forward(F.col("lon"), F.col("lat"))
+    lon, lat = p.inverse(F.col("x"), F.col("y"))
+    return t.select("s_suppkey", x.alias("x"), y.alias("y")).select("s_suppkey", (F.round(lon, 6) + 0.0).alias("lon"), F.round(lat, 6).alias("lat"))
+
+
+@query("x4_geocentric", f"WITH {PLACES}, r AS (SELECT *, radians(lat) AS p, radians(lon) AS q, 6378137.0 / sqrt(1 - 0.006694379990141316 * sin(radians(lat)) ** 2) AS n FROM t) SELECT s_suppkey, round((n + 100) * cos(p) * cos(q), 3) AS x, round((n + 100) * cos(p) * sin(q), 3) AS y, round((n * (1 - 0.006694379990141316) + 100) * sin(p), 3) AS z FROM r")
+def x4(spark, sf):
+    return places(spark, sf).select("s_suppkey", *[F.round(c, 3).alias(n) for c, n in zip(crs.to_geocentric(F.col("lon"), F.col("lat"), F.lit(100.0)), "xyz")])
+
+
+@query("x4_geocentric_round_trip", f"WITH {PLACES} SELECT s_suppkey, round(lon, 7) AS lon, round(lat, 7) AS lat FROM t")
+def x4_back(spark, sf):
+    x, y, z = crs.to_geocentric(F.col("lon"), F.col("lat"), F.lit(100.0))
+    t = places(spark, sf).select("s_suppkey", x.alias("x"), y.alias("y"), z.alias("z"))
+    lon, lat, _ = crs.from_geocentric(F.col("x"), F.col("y"), F.col("z"))
+    return t.select("s_suppkey", (F.round(lon, 7) + 0.0).alias("lon"), (F.round(lat, 7) + 0.0).alias("lat"))
+
+
+@query("x5_albers_round_trip", f"WITH {PLACES} SELECT s_suppkey, round(lon / 10, 6) AS lon, round(30 + abs(lat) / 4, 6) AS lat FROM t")
+def x5(spark, sf):
+    p = crs.AlbersEqualArea(29.5, 45.5, 37.5, 5.0)
+    t = places(spark, sf).select("s_suppkey", (F.col("lon") / 10).alias("lon"), (30 + F.abs("lat") / 4).alias("lat"))
+    x, y = p.forward(F.col("lon"), F.col("lat"))
+    lon, lat = p.inverse(F.col("x"), F.col("y"))
+    return t.select("s_suppkey", x.alias("x"), y.alias("y")).select("s_suppkey", (F.round(lon, 6) + 0.0).alias("lon"), F.round(lat, 6).alias("lat"))
