@@ -25,7 +25,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from .frames import map_texts, table
 
 PIECES = "piece_bpe_32k.model"
-SAMPLE, WORDS, ROUNDS, SMOOTHING = 2000, 10_000, 3, 0.1
+SAMPLE, WORDS, ROUNDS, SMOOTHING = 2000, 3000, 2, 0.1
+#: Characters of a piece at most; longer ones are rules and blanks.
+PIECE_LENGTH = 12
 #: Words that a task remembers at most, and their length at most.
 CACHE_WORDS, CACHE_LENGTH = 300_000, 40
 START = "▁"
@@ -40,7 +42,7 @@ def vocabulary(path: str) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
-    return sorted({p.lower() for p in pieces})
+    return sorted({p.lower() for p in pieces if len(p) <= PIECE_LENGTH})
 
 
 def expected_counts(word: str, weight: float, p: dict[str, float], longest: int, counts: dict[str, float]) -> None:
