@@ -6,39 +6,24 @@ are written to the shared folder, so lost executors cost one round, and stop whe
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..sources.staging import scratch, written
 from .aggregates import voxel
 from .joins import nearest, radius_pairs
 
 
-def _written(df: DataFrame, base: str, name: str) -> DataFrame:
-    df.write.mode("overwrite").parquet(f"{base}/{name}")
-    return df.sparkSession.read.schema(df.schema).parquet(f"{base}/{name}")
-
-
-def scratch(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base}/components-{uuid.uuid4().hex}"
-
-
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """nodes (id), edges (u, v), one direction or both -> id, component: the least id of its component. In a round every id ties itself and its
     neighbours to the least of them; a round in which all were tied to it alone is the last. Edges shrink to stars in about log(path) rounds."""
-    base, i = scratch(nodes.sparkSession), 0
+    base, i = scratch(nodes.sparkSession, "components"), 0
     state = edges.select("u", "v").where("u <> v")
     while True:
         both = state.select("u", "v").unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v"))).repartition("u").dropDuplicates(["u", "v"])
         least = F.least("u", F.min("v").over(Window.partitionBy("u")))
         rows = both.withColumn("m", least).withColumn("moved", (F.col("u") != F.col("m")) & (F.col("v") != F.col("m")))
         ties = F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("t")
-        state = _written(rows.select("moved", ties).select("t.*", "moved").where("u <> v"), base, str(i))
+        state = written(rows.select("moved", ties).select("t.*", "moved").where("u <> v"), base, str(i))
         if state.where("moved").isEmpty():
             break
         i += 1

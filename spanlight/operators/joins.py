@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import geometry as g
+from ..sources.staging import scratch, written
 
 OFFSETS = (-1, 0, 1)
 
@@ -42,33 +43,29 @@ def radius_pairs(left: DataFrame, right: DataFrame, radius: float, left_id: str,
     return a.join(b, [f"_b{c}" for c in dims]).select("a", "b", d2.alias("d2")).where(F.col("d2") <= radius * radius)
 
 
-def nearest(left: DataFrame, right: DataFrame, k: int, left_id: str, right_id: str, dims: str = "xyz", start: float = 1.0, rounds: int = 40, stage=None, skip_self: bool = False) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, k: int, left_id: str, right_id: str, dims: str = "xyz", start: float = 1.0, skip_self: bool = False) -> DataFrame:
     """a, b, d2, rank: the k nearest right rows of each left row, ties by right id. Rows whose k-th neighbour lies within the radius of a
-    round are done; the others go on with twice the radius, until everything is done or the radius covers the right side."""
+    round are done; the others go on with twice the radius, until everything is done or the radius covers the right side. Each round is written."""
     spans = right.agg(*[(F.max(c) - F.min(c)).alias(c) for c in dims], *[F.min(c).alias(f"l{c}") for c in dims], F.count(F.lit(1)).alias("n")).first()
     reach = left.agg(*[F.max(F.abs(F.col(c) - F.lit(spans[f"l{c}"] or 0.0))).alias(c) for c in dims]).first()
     most = sum(((spans[c] or 0.0) + (reach[c] or 0.0)) for c in dims) + start
+    base, i = scratch(left.sparkSession, "nearest"), 0
     done, open_, radius = None, left.select(F.col(left_id), *dims), start
     by_a = Window.partitionBy("a").orderBy("d2", "b")
-    for _ in range(rounds):
+    while True:
         pairs = radius_pairs(open_, right, radius, left_id, right_id, dims)
         if skip_self:
             pairs = pairs.where("a <> b")
-        ranked = pairs.withColumn("rank", F.row_number().over(by_a)).where(F.col("rank") <= k)
-        if stage is not None:
-            ranked = stage(ranked)
+        ranked = written(pairs.withColumn("rank", F.row_number().over(by_a)).where(F.col("rank") <= k), base, f"ranked-{i}")
         last = radius >= most
         full = ranked if last else ranked.join(ranked.where(F.col("rank") == k).select("a"), "a", "left_semi")
         done = full if done is None else done.unionByName(full)
         if last:
-            break
-        open_ = open_.join(full.select(F.col("a").alias(left_id)).distinct(), left_id, "left_anti")
-        if stage is not None:
-            open_ = stage(open_)
+            return done
+        open_ = written(open_.join(full.select(F.col("a").alias(left_id)).distinct(), left_id, "left_anti"), base, f"open-{i}")
         if open_.isEmpty():
-            break
-        radius *= 2
-    return done
+            return done
+        radius, i = radius * 2, i + 1
 
 
 def closest_pair(left: DataFrame, right: DataFrame, left_id: str, right_id: str, dims: str = "xyz", radius: float = 1.0, most: float = 1e9) -> DataFrame:

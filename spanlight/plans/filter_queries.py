@@ -192,12 +192,10 @@ def k4(spark, sf):
 @query("s1_las_round_trip", f"WITH {P} SELECT round(x, 4) AS x, y, z, seg_type AS label, r, g, b FROM p WHERE l_linenumber = 1")
 def s1(spark, sf):
     """Writes the points as LAS files in the shared folder and reads them back."""
-    import uuid
-
     from ..sources import las
+    from ..sources.staging import scratch
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or las.own_folder(spark)
-    path = f"{base}/las-{uuid.uuid4().hex}"
+    path = scratch(spark, "las")
     out = points(spark, sf).where("l_linenumber = 1").select("x", "y", "z", F.col("seg_type").alias("label"), "r", "g", "b")
     las.write_las(out, path)
     return las.read_las(spark, path).select(*[F.round(c, 4).alias(c) for c in "xyz"], "label", "r", "g", "b")

@@ -7,7 +7,6 @@ task writes one file of format 2. Scale 1e-4; the class goes to user data as wel
 from __future__ import annotations
 
 import struct
-import tempfile
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +20,6 @@ SCHEMA = "file string, point_id long, x double, y double, z double, label int, u
 BLOCK = 200_000
 
 
-def own_folder(spark: SparkSession) -> str:
-    base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-    spark.sparkContext.setCheckpointDir(base)
-    return base
-
-
 def scan_date(year: Column, day_of_year: Column) -> Column:
     return F.date_add(F.make_date(year.cast("int"), F.lit(1), F.lit(1)), (day_of_year - 1).cast("int"))
 
