@@ -123,5 +123,5 @@ def format_bytes(n: Column) -> Column:
     units = ["B", "KB", "MB", "GB", "TB"]
     out = F.format_string("%d B", n)
     for i in range(1, len(units)):
-        out = F.when(n >= 1024**i, F.concat(F.format_number(n / 1024**i, "0.00"), F.lit(" " + units[i]))).otherwise(out)
+        out = F.when(n >= 1024**i, F.format_string("%.2f " + units[i], n / 1024**i)).otherwise(out)
     return out
