@@ -29,7 +29,7 @@ SAMPLE, WORDS, ROUNDS, SMOOTHING = 2000, 3000, 2, 0.1
 #: Characters of a piece at most; longer ones are rules and blanks.
 PIECE_LENGTH = 12
 #: Words that a task remembers at most, and their length at most.
-CACHE_WORDS, CACHE_LENGTH = 300_000, 40
+CACHE_WORDS, CACHE_LENGTH = 300_000, 30
 START = "▁"
 UNKNOWN = 1e-7
 LETTER = re.compile(r"[^\W\d_]")
@@ -95,32 +95,80 @@ def train(docs: DataFrame, path: str, sample: int = SAMPLE, words: int = WORDS)
     return {"langs": langs, "prior": [math.log(totals[x] / everything) for x in langs], "pieces": {x: tuple(m[x] for m in models) for x in pieces}}
 
 
-def word_scores(word: str, pieces: dict[str, tuple], longest: int, n_langs: int) -> list[float]:
+class Prefixed(dict):
+    """Pieces with their probabilities, and None for what only begins a piece, so a look-up that finds nothing ends the search from its place."""
+
+    def __init__(self, pieces: dict[str, tuple]):
+        super().__init__()
+        for x in pieces:
+            for i in range(1, len(x)):
+                self.setdefault(x[:i], None)
+        self.update(pieces)
+
+
+def word_scores(word: str, pieces: dict[str, tuple], n_langs: int) -> list[float]:
     """Logarithms of the word's probability in each language, over all segmentations."""
+    if not isinstance(pieces, Prefixed):
+        pieces = Prefixed(pieces)
     word = START + word
-    span, scale = range(n_langs), [0.0] * n_langs
-    ahead = [[1.0] * n_langs]
-    unknown = (UNKNOWN,) * n_langs
-    get = pieces.get
-    for j in range(1, len(word) + 1):
-        now = [0.0] * n_langs
-        for i in range(max(0, j - longest), j):
-            q = get(word[i:j])
-            if q is None:
-                if i < j - 1:
-                    continue
-                q = unknown
-            before = ahead[i]
-            for k in span:
-                now[k] += before[k] * q[k]
-        ahead.append(now)
-        if min(now) < 1e-150:
+    n, span, scale = len(word), range(n_langs), [0.0] * n_langs
+    ahead: list = [[1.0] * n_langs] + [None] * n
+    unknown, nothing, get = (UNKNOWN,) * n_langs, (), pieces.get
+    for i in range(n):
+        before = ahead[i]
+        if min(before) < 1e-150:
             for k in span:
-                if now[k] < 1e-150:
-                    for row in ahead[max(0, j + 1 - longest) :]:
+                if before[k] < 1e-150:
+                    for row in ahead[i:]:
+                        if row is None:
+                            break
                         row[k] *= 1e140
                     scale[k] -= 140 * math.log(10)
-    return [math.log(x) + s for x, s in zip(ahead[-1], scale)]
+        for j in range(i + 1, n + 1):
+            q = get(word[i:j], nothing)
+            if not q:
+                if j == i + 1:
+                    now = ahead[j]
+                    ahead[j] = [b * u for b, u in zip(before, unknown)] if now is None else [a + b * u for a, b, u in zip(now, before, unknown)]
+                if q is nothing:
+                    break
+                continue
+            now = ahead[j]
+            ahead[j] = [b * p for b, p in zip(before, q)] if now is None else [a + b * p for a, b, p in zip(now, before, q)]
+    return [math.log(x) + s for x, s in zip(ahead[n], scale)]
+
+
+def many_scores(words: list[str], places: Prefixed, probabilities: np.ndarray) -> np.ndarray:
+    """``word_scores`` of many words of up to CACHE_LENGTH characters: pieces are looked up word by word, sums run over all words at once,
+    end by end. places: pieces with their rows of probabilities, whose last row is an unknown character's."""
+    word_at, start, stop, row = [], [], [], []
+    get, unknown = places.get, len(probabilities) - 1
+    for at, word in enumerate(words):
+        word = START + word
+        n = len(word)
+        for i in range(n):
+            for j in range(i + 1, n + 1):
+                q = get(word[i:j], -1)
+                if q is None or q < 0:
+                    if j == i + 1:
+                        word_at.append(at), start.append(i), stop.append(j), row.append(unknown)
+                    if q is not None:
+                        break
+                    continue
+                word_at.append(at), start.append(i), stop.append(j), row.append(q)
+    word_at, start, stop, row = (np.array(x, np.int64) for x in (word_at, start, stop, row))
+    length = max(map(len, words), default=0) + 1
+    ahead = np.zeros((length + 1, len(words), probabilities.shape[1]))
+    ahead[0] = 1.0
+    order = np.argsort(stop, kind="stable")
+    edges = np.searchsorted(stop[order], np.arange(1, length + 2))
+    for j, (a, b) in enumerate(zip(edges, edges[1:]), 1):
+        own = order[a:b]
+        into, part = word_at[own], ahead[start[own], word_at[own]] * probabilities[row[own]]
+        for k in range(part.shape[1]):
+            ahead[j, :, k] = np.bincount(into, part[:, k], len(words))
+    ends = np.array([len(w) + 1 for w in words], np.int64)
+    return np.log(np.maximum(ahead[ends, np.arange(len(words))], 1e-300))
 
 
 def predict(docs: DataFrame, model: dict) -> DataFrame:
@@ -128,33 +176,35 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
     langs, prior, pieces = model["langs"], np.array(model["prior"]), model["pieces"]
 
     def make():
-        longest, n = max(map(len, pieces), default=1), len(langs)
+        n, by_prefix = len(langs), Prefixed(pieces)
+        rows_of = Prefixed({x: i for i, x in enumerate(pieces)})
+        probabilities = np.array([*pieces.values(), (UNKNOWN,) * n]) if n else np.zeros((1, 1))
         known: dict[str, int] = {}
-        rows = np.zeros((1024, max(n, 1)))
+        rows = np.zeros((0, max(n, 1)))
 
-        def work(texts):
+        def learn(texts: list[list[str]]) -> None:
             nonlocal rows
+            if len(known) > CACHE_WORDS:
+                known.clear()
+                rows = rows[:0]
+            new = [w for w in {w for t in texts for w in t}.difference(known) if len(w) <= CACHE_LENGTH]
+            rows = np.vstack([rows, *[many_scores(new[i : i + 4096], rows_of, probabilities) for i in range(0, len(new), 4096)]])
+            known.update(zip(new, range(len(known), len(known) + len(new))))
+
+        def work(texts):
+            readable = [t is not None and bool(langs) and LETTER.search(t) is not None for t in texts]
+            split = [[w.decode() for w in t.lower().encode().split()] if r else [] for t, r in zip(texts, readable)]
+            learn(split)
             names, scores = [], []
-            for text in texts:
-                if text is None or not langs or not LETTER.search(text):
+            for words, r in zip(split, readable):
+                if not r:
                     names.append(UND)
                     scores.append(0.0)
                     continue
-                if len(known) > CACHE_WORDS:
-                    known.clear()
-                words = text.lower().encode().split()
-                total = prior.copy()
-                for w in set(words).difference(known):
-                    v = word_scores(w.decode(), pieces, longest, n)
+                total = prior + rows[[known[w] for w in words if w in known]].sum(0)
+                for w in words:
                     if len(w) > CACHE_LENGTH:
-                        total += np.array(v) * words.count(w)
-                        continue
-                    if len(known) >= len(rows):
-                        rows = np.vstack([rows, np.zeros_like(rows)])
-                    rows[len(known)] = v
-                    known[w] = len(known)
-                ids = [known[w] for w in words if w in known]
-                total += rows[ids].sum(0)
+                        total = total + np.array(word_scores(w, by_prefix, n))
                 best = int(total.argmax())
                 names.append(langs[best])
                 scores.append(float(1.0 / np.exp(np.minimum(total - total[best], 0.0)).sum()))

@@ -23,14 +23,22 @@ def every_segmentation(word, pieces, k):
 def test_forward_sums_all_segmentations():
     pieces = {L.START: (0.1, 0.2), L.START + "a": (0.1, 0.3), "a": (0.2, 0.1), "ab": (0.05, 0.2), "b": (0.1, 0.1), "ba": (0.3, 0.01)}
     for word in ("ab", "abba", "baxab", "aaaa"):
-        got = L.word_scores(word, pieces, 3, 2)
+        got = L.word_scores(word, pieces, 2)
         for k in (0, 1):
             assert got[k] == pytest.approx(every_segmentation(word, pieces, k))
 
 
+def test_many_words_at_once():
+    pieces = {L.START: (0.1, 0.2), L.START + "a": (0.1, 0.3), "a": (0.2, 0.1), "ab": (0.05, 0.2), "b": (0.1, 0.1), "baa": (0.3, 0.01)}
+    words = ["ab", "abba", "baaxab", "a", "x", "aabaabaab" * 3]
+    got = L.many_scores(words, L.Prefixed({x: i for i, x in enumerate(pieces)}), L.np.array([*pieces.values(), (L.UNKNOWN,) * 2]))
+    for w, row in zip(words, got):
+        assert list(row) == pytest.approx(L.word_scores(w, pieces, 2))
+
+
 def test_long_words_do_not_underflow():
     pieces = {"a": (1e-4, 1e-5), L.START: (0.1, 0.1)}
-    got = L.word_scores("a" * 3000, pieces, 2, 2)
+    got = L.word_scores("a" * 3000, pieces, 2)
     assert got == pytest.approx([math.log(0.1) + 3000 * math.log(1e-4), math.log(0.1) + 3000 * math.log(1e-5)])
 
 
