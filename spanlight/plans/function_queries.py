@@ -109,10 +109,10 @@ def g3(spark, sf):
     return points(spark, sf).where(F.sqrt(g.squared_segment_distance(F.col("x"), F.col("y"), 100, 50, 700, 750)) <= 20).select(*KEY)
 
 
-@query("g5_barycentric", f"WITH {P}, b AS (SELECT {K}, (400.0*(x-900)+300.0*(y-100)) / (-320000.0) AS u, (-800.0)*(y-100) / (-320000.0) AS v FROM p) SELECT {K}, round(u * 10 + v * 50 + (1 - u - v) * 30, 6) AS h FROM b WHERE u >= 0 AND v >= 0 AND 1 - u - v >= 0")
+@query("g5_barycentric", f"WITH {P}, b AS (SELECT {K}, (400.0*(x-900)+300.0*(y-100)) / (-320000.0) AS u, (-800.0)*(y-100) / (-320000.0) AS v FROM p) SELECT {K}, round(u * 10 + v * 50 + (1 - u - v) * 30, 3) AS h FROM b WHERE u >= 0 AND v >= 0 AND 1 - u - v >= 0")
 def g5(spark, sf):
     h = g.barycentric(F.col("x"), F.col("y"), (100.0, 100.0, 10.0), (600.0, 500.0, 50.0), (900.0, 100.0, 30.0))
-    return points(spark, sf).withColumn("h", h).where(F.col("h") < float("inf")).select(*KEY, F.round("h", 6).alias("h"))
+    return points(spark, sf).withColumn("h", h).where(F.col("h") < float("inf")).select(*KEY, F.round("h", 3).alias("h"))
 
 
 @query("g6_curve_distance", f"WITH {P} SELECT {K}, round(sqrt((x - 300)**2 + (z - (0.0001*y*y - 0.1*y + 60))**2), 6) AS d FROM p WHERE y BETWEEN 100 AND 800")
