@@ -18,8 +18,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one of the smallest doc_id."""
-    return near_dedup.kept_documents(docs)
+    """One document of each group of near duplicates (five-word shingles, 0.8 and more) stays, the one of the smallest doc_id."""
+    return near_dedup.kept_documents(docs, near_dedup.STAGE)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

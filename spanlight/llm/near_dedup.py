@@ -1,17 +1,18 @@
 """Near-duplicate documents by an LSH forest over MinHash signatures, links confirmed on full shingle sets.
 
-A signature has 48 values. Tree t of 16 orders signatures with the values rotated left by 3 t, so the first three values of all
-trees are different ones. Documents are put in order in each tree; those with a common prefix of three values form a region. In a region
+A ``Rule`` has the words of a shingle, the least Jaccard similarity of linked documents, and the trees and values that find them: ``OP3`` is the
+rule of the query, ``STAGE`` of the pipeline's stage. A signature has three values a tree (48 and 16 in ``OP3``). Tree t orders signatures with the
+values rotated left by 3 t, so the first three values of all trees are different ones. Documents are put in order in each tree; those with a common prefix of three values form a region. In a region
 the neighbours in order are candidates, as deep as the region needs: up to ``REGION`` documents are compared all with
 each other, a larger region is cut where neighbours share the shortest prefixes. Candidates have signatures that
-agree in ``AGREE`` values at least; only as many candidate pairs leave a task as span them.
+agree in ``rule.agree`` values at least; only as many candidate pairs leave a task as span them.
 
-Two documents with Jaccard similarity 0.85 share no region with probability (1 - 0.85 ** 3) ** 16 < 3e-7, and agree in too few values with
-about 1e-6. All documents that candidates connect are then compared on full sets: in one task while their sets are up to ``TASK_SHINGLES``; beyond
+Two documents with Jaccard similarity 0.85 share no region of ``OP3`` with probability (1 - 0.85 ** 3) ** 16 < 3e-7, and agree in too few values with
+about 1e-6; at 0.8 these are (1 - 0.8 ** 3) ** 21 < 3e-7 and 8e-7 for ``STAGE``. All documents that candidates connect are then compared on full sets: in one task while their sets are up to ``TASK_SHINGLES``; beyond
 that in blocks, first with the most typical document, and what that doesn't link with all blocks, so no task holds an unbounded group.
 
 Defined results: words are bytes split at ASCII white space with A-Z lower-cased; a text with no words has an empty set
-and is linked with nothing; a text under three words has one shingle, the whole; documents with equal sets are linked without
+and is linked with nothing; a text of fewer words than a shingle has one shingle, the whole; documents with equal sets are linked without
 comparison; rows with the same doc_id are one document and share a component; rows with a null doc_id are linked with nothing, have a null
 component and are kept; an empty table gives an empty result; added columns replace clashing ones. Shingles are
 compared as 64-bit fingerprints.
@@ -19,6 +20,9 @@ compared as 64-bit fingerprints.
 
 from __future__ import annotations
 
+from functools import lru_cache
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -27,25 +31,43 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .components import components
 from .frames import Stage, plus, table, text_or_empty
 
-VALUES, TREES, DEPTH = 48, 16, 3
-#: Signatures that agree in fewer values aren't candidates.
-AGREE = 28
+DEPTH = 3
 REGION = 512
 TASK_SHINGLES = 4_000_000
-SHARE = (85, 100)
 _M = np.uint64(0x9E3779B97F4A7C15)
-_R = np.random.Generator(np.random.PCG64(77))
-_XOR = _R.integers(0, 1 << 64, VALUES, dtype=np.uint64, endpoint=False)[:, None]
-_MUL = (_R.integers(0, 1 << 64, VALUES, dtype=np.uint64, endpoint=False) | np.uint64(1))[:, None]
+
+
+class Rule(NamedTuple):
+    """Words of a shingle, least share of common shingles (of a hundred), trees, and the least number of equal values of candidates."""
+
+    size: int
+    share: int
+    trees: int
+    agree: int
+
+    @property
+    def values(self) -> int:
+        return DEPTH * self.trees
+
+
+OP3, STAGE = Rule(3, 85, 16, 28), Rule(5, 80, 21, 34)
+
+
+@lru_cache
+def _hashes(values: int) -> tuple[np.ndarray, np.ndarray]:
+    r = np.random.Generator(np.random.PCG64(77))
+    xor = r.integers(0, 1 << 64, values, dtype=np.uint64, endpoint=False)[:, None]
+    return xor, (r.integers(0, 1 << 64, values, dtype=np.uint64, endpoint=False) | np.uint64(1))[:, None]
 
 
 class Shingler:
-    """Sets of 3-word shingles; remembers the fingerprints of words up to a bound."""
+    """Sets of shingles of some words; remembers the fingerprints of words up to a bound."""
 
-    def __init__(self, most: int = 400_000):
-        self.known, self.most = {}, most
+    def __init__(self, size: int, most: int = 400_000):
+        self.size, self.known, self.most = size, {}, most
 
-    def __call__(self, text: str | None, size: int = 3) -> np.ndarray:
+    def __call__(self, text: str | None) -> np.ndarray:
+        size = self.size
         words = (text or "").encode().lower().split()
         if len(self.known) > self.most:
             self.known.clear()
@@ -73,25 +95,26 @@ def _mixed(a, b):
     return x ^ (x >> np.uint64(29))
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    out = np.full(VALUES, 0xFFFFFFFF, np.uint64)
+def signature(shingles: np.ndarray, values: int) -> np.ndarray:
+    xor, mul = _hashes(values)
+    out = np.full(values, 0xFFFFFFFF, np.uint64)
     for at in range(0, len(shingles), 4096):
-        out = np.minimum(out, (((shingles[None, at : at + 4096] ^ _XOR) * _MUL) >> np.uint64(32)).min(1))
+        out = np.minimum(out, (((shingles[None, at : at + 4096] ^ xor) * mul) >> np.uint64(32)).min(1))
     return out.astype(">u4")
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, sign (48 values, big-endian), print (16 bytes, of the set)."""
+def features(docs: DataFrame, rule: Rule) -> DataFrame:
+    """doc_id, n_shingles, sign (its values, big-endian), print (16 bytes, of the set)."""
     source = docs.select("doc_id", "text")
 
     def run(batches):
-        shingle = Shingler()
+        shingle = Shingler(rule.size)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 sets = [shingle(t) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s).tobytes() for s in sets], pa.binary()), pa.array([xxhash.xxh128_digest(s.tobytes()) for s in sets], pa.binary())],
+                    [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s, rule.values).tobytes() for s in sets], pa.binary()), pa.array([xxhash.xxh128_digest(s.tobytes()) for s in sets], pa.binary())],
                     names=["doc_id", "n_shingles", "sign", "print"],
                 )
 
@@ -114,7 +137,7 @@ class Union:
         return i != j
 
 
-def spanned(signs: np.ndarray) -> list[tuple[int, int]]:
+def spanned(signs: np.ndarray, agree: int) -> list[tuple[int, int]]:
     """signs: of a region, in order. Candidate pairs that span what candidates connect. A part of more than REGION
     documents is cut at its shortest common prefixes; the neighbours at a cut are compared too."""
     m, union, out = len(signs), Union(len(signs)), []
@@ -124,7 +147,7 @@ def spanned(signs: np.ndarray) -> list[tuple[int, int]]:
             if union.join(a, b):
                 out.append((a, b))
 
-    near = np.flatnonzero((signs[1:] == signs[:-1]).sum(1) >= AGREE)
+    near = np.flatnonzero((signs[1:] == signs[:-1]).sum(1) >= agree)
     pairs(near, near + 1)
     parts = [(0, m)]
     lcp = np.cumprod(signs[1:] == signs[:-1], axis=1).sum(1)
@@ -132,13 +155,13 @@ def spanned(signs: np.ndarray) -> list[tuple[int, int]]:
         a, b = parts.pop()
         if b - a > REGION:
             inner = lcp[a : b - 1]
-            cuts = np.flatnonzero(inner == inner.min()) + 1 + a if inner.min() < VALUES else np.arange(a + REGION, b, REGION)
+            cuts = np.flatnonzero(inner == inner.min()) + 1 + a if inner.min() < signs.shape[1] else np.arange(a + REGION, b, REGION)
             edges = [a, *cuts.tolist(), b]
             parts += [(x, y) for x, y in zip(edges, edges[1:]) if y - x > 1]
             continue
         part = signs[a:b]
         for i in range(len(part) - 1):
-            js = np.flatnonzero((part[i + 1 :] == part[i]).sum(1) >= AGREE) + i + 1
+            js = np.flatnonzero((part[i + 1 :] == part[i]).sum(1) >= agree) + i + 1
             for j in js.tolist():
                 if union.join(a + i, a + j):
                     out.append((a + i, a + j))
@@ -184,23 +207,23 @@ def stars(node: np.ndarray, component: np.ndarray, u: list, v: list) -> None:
     v += least[other].tolist()
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
+def candidates(nodes: DataFrame, rule: Rule) -> DataFrame:
     """nodes with node, sign -> (u, v): nodes that candidates connect within a part of the forest, each with the least one of them."""
-    tree = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.xxhash64(F.lit(t), F.substring("sign", 4 * DEPTH * t + 1, 4 * DEPTH)).alias("region")) for t in range(TREES)])).alias("x")
+    tree = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.xxhash64(F.lit(t), F.substring("sign", 4 * DEPTH * t + 1, 4 * DEPTH)).alias("region")) for t in range(rule.trees)])).alias("x")
     placed = nodes.select("node", tree).select("node", "x.*")
     shared = placed.groupBy("region").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("region")
     alive = placed.join(shared, "region", "left_semi").join(nodes.select("node", "sign"), "node")
-    order = F.concat(F.substring(F.col("sign"), 4 * DEPTH * F.col("t") + F.lit(1), F.lit(4 * VALUES)), F.substring(F.col("sign"), F.lit(1), 4 * DEPTH * F.col("t")))
+    order = F.concat(F.substring(F.col("sign"), 4 * DEPTH * F.col("t") + F.lit(1), F.lit(4 * rule.values)), F.substring(F.col("sign"), F.lit(1), 4 * DEPTH * F.col("t")))
     forest = alive.select("region", order.alias("order"), "node").repartition("region").sortWithinPartitions("region", "order", "node")
 
     def run(batches):
         for rows in groups(batches, "region"):
             region, node = rows.column("region").to_numpy(), rows.column("node").to_numpy()
-            signs = matrix(rows.column("order"), VALUES, ">u4").astype(np.uint32)
+            signs = matrix(rows.column("order"), rule.values, ">u4").astype(np.uint32)
             ids, place = np.unique(node, return_inverse=True)
             union = Union(len(ids))
             for a, b in segments(region):
-                for i, j in spanned(signs[a:b]):
+                for i, j in spanned(signs[a:b], rule.agree):
                     union.join(int(place[a + i]), int(place[a + j]))
             u, v = [], []
             stars(ids, np.array([union.find(i) for i in range(len(ids))], np.int64), u, v)
@@ -209,14 +232,14 @@ def candidates(nodes: DataFrame) -> DataFrame:
     return forest.mapInArrow(run, "u long, v long")
 
 
-def with_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def with_sets(docs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
     """nodes -> also shingles (sorted fingerprints as bytes), made anew from the texts of their documents."""
     wanted = nodes.withColumnRenamed("node", "_node").hint("shuffle_hash")
     source = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("_node")).drop("doc_id")
     names = [c for c in source.columns if c != "text"]
 
     def run(batches):
-        shingle = Shingler()
+        shingle = Shingler(rule.size)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
@@ -228,15 +251,15 @@ def with_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return source.mapInArrow(run, plus(source.select(*names).schema, shingles="binary")).withColumnRenamed("_node", "node")
 
 
-def alike(a: np.ndarray, b: np.ndarray) -> bool:
+def alike(a: np.ndarray, b: np.ndarray, share: int) -> bool:
     both = len(a) + len(b)
-    if SHARE[1] * min(len(a), len(b)) < SHARE[0] * max(len(a), len(b)):
+    if 100 * min(len(a), len(b)) < share * max(len(a), len(b)):
         return False
     common = both - len(np.union1d(a, b))
-    return SHARE[1] * common >= SHARE[0] * (both - common)
+    return 100 * common >= share * (both - common)
 
 
-def linked(signs: np.ndarray, sets: list[np.ndarray], asked: np.ndarray | None = None) -> np.ndarray:
+def linked(signs: np.ndarray, sets: list[np.ndarray], rule: Rule, asked: np.ndarray | None = None) -> np.ndarray:
     """The component of each document (the place of one of its members), by all links between the documents, or by those of
     the ``asked`` ones to all. Pairs that are already connected aren't compared; the most typical document goes first, so a group around one
     text takes about one comparison each. A document with many candidates is compared with all at once, by marks on its shingles."""
@@ -253,11 +276,11 @@ def linked(signs: np.ndarray, sets: list[np.ndarray], asked: np.ndarray | None =
     sizes = np.array([len(s) for s in sets])
     places = marks = None
     for i in rows.tolist():
-        near = np.flatnonzero(((signs == signs[i]).sum(1) >= AGREE) & (component != component[i]))
+        near = np.flatnonzero(((signs == signs[i]).sum(1) >= rule.agree) & (component != component[i]))
         if not len(near):
             continue
         if len(near) <= 8:
-            hits = [j for j in near.tolist() if alike(sets[i], sets[j])]
+            hits = [j for j in near.tolist() if alike(sets[i], sets[j], rule.share)]
         else:
             if places is None:
                 places = np.unique(np.concatenate(sets), return_inverse=True)[1]
@@ -266,35 +289,35 @@ def linked(signs: np.ndarray, sets: list[np.ndarray], asked: np.ndarray | None =
             marks[own] = True
             common = np.add.reduceat(marks[places], edges[:-1], dtype=np.int64)
             marks[own] = False
-            hits = near[SHARE[1] * common[near] >= SHARE[0] * (sizes[i] + sizes[near] - common[near])].tolist()
+            hits = near[100 * common[near] >= rule.share * (sizes[i] + sizes[near] - common[near])].tolist()
         for j in hits:
             if component[j] != component[i]:
                 component[component == component[j]] = component[i]
     return component
 
 
-def _links(sets: DataFrame, key: str) -> DataFrame:
+def _links(sets: DataFrame, key: str, rule: Rule) -> DataFrame:
     """Rows with key, node, sign, shingles and asked (null: all) -> (u, v): each node with the least one that it is linked to within its key."""
     dealt = sets.select(key, "node", "asked", "sign", "shingles").repartition(key).sortWithinPartitions(key, "node")
 
     def run(batches):
         for rows in groups(batches, key):
             node, asked = rows.column("node").to_numpy(), rows.column("asked")
-            signs = matrix(rows.column("sign"), VALUES, ">u4").astype(np.uint32)
+            signs = matrix(rows.column("sign"), rule.values, ">u4").astype(np.uint32)
             u, v = [], []
             for a, b in segments(rows.column(key).to_numpy()):
                 shingles = [np.frombuffer(x, np.uint64) for x in rows.column("shingles").slice(a, b - a).to_pylist()]
                 some = asked.slice(a, b - a)
-                of = linked(signs[a:b], shingles, some.to_numpy(zero_copy_only=False).astype(bool) if some.null_count == 0 else None)
+                of = linked(signs[a:b], shingles, rule, some.to_numpy(zero_copy_only=False).astype(bool) if some.null_count == 0 else None)
                 stars(node[a:b], of, u, v)
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     return dealt.mapInArrow(run, "u long, v long")
 
 
-def _large_groups(sets: DataFrame, stage: Stage) -> DataFrame:
+def _large_groups(sets: DataFrame, stage: Stage, rule: Rule) -> DataFrame:
     """Links in groups whose sets exceed a task: blocks meet the group's most typical document, and what that doesn't link meets all blocks."""
-    values = F.transform(F.sequence(F.lit(0), F.lit(VALUES - 1)), lambda i: F.struct(i.alias("i"), F.substring(F.col("sign"), 4 * i + 1, F.lit(4)).alias("value")))
+    values = F.transform(F.sequence(F.lit(0), F.lit(rule.values - 1)), lambda i: F.struct(i.alias("i"), F.substring(F.col("sign"), 4 * i + 1, F.lit(4)).alias("value")))
     counts = sets.select("group", F.explode(values).alias("x")).groupBy("group", "x.i", "x.value").count()
     modes = counts.groupBy("group", "i").agg(F.max_by("value", F.struct("count", "value")).alias("value")).groupBy("group").agg(F.sort_array(F.collect_list(F.struct("i", "value"))).alias("mode"))
     agreed = F.size(F.filter(F.col("mode"), lambda e: e["value"] == F.substring(F.col("sign"), 4 * e["i"] + 1, F.lit(4))))
@@ -304,7 +327,7 @@ def _large_groups(sets: DataFrame, stage: Stage) -> DataFrame:
     to_all = F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("block")
     columns = [F.xxhash64("group", "block").alias("key"), "node", "asked", "sign", "shingles"]
     heads = sets.join(typical, ["group", "node"], "left_semi").select("*", to_all).withColumn("asked", F.lit(True))
-    first = stage.write(_links(blocks.join(typical, ["group", "node"], "left_anti").withColumn("asked", F.lit(False)).select(*columns).unionByName(heads.select(*columns)), "key"), "links-typical")
+    first = stage.write(_links(blocks.join(typical, ["group", "node"], "left_anti").withColumn("asked", F.lit(False)).select(*columns).unionByName(heads.select(*columns)), "key", rule), "links-typical")
     done = first.select(F.col("u").alias("node")).union(first.select("v"))
     rest = sets.join(done, "node", "left_anti").withColumn("asked", F.lit(True)).withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(1)), n_blocks).cast("int"))
     chunks = rest.select("group", "chunk").distinct()
@@ -312,24 +335,24 @@ def _large_groups(sets: DataFrame, stage: Stage) -> DataFrame:
     members = blocks.join(chunks, "group").withColumn("asked", F.lit(False))
     asked = rest.select("*", to_all)
     both = members.join(rest.select("group", "chunk", "node"), ["group", "chunk", "node"], "left_anti").select(*columns).unionByName(asked.select(*columns))
-    return first.unionByName(_links(both, "key"))
+    return first.unionByName(_links(both, "key", rule))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, rule: Rule = OP3) -> DataFrame:
     """docs with doc_id (long), text -> doc_id, n_shingles, component_id, kept; one row a document."""
     stage = Stage(docs.sparkSession, "near")
     plain = docs.select("doc_id", text_or_empty().alias("text"))
-    every = stage.write(features(plain), "features")
+    every = stage.write(features(plain, rule), "features")
     nodes = stage.write(every.where("n_shingles > 0 and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("node"), F.first("sign").alias("sign"), F.first("n_shingles").alias("n")), "nodes")
-    near = components(stage.write(candidates(nodes), "candidates"), stage, "near")
+    near = components(stage.write(candidates(nodes, rule), "candidates"), stage, "near")
     members = near.select(F.col("u").alias("node"), F.col("v").alias("group")).unionByName(near.select(F.col("v").alias("node"), F.col("v").alias("group")).distinct())
     members = stage.write(members.join(nodes, "node"), "members")
     totals = members.groupBy("group").agg(F.sum("n").alias("total"))
-    sets = stage.write(with_sets(plain, members.join(totals, "group")).withColumn("asked", F.lit(None).cast("boolean")), "sets")
-    found = _links(sets.where(F.col("total") <= TASK_SHINGLES), "group")
+    sets = stage.write(with_sets(plain, members.join(totals, "group"), rule).withColumn("asked", F.lit(None).cast("boolean")), "sets")
+    found = _links(sets.where(F.col("total") <= TASK_SHINGLES), "group", rule)
     large = sets.where(F.col("total") > TASK_SHINGLES)
     if not large.isEmpty():
-        found = found.unionByName(components(stage.write(_large_groups(large, stage), "links"), stage, "linked"))
+        found = found.unionByName(components(stage.write(_large_groups(large, stage, rule), "links"), stage, "linked"))
     found = stage.write(found.distinct(), "found")
     stage.drop("sets", "members", "candidates")
     classes = nodes.join(found, nodes["node"] == found["u"], "left").select("print", F.coalesce("v", "node").alias("class"))
@@ -337,9 +360,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def kept_documents(docs: DataFrame) -> DataFrame:
+def kept_documents(docs: DataFrame, rule: Rule = OP3) -> DataFrame:
     """One document of each component, with the columns of docs."""
-    ids = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct().hint("shuffle_hash")
+    ids = near_duplicates(docs, rule).where("not kept").select(F.col("doc_id").alias("_gone")).distinct().hint("shuffle_hash")
     return docs.join(ids, F.col("doc_id") == F.col("_gone"), "left_anti")
 
 
