@@ -1,6 +1,6 @@
 """Stupid-backoff scores of documents under the n-gram counts of their own corpus, by joins and sums.
 
-S(w | h) = c(h w) / c(h) where c(h w) >= ``MIN_COUNT``, else ``BACKOFF`` times S(w | h without its first word); for single words c(w) / N.
+S(w | h) = c(h w) / c(h) where c(h w) >= ``least`` (``MIN_COUNT`` unless given), else ``BACKOFF`` times S(w | h without its first word); for single words c(w) / N.
 In logarithms a document's score is a sum over its n-grams of every order: what an n-gram of the count tables adds to the score
 that backing off from it would give. So each order is one join of exploded n-grams to a count table and one sum per document, and the tables
 carry that difference, from joins of a table with the next lower one.
@@ -61,7 +61,7 @@ def _of_slice(keys: np.ndarray, part: int, slices: int) -> np.ndarray:
     return np.flatnonzero((keys >> np.uint64(40)) % np.uint64(slices) == part) if slices > 1 else np.arange(len(keys))
 
 
-def _counted(docs: DataFrame, order: int, part: int, slices: int) -> DataFrame:
+def _counted(docs: DataFrame, order: int, part: int, slices: int, least: int) -> DataFrame:
     """key, context, suffix, n: n-grams of a slice with counts, summed within blocks of rows."""
 
     def run(batches):
@@ -88,7 +88,7 @@ def _counted(docs: DataFrame, order: int, part: int, slices: int) -> DataFrame:
     names = ["key", "context", "suffix"][: 1 if order == 1 else 3] + ["n"]
     found = docs.select("text").mapInArrow(run, ", ".join(f"{x} long" for x in names))
     others = [F.first(x).alias(x) for x in names[1:-1]]
-    return found.groupBy("key").agg(*others, F.sum("n").alias("c")).where(F.col("c") >= MIN_COUNT)
+    return found.groupBy("key").agg(*others, F.sum("n").alias("c")).where(F.col("c") >= least)
 
 
 def _exploded(docs: DataFrame, order: int, part: int, slices: int) -> DataFrame:
@@ -123,7 +123,7 @@ def _tokens(docs: DataFrame) -> DataFrame:
     return source.mapInArrow(run, plus(source.select("doc_id", "doc").schema, n_tokens="long"))
 
 
-def scores(docs: DataFrame, order: int = ORDER, slices: int = SLICES) -> DataFrame:
+def scores(docs: DataFrame, order: int = ORDER, slices: int = SLICES, least: int = MIN_COUNT) -> DataFrame:
     """docs with doc_id, text -> doc_id, n_tokens, log_score (natural logarithm, null without tokens), per_token; one row a document."""
     stage = Stage(docs.sparkSession, "lm")
     keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("doc"), text_or_empty().alias("text"))
@@ -137,7 +137,7 @@ def scores(docs: DataFrame, order: int = ORDER, slices: int = SLICES) -> DataFra
         parts, tables = slices if k > 1 else 1, []
         for part in range(parts):
             name = f"{k}-{part}"
-            counts = _counted(texts, k, part, parts)
+            counts = _counted(texts, k, part, parts, least)
             if k == 1:
                 counts = counts.select("key", "c", (F.log("c") - log_n).alias("value"), F.log("c").alias("gain"))
             else:
@@ -166,11 +166,19 @@ def scores(docs: DataFrame, order: int = ORDER, slices: int = SLICES) -> DataFra
     return out.withColumn("per_token", F.col("log_score") / n)
 
 
-def op5_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
+def _rounded(out: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.round("log_score", 3).alias("log_score"), F.round("per_token", 6).alias("per_token"))
 
 
+def op5_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(scores(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op5_stupid_backoff_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order 3, with every n-gram that the corpus holds."""
+    return _rounded(scores(table(spark, sf_dir, "documents").select("doc_id", "text"), 3, 12, 1))
+
+
 OP5_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS raw FROM documents),
 w AS (SELECT r, doc_id, list_transform(raw, lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS ws FROM d),
@@ -187,3 +195,22 @@ x AS (SELECT r, sum(v) AS v FROM s GROUP BY r)
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_tokens, round(x.v, 3) AS log_score, round(x.v / len(ws), 6) AS per_token
 FROM w LEFT JOIN x ON x.r = w.r
 """
+
+#: Every n-gram of a document is one of the corpus, so nothing backs off but at a document's start.
+OP5_ALL_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS raw FROM documents),
+w AS (SELECT r, doc_id, list_transform(raw, lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS ws FROM d),
+t AS (SELECT r, unnest(ws) AS b, unnest(range(len(ws))) AS i FROM w),
+g AS (SELECT r, i, lag(b, 2) OVER (PARTITION BY r ORDER BY i) AS a2, lag(b) OVER (PARTITION BY r ORDER BY i) AS a1, b FROM t),
+n AS (SELECT count(*) AS n FROM t),
+u AS (SELECT b AS w1, count(*) AS c FROM t GROUP BY b),
+p AS (SELECT a1 AS w1, b AS w2, count(*) AS c FROM g WHERE i >= 1 GROUP BY 1, 2),
+q AS (SELECT a2 AS w1, a1 AS w2, b AS w3, count(*) AS c FROM g WHERE i >= 2 GROUP BY 1, 2, 3),
+s AS (
+  SELECT g.r, CASE WHEN i >= 2 THEN ln(q.c) - ln(pa.c) WHEN i = 1 THEN ln(p.c) - ln(ua.c) ELSE ln(u.c) - ln(n.n) END AS v
+  FROM g CROSS JOIN n JOIN u ON u.w1 = g.b LEFT JOIN u ua ON ua.w1 = g.a1 LEFT JOIN p ON p.w1 = g.a1 AND p.w2 = g.b
+  LEFT JOIN p pa ON pa.w1 = g.a2 AND pa.w2 = g.a1 LEFT JOIN q ON q.w1 = g.a2 AND q.w2 = g.a1 AND q.w3 = g.b),
+x AS (SELECT r, sum(v) AS v FROM s GROUP BY r)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_tokens, round(x.v, 3) AS log_score, round(x.v / len(ws), 6) AS per_token
+FROM w LEFT JOIN x ON x.r = w.r
+"""

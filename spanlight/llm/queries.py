@@ -10,6 +10,7 @@ QUERIES = {
     "op3_minhash_near_dedup": near_dedup.op3_minhash_near_dedup,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_stupid_backoff": lm_scoring.op5_stupid_backoff,
+    "op5_stupid_backoff_all": lm_scoring.op5_stupid_backoff_all,
     "op6_lossless_webp": media.op6_lossless_webp,
     "op7_language_id": language_id.op7_language_id,
     "op8_warc_revisits": warc.op8_warc_revisits,
@@ -20,6 +21,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op4_quality_rules": quality.OP4_SQL,
     "op5_stupid_backoff": lm_scoring.OP5_SQL,
+    "op5_stupid_backoff_all": lm_scoring.OP5_ALL_SQL,
     "op8_warc_revisits": warc.OP8_SQL,
     "op10_mixing": mixing.OP10_SQL,
 }

@@ -37,3 +37,13 @@ def test_against_brute_force(spark, order):
 
 def test_empty_table(spark):
     assert L.scores(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_all_ngrams_of_three_words(spark, tmp_path):
+    spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = [(t or "").lower().split() for t in TEXTS]
+    c = Counter(tuple(d[i : i + k]) for d in docs for k in (1, 2, 3) for i in range(len(d) - k + 1))
+    n = sum(map(len, docs))
+    want = [sum(math.log(c[tuple(d[max(0, i - 2) : i + 1])] / (c[tuple(d[max(0, i - 2) : i])] if i else n)) for i in range(len(d))) if d else None for d in docs]
+    got = {r["doc_id"]: r["log_score"] for r in L.op5_stupid_backoff_all(spark, str(tmp_path)).collect()}
+    assert [got[i] for i in range(len(TEXTS))] == [None if x is None else pytest.approx(x, abs=6e-4) for x in want]
