@@ -5,8 +5,9 @@ maximisation on word counts; the probability of a word is the sum over all its s
 algorithm. A text's score is the posterior of its best language under the product over its words and the languages' shares of
 training rows.
 
-The fit uses a sample of about ``SAMPLE`` training documents a language (chosen by a hash of doc_id) and the ``WORDS`` most frequent
-words of each in it; every document is scored on its whole text.
+The fit uses a sample of about ``SAMPLE`` training documents a language (chosen by a hash of doc_id) and all words of it, whole. Each
+round maps the distinct words of a language to expected numbers of pieces, summed in units of 1 / ``UNITS`` so that their order doesn't
+matter; every document is scored on its whole text.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; so is every text where no training row exists; a null
 language is never learned; documents with a null doc_id are neither held out nor trained on; equal texts score alike; repeated rows are
@@ -20,14 +21,13 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .frames import map_texts, table
+from .frames import Stage, map_texts, table
 
 PIECES = "piece_bpe_32k.model"
-SAMPLE, WORDS, ROUNDS, SMOOTHING = 2000, 3000, 2, 0.1
-#: Characters of a piece at most; longer ones are rules and blanks.
-PIECE_LENGTH = 12
+SAMPLE, ROUNDS, SMOOTHING = 2000, 2, 0.1
+UNITS = 1 << 32
 #: Words that a task remembers at most, and their length at most.
 CACHE_WORDS, CACHE_LENGTH = 300_000, 30
 START = "▁"
@@ -42,41 +42,70 @@ def vocabulary(path: str) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
-    return sorted({p.lower() for p in pieces if len(p) <= PIECE_LENGTH})
-
-
-def expected_counts(word: str, weight: float, p: dict[str, float], longest: int, counts: dict[str, float]) -> None:
-    """Adds the weight times the expected number of each piece in the word's segmentations."""
-    n = len(word)
-    ahead, behind = [1.0] + [0.0] * n, [0.0] * n + [1.0]
-    found = [[(i, q) for i in range(max(0, j - longest), j) if (q := p.get(word[i:j], UNKNOWN if i == j - 1 else 0.0))] for j in range(n + 1)]
-    for j in range(1, n + 1):
-        ahead[j] = sum(ahead[i] * q for i, q in found[j])
-    total = ahead[n]
-    if total <= 0:
-        return
-    for j in range(n, 0, -1):
-        for i, q in found[j]:
-            behind[i] += q * behind[j]
-            piece = word[i:j]
-            if piece in p:
-                counts[piece] = counts.get(piece, 0.0) + weight * ahead[i] * q * behind[j] / total
+    return sorted({p.lower() for p in pieces})
 
 
-def fitted(words: list[tuple[str, int]], pieces: list[str]) -> dict[str, float]:
-    """Piece probabilities of one language; words with their counts."""
-    longest = max(map(len, pieces))
-    p = dict.fromkeys(pieces, 1.0 / len(pieces))
+def expected_pieces(word: str, p: Prefixed) -> dict[str, float]:
+    """The expected number of each piece in the word's segmentations. The sums over beginnings are scaled; a place's share of all
+    segmentations is dealt from the word's end to the places before it."""
+    n, nothing, get = len(word), (), p.get
+    ahead, level, found = [1.0] + [0.0] * n, [0] * (n + 1), [[] for _ in range(n + 1)]
+    for i in range(n):
+        if ahead[i] < 1e-150:
+            ahead[i:] = [x * 1e140 for x in ahead[i:]]
+            level[i:] = [level[i] + 1] * (n + 1 - i)
+        before = ahead[i]
+        for j in range(i + 1, n + 1):
+            piece = word[i:j]
+            q = get(piece, nothing)
+            if q:
+                ahead[j] += before * q
+                found[j].append((i, piece, q))
+            else:
+                if j == i + 1:
+                    ahead[j] += before * UNKNOWN
+                    found[j].append((i, None, UNKNOWN))
+                if q is nothing:
+                    break
+    share, out = [0.0] * n + [1.0], {}
+    for j in range(n, 0, -1):
+        if share[j]:
+            for i, piece, q in found[j]:
+                part = ahead[i] / ahead[j] * q
+                if level[i] != level[j]:
+                    part *= 1e140 ** (level[j] - level[i])
+                part *= share[j]
+                share[i] += part
+                if piece is not None:
+                    out[piece] = out.get(piece, 0.0) + part
+    return out
+
+
+def fitted(words: DataFrame, langs: list[str], pieces: list[str]) -> list[dict[str, float]]:
+    """words with lang, word, count -> piece probabilities of each language."""
+    p = np.full((len(langs), len(pieces)), 1.0 / len(pieces))
     for _ in range(ROUNDS):
-        counts: dict[str, float] = {}
-        for word, n in words:
-            expected_counts(START + word[:CACHE_LENGTH], n, p, longest, counts)
-        total = sum(counts.values()) + SMOOTHING * len(pieces)
-        p = {x: (counts.get(x, 0.0) + SMOOTHING) / total for x in pieces}
-    return p
-
 
-def train(docs: DataFrame, path: str, sample: int = SAMPLE, words: int = WORDS) -> dict:
+        def run(batches, p=p):
+            models, place = {lang: Prefixed(dict(zip(pieces, row.tolist()))) for lang, row in zip(langs, p)}, {x: i for i, x in enumerate(pieces)}
+            sums = {lang: np.zeros(len(pieces), np.int64) for lang in langs}
+            for batch in batches:
+                for lang, word, n in zip(*(c.to_pylist() for c in batch.columns)):
+                    total = sums[lang]
+                    for piece, expected in expected_pieces(START + word, models[lang]).items():
+                        total[place[piece]] += round(n * expected * UNITS)
+            for at, lang in enumerate(langs):
+                some = np.flatnonzero(sums[lang])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), at, np.int64)), pa.array(some), pa.array(sums[lang][some])], names=["lang", "piece", "n"])
+
+        counts = np.full(p.shape, SMOOTHING)
+        for r in words.select("lang", "word", "count").mapInArrow(run, "lang long, piece long, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n")).collect():
+            counts[r["lang"], r["piece"]] += r["n"] / UNITS
+        p = counts / counts.sum(1, keepdims=True)
+    return [dict(zip(pieces, row.tolist())) for row in p]
+
+
+def train(docs: DataFrame, path: str, sample: int = SAMPLE) -> dict:
     """docs with doc_id, text, lang -> {"langs", "prior" (log), "pieces": {piece: probabilities by language}}."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang", "text")
     totals = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
@@ -88,9 +117,11 @@ def train(docs: DataFrame, path: str, sample: int = SAMPLE, words: int = WORDS)
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, sample / totals[lang]))).otherwise(share)
     luck = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     counted = rows.where(luck < share).select("lang", F.explode(F.split(F.lower("text"), r"[\x20\x09-\x0D]+")).alias("word")).where("word <> ''").groupBy("lang", "word").count()
-    top = counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))).where(F.col("rank") <= words).collect()
+    stage = Stage(docs.sparkSession, "language")
+    counted = stage.write(counted.repartition(4 * docs.sparkSession.sparkContext.defaultParallelism, "lang", "word"), "words")
     pieces = vocabulary(path)
-    models = [fitted(sorted((r["word"], r["count"]) for r in top if r["lang"] == lang), pieces) for lang in langs]
+    models = fitted(counted, langs, pieces)
+    stage.drop("words")
     everything = sum(totals.values())
     return {"langs": langs, "prior": [math.log(totals[x] / everything) for x in langs], "pieces": {x: tuple(m[x] for m in models) for x in pieces}}
 

@@ -57,3 +57,30 @@ def test_odd_rows(spark):
     assert got[1] == "en" and got[2] == "de" and got[3] == got[4] == "und" and got[None] == "en"
     nothing = L.train(docs.limit(0), P.path(L.PIECES))
     assert {r["lang_pred"] for r in L.predict(docs, nothing).collect()} == {"und"} and L.predict(docs.limit(0), model).count() == 0
+
+
+def test_expected_pieces_of_all_segmentations():
+    pieces = {L.START: 0.1, L.START + "a": 0.2, "a": 0.2, "ab": 0.05, "b": 0.1, "baa": 0.3}
+    for word in ("ab", "abba", "baaxab"):
+        whole, want, total = L.START + word, {}, 0.0
+        for cuts in itertools.product([0, 1], repeat=len(whole) - 1):
+            edges = [0, *[i + 1 for i, c in enumerate(cuts) if c], len(whole)]
+            parts = [whole[a:b] for a, b in zip(edges, edges[1:])]
+            p = math.prod(pieces.get(x, L.UNKNOWN if len(x) == 1 else 0.0) for x in parts)
+            total += p
+            for x in parts:
+                want[x] = want.get(x, 0.0) + p
+        got = L.expected_pieces(whole, L.Prefixed(pieces))
+        assert got == pytest.approx({x: want[x] / total for x in got}) and all(x in got or x not in pieces or not p for x, p in want.items())
+    long = L.expected_pieces("ab" * 2000, L.Prefixed({"a": 1e-4, "ab": 1e-5, "b": 1e-4}))
+    assert sum(len(x) * n for x, n in long.items()) == pytest.approx(4000)
+
+
+def test_fit_takes_all_words_whole(spark):
+    assert any(len(x) > 12 for x in L.vocabulary(P.path(L.PIECES)))
+    many = " ".join(f"{i} {i}" for i in range(3100))
+    texts = [("end", "z" * 60 + "j"), ("none", "z" * 61), ("rare", many + " j"), ("few", many)]
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(texts)], "doc_id long, text string, lang string")
+    model = L.train(docs, P.path(L.PIECES))
+    inner, first = (dict(zip(model["langs"], model["pieces"][x])) for x in ("j", L.START + "j"))
+    assert inner["end"] > 2 * inner["none"] and first["rare"] > 2 * first["few"]
