@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import aggregates as a, graph, windows as w
+from ..sources.staging import scratch, written
 from .joins import hag_from_raster, to_cell
 
 
@@ -66,37 +67,34 @@ def road_regions(df: DataFrame, cell: float, flat: float, step: float, area: Seq
     return grown.join(kept.select("component"), "component", "left_semi").select("cx", "cy", "component")
 
 
-def crowns(tops: DataFrame, tile: str, th_tree: float, th_seed: float, th_crown: float, most: int, top_factor: float = 1.05, sweeps: int = 100) -> DataFrame:
-    """tops (tile, cx, cy, z, seed: id or 0) -> tile, cx, cy, tree: seeds grow over 4-neighbours in sweeps until nothing changes. A tile
-    is a piece of bounded size; within it the order of sweeps is fixed, so results don't depend on how rows arrive."""
-    import numpy as np
-    import pandas as pd
-
-    def grow(rows: pd.DataFrame) -> pd.DataFrame:
-        x0, y0 = rows["cx"].min() - 1, rows["cy"].min() - 1
-        shape = (rows["cx"].max() - x0 + 2, rows["cy"].max() - y0 + 2)
-        z, tree = np.full(shape, -np.inf), np.zeros(shape, np.int64)
-        ix, iy = (rows["cx"] - x0).to_numpy(), (rows["cy"] - y0).to_numpy()
-        z[ix, iy], tree[ix, iy] = rows["z"], rows["seed"]
-        seeds = {int(t): (int(x), int(y), z[x, y]) for t, x, y in zip(tree[ix, iy], ix, iy) if t}
-        total, count = {t: s[2] for t, s in seeds.items()}, dict.fromkeys(seeds, 1)
-        for _ in range(sweeps):
-            before, changed = tree.copy(), False
-            for x, y in zip(*np.nonzero(before)):
-                t = int(before[x, y])
-                sx, sy, top = seeds[t]
-                for nx, ny in ((x, y - 1), (x - 1, y), (x + 1, y), (x, y + 1)):
-                    h = z[nx, ny]
-                    if before[nx, ny] == 0 and h > th_tree and h > top * th_seed and h > total[t] / count[t] * th_crown and h <= top * top_factor and max(abs(nx - sx), abs(ny - sy)) < most:
-                        tree[nx, ny], changed = t, True
-                        total[t] += h
-                        count[t] += 1
-            if not changed:
-                break
-        return pd.DataFrame({tile: rows[tile].to_numpy(), "cx": rows["cx"].to_numpy(), "cy": rows["cy"].to_numpy(), "tree": tree[ix, iy]})
-
-    kind = dict(tops.dtypes)[tile]
-    return tops.groupBy(tile).applyInPandas(grow, f"{tile} {kind}, cx long, cy long, tree long").where("tree > 0")
+def crowns(tops: DataFrame, th_tree: float, th_seed: float, th_crown: float, most: int, top_factor: float = 1.05, sweeps: int = 100) -> DataFrame:
+    """tops (cx, cy, z, seed: id or 0) -> cx, cy, tree: seeds grow over 4-neighbours in sweeps over the whole raster until nothing changes. A sweep
+    goes by cx, then cy: cells are free if they were before it, a tree's mean moves with each cell it takes, and of several trees the last keeps the cell. Each
+    sweep joins the trees' edges to free cells; a tree's steps are folded in order, no more than four for each cell within its reach."""
+    base = scratch(tops.sparkSession, "crowns")
+    cells = written(tops.select(F.col("cx").alias("nx"), F.col("cy").alias("ny"), F.col("z").cast("double").alias("h"), "seed"), base, "cells")
+    seeds = cells.where("seed <> 0").select(F.col("seed").cast("long").alias("tree"), F.col("nx").alias("cx"), F.col("ny").alias("cy"), "h")
+    labelled = seeds.select("cx", "cy", "tree")
+    trees = seeds.select("tree", F.col("cx").alias("sx"), F.col("cy").alias("sy"), F.col("h").alias("top"), F.col("h").alias("total"), F.lit(1).cast("long").alias("n"))
+    sides = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), (F.col("cx") + dx).alias("nx"), (F.col("cy") + dy).alias("ny")) for k, (dx, dy) in enumerate(((0, -1), (-1, 0), (1, 0), (0, 1)))]))
+    for i in range(sweeps):
+        edges = labelled.select("tree", "cx", "cy", sides.alias("side")).select("tree", "cx", "cy", "side.*").join(trees, "tree")
+        edges = edges.where(F.greatest(F.abs(F.col("nx") - F.col("sx")), F.abs(F.col("ny") - F.col("sy"))) < most)
+        edges = edges.join(cells, ["nx", "ny"]).where((F.col("h") > th_tree) & (F.col("h") > F.col("top") * F.lit(th_seed)) & (F.col("h") <= F.col("top") * F.lit(top_factor)))
+        edges = edges.join(labelled.select(F.col("cx").alias("nx"), F.col("cy").alias("ny")), ["nx", "ny"], "left_anti")
+        steps = edges.groupBy("tree", "total", "n").agg(F.sort_array(F.collect_list(F.struct("cx", "cy", "k", "nx", "ny", "h"))).alias("steps"))
+        taken = f"cast(array() as {dict(steps.dtypes)['steps']})"
+        grow = f"""aggregate(steps, named_struct('total', total, 'n', n, 'taken', {taken}), (s, e) -> if(e.h > s.total / s.n * {th_crown!r}D,
+            named_struct('total', s.total + e.h, 'n', s.n + 1L, 'taken', concat(s.taken, array(e))), s))"""
+        grown = written(steps.select("tree", F.expr(grow).alias("s")).select("tree", "s.*").where("size(taken) > 0"), base, f"grown{i}")
+        if grown.isEmpty():
+            break
+        new = grown.select("tree", F.explode("taken").alias("e")).groupBy(F.col("e.nx").alias("cx"), F.col("e.ny").alias("cy")).agg(F.max_by("tree", F.struct("e.cx", "e.cy", "e.k")).alias("tree"))
+        labelled = written(labelled.unionByName(new), base, f"labelled{i}")
+        moved = grown.select("tree", F.col("total").alias("_total"), F.col("n").alias("_n"))
+        trees = trees.join(moved, "tree", "left").withColumns({"total": F.coalesce("_total", "total"), "n": F.coalesce("_n", "n")}).drop("_total", "_n")
+        trees = written(trees, base, f"trees{i}")
+    return labelled
 
 
 def blocks(df: DataFrame, size: float, overlap: float) -> DataFrame:

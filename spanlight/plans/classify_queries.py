@@ -52,8 +52,8 @@ def p4b(spark, sf):
 def p5(spark, sf):
     tops = s.cell_tops(points(spark, sf).where("seg_type IN (2, 15)"), 10.0, KEY).withColumn("id", F.col("cx") * 100000 + F.col("cy"))
     seeds = w.local_maxima(tops.select("id", F.col("cx").cast("double").alias("x"), F.col("cy").cast("double").alias("y"), "z"), F.lit(2.0), 2.0, "id").select("id", F.lit(True).alias("is_seed"))
-    tiles = tops.join(seeds, "id", "left").withColumn("tile", F.floor(F.col("cx") / 25) * 1000 + F.floor(F.col("cy") / 25)).withColumn("seed", F.when(F.col("is_seed"), F.col("id") + 1).otherwise(0))
-    return c.crowns(tiles.select("tile", "cx", "cy", "z", "seed"), "tile", 10.0, 0.45, 0.55, 4)
+    seeded = tops.join(seeds, "id", "left").withColumn("seed", F.when(F.col("is_seed"), F.col("id") + 1).otherwise(0))
+    return c.crowns(seeded.select("cx", "cy", "z", "seed"), 10.0, 0.45, 0.55, 4)
 
 
 @query("p11_sampled_curves", f"WITH {P}, b AS (SELECT cluster_id, min(y) AS y1, max(y) AS y2 FROM p WHERE seg_type = 4 GROUP BY cluster_id) SELECT cluster_id, CAST(floor((y2 - y1) / 10.0) + 1 AS BIGINT) AS n FROM b")

@@ -135,3 +135,34 @@ def test_stream_of_tiles(spark, tmp_path):
 def test_spatial_filter_refuses_unknown_shapes():
     with pytest.raises(ValueError):
         f.spatial("blob", None)
+
+
+def brute_crowns(cells, th_tree, th_seed, th_crown, most):
+    """cells: {(x, y): (z, seed)}; sweeps over the whole raster."""
+    tree = {at: t for at, (_, t) in cells.items() if t}
+    seeds = {t: (at, cells[at][0]) for at, t in tree.items()}
+    total, count, changed = {t: z for t, (_, z) in seeds.items()}, dict.fromkeys(seeds, 1), True
+    while changed:
+        before, changed = dict(tree), False
+        for x, y in sorted(before):
+            t = before[x, y]
+            (sx, sy), top = seeds[t]
+            for at in ((x, y - 1), (x - 1, y), (x + 1, y), (x, y + 1)):
+                h = cells.get(at, (-1.0, 0))[0]
+                if at not in before and h > th_tree and h > top * th_seed and h > total[t] / count[t] * th_crown and h <= top * 1.05 and max(abs(at[0] - sx), abs(at[1] - sy)) < most:
+                    tree[at], changed = t, True
+                    total[t] += h
+                    count[t] += 1
+    return {(*at, t) for at, t in tree.items()}
+
+
+def test_crowns_grow_over_the_whole_raster(spark):
+    rnd = random.Random(5)
+    cells = {(x, y): (float(rnd.randint(8, 60)), 0) for x in range(-30, 30) for y in range(15, 35) if rnd.random() < 0.9}
+    for n, at in enumerate(rnd.sample(sorted(cells), 60), 1):
+        cells[at] = (float(rnd.randint(40, 90)), n)
+    cells |= {(24, 25): (80.0, 99), (25, 25): (70.0, 0), (26, 25): (65.0, 0), (27, 25): (60.0, 0)}
+    df = spark.createDataFrame([(*at, *v) for at, v in cells.items()], "cx long, cy long, z double, seed long")
+    got = {(r["cx"], r["cy"], r["tree"]) for r in c.crowns(df, 10.0, 0.45, 0.55, 4).collect()}
+    assert got == brute_crowns(cells, 10.0, 0.45, 0.55, 4) and (25, 25, 99) in got
+    assert c.crowns(df.where("seed = 0"), 10.0, 0.45, 0.55, 4).count() == 0
