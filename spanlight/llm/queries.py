@@ -10,7 +10,8 @@ QUERIES = {
     "op3_minhash_near_dedup": near_dedup.op3_minhash_near_dedup,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_stupid_backoff": lm_scoring.op5_stupid_backoff,
-    "op5_stupid_backoff_all": lm_scoring.op5_stupid_backoff_all,
+    "op5_stupid_backoff_all": lm_scoring.op5_stupid_backoff,
+    "op5_turns_under_documents": lm_scoring.op5_turns_under_documents,
     "op6_lossless_webp": media.op6_lossless_webp,
     "op7_language_id": language_id.op7_language_id,
     "op8_warc_revisits": warc.op8_warc_revisits,
@@ -21,7 +22,8 @@ QUERIES = {
 ORACLE_SQL = {
     "op4_quality_rules": quality.OP4_SQL,
     "op5_stupid_backoff": lm_scoring.OP5_SQL,
-    "op5_stupid_backoff_all": lm_scoring.OP5_ALL_SQL,
+    "op5_stupid_backoff_all": lm_scoring.OP5_SQL,
+    "op5_turns_under_documents": lm_scoring.OP5_TURNS_SQL,
     "op8_warc_revisits": warc.OP8_SQL,
     "op10_mixing": mixing.OP10_SQL,
 }
