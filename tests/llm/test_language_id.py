@@ -31,7 +31,7 @@ def test_forward_sums_all_segmentations():
 def test_many_words_at_once():
     pieces = {L.START: (0.1, 0.2), L.START + "a": (0.1, 0.3), "a": (0.2, 0.1), "ab": (0.05, 0.2), "b": (0.1, 0.1), "baa": (0.3, 0.01)}
     words = ["ab", "abba", "baaxab", "a", "x", "aabaabaab" * 3]
-    got = L.many_scores(words, L.Prefixed({x: i for i, x in enumerate(pieces)}), L.np.array([*pieces.values(), (L.UNKNOWN,) * 2]))
+    got = L.many_scores(words, L.Trie(list(pieces)), L.np.array([*pieces.values(), (L.UNKNOWN,) * 2]))
     for w, row in zip(words, got):
         assert list(row) == pytest.approx(L.word_scores(w, pieces, 2))
 
@@ -72,6 +72,8 @@ def test_expected_pieces_of_all_segmentations():
                 want[x] = want.get(x, 0.0) + p
         got = L.expected_pieces(whole, L.Prefixed(pieces))
         assert got == pytest.approx({x: want[x] / total for x in got}) and all(x in got or x not in pieces or not p for x, p in want.items())
+        many = L.many_expected([word, "b", word], L.np.array([2, 0, 1]), L.Trie(list(pieces)), L.np.array([*pieces.values(), L.UNKNOWN]))
+        assert list(many / L.UNITS) == pytest.approx([3 * got.get(x, 0.0) for x in pieces], abs=1e-8)
     long = L.expected_pieces("ab" * 2000, L.Prefixed({"a": 1e-4, "ab": 1e-5, "b": 1e-4}))
     assert sum(len(x) * n for x, n in long.items()) == pytest.approx(4000)
 
@@ -84,3 +86,35 @@ def test_fit_takes_all_words_whole(spark):
     model = L.train(docs, P.path(L.PIECES))
     inner, first = (dict(zip(model["langs"], model["pieces"][x])) for x in ("j", L.START + "j"))
     assert inner["end"] > 2 * inner["none"] and first["rare"] > 2 * first["few"]
+
+
+def test_trie_steps_against_prefixes():
+    pieces = L.vocabulary(P.path(L.PIECES))
+    trie, prefixes = L.Trie(pieces), {x[:i] for x in pieces for i in range(1, len(x) + 1)}
+    place = {x: i for i, x in enumerate(pieces)}
+    word = L.START + "überraschungsmomente\u4e2d\u3042"
+    found = {(i, j): int(p[0]) for i, j, at, p in trie.edges([word[1:]])}
+    for i in range(len(word)):
+        for j in range(i + 1, len(word) + 1):
+            if word[i:j] in place:
+                assert found[i, j] == place[word[i:j]]
+            else:
+                assert (i, j) not in found or j == i + 1 and found[i, j] == -1
+    assert len(prefixes) + 1 == len(trie.piece_of)
+
+
+def test_whole_prediction_against_brute_force(spark):
+    """Posteriors of few pieces by all segmentations of all words, with priors; ties go to the first language."""
+    pieces = {L.START: (0.1, 0.2, 0.2), L.START + "a": (0.1, 0.3, 0.3), "a": (0.2, 0.1, 0.1), "ab": (0.05, 0.2, 0.2), "b": (0.1, 0.1, 0.1)}
+    model = {"langs": ["x", "y", "z"], "prior": [math.log(0.4), math.log(0.3), math.log(0.3)], "pieces": pieces}
+    texts = ["ab a", "b b b b", "12 \u00bd \u00b2", None, "", "q", "a" * 40, "AB\nab"]
+    rows = L.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    for r in rows:
+        text = texts[r["doc_id"]]
+        words = (text or "").lower().split()
+        if not any(c.isalpha() for c in text or ""):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        logs = [model["prior"][k] + sum(every_segmentation(w, pieces, k) if len(w) < 12 else L.word_scores(w, pieces, 3)[k] for w in words) for k in range(3)]
+        assert r["lang_pred"] == "xyz"[logs.index(max(logs))]
+        assert r["score"] == pytest.approx(1 / sum(math.exp(x - max(logs)) for x in logs))
