@@ -1,34 +1,46 @@
 """Clustering by closeness: connected components of voxels and of points, denoising, region growing.
 
-Components are found by rounds in which every node takes the least label of itself and its neighbours and then the label of that label; rounds
-are written to the shared folder, so lost executors cost one round, and stop when nothing changes.
+Components are found in rounds (``stars``) that are written to the shared folder, so lost executors cost one round at most.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections.abc import Callable
 
-from ..sources.staging import scratch, written
+from pyspark.sql import Column, DataFrame, functions as F
+
+from ..sources.staging import removed, scratch, written
 from .aggregates import voxel
 from .joins import nearest, radius_pairs
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """nodes (id), edges (u, v), one direction or both -> id, component: the least id of its component. In a round every id ties itself and its
-    neighbours to the least of them; a round in which all were tied to it alone is the last. Edges shrink to stars in about log(path) rounds."""
-    base, i = scratch(nodes.sparkSession, "components"), 0
-    state = edges.select("u", "v").where("u <> v")
-    while True:
-        both = state.select("u", "v").unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v"))).repartition("u").dropDuplicates(["u", "v"])
-        least = F.least("u", F.min("v").over(Window.partitionBy("u")))
-        rows = both.withColumn("m", least).withColumn("moved", (F.col("u") != F.col("m")) & (F.col("v") != F.col("m")))
-        ties = F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("t")
-        state = written(rows.select("moved", ties).select("t.*", "moved").where("u <> v"), base, str(i))
-        if state.where("moved").isEmpty():
-            break
+def stars(edges: DataFrame, write: Callable[[DataFrame, str], DataFrame], drop: Callable[[str], None]) -> DataFrame:
+    """edges (u, v), one direction or both -> (u, v) with v the least id that u reaches, for all u but those least ids.
+
+    In a round every id ties itself and its neighbours to the least of them; a round in which all were tied to it alone is the last, after a number of
+    rounds that grows with the logarithm of the longest path. Ids with very many neighbours (the least one of a large component is sure to be one) make no hot
+    task: least neighbours are partial minima, they come back to the edges by a join whose hot keys Spark splits, and edges are told apart by both
+    ends. write and drop keep a round's edges in the shared folder."""
+    u, v = F.least("u", "v"), F.greatest("u", "v")
+    state, i = write(edges.where("u <> v").select(v.alias("u"), u.alias("v")).distinct().withColumn("moved", F.lit(True)), "0"), 0
+    while not state.where("moved").isEmpty():
+        both = state.select(F.col("u").alias("id"), F.col("v").alias("near")).unionByName(state.select(F.col("v").alias("id"), F.col("u").alias("near")))
+        least = both.groupBy("id").agg(F.min("near").alias("m")).select("id", F.least("id", "m").alias("m"))
+        rows = both.join(least.hint("merge"), "id").select("id", "near", "m", ((F.col("id") != F.col("m")) & (F.col("near") != F.col("m"))).alias("moved"))
+        ties = F.explode(F.array(F.struct(F.col("id").alias("u"), F.col("m").alias("v")), F.struct(F.col("near").alias("u"), F.col("m").alias("v")))).alias("t")
+        tied = rows.select("moved", ties).select("t.*", "moved").where("u <> v")
+        state = write(tied.groupBy("u", "v").agg(F.max("moved").alias("moved")), str(i + 1))
+        drop(str(i))
         i += 1
-    found = state.select(F.col("u").alias("id"), F.col("v").alias("component")).distinct()
-    return nodes.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    return state.select("u", "v")
+
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """nodes (id), edges (u, v), one direction or both -> id, component: the least id of its component."""
+    spark = nodes.sparkSession
+    base = scratch(spark, "components")
+    found = stars(edges, lambda df, name: written(df, base, name), lambda name: removed(spark, base, name))
+    return nodes.join(found.select(F.col("u").alias("id"), F.col("v").alias("component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def cell_id(*parts: Column) -> Column:
@@ -40,13 +52,15 @@ def cell_id(*parts: Column) -> Column:
 
 
 def cell_edges(cells: DataFrame, names: tuple[str, ...], keep: Column | None = None, carried: tuple[str, ...] = ()) -> DataFrame:
-    """Pairs (u, v) of neighbouring cells, diagonal ones too; keep: a condition on the carried columns and those with prefix n_."""
-    around = cells.select("id", *names, *carried)
-    for n in names:
-        around = around.withColumn(f"_o{n}", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn(f"_n{n}", F.col(n) + F.col(f"_o{n}"))
-    other = cells.select(F.col("id").alias("v"), *[F.col(n).alias(f"_n{n}") for n in names], *[F.col(c).alias(f"n_{c}") for c in carried])
-    pairs = around.join(other, [f"_n{n}" for n in names]).where("id < v")
-    return (pairs if keep is None else pairs.where(keep)).select(F.col("id").alias("u"), "v")
+    """Pairs (u, v) of neighbouring cells, diagonal ones too; keep: a condition on the carried columns and those with prefix n_. The id of a
+    neighbour is the cell's id plus a constant, and only the half of them with larger ids is asked for."""
+    steps = [0]
+    for _ in names:
+        steps = [(1 << 21) * s + d for s in steps for d in (-1, 0, 1)]
+    around = cells.select(F.col("id").alias("u"), F.explode(F.array(*[F.col("id") + F.lit(s) for s in steps if s > 0])).alias("v"), *carried)
+    other = cells.select(F.col("id").alias("v"), *[F.col(c).alias(f"n_{c}") for c in carried])
+    pairs = around.join(other, "v")
+    return (pairs if keep is None else pairs.where(keep)).select("u", "v")
 
 
 def voxel_components(df: DataFrame, size: float, dims: str = "xyz") -> DataFrame:
