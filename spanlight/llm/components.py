@@ -2,29 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame
 
+from ..operators import graph
 from .frames import Stage
 
 
 def components(edges: DataFrame, stage: Stage, name: str) -> DataFrame:
-    """edges (u, v) -> (u, v) with v the least id that u reaches, for all u but those least ids.
-
-    In a round every id connects itself and its neighbours to the least of them, with one shuffle; a round in which no id had
-    a neighbour besides that least one ends it, after a number of rounds that grows with the logarithm of the longest path. Each round is
-    written to the shared folder."""
-    state, i = edges.select("u", "v").where("u <> v"), 0
-    while True:
-        both = state.select(F.col("u").alias("id"), F.col("v").alias("near")).unionByName(state.select(F.col("v").alias("id"), F.col("u").alias("near")))
-        both = both.repartition("id").dropDuplicates(["id", "near"])
-        least = F.least("id", F.min("near").over(Window.partitionBy("id")))
-        own = F.struct(F.col("id").alias("u"), F.col("least").alias("v"))
-        neighbour = F.struct(F.col("near").alias("u"), F.col("least").alias("v"))
-        rows = both.withColumn("least", least).withColumn("moved", (F.col("id") != F.col("least")) & (F.col("near") != F.col("least")))
-        rows = rows.select("moved", F.explode(F.array(own, neighbour)).alias("e")).select("e.*", "moved").where("u <> v")
-        state = stage.write(rows, f"{name}-{i}")
-        if i:
-            stage.drop(f"{name}-{i - 1}")
-        if state.where("moved").isEmpty():
-            return state.select("u", "v").distinct()
-        i += 1
+    """edges (u, v) -> (u, v) with v the least id that u reaches, for all u but those least ids."""
+    return graph.stars(edges, lambda df, i: stage.write(df, f"{name}-{i}"), lambda i: stage.drop(f"{name}-{i}"))

@@ -2,19 +2,21 @@
 
 A ``Rule`` has the words of a shingle, the least Jaccard similarity of linked documents, and the trees and values that find them: ``OP3`` is the
 rule of the query, ``STAGE`` of the pipeline's stage. A signature has three values a tree (48 and 16 in ``OP3``). Tree t orders signatures with the
-values rotated left by 3 t, so the first three values of all trees are different ones. Documents are put in order in each tree; those with a common prefix of three values form a region. In a region
-the neighbours in order are candidates, as deep as the region needs: up to ``REGION`` documents are compared all with
-each other, a larger region is cut where neighbours share the shortest prefixes. Candidates have signatures that
-agree in ``rule.agree`` values at least; only as many candidate pairs leave a task as span them.
+values rotated left by 3 t, so the first three values of all trees are different ones. Documents with a common prefix of three values form a region of
+their tree. How deep a region is looked into depends on its size: in one of up to ``REGION`` documents signatures are sorted, neighbours with the
+longest common prefixes are tied first, and then whatever agrees in ``rule.agree`` values at least; a larger one is too common to tell documents apart
+by signatures in one task, so its documents all become candidates of each other, tied to the least of them by partial sums and a join that Spark can split. Only as many candidate
+pairs leave a task as span them.
 
 Two documents with Jaccard similarity 0.85 share no region of ``OP3`` with probability (1 - 0.85 ** 3) ** 16 < 3e-7, and agree in too few values with
 about 1e-6; at 0.8 these are (1 - 0.8 ** 3) ** 21 < 3e-7 and 8e-7 for ``STAGE``. All documents that candidates connect are then compared on full sets: in one task while their sets are up to ``TASK_SHINGLES``; beyond
-that in blocks, first with the most typical document, and what that doesn't link with all blocks, so no task holds an unbounded group.
+that in blocks, first with the most typical document, and what that doesn't link with all blocks, so no task holds an unbounded group. In such a group the work grows with
+its size times the number of documents that the typical one doesn't link.
 
 Defined results: words are bytes split at ASCII white space with A-Z lower-cased; a text with no words has an empty set
 and is linked with nothing; a text of fewer words than a shingle has one shingle, the whole; documents with equal sets are linked without
 comparison; rows with the same doc_id are one document and share a component; rows with a null doc_id are linked with nothing, have a null
-component and are kept; an empty table gives an empty result; added columns replace clashing ones. Shingles are
+component and are kept; an empty table gives an empty result; added columns replace clashing ones; a very long text takes about 100 bytes of memory a word. Shingles are
 compared as 64-bit fingerprints.
 """
 
@@ -138,33 +140,23 @@ class Union:
 
 
 def spanned(signs: np.ndarray, agree: int) -> list[tuple[int, int]]:
-    """signs: of a region, in order. Candidate pairs that span what candidates connect. A part of more than REGION
-    documents is cut at its shortest common prefixes; the neighbours at a cut are compared too."""
+    """signs: of a region, in order. Candidate pairs that span what candidates connect: neighbours by their common prefixes, the longest first,
+    then each document with those in order after it that aren't tied to it yet."""
     m, union, out = len(signs), Union(len(signs)), []
-
-    def pairs(i, j):
-        for a, b in zip(i.tolist(), j.tolist()):
-            if union.join(a, b):
-                out.append((a, b))
-
-    near = np.flatnonzero((signs[1:] == signs[:-1]).sum(1) >= agree)
-    pairs(near, near + 1)
-    parts = [(0, m)]
-    lcp = np.cumprod(signs[1:] == signs[:-1], axis=1).sum(1)
-    while parts:
-        a, b = parts.pop()
-        if b - a > REGION:
-            inner = lcp[a : b - 1]
-            cuts = np.flatnonzero(inner == inner.min()) + 1 + a if inner.min() < signs.shape[1] else np.arange(a + REGION, b, REGION)
-            edges = [a, *cuts.tolist(), b]
-            parts += [(x, y) for x, y in zip(edges, edges[1:]) if y - x > 1]
+    same = signs[1:] == signs[:-1]
+    near = np.flatnonzero(same.sum(1) >= agree)
+    for i in near[np.argsort(-np.cumprod(same[near], axis=1).sum(1), kind="stable")].tolist():
+        union.join(i, i + 1)
+        out.append((i, i + 1))
+    root = np.array([union.find(i) for i in range(m)])
+    for i in range(m - 1):
+        others = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
+        if not len(others):
             continue
-        part = signs[a:b]
-        for i in range(len(part) - 1):
-            js = np.flatnonzero((part[i + 1 :] == part[i]).sum(1) >= agree) + i + 1
-            for j in js.tolist():
-                if union.join(a + i, a + j):
-                    out.append((a + i, a + j))
+        for j in others[(signs[others] == signs[i]).sum(1) >= agree].tolist():
+            if root[j] != root[i]:
+                root[root == root[j]] = root[i]
+                out.append((i, j))
     return out
 
 
@@ -207,14 +199,16 @@ def stars(node: np.ndarray, component: np.ndarray, u: list, v: list) -> None:
     v += least[other].tolist()
 
 
-def candidates(nodes: DataFrame, rule: Rule) -> DataFrame:
+def candidates(nodes: DataFrame, stage: Stage, rule: Rule) -> DataFrame:
     """nodes with node, sign -> (u, v): nodes that candidates connect within a part of the forest, each with the least one of them."""
     tree = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.xxhash64(F.lit(t), F.substring("sign", 4 * DEPTH * t + 1, 4 * DEPTH)).alias("region")) for t in range(rule.trees)])).alias("x")
     placed = nodes.select("node", tree).select("node", "x.*")
-    shared = placed.groupBy("region").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("region")
-    alive = placed.join(shared, "region", "left_semi").join(nodes.select("node", "sign"), "node")
+    shared = placed.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("head")).where("n > 1")
+    alive = stage.write(placed.join(shared.hint("merge"), "region"), "alive")
+    large = alive.where(F.col("n") > REGION).select(F.col("node").alias("u"), F.col("head").alias("v")).where("u <> v").distinct()
     order = F.concat(F.substring(F.col("sign"), 4 * DEPTH * F.col("t") + F.lit(1), F.lit(4 * rule.values)), F.substring(F.col("sign"), F.lit(1), 4 * DEPTH * F.col("t")))
-    forest = alive.select("region", order.alias("order"), "node").repartition("region").sortWithinPartitions("region", "order", "node")
+    small = alive.where(F.col("n") <= REGION).join(nodes.select("node", "sign"), "node")
+    forest = small.select("region", order.alias("order"), "node").repartition("region").sortWithinPartitions("region", "order", "node")
 
     def run(batches):
         for rows in groups(batches, "region"):
@@ -229,7 +223,7 @@ def candidates(nodes: DataFrame, rule: Rule) -> DataFrame:
             stars(ids, np.array([union.find(i) for i in range(len(ids))], np.int64), u, v)
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    return forest.mapInArrow(run, "u long, v long")
+    return forest.mapInArrow(run, "u long, v long").unionByName(large)
 
 
 def with_sets(docs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
@@ -344,7 +338,7 @@ def near_duplicates(docs: DataFrame, rule: Rule = OP3) -> DataFrame:
     plain = docs.select("doc_id", text_or_empty().alias("text"))
     every = stage.write(features(plain, rule), "features")
     nodes = stage.write(every.where("n_shingles > 0 and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("node"), F.first("sign").alias("sign"), F.first("n_shingles").alias("n")), "nodes")
-    near = components(stage.write(candidates(nodes, rule), "candidates"), stage, "near")
+    near = components(stage.write(candidates(nodes, stage, rule), "candidates"), stage, "near")
     members = near.select(F.col("u").alias("node"), F.col("v").alias("group")).unionByName(near.select(F.col("v").alias("node"), F.col("v").alias("group")).distinct())
     members = stage.write(members.join(nodes, "node"), "members")
     totals = members.groupBy("group").agg(F.sum("n").alias("total"))
@@ -354,7 +348,7 @@ def near_duplicates(docs: DataFrame, rule: Rule = OP3) -> DataFrame:
     if not large.isEmpty():
         found = found.unionByName(components(stage.write(_large_groups(large, stage, rule), "links"), stage, "linked"))
     found = stage.write(found.distinct(), "found")
-    stage.drop("sets", "members", "candidates")
+    stage.drop("sets", "members", "candidates", "alive")
     classes = nodes.join(found, nodes["node"] == found["u"], "left").select("print", F.coalesce("v", "node").alias("class"))
     out = every.join(classes, "print", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("class", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline
+import pytest
 from spanlight.llm import near_dedup as N
 
 
@@ -115,3 +116,41 @@ def test_pipeline_stage_takes_five_words_and_four_fifths(spark):
     got = {x["doc_id"] for x in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
     assert got == brute_stage(rows)
     assert got != {x["doc_id"] for x in N.kept_documents(docs).collect()}
+
+
+def pairs_of_whole_table(rows, rule):
+    """All pairs of different texts that the rule links, by common shingles from an inverted list."""
+    sets, lists = {}, {}
+    for i, text in rows:
+        words = (text or "").encode().lower().split()
+        sets[i] = frozenset(tuple(words[k : k + rule.size]) for k in range(max(1, len(words) - rule.size + 1))) if words else frozenset()
+        for x in sets[i]:
+            lists.setdefault(x, []).append(i)
+    out = []
+    for i, own in sets.items():
+        common = {}
+        for x in own:
+            for j in lists[x]:
+                if j < i:
+                    common[j] = common.get(j, 0) + 1
+        out += [(j, i) for j, c in common.items() if 100 * c >= rule.share * (len(own) + len(sets[j]) - c)]
+    return out
+
+
+@pytest.mark.parametrize("rule", [N.OP3, N.STAGE])
+def test_every_link_of_the_whole_table(spark, rule):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    pairs = pairs_of_whole_table([tuple(r) for r in docs.collect()], rule)
+    found = {r["doc_id"]: r["component_id"] for r in N.near_duplicates(docs, rule).collect()}
+    assert len(pairs) > 100 and all(found[a] == found[b] for a, b in pairs)
+    up = {i: i for i in found}
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        up[max(a, b)] = min(a, b)
+    assert all(find(i) == c for i, c in found.items())
