@@ -31,7 +31,7 @@ WINDOW = windows.WINDOW
 #: Batches that a whole table is added in.
 BATCHES = 4
 #: Contexts of one suffix that a task compares as text.
-HOT = 1 << 16
+HOT = 1 << 10
 SUFFIX = ("head", "key")
 ADDED = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
