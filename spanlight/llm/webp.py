@@ -15,8 +15,8 @@ import numpy as np
 
 LIMIT = 12
 WIDTH, MOST_ROWS = 192, 16384
-#: Symbols that one look-up decodes at most.
-AT_ONCE = 4
+#: Bits of a stream that are looked at together, and how often their steps are joined pairwise.
+PIECE, DOUBLINGS = 1 << 18, 4
 # Fixed values of the format.
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 LENGTHS, DISTANCES = 24, 40
@@ -31,7 +31,8 @@ class Bits:
     def __init__(self, data: bytes):
         self.n = len(data)
         padded = np.frombuffer(data + bytes(8), np.uint8)
-        self.words = memoryview(np.ascontiguousarray(np.ndarray(self.n + 5, "<u4", padded, strides=(1,))))
+        self.array = np.ascontiguousarray(np.ndarray(self.n + 5, "<u4", padded, strides=(1,)))
+        self.words = memoryview(self.array)
         self.at = 0
 
     def read(self, n: int) -> int:
@@ -102,39 +103,36 @@ class Code:
         return self.pairs[0][x]
 
     def read_many(self, bits: Bits, n: int) -> np.ndarray:
-        """The next n symbols: one look-up decodes as many as its bits hold, and only the chain of look-ups is sequential."""
+        """The next n symbols. For all bits of a piece of the stream at once: where a code that starts there would end, and, by joining these steps
+        pairwise, where ``1 << DOUBLINGS`` codes would; only the chain of the long steps is sequential."""
         if self.only is not None:
             return np.full(n, self.only, np.int32)
-        size = 1 << self.bits
-        x = np.arange(size)
-        advance, count = self.length.copy(), np.ones(size, np.int64)
-        found = [self.symbol]
-        for _ in range(AT_ONCE - 1):
-            rest = x >> advance
-            more = (advance + self.length[rest] <= self.bits) & (count == len(found))
-            found.append(self.symbol[rest])
-            advance += np.where(more, self.length[rest], 0)
-            count += more
-        steps = (advance + (count << 40)).tolist()
-        words, mask, low = bits.words, size - 1, (1 << 40) - 1
-        t, end, seen = bits.at, n << 40, []
-        add = seen.append
-        try:
-            while t < end:
-                p = t & low
-                i = words[p >> 3] >> (p & 7) & mask
-                add(i)
-                t += steps[i]
-        except IndexError:
-            raise ValueError("the stream ends too early") from None
-        seen = np.array(seen, np.int64)
-        counts = count[seen]
-        symbols = np.stack(found, 1)[seen][np.arange(AT_ONCE) < counts[:, None]]
-        at = t & low
-        for s in symbols[n:].tolist():
-            at -= int(self.length[np.flatnonzero(self.symbol == s)[0]])
-        bits.at = at
-        return symbols[:n]
+        lengths, out = self.length.astype(np.int32), []
+        while n > 0:
+            span = min(8 * bits.n - bits.at, n * self.bits, PIECE)
+            if span <= 0:
+                raise ValueError("the stream ends too early")
+            first = bits.at >> 3
+            window = (bits.array[first : (bits.at + span + 7 >> 3), None] >> np.arange(8, dtype=np.uint32) & np.uint32((1 << self.bits) - 1)).ravel()[bits.at & 7 :][:span]
+            step = np.append(np.minimum(np.arange(span, dtype=np.int32) + lengths[window], span), np.int32(span))
+            leap = step
+            for _ in range(DOUBLINGS):
+                leap = leap[leap]
+            at, starts, far = 0, [], memoryview(leap)
+            while at < span:
+                starts.append(at)
+                at = far[at]
+            places = [np.array(starts, np.int32)]
+            for _ in range((1 << DOUBLINGS) - 1):
+                places.append(step[places[-1]])
+            place = np.stack(places, 1).ravel()
+            place = place[: min(n, int(np.searchsorted(place, span)))]
+            out.append(self.symbol[window[place]])
+            n -= len(place)
+            bits.at += int(place[-1]) + int(lengths[window[place[-1]]])
+        if bits.at > 8 * bits.n:
+            raise ValueError("the stream ends too early")
+        return np.concatenate(out) if out else np.zeros(0, np.int32)
 
 
 def read_code(bits: Bits, size: int) -> Code:
