@@ -1,9 +1,12 @@
 """Byte-level BPE: encoding by ranked merges of bytes, decoding by concatenating the pieces of ids.
 
 Two forms of the merge fold stand here. ``encode_words`` folds the merges with Spark's higher-order functions over the
-byte arrays of distinct words, against a literal rank map. ``encode`` serves whole documents: a task splits texts into
+byte arrays of distinct words, against a literal rank map; ``op9_distinct_words`` does so for all words of a corpus, split and counted natively. That takes
+several times the budget (README), so ``encode`` serves whole documents: a task splits texts into
 matches of the pattern and folds each distinct word once, keeping what it has seen in a bounded cache.
 
+``encode_words`` takes a word that is a piece itself without folding; ``fold`` would end at the same piece, as every piece of the vocabulary can be reached by merges.
+
 Defined results: a null or empty text has no tokens (its digests are those of no bytes); special tokens are plain text;
 equal texts have equal ids; an empty table gives an empty result; added columns replace clashing ones.
 """
@@ -19,12 +22,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .frames import map_texts, table
+from .frames import Stage, map_texts, table
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Distinct words that a task remembers at most; then it starts anew.
 CACHE_WORDS = 400_000
 SLOTS = 1 << 16
+NATIVE_BYTES = 40
 ADDED = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -154,6 +158,40 @@ def encode_words(words: DataFrame, ranks: dict[bytes, int], column: str = "word"
     return words.withColumn("ids", F.when(whole < none, F.array(whole)).otherwise(F.transform(folded, rank)))
 
 
+def distinct_words(docs: DataFrame, pattern: str) -> DataFrame:
+    """docs with text -> word, n: the matches of the pattern, split with Unicode classes and counted with partial sums."""
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("(?U)" + pattern), F.lit(0))
+    return docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
+def folded_words(words: DataFrame, path: str) -> DataFrame:
+    """words with word, n -> also ids, by ``fold``."""
+
+    def run(batches):
+        ranks = ranks_of(path)
+        for batch in batches:
+            ids = [[ranks[p] for p in fold(w.encode(), ranks)] for w in batch.column("word").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(ids, pa.list_(pa.int32()))], names=["word", "n", "ids"])
+
+    return words.select("word", "n").mapInArrow(run, "word string, n long, ids array<int>")
+
+
+def op9_distinct_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct words of all documents: how often each comes, its tokens, and what they decode to. Words of over ``NATIVE_BYTES`` bytes, whose native
+    fold would take time by the cube of their length, are folded in Python."""
+    import public_tokenizers
+
+    path = public_tokenizers.path(RANKS)
+    words = distinct_words(table(spark, sf_dir, "documents"), public_tokenizers.PATTERN)
+    long = F.octet_length("word") > NATIVE_BYTES
+    stage = Stage(spark, "words")
+    words = stage.write(words.repartition(4 * spark.sparkContext.defaultParallelism), "counted")
+    # written, so that the fold isn't repeated for each column made of it
+    encoded = stage.write(encode_words(words.where(~long), ranks_of(path)).unionByName(folded_words(words.where(long), path)), "encoded")
+    out = decode(encoded, path)
+    return out.select("word", "n", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

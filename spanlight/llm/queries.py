@@ -16,6 +16,7 @@ QUERIES = {
     "op7_language_id": language_id.op7_language_id,
     "op8_warc_revisits": warc.op8_warc_revisits,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
+    "op9_distinct_words": byte_bpe.op9_distinct_words,
     "op10_mixing": mixing.op10_mixing,
 }
 
