@@ -90,6 +90,13 @@ def from_geocentric(x: Column, y: Column, z: Column, e: Ellipsoid = WGS84) -> tu
     return F.degrees(F.atan2(y, x)), F.degrees(lat), r / F.cos(lat) - n
 
 
+def from_conformal(c: Column, e: Ellipsoid) -> Column:
+    """Latitude in degrees of a conformal latitude in radians, by the series to the eighth power of the eccentricity."""
+    e2 = e.e2
+    p = c + F.sin(2 * c) * (e2 / 2 + 5 * e2**2 / 24 + e2**3 / 12 + 13 * e2**4 / 360) + F.sin(4 * c) * (7 * e2**2 / 48 + 29 * e2**3 / 240 + 811 * e2**4 / 11520) + F.sin(6 * c) * (7 * e2**3 / 120 + 81 * e2**4 / 1120) + F.sin(8 * c) * (4279 * e2**4 / 161280)
+    return F.degrees(p)
+
+
 class LambertConformalConic:
     """With two standard parallels; the constants are computed once on the driver."""
 
@@ -110,12 +117,10 @@ class LambertConformalConic:
         return rho * F.sin(a) + self.east, self.rho0 - rho * F.cos(a) + self.north
 
     def inverse(self, x: Column, y: Column) -> tuple[Column, Column]:
-        dx, dy, k, sign = x - self.east, self.rho0 - (y - self.north), math.sqrt(self.e.e2), math.copysign(1, self.n)
+        dx, dy, sign = x - self.east, self.rho0 - (y - self.north), math.copysign(1, self.n)
         rho = sign * F.sqrt(dx * dx + dy * dy)
         t = F.pow(rho / (self.e.a * self.f), F.lit(1 / self.n))
-        p = math.pi / 2 - 2 * F.atan(t)
-        p = F.aggregate(F.sequence(F.lit(1), F.lit(6)), p, lambda p, _: math.pi / 2 - 2 * F.atan(t * F.pow((1 - k * F.sin(p)) / (1 + k * F.sin(p)), F.lit(k / 2))))
-        return F.degrees(F.atan2(sign * dx, sign * dy) / self.n) + self.lon0, F.degrees(p)
+        return F.degrees(F.atan2(sign * dx, sign * dy) / self.n) + self.lon0, from_conformal(math.pi / 2 - 2 * F.atan(t), self.e)
 
 
 class AlbersEqualArea:
@@ -150,3 +155,143 @@ class AlbersEqualArea:
         p = F.aggregate(F.sequence(F.lit(1), F.lit(5)), F.asin(q / 2), lambda p, _: better(p))
         sign = math.copysign(1, self.n)
         return F.degrees(F.atan2(sign * dx, sign * dy) / self.n) + self.lon0, F.degrees(p)
+
+
+class TransverseMercator:
+    def __init__(self, lat0: float, lon0: float, scale: float, east: float, north: float, e: Ellipsoid = WGS84):
+        self.lon0, self.scale, self.east, self.e = lon0, scale, east, e
+        p, e2 = math.radians(lat0), e.e2
+        c = (1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256, 3 * e2 / 8 + 3 * e2**2 / 32 + 45 * e2**3 / 1024, 15 * e2**2 / 256 + 45 * e2**3 / 1024, 35 * e2**3 / 3072)
+        self.north = north - scale * e.a * (c[0] * p - c[1] * math.sin(2 * p) + c[2] * math.sin(4 * p) - c[3] * math.sin(6 * p))
+
+    def forward(self, lon: Column, lat: Column) -> tuple[Column, Column]:
+        return to_transverse_mercator(lon, lat, F.lit(self.lon0), self.scale, self.east, self.north, self.e)
+
+    def inverse(self, x: Column, y: Column) -> tuple[Column, Column]:
+        return from_transverse_mercator(x, y, F.lit(self.lon0), self.scale, self.east, self.north, self.e)
+
+
+class ObliqueStereographic:
+    """Double stereographic: the ellipsoid onto a sphere, the sphere onto the plane."""
+
+    def __init__(self, lat0: float, lon0: float, scale: float, east: float, north: float, e: Ellipsoid = WGS84):
+        self.e, self.lon0, self.east, self.north, self.k = e, lon0, east, north, math.sqrt(e.e2)
+        p, s = math.radians(lat0), math.sin(math.radians(lat0))
+        w = 1 - e.e2 * s * s
+        self.n = math.sqrt(1 + e.e2 * math.cos(p) ** 4 / (1 - e.e2))
+        w1 = ((1 + s) / (1 - s) * ((1 - self.k * s) / (1 + self.k * s)) ** self.k) ** self.n
+        sin_chi = (w1 - 1) / (w1 + 1)
+        self.c = (self.n + s) * (1 - sin_chi) / ((self.n - s) * (1 + sin_chi))
+        self.chi = math.asin((self.c * w1 - 1) / (self.c * w1 + 1))
+        self.size = 2 * scale * math.sqrt(e.a * (1 - e.e2) / w**1.5 * e.a / math.sqrt(w))
+
+    def forward(self, lon: Column, lat: Column) -> tuple[Column, Column]:
+        s = F.sin(F.radians(lat))
+        w = self.c * F.pow((1 + s) / (1 - s) * F.pow((1 - self.k * s) / (1 + self.k * s), F.lit(self.k)), F.lit(self.n))
+        chi, a = F.asin((w - 1) / (w + 1)), self.n * F.radians(lon - self.lon0)
+        b = 1 + F.sin(chi) * math.sin(self.chi) + F.cos(chi) * math.cos(self.chi) * F.cos(a)
+        return self.east + self.size * F.cos(chi) * F.sin(a) / b, self.north + self.size * (F.sin(chi) * math.cos(self.chi) - F.cos(chi) * math.sin(self.chi) * F.cos(a)) / b
+
+    def inverse(self, x: Column, y: Column) -> tuple[Column, Column]:
+        dx, dy = x - self.east, y - self.north
+        g = self.size * math.tan(math.pi / 4 - self.chi / 2)
+        h = 2 * self.size * math.tan(self.chi) + g
+        i = F.atan(dx / (h + dy))
+        j = F.atan(dx / (g - dy)) - i
+        chi = self.chi + 2 * F.atan((dy - dx * F.tan(j / 2)) / self.size)
+        psi = F.log((1 + F.sin(chi)) / (self.c * (1 - F.sin(chi)))) / 2 / self.n
+        return F.degrees(j + 2 * i) / self.n + self.lon0, from_conformal(2 * F.atan(F.exp(psi)) - math.pi / 2, self.e)
+
+
+class HotineObliqueMercator:
+    """Variant B: false coordinates at the projection's centre."""
+
+    def __init__(self, lat0: float, lon0: float, azimuth: float, skew: float, scale: float, east: float, north: float, e: Ellipsoid = WGS84):
+        self.e, self.east, self.north, self.k, self.skew = e, east, north, math.sqrt(e.e2), math.radians(skew)
+        p, s, az = math.radians(lat0), math.sin(math.radians(lat0)), math.radians(azimuth)
+        self.b = math.sqrt(1 + e.e2 * math.cos(p) ** 4 / (1 - e.e2))
+        self.a = e.a * self.b * scale * math.sqrt(1 - e.e2) / (1 - e.e2 * s * s)
+        t0 = math.tan(math.pi / 4 - p / 2) / ((1 - self.k * s) / (1 + self.k * s)) ** (self.k / 2)
+        d = max(1.0, self.b * math.sqrt(1 - e.e2) / (math.cos(p) * math.sqrt(1 - e.e2 * s * s)))
+        f = d + math.copysign(math.sqrt(d * d - 1), lat0)
+        self.h = f * t0**self.b
+        self.gamma = math.asin(math.sin(az) / d)
+        self.lon0 = lon0 - math.degrees(math.asin((f - 1 / f) / 2 * math.tan(self.gamma)) / self.b)
+        self.u0 = math.copysign(self.a / self.b * math.atan(math.sqrt(d * d - 1) / math.cos(az)), lat0)
+
+    def forward(self, lon: Column, lat: Column) -> tuple[Column, Column]:
+        p, across = F.radians(lat), self.b * F.radians(lon - self.lon0)
+        t = F.tan(math.pi / 4 - p / 2) / F.pow((1 - self.k * F.sin(p)) / (1 + self.k * F.sin(p)), F.lit(self.k / 2))
+        q = self.h / F.pow(t, F.lit(self.b))
+        s, v = (q - 1 / q) / 2, F.sin(across)
+        inner = (s * math.sin(self.gamma) - v * math.cos(self.gamma)) / ((q + 1 / q) / 2)
+        along = self.a / self.b * F.atan2(s * math.cos(self.gamma) + v * math.sin(self.gamma), F.cos(across)) - self.u0
+        side = self.a * F.log((1 - inner) / (1 + inner)) / (2 * self.b)
+        return side * math.cos(self.skew) + along * math.sin(self.skew) + self.east, along * math.cos(self.skew) - side * math.sin(self.skew) + self.north
+
+    def inverse(self, x: Column, y: Column) -> tuple[Column, Column]:
+        dx, dy = x - self.east, y - self.north
+        side, along = dx * math.cos(self.skew) - dy * math.sin(self.skew), dy * math.cos(self.skew) + dx * math.sin(self.skew) + self.u0
+        q = F.exp(-self.b * side / self.a)
+        s, v, turn = (q - 1 / q) / 2, F.sin(self.b * along / self.a), F.cos(self.b * along / self.a)
+        inner = (v * math.cos(self.gamma) + s * math.sin(self.gamma)) / ((q + 1 / q) / 2)
+        t = F.pow(self.h / F.sqrt((1 + inner) / (1 - inner)), F.lit(1 / self.b))
+        return self.lon0 - F.degrees(F.atan2(s * math.cos(self.gamma) - v * math.sin(self.gamma), turn)) / self.b, from_conformal(math.pi / 2 - 2 * F.atan(t), self.e)
+
+
+class Geographic:
+    def forward(self, lon: Column, lat: Column) -> tuple[Column, Column]:
+        return lon, lat
+
+    inverse = forward
+
+
+# Ellipsoids, and the parameters of reference systems by their EPSG codes.
+GRS80, CGCS2000 = Ellipsoid(6378137.0, 1 / 298.257222101), Ellipsoid(6378137.0, 1 / 298.257222101)
+BESSEL, AIRY, CLARKE_1866, EVEREST = Ellipsoid(6377397.155, 1 / 299.1528128), Ellipsoid(6377563.396, 1 / 299.3249646), Ellipsoid(6378206.4, 1 / 294.978698214), Ellipsoid(6377298.556, 1 / 300.8017)
+SYSTEMS = {
+    4326: lambda: Geographic(),
+    2154: lambda: LambertConformalConic(49.0, 44.0, 46.5, 3.0, 700_000.0, 6_600_000.0, GRS80),
+    3005: lambda: AlbersEqualArea(50.0, 58.5, 45.0, -126.0, 1_000_000.0, 0.0, GRS80),
+    5070: lambda: AlbersEqualArea(29.5, 45.5, 23.0, -96.0, 0.0, 0.0, GRS80),
+    27700: lambda: TransverseMercator(49.0, -2.0, 0.9996012717, 400_000.0, -100_000.0, AIRY),
+    28992: lambda: ObliqueStereographic(52 + 9 / 60 + 22.178 / 3600, 5 + 23 / 60 + 15.5 / 3600, 0.9999079, 155_000.0, 463_000.0, BESSEL),
+    29873: lambda: HotineObliqueMercator(4.0, 115.0, 53 + 18 / 60 + 56.9537 / 3600, 53 + 7 / 60 + 48.3685 / 3600, 0.99984, 590_476.87, 442_857.65, EVEREST),
+}
+#: Metres of a unit of length.
+UNITS = {"metre": 1.0, "foot": 0.3048, "us_foot": 1200 / 3937, "kilometre": 1000.0}
+
+
+def system(code: int):
+    """The projection of an EPSG code: those of ``SYSTEMS``, UTM on WGS 84 and ETRS89, three-degree zones on CGCS2000 by zone or by meridian."""
+    if code in SYSTEMS:
+        return SYSTEMS[code]()
+    if 32601 <= code <= 32660 or 32701 <= code <= 32760:
+        return TransverseMercator(0.0, code % 100 * 6 - 183.0, UTM_SCALE, UTM_EAST, UTM_SOUTH if code > 32700 else 0.0)
+    if 25828 <= code <= 25838:
+        return TransverseMercator(0.0, code % 100 * 6 - 183.0, UTM_SCALE, UTM_EAST, 0.0, GRS80)
+    if 4513 <= code <= 4533:
+        return TransverseMercator(0.0, (code - 4513 + 25) * 3.0, 1.0, (code - 4513 + 25) * 1e6 + UTM_EAST, 0.0, CGCS2000)
+    if 4534 <= code <= 4554:
+        return TransverseMercator(0.0, (code - 4534) * 3.0 + 75, 1.0, UTM_EAST, 0.0, CGCS2000)
+    raise ValueError(f"unknown reference system {code}")
+
+
+def geo_keys(code: int) -> dict[int, int]:
+    """GeoTIFF keys of a code: the model type, and the code as a projected or geographic system."""
+    return {1024: 2, 2048: code} if code == 4326 else {1024: 1, 3072: code}
+
+
+def code_of_keys(keys: dict[int, int]) -> int | None:
+    return keys.get(3072, keys.get(2048))
+
+
+def utm_code(lon: Column, lat: Column) -> Column:
+    """The EPSG code of the UTM zone of a place."""
+    return (F.when(lat < 0, 32700).otherwise(32600) + utm_zone(lon)).cast("int")
+
+
+def transformed(x: Column, y: Column, source: int, target: int, unit: str = "metre") -> tuple[Column, Column]:
+    """Coordinates of one system in another one. Datums aren't shifted: longitude and latitude are taken as they are. unit: of the source's lengths."""
+    lon, lat = system(source).inverse(x * UNITS[unit], y * UNITS[unit]) if source != 4326 else (x, y)
+    return system(target).forward(lon, lat)

@@ -51,6 +51,11 @@ def cell_id(*parts: Column) -> Column:
     return out
 
 
+def cell_of(cell: Column, names: str) -> list[Column]:
+    """The cell indices of an id, named."""
+    return [(F.shiftright(cell, 21 * (len(names) - 1 - i)) % (1 << 21) - (1 << 20)).alias(n) for i, n in enumerate(names)]
+
+
 def cell_edges(cells: DataFrame, names: tuple[str, ...], keep: Column | None = None, carried: tuple[str, ...] = ()) -> DataFrame:
     """Pairs (u, v) of neighbouring cells, diagonal ones too; keep: a condition on the carried columns and those with prefix n_. The id of a
     neighbour is the cell's id plus a constant, and only the half of them with larger ids is asked for."""

@@ -20,6 +20,12 @@ def random_sample(df: DataFrame, n: int, key: Sequence[str], seed: int) -> DataF
     return df.orderBy(F.md5(text.cast("binary")), *key).limit(n)
 
 
+def subtrees(tiles: DataFrame, levels: int) -> DataFrame:
+    """tiles (tx, ty, n) -> level, px, py of every node of the pyramid, with the number of tiles below it (itself included) and of their points."""
+    node = F.explode(F.transform(F.sequence(F.lit(0), F.lit(levels - 1)), lambda k: F.struct(k.alias("level"), F.floor(F.col("tx") / F.pow(F.lit(2.0), k)).alias("px"), F.floor(F.col("ty") / F.pow(F.lit(2.0), k)).alias("py"))))
+    return tiles.select("n", node.alias("node")).groupBy("node.level", "node.px", "node.py").agg(F.count(F.lit(1)).alias("tiles"), F.sum("n").alias("n"))
+
+
 def farthest_points(df: DataFrame, block: str, key: str, n: int) -> DataFrame:
     """Up to n points of each block, each the farthest from those before; starts at the least key. A block is a piece of bounded size."""
     import numpy as np

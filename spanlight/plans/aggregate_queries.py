@@ -181,9 +181,16 @@ def a28(spark, sf):
     return a.shape_features(a.eigenvalues(a.covariance(points(spark, sf), "cluster_id"))).select("cluster_id", F.round("linearity", 6).alias("linearity"), F.round("sphericity", 6).alias("sphericity"))
 
 
-@query("a29_parabola_fit", f"WITH {P}, s AS (SELECT seg_type, count(*) AS n, regr_slope(z, y) AS slope FROM p GROUP BY seg_type) SELECT seg_type, n FROM s")
+#: Least-squares parabolas z = a y² + b y + c of the groups {0} of {1}, by Cramer's rule on raw moments about the groups' means: fit({0}, n, a, b, c).
+PARABOLA = """mu AS (SELECT {0}, avg(y) AS m FROM {1} GROUP BY {0}), mo AS (SELECT {0}, any_value(m) AS m, count(*) AS n, sum(y - m) AS s1, sum((y - m)**2) AS s2, sum((y - m)**3) AS s3, sum((y - m)**4) AS s4, sum(z) AS q0, sum((y - m) * z) AS q1, sum((y - m)**2 * z) AS q2
+ FROM (SELECT * FROM {1}) JOIN mu USING ({0}) GROUP BY {0}), de AS (SELECT *, nullif(s4 * (s2 * n - s1 * s1) - s3 * (s3 * n - s1 * s2) + s2 * (s3 * s1 - s2 * s2), 0) AS d FROM mo),
+ fa AS (SELECT *, (q2 * (s2 * n - s1 * s1) - s3 * (q1 * n - s1 * q0) + s2 * (q1 * s1 - s2 * q0)) / d AS ta, (s4 * (q1 * n - s1 * q0) - q2 * (s3 * n - s1 * s2) + s2 * (s3 * q0 - q1 * s2)) / d AS tb, (s4 * (s2 * q0 - q1 * s1) - s3 * (s3 * q0 - q1 * s2) + q2 * (s3 * s1 - s2 * s2)) / d AS tc FROM de),
+ fit AS (SELECT {0}, n, ta AS a, tb - 2 * ta * m AS b, ta * m * m - tb * m + tc AS c FROM fa)"""
+
+
+@query("a29_parabola_fit", f"WITH {P}, {PARABOLA.format('seg_type', 'p')} SELECT seg_type, n, round(a * 1e6, 4) AS a, round(b * 1e3, 5) AS b, round(c, 6) AS c FROM fit WHERE a IS NOT NULL")
 def a29(spark, sf):
-    return a.parabola_fit(points(spark, sf), "seg_type").where("a is not null").select("seg_type", "n")
+    return a.parabola_fit(points(spark, sf), "seg_type").where("a is not null").select("seg_type", "n", F.round(F.col("a") * 1e6, 4).alias("a"), F.round(F.col("b") * 1e3, 5).alias("b"), F.round("c", 6).alias("c"))
 
 
 @query("a29_robust_curve_fit")
@@ -192,12 +199,12 @@ def a29_robust(spark, sf):
     return a.robust_parabola(p, "cluster_id").select("cluster_id", "n", *[F.round(c, 6).alias(c) for c in "abc"])
 
 
-@query("a34_polygon_area", "SELECT o_custkey, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY o_custkey HAVING count(*) >= 3")
+@query("a34_polygon_area", "WITH o AS (SELECT o_custkey, o_totalprice / 100 AS x, CAST(o_orderkey % 997 AS DOUBLE) AS y FROM orders), r AS (SELECT *, lead(x) OVER w AS nx, lead(y) OVER w AS ny, first_value(x) OVER w AS fx, first_value(y) OVER w AS fy FROM o WINDOW w AS (PARTITION BY o_custkey ORDER BY x, y)) SELECT o_custkey, CAST(count(*) AS BIGINT) AS n, round(abs(sum(x * coalesce(ny, fy) - coalesce(nx, fx) * y)) / 2, 4) AS area FROM r GROUP BY o_custkey HAVING count(*) >= 3")
 def a34(spark, sf):
     o = spark.read.parquet(f"{sf}/orders.parquet")
     ring = F.array_sort(F.collect_list(F.struct((F.col("o_totalprice") / 100).alias("x"), (F.col("o_orderkey") % 997).cast("double").alias("y"))))
     rings = o.groupBy("o_custkey").agg(ring.alias("ring")).where(F.size("ring") >= 3)
-    return rings.where(g.polygon_area(F.col("ring")) >= 0).select("o_custkey", F.size("ring").cast("long").alias("n"))
+    return rings.select("o_custkey", F.size("ring").cast("long").alias("n"), F.round(g.polygon_area(F.col("ring")), 4).alias("area"))
 
 
 @query("a35_box_area", f"WITH {P} SELECT cluster_id, (max(x) - min(x)) * (max(y) - min(y)) AS xy, (max(x) - min(x)) * (max(z) - min(z)) AS xz FROM p GROUP BY cluster_id")
@@ -261,9 +268,9 @@ def t4(spark, sf):
     return c.groupBy("seg_type").agg(F.max_by("cluster_id", F.struct("n", -F.col("cluster_id"))).alias("cluster_id"), F.max("n").alias("n"))
 
 
-@query("t5_main_trunk", f"WITH {P}, l AS (SELECT DISTINCT cluster_id, floor(z / 5.0) AS layer FROM p), c AS (SELECT cluster_id, CAST(max(layer) - min(layer) AS BIGINT) AS span FROM l GROUP BY cluster_id) SELECT span, count(*) AS n FROM c GROUP BY span")
+@query("t5_main_trunk", f"WITH {P}, l AS (SELECT DISTINCT cluster_id, floor(z / 5.0) AS layer FROM p), c AS (SELECT cluster_id, CAST(max(layer) - min(layer) AS BIGINT) AS span, count(*) AS layers FROM l GROUP BY cluster_id) SELECT cluster_id, span, layers FROM c ORDER BY span DESC, layers DESC, cluster_id LIMIT 1")
 def t5(spark, sf):
-    return a.slices(points(spark, sf), 5.0).groupBy("cluster_id").agg((F.max("layer") - F.min("layer")).alias("span")).groupBy("span").agg(N())
+    return a.slices(points(spark, sf), 5.0).groupBy("cluster_id").agg((F.max("layer") - F.min("layer")).alias("span"), F.count_distinct("layer").alias("layers")).orderBy(F.desc("span"), F.desc("layers"), "cluster_id").limit(1)
 
 
 @query("t6_extreme_points", f"WITH {P} SELECT seg_type, arg_min(y, (x, y)) AS left_y, arg_max(y, (x, y)) AS right_y, arg_min(x, (y, x)) AS bottom_x, arg_max(x, (y, x)) AS top_x FROM p GROUP BY seg_type")
@@ -313,10 +320,10 @@ def u5(spark, sf):
     return p.crossJoin(F.broadcast(stats)).groupBy((F.abs(F.col("z") - F.col("m")) <= 1.5 * F.col("sd")).alias("inlier")).agg(N())
 
 
-@query("u6_level_of_detail_subtree", f"WITH {P}, l AS (SELECT CAST(floor(x / 125.0) AS BIGINT) AS tx, CAST(floor(y / 125.0) AS BIGINT) AS ty FROM p) SELECT tx // 2 AS px, ty // 2 AS py, count(*) AS n FROM l GROUP BY 1, 2")
+@query("u6_level_of_detail_subtree", f"WITH RECURSIVE {P}, l AS (SELECT CAST(floor(x / 125.0) AS BIGINT) AS tx, CAST(floor(y / 125.0) AS BIGINT) AS ty FROM p), t AS (SELECT tx, ty, count(*) AS n FROM l GROUP BY 1, 2), r AS (SELECT 0 AS level, tx, ty, tx AS px, ty AS py, n FROM t UNION ALL SELECT level + 1, tx, ty, px // 2, py // 2, n FROM r WHERE level < 3) SELECT level, px, py, count(*) AS tiles, CAST(sum(n) AS BIGINT) AS n FROM r GROUP BY 1, 2, 3")
 def u6(spark, sf):
     tile = points(spark, sf).groupBy(F.floor(F.col("x") / 125.0).alias("tx"), F.floor(F.col("y") / 125.0).alias("ty")).agg(N())
-    return tile.groupBy(F.floor(F.col("tx") / 2).alias("px"), F.floor(F.col("ty") / 2).alias("py")).agg(F.sum("n").alias("n"))
+    return s.subtrees(tile, 4)
 
 
 @query("q_density_by_cell", f"WITH {P} SELECT CAST(floor(x / 25.0) AS BIGINT) AS cx, CAST(floor(y / 25.0) AS BIGINT) AS cy, seg_type, count(*) AS n, max(z) - min(z) AS relief FROM p WHERE display_enable GROUP BY 1, 2, 3")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import classify as c, sampling as s, windows as w
 from ..sources.points import GROUND, KEY, P, points
+from .aggregate_queries import PARABOLA
 from .filter_queries import K
 from .graph_queries import CLOSURE_2D
 from .registry import query
@@ -56,13 +57,13 @@ def p5(spark, sf):
     return c.crowns(seeded.select("cx", "cy", "z", "seed"), 10.0, 0.45, 0.55, 4)
 
 
-@query("p11_sampled_curves", f"WITH {P}, b AS (SELECT cluster_id, min(y) AS y1, max(y) AS y2 FROM p WHERE seg_type = 4 GROUP BY cluster_id) SELECT cluster_id, CAST(floor((y2 - y1) / 10.0) + 1 AS BIGINT) AS n FROM b")
+@query("p11_sampled_curves", f"WITH {P}, b AS (SELECT cluster_id, min(y) AS y1, max(y) AS y2 FROM p WHERE seg_type = 4 GROUP BY cluster_id), {PARABOLA.format('cluster_id', 'p WHERE seg_type = 4')}, w AS (SELECT cluster_id, y1 + 10.0 * unnest(range(CAST(floor((y2 - y1) / 10.0) + 1 AS BIGINT))) AS y FROM b) SELECT cluster_id, {N}, round(sum(y), 3) AS y, round(sum(a * y * y + b * y + c) / 1000, 6) AS z FROM w JOIN fit USING (cluster_id) WHERE a IS NOT NULL GROUP BY cluster_id")
 def p11(spark, sf):
     from ..operators.aggregates import parabola_fit
 
     p = points(spark, sf).where("seg_type = 4")
     fits = parabola_fit(p, "cluster_id").join(p.groupBy("cluster_id").agg(F.min("y").alias("y_min"), F.max("y").alias("y_max")), "cluster_id")
-    return c.sampled_curve(fits.drop("n"), 10.0).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
+    return c.sampled_curve(fits.drop("n"), 10.0).where("z is not null").groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("y"), 3).alias("y"), F.round(F.sum("z") / 1000, 6).alias("z"))
 
 
 @query("p15_training_blocks", f"WITH {P}, b AS (SELECT x, y, z, seg_type, unnest(range(CAST(floor((x - 100) / 80.0) + 1 AS BIGINT), CAST(floor(x / 80.0) AS BIGINT) + 1)) AS bx FROM p), d AS (SELECT *, unnest(range(CAST(floor((y - 100) / 80.0) + 1 AS BIGINT), CAST(floor(y / 80.0) AS BIGINT) + 1)) AS by_ FROM b) SELECT bx, by_, {N} FROM d GROUP BY bx, by_ HAVING bool_or(seg_type IN (3, 4))")
@@ -77,7 +78,7 @@ def p15_sphere(spark, sf):
     return u.groupBy("cluster_id").agg(F.round(F.avg(F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))), 6).alias("mean_r"))
 
 
-@query("p16_softmax_and_argmax", "WITH s AS (SELECT vec_id, unnest(embedding[1:8])::DOUBLE AS v, generate_subscripts(embedding[1:8], 1) AS i FROM embeddings) SELECT vec_id, CAST(arg_max(i, (v, -i)) - 1 AS BIGINT) AS best, round(exp(max(v)) / sum(exp(v)), 8) AS share FROM s GROUP BY vec_id")
+@query("p16_softmax_and_argmax", "WITH s AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings) SELECT vec_id, CAST(arg_max(i, (v, -i)) - 1 AS BIGINT) AS best, round(exp(max(v)) / sum(exp(v)), 8) AS share FROM s GROUP BY vec_id")
 def p16(spark, sf):
-    e = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", F.transform(F.slice("embedding", 1, 8), lambda v: v.cast("double")).alias("v"))
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("v"))
     return e.select("vec_id", c.argmax(F.col("v")).alias("best"), F.round(F.array_max(c.softmax(F.col("v"))), 8).alias("share"))

@@ -45,19 +45,19 @@ def f6(spark, sf):
     return points(spark, sf).where(g.in_box(F.col("x"), F.col("y"), (200, 200, 500, 500))).select(*KEY)
 
 
-BOXES = f"b AS (SELECT cluster_id, min(x) AS x1, min(y) AS y1, max(x) AS x2, max(y) AS y2 FROM p WHERE l_linenumber = 1 GROUP BY cluster_id)"
+BOXES = f"b AS (SELECT cluster_id, min(x) AS x1, min(y) AS y1, max(x) AS x2, max(y) AS y2 FROM p GROUP BY cluster_id)"
 
 
 @query("f7_box_relations", f"WITH {P}, {BOXES} SELECT cluster_id, x1 <= 300 AND y1 <= 300 AND x2 >= 400 AND y2 >= 400 AS holds, x1 < 400 AND 300 < x2 AND y1 < 400 AND 300 < y2 AS meets, greatest(least(x2, 400) - greatest(x1, 300), 0) * greatest(least(y2, 400) - greatest(y1, 300), 0) AS common FROM b")
 def f7(spark, sf):
-    b = points(spark, sf).where("l_linenumber = 1").groupBy("cluster_id").agg(F.min("x").alias("x1"), F.min("y").alias("y1"), F.max("x").alias("x2"), F.max("y").alias("y2"))
+    b = points(spark, sf).groupBy("cluster_id").agg(F.min("x").alias("x1"), F.min("y").alias("y1"), F.max("x").alias("x2"), F.max("y").alias("y2"))
     own, fixed = [F.col(c) for c in ("x1", "y1", "x2", "y2")], [F.lit(float(v)) for v in (300, 300, 400, 400)]
     return b.select("cluster_id", g.box_contains(own, fixed).alias("holds"), g.boxes_intersect(own, fixed).alias("meets"), g.overlap_area(own, fixed).alias("common"))
 
 
 @query("f8_boxes_by_rounded_corner", f"WITH {P}, {BOXES} SELECT round(x1, 2) AS x1, round(y1, 2) AS y1, count(*) AS n FROM b GROUP BY ALL")
 def f8(spark, sf):
-    b = points(spark, sf).where("l_linenumber = 1").groupBy("cluster_id").agg(F.min("x").alias("x1"), F.min("y").alias("y1"))
+    b = points(spark, sf).groupBy("cluster_id").agg(F.min("x").alias("x1"), F.min("y").alias("y1"))
     return b.groupBy(F.round("x1", 2).alias("x1"), F.round("y1", 2).alias("y1")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -126,9 +126,9 @@ def f17(spark, sf):
     return w.groupBy("word", prop.segment(word).alias("seg_type"), prop.flag(word, prop.HIGHLIGHT).alias("highlight"), prop.flag(word, prop.OBSTACLE).alias("obstacle"), prop.with_segment(word, 6).alias("changed"), prop.with_flag(word, prop.OBSTACLE, False).alias("cleared")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("f18_default_property", f"WITH {P} SELECT {K}, 1024 AS word, 0 AS cluster FROM p WHERE l_linenumber = 7")
+@query("f18_default_property", f"WITH {P} SELECT {K}, 1024 AS word, 0 AS cluster FROM p")
 def f18(spark, sf):
-    return points(spark, sf).where("l_linenumber = 7").select(*KEY, F.lit(prop.DEFAULT).alias("word"), F.lit(0).alias("cluster"))
+    return points(spark, sf).select(*KEY, F.lit(prop.DEFAULT).alias("word"), F.lit(0).alias("cluster"))
 
 
 @query("f21_candidates", f"WITH {P} SELECT {K} FROM p WHERE seg_type = 1 OR z - 2 < 3")
@@ -146,7 +146,7 @@ def f22(spark, sf):
 
 @query("f23_circle_meets_box", f"WITH {P}, {BOXES} SELECT cluster_id FROM b WHERE (500 - greatest(x1, least(500, x2))) * (500 - greatest(x1, least(500, x2))) + (400 - greatest(y1, least(400, y2))) * (400 - greatest(y1, least(400, y2))) <= 2500")
 def f23(spark, sf):
-    b = points(spark, sf).where("l_linenumber = 1").groupBy("cluster_id").agg(F.min("x").alias("x1"), F.min("y").alias("y1"), F.max("x").alias("x2"), F.max("y").alias("y2"))
+    b = points(spark, sf).groupBy("cluster_id").agg(F.min("x").alias("x1"), F.min("y").alias("y1"), F.max("x").alias("x2"), F.max("y").alias("y2"))
     return b.where(g.box_meets_circle([F.col(c) for c in ("x1", "y1", "x2", "y2")], 500.0, 400.0, 50.0)).select("cluster_id")
 
 
@@ -164,9 +164,9 @@ def f25(spark, sf):
     return p.join(cover, ["tx", "ty"]).where(F.col("inside") | f.spatial("polygon", RING)).select(*KEY)
 
 
-@query("s2_narrow_scan", f"WITH {P} SELECT x, y, z, r, g, b, seg_type AS intensity FROM p WHERE l_orderkey % 10 = 0")
+@query("s2_narrow_scan", f"WITH {P} SELECT x, y, z, r, g, b, seg_type AS intensity FROM p")
 def s2(spark, sf):
-    return points(spark, sf).where("l_orderkey % 10 = 0").select("x", "y", "z", "r", "g", "b", F.col("seg_type").alias("intensity"))
+    return points(spark, sf).select("x", "y", "z", "r", "g", "b", F.col("seg_type").alias("intensity"))
 
 
 @query("s6_class_remap", f"WITH {P}, m AS (SELECT * FROM (VALUES (1, 2), (3, 15), (4, 16)) AS v(f, t)) SELECT coalesce(t, seg_type) AS seg_type, count(*) AS n FROM p LEFT JOIN m ON f = seg_type GROUP BY 1")
@@ -176,26 +176,31 @@ def s6(spark, sf):
     return remapped(points(spark, sf), {1: 2, 3: 15, 4: 16}).groupBy("seg_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("s8_scan_date", "SELECT DISTINCT 2000 + l_orderkey % 20 AS y, 1 + l_partkey % 365 AS d, CAST(make_date(2000 + l_orderkey % 20, 1, 1) + CAST(l_partkey % 365 AS INT) AS VARCHAR) AS day FROM lineitem WHERE l_linenumber = 2")
+@query("s8_scan_date", "SELECT DISTINCT 2000 + l_orderkey % 20 AS y, 1 + l_partkey % 365 AS d, CAST(make_date(2000 + l_orderkey % 20, 1, 1) + CAST(l_partkey % 365 AS INT) AS VARCHAR) AS day FROM lineitem")
 def s8(spark, sf):
     from ..sources.las import scan_date
 
-    t = spark.read.parquet(f"{sf}/lineitem.parquet").where("l_linenumber = 2").selectExpr("2000 + l_orderkey % 20 AS y", "1 + l_partkey % 365 AS d").distinct()
+    t = spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr("2000 + l_orderkey % 20 AS y", "1 + l_partkey % 365 AS d").distinct()
     return t.withColumn("day", scan_date(F.col("y"), F.col("d")).cast("string"))
 
 
 @query("k4_export_by_type", f"WITH {P} SELECT seg_type, count(*) AS n, min(z) AS zmin, max(z) AS zmax FROM p WHERE display_enable AND seg_type IN (1, 3, 4) GROUP BY seg_type")
 def k4(spark, sf):
-    return f.visible(points(spark, sf)).where(F.col("seg_type").isin(1, 3, 4)).groupBy("seg_type").agg(F.count(F.lit(1)).alias("n"), F.min("z").alias("zmin"), F.max("z").alias("zmax"))
+    """Writes the visible points of the types, a folder each, and reads them back."""
+    from ..sources.staging import scratch
+
+    path = scratch(spark, "export")
+    f.visible(points(spark, sf)).where(F.col("seg_type").isin(1, 3, 4)).write.partitionBy("seg_type").parquet(path)
+    return spark.read.parquet(path).groupBy("seg_type").agg(F.count(F.lit(1)).alias("n"), F.min("z").alias("zmin"), F.max("z").alias("zmax"))
 
 
-@query("s1_las_round_trip", f"WITH {P} SELECT round(x, 4) AS x, y, z, seg_type AS label, r, g, b FROM p WHERE l_linenumber = 1")
+@query("s1_las_round_trip", f"WITH {P} SELECT round(x, 4) AS x, y, z, seg_type AS label, r, g, b FROM p")
 def s1(spark, sf):
     """Writes the points as LAS files in the shared folder and reads them back."""
     from ..sources import las
     from ..sources.staging import scratch
 
     path = scratch(spark, "las")
-    out = points(spark, sf).where("l_linenumber = 1").select("x", "y", "z", F.col("seg_type").alias("label"), "r", "g", "b")
+    out = points(spark, sf).select("x", "y", "z", F.col("seg_type").alias("label"), "r", "g", "b")
     las.write_las(out, path)
     return las.read_las(spark, path).select(*[F.round(c, 4).alias(c) for c in "xyz"], "label", "r", "g", "b")

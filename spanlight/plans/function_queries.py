@@ -90,10 +90,10 @@ def n12(spark, sf):
     return d.select("doc_id", s.format_bytes(F.col("n_chars") * 1000).alias("size"))
 
 
-@query("g1_segments_cross", f"WITH {P} SELECT {K}, ((600.0*(y-100)-500.0*(x-100))*(600.0*(z*10-100)-500.0*(y-100)) < 0) AND ((y-x)*(100-y)-(z*10-y)*(100-x))*((y-x)*(600-y)-(z*10-y)*(700-x)) < 0 AS cross_ FROM p WHERE l_linenumber = 4")
+@query("g1_segments_cross", f"WITH {P} SELECT {K}, ((600.0*(y-100)-500.0*(x-100))*(600.0*(z*10-100)-500.0*(y-100)) < 0) AND ((y-x)*(100-y)-(z*10-y)*(100-x))*((y-x)*(600-y)-(z*10-y)*(700-x)) < 0 AS cross_ FROM p")
 def g1(spark, sf):
     x, y, z = F.col("x"), F.col("y"), F.col("z")
-    return points(spark, sf).where("l_linenumber = 4").select(*KEY, g.segments_cross(100, 100, 700, 600, x, y, y, z * 10).alias("cross_"))
+    return points(spark, sf).select(*KEY, g.segments_cross(100, 100, 700, 600, x, y, y, z * 10).alias("cross_"))
 
 
 SEG = "greatest(0, least(1, ((x - 100) * 600.0 + (y - 50) * 700.0) / 850000.0))"
@@ -122,9 +122,9 @@ def g6(spark, sf):
     return points(spark, sf).withColumn("d", d).where(F.col("d") < float("inf")).select(*KEY, F.round("d", 6).alias("d"))
 
 
-@query("g7_clamp", f"WITH {P} SELECT {K}, least(greatest(z, 20.0), 60.0) AS c, CAST(round(x) AS BIGINT) AS r FROM p WHERE l_linenumber = 5")
+@query("g7_clamp", f"WITH {P} SELECT {K}, least(greatest(z, 20.0), 60.0) AS c, CAST(round(x) AS BIGINT) AS r FROM p")
 def g7(spark, sf):
-    return points(spark, sf).where("l_linenumber = 5").select(*KEY, g.clamp(F.col("z"), 20, 60).alias("c"), F.round("x").cast("long").alias("r"))
+    return points(spark, sf).select(*KEY, g.clamp(F.col("z"), 20, 60).alias("c"), F.round("x").cast("long").alias("r"))
 
 
 RES = "abs(z - 50) / 10.0 + 0.01"
@@ -187,3 +187,68 @@ def x5(spark, sf):
     x, y = p.forward(F.col("lon"), F.col("lat"))
     lon, lat = p.inverse(F.col("x"), F.col("y"))
     return t.select("s_suppkey", x.alias("x"), y.alias("y")).select("s_suppkey", (F.round(lon, 6) + 0.0).alias("lon"), F.round(lat, 6).alias("lat"))
+
+
+#: Easting and northing of transverse Mercator by its series, of l(id, lon, lat), for a, e2, lon0, k, FE, FN: tm(id, x, y).
+TM_SQL = """c AS (SELECT id, radians(lat) AS f, cos(radians(lat)) * radians(lon - {lon0}) AS w, {e2} / (1 - {e2}) * cos(radians(lat))**2 AS c, tan(radians(lat))**2 AS t, {a} / sqrt(1 - {e2} * sin(radians(lat))**2) AS nu FROM l),
+ tm AS (SELECT id, {fe} + {k} * nu * (w + (1 - t + c) * w**3 / 6 + (5 - 18 * t + t**2 + 72 * c - 58 * {e2} / (1 - {e2})) * w**5 / 120) AS x,
+ {fn} + {k} * ({a} * ((1 - {e2} / 4 - 3 * {e2}**2 / 64 - 5 * {e2}**3 / 256) * f - (3 * {e2} / 8 + 3 * {e2}**2 / 32 + 45 * {e2}**3 / 1024) * sin(2 * f) + (15 * {e2}**2 / 256 + 45 * {e2}**3 / 1024) * sin(4 * f) - 35 * {e2}**3 / 3072 * sin(6 * f))
+ + nu * tan(f) * (w**2 / 2 + (5 - t + 9 * c + 4 * c**2) * w**4 / 24 + (61 - 58 * t + t**2 + 600 * c - 330 * {e2} / (1 - {e2})) * w**6 / 720)) AS y FROM c)"""
+WGS_E2 = "0.0066943799901413165"
+
+
+@query("x3_transverse_mercator", f"WITH {PLACES}, l AS (SELECT s_suppkey AS id, 114 + lon / 120 AS lon, lat / 2 AS lat FROM t), {TM_SQL.format(a='6378137.0', e2='0.006694380022900787', lon0='114', k='1.0', fe='38500000.0', fn='0.0')} SELECT id AS s_suppkey, round(x, 3) AS x, round(y, 3) AS y FROM tm")
+def x3(spark, sf):
+    """Three-degree zone 38 on CGCS2000, forward."""
+    x, y = crs.system(4526).forward(114 + F.col("lon") / 120, F.col("lat") / 2)
+    return places(spark, sf).select("s_suppkey", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
+
+
+@query("x1_utm_forward", f"WITH {PLACES}, z AS (SELECT *, floor((lon + 180) / 6) % 60 + 1 AS zone FROM t), l AS (SELECT s_suppkey AS id, lon - (zone * 6 - 183) AS lon, lat FROM z), {TM_SQL.format(a='6378137.0', e2=WGS_E2, lon0='0', k='0.9996', fe='500000.0', fn='0.0')} SELECT s_suppkey, CAST(zone AS INT) AS zone, round(x, 3) AS x, round(CASE WHEN lat < 0 THEN y + 10000000 ELSE y END, 3) AS y FROM tm JOIN z ON id = s_suppkey")
+def x1_forward(spark, sf):
+    zone, x, y = crs.to_utm(F.col("lon"), F.col("lat"))
+    return places(spark, sf).select("s_suppkey", zone.alias("zone"), F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
+
+
+def there_and_back(spark, sf, code, lon, lat):
+    """Places around a system's centre, projected and back; forward values are tested against published examples."""
+    p, at = crs.system(code), places(spark, sf).select("s_suppkey", (lon + F.col("lon") / 120).alias("lon"), (lat + F.col("lat") / 120).alias("lat"))
+    x, y = p.forward(F.col("lon"), F.col("lat"))
+    lon, lat = p.inverse(F.col("x"), F.col("y"))
+    return at.select("s_suppkey", x.alias("x"), y.alias("y")).select("s_suppkey", (F.round(lon, 7) + 0.0).alias("lon"), (F.round(lat, 7) + 0.0).alias("lat"))
+
+
+AROUND = "WITH " + PLACES + " SELECT s_suppkey, round({0} + lon / 120, 7) AS lon, round({1} + lat / 120, 7) AS lat FROM t"
+
+
+@query("x5_oblique_stereographic_round_trip", AROUND.format(5.4, 52.2))
+def x5_stereographic(spark, sf):
+    return there_and_back(spark, sf, 28992, 5.4, 52.2)
+
+
+@query("x5_hotine_round_trip", AROUND.format(115.0, 4.0))
+def x5_hotine(spark, sf):
+    return there_and_back(spark, sf, 29873, 115.0, 4.0)
+
+
+@query("x6_utm_codes", f"WITH {PLACES} SELECT s_suppkey, CAST(CASE WHEN lat < 0 THEN 32700 ELSE 32600 END + floor((lon + 180) / 6) % 60 + 1 AS INT) AS code FROM t")
+def x6(spark, sf):
+    return places(spark, sf).select("s_suppkey", crs.utm_code(F.col("lon"), F.col("lat")).alias("code"))
+
+
+@query("x7_to_longitude_latitude", AROUND.format(3.0, 46.5))
+def x7(spark, sf):
+    """From feet on a conic grid to longitude and latitude."""
+    x, y = crs.transformed(3.0 + F.col("lon") / 120, 46.5 + F.col("lat") / 120, 4326, 2154)
+    at = places(spark, sf).select("s_suppkey", (x / 0.3048).alias("x"), (y / 0.3048).alias("y"))
+    lon, lat = crs.transformed(F.col("x"), F.col("y"), 2154, 4326, "foot")
+    return at.select("s_suppkey", (F.round(lon, 7) + 0.0).alias("lon"), (F.round(lat, 7) + 0.0).alias("lat"))
+
+
+@query("x8_between_systems", f"WITH {PLACES}, l AS (SELECT s_suppkey AS id, 3.0 + lon / 120 AS lon, 46.5 + lat / 120 AS lat FROM t), {TM_SQL.format(a='6378137.0', e2=WGS_E2, lon0='3', k='0.9996', fe='500000.0', fn='0.0')} SELECT id AS s_suppkey, round(x, 3) AS x, round(y, 3) AS y FROM tm")
+def x8(spark, sf):
+    """Conic grid to UTM zone 31."""
+    x, y = crs.transformed(3.0 + F.col("lon") / 120, 46.5 + F.col("lat") / 120, 4326, 2154)
+    at = places(spark, sf).select("s_suppkey", x.alias("x"), y.alias("y"))
+    x, y = crs.transformed(F.col("x"), F.col("y"), 2154, 32631)
+    return at.select("s_suppkey", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))

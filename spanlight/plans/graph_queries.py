@@ -21,16 +21,16 @@ VOXELS = "v AS (SELECT floor(x / 2.0) AS x, floor(y / 2.0) AS y, floor(z / 2.0)
 CLOSURE_3D = "o AS (SELECT unnest([-1, 0, 1]) AS d), g AS (SELECT a.id AS u, b.id AS v FROM k a CROSS JOIN o i CROSS JOIN o j CROSS JOIN o h JOIN k b ON b.x = a.x + i.d AND b.y = a.y + j.d AND b.z = a.z + h.d), w AS (SELECT id, id AS root FROM k UNION SELECT g.v, w.root FROM w JOIN g ON g.u = w.id), l AS (SELECT id, min(root) AS component FROM w GROUP BY id), s AS (SELECT component, sum(k.n) AS size FROM l JOIN k USING (id) GROUP BY component)"
 
 
-@query("c2_voxel_clusters", f"WITH RECURSIVE {P}, {VOXELS.format('true')}, {CLOSURE_3D} SELECT CAST(size AS BIGINT) AS size, CAST(count(*) AS BIGINT) AS n_clusters FROM s WHERE size >= 3 AND size < 1000 GROUP BY size")
+@query("c2_voxel_clusters", f"WITH RECURSIVE {P}, {VOXELS.format('true')}, {CLOSURE_3D} SELECT CAST(k.x AS BIGINT) AS x, CAST(k.y AS BIGINT) AS y, CAST(k.z AS BIGINT) AS z, CAST(size AS BIGINT) AS size FROM s JOIN k ON k.id = component WHERE size >= 3 AND size < 1000")
 def c2(spark, sf):
     kept = c.sized(c.voxel_components(points(spark, sf).select("x", "y", "z"), 2.0), 3, 1000, False)
-    return kept.groupBy("component").agg(F.count(F.lit(1)).alias("size")).groupBy("size").agg(F.count(F.lit(1)).alias("n_clusters"))
+    return kept.groupBy("component").agg(F.count(F.lit(1)).alias("size")).select(*c.cell_of(F.col("component"), "xyz"), "size")
 
 
-@query("c4_denoise_by_size", f"WITH RECURSIVE {P}, {VOXELS.format('seg_type IN (2, 6, 15)')}, {CLOSURE_3D} SELECT size < 3 AS outlier, CAST(sum(size) AS BIGINT) AS n FROM s GROUP BY 1")
+@query("c4_denoise_by_size", f"WITH RECURSIVE {P}, {VOXELS.format('seg_type IN (2, 6, 15)')}, {CLOSURE_3D} SELECT CAST(k.x AS BIGINT) AS x, CAST(k.y AS BIGINT) AS y, CAST(k.z AS BIGINT) AS z, size < 3 AS outlier, CAST(size AS BIGINT) AS n FROM s JOIN k ON k.id = component")
 def c4(spark, sf):
     d = c.denoise_by_size(points(spark, sf).where("seg_type IN (2, 6, 15)").select("x", "y", "z"), 2.0, 3)
-    return d.groupBy("outlier").agg(F.count(F.lit(1)).alias("n"))
+    return d.groupBy("component", "outlier").agg(F.count(F.lit(1)).alias("n")).select(*c.cell_of(F.col("component"), "xyz"), "outlier", "n")
 
 
 @query("c5_statistical_denoise", f"WITH {E}, d AS (SELECT a.vec_id, b.vec_id AS other, (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z) AS d2 FROM e a JOIN e b ON a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d2, other) AS rank FROM d), m AS (SELECT vec_id, avg(sqrt(d2)) AS d FROM r WHERE rank <= 8 GROUP BY vec_id), s AS (SELECT avg(d) AS a, stddev_samp(d) AS sd FROM m) SELECT vec_id, round(d, 8) AS d, d > a + 1.5 * sd AS outlier FROM m, s")
@@ -46,16 +46,16 @@ def c6(spark, sf):
 CELLS = "k AS (SELECT row_number() OVER (ORDER BY floor(x / 40.0), floor(y / 40.0)) AS id, floor(x / 40.0) AS x, floor(y / 40.0) AS y, {0} AS top FROM p WHERE {1} GROUP BY floor(x / 40.0), floor(y / 40.0))"
 
 
-@query("c7_grown_regions", f"WITH RECURSIVE {P}, {CELLS.format('avg(z)', 'true')}, {CLOSURE_2D.format(' AND abs(a.top - b.top) < 4')}, s AS (SELECT component, count(*) AS size FROM l GROUP BY component) SELECT CAST(size AS BIGINT) AS size, CAST(count(*) AS BIGINT) AS regions FROM s GROUP BY size")
+@query("c7_grown_regions", f"WITH RECURSIVE {P}, {CELLS.format('avg(z)', 'true')}, {CLOSURE_2D.format(' AND abs(a.top - b.top) < 4')}, s AS (SELECT component, count(*) AS size FROM l GROUP BY component) SELECT CAST(k.x AS BIGINT) AS x, CAST(k.y AS BIGINT) AS y, CAST(size AS BIGINT) AS size FROM s JOIN k ON k.id = component")
 def c7(spark, sf):
     cells = points(spark, sf).groupBy(F.floor(F.col("x") / 40.0).alias("cx"), F.floor(F.col("y") / 40.0).alias("cy")).agg(F.avg("z").alias("top"))
-    return c.grown_regions(cells, "top", 4.0).groupBy("component").agg(F.count(F.lit(1)).alias("size")).groupBy("size").agg(F.count(F.lit(1)).alias("regions"))
+    return c.grown_regions(cells, "top", 4.0).groupBy("component").agg(F.count(F.lit(1)).alias("size")).select(*c.cell_of(F.col("component"), "xy"), "size")
 
 
-@query("c11_raster_components", f"WITH RECURSIVE {P}, {CELLS.format('0', 'seg_type = 3 AND z > 80')}, {CLOSURE_2D.format('')}, s AS (SELECT component, count(*) AS size FROM l GROUP BY component) SELECT CAST(size AS BIGINT) AS size, CAST(count(*) AS BIGINT) AS regions FROM s GROUP BY size")
+@query("c11_raster_components", f"WITH RECURSIVE {P}, {CELLS.format('0', 'seg_type = 3')}, {CLOSURE_2D.format('')}, s AS (SELECT component, count(*) AS size FROM l GROUP BY component) SELECT CAST(k.x AS BIGINT) AS x, CAST(k.y AS BIGINT) AS y, CAST(size AS BIGINT) AS size FROM s JOIN k ON k.id = component")
 def c11(spark, sf):
-    cells = points(spark, sf).where("seg_type = 3 AND z > 80").groupBy(F.floor(F.col("x") / 40.0).alias("cx"), F.floor(F.col("y") / 40.0).alias("cy")).agg(F.lit(0.0).alias("top"))
-    return c.grown_regions(cells, "top", 1.0).groupBy("component").agg(F.count(F.lit(1)).alias("size")).groupBy("size").agg(F.count(F.lit(1)).alias("regions"))
+    cells = points(spark, sf).where("seg_type = 3").groupBy(F.floor(F.col("x") / 40.0).alias("cx"), F.floor(F.col("y") / 40.0).alias("cy")).agg(F.lit(0.0).alias("top"))
+    return c.grown_regions(cells, "top", 1.0).groupBy("component").agg(F.count(F.lit(1)).alias("size")).select(*c.cell_of(F.col("component"), "xy"), "size")
 
 
 @query("c15_cluster_registry", f"WITH {P} SELECT cluster_id, seg_type, count(*) AS n, row_number() OVER (ORDER BY cluster_id, seg_type) AS item FROM p GROUP BY cluster_id, seg_type")

@@ -132,9 +132,9 @@ def j16(spark, sf):
     return points(spark, sf).join(live, "cluster_id", "left_anti").select(*KEY)
 
 
-@query("j17_class_bridge", f"WITH {P}, m AS (SELECT * FROM (VALUES (1, 11), (2, 12), (6, 16)) AS v(f, t)) SELECT {K}, coalesce(t, seg_type) AS seg_type FROM p LEFT JOIN m ON f = seg_type WHERE l_linenumber = 3")
+@query("j17_class_bridge", f"WITH {P}, m AS (SELECT * FROM (VALUES (1, 11), (2, 12), (6, 16)) AS v(f, t)) SELECT {K}, coalesce(t, seg_type) AS seg_type FROM p LEFT JOIN m ON f = seg_type")
 def j17(spark, sf):
-    return j.remapped(points(spark, sf).where("l_linenumber = 3"), {1: 11, 2: 12, 6: 16}).select(*KEY, "seg_type")
+    return j.remapped(points(spark, sf), {1: 11, 2: 12, 6: 16}).select(*KEY, "seg_type")
 
 
 @query("j18_capsule_search", f"WITH {P}, t AS (SELECT *, greatest(0, least(1, ((x - 100) * 600.0 + (y - 50) * 700.0 + (z - 20) * 40.0) / (600.0 * 600 + 700.0 * 700 + 40.0 * 40))) AS t FROM p) SELECT {K} FROM t WHERE (x - (100 + t * 600)) * (x - (100 + t * 600)) + (y - (50 + t * 700)) * (y - (50 + t * 700)) + (z - (20 + t * 40)) * (z - (20 + t * 40)) <= 900")
