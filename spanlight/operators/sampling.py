@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def cell_tops(df: DataFrame, size: float, key: Sequence[str]) -> DataFrame:
@@ -20,6 +20,23 @@ def random_sample(df: DataFrame, n: int, key: Sequence[str], seed: int) -> DataF
     return df.orderBy(F.md5(text.cast("binary")), *key).limit(n)
 
 
+def pyramid(tiles: DataFrame, luck: str, levels: int, share: float, least: int) -> DataFrame:
+    """Points with px, py of their tile and ``luck``, an even key -> level, px, py, luck: on each level a node keeps a share of what its children keep, those with
+    the least keys, or all if they are up to ``least``. Ranks are by ranges of keys within a node (a hot node is the sum of its sorted pieces), not by one sort of the node: the
+    rank of a point is the number of points of its node in lower ranges, from a table of counts, and its place within its range."""
+    out = level = tiles.select(F.lit(0).alias("level"), "px", "py", luck)
+    for k in range(1, levels):
+        node = level.select(F.floor(F.col("px") / 2).alias("px"), F.floor(F.col("py") / 2).alias("py"), luck, F.substring(luck, 1, 3).alias("range"))
+        counts = node.groupBy("px", "py", "range").agg(F.count(F.lit(1)).alias("m"))
+        order = Window.partitionBy("px", "py").orderBy("range")
+        below = counts.select("px", "py", "range", (F.sum("m").over(order) - F.col("m")).alias("before"), F.sum("m").over(Window.partitionBy("px", "py")).alias("n"))
+        rank = F.row_number().over(Window.partitionBy("px", "py", "range").orderBy(luck)) + F.col("before")
+        kept = node.join(below, ["px", "py", "range"]).withColumn("rank", rank).where((F.col("n") <= least) | (F.col("rank") <= F.floor(F.col("n") * share)))
+        level = kept.select(F.lit(k).alias("level"), "px", "py", luck)
+        out = out.unionByName(level)
+    return out
+
+
 def subtrees(tiles: DataFrame, levels: int) -> DataFrame:
     """tiles (tx, ty, n) -> level, px, py of every node of the pyramid, with the number of tiles below it (itself included) and of their points."""
     node = F.explode(F.transform(F.sequence(F.lit(0), F.lit(levels - 1)), lambda k: F.struct(k.alias("level"), F.floor(F.col("tx") / F.pow(F.lit(2.0), k)).alias("px"), F.floor(F.col("ty") / F.pow(F.lit(2.0), k)).alias("py"))))

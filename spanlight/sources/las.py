@@ -1,4 +1,4 @@
-"""LAS 1.2 point files (record formats 0 to 3).
+"""LAS point files (record formats 0 to 3 and 6 to 8).
 
 Files are read as binary columns by Spark's own reader, so any store that Spark can open will do, and decoded block-wise in Arrow; every
 task writes one file of format 2. Scale 1e-4; the class goes to user data as well as to the classification field.
@@ -12,8 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-# Fixed values of the format: offsets of colour within a record, by record format.
-RECORD = {0: (20, None), 1: (28, None), 2: (26, 20), 3: (34, 28)}
+# Fixed values of the format: offsets of the class and of colour within a record, by record format.
+RECORD = {0: (15, None), 1: (15, None), 2: (15, 20), 3: (15, 28), 6: (16, None), 7: (16, 30), 8: (16, 30)}
 HEADER, SCALE = 227, 1e-4
 GEO_KEYS, EPSG_KEY = 34735, 3072
 SCHEMA = "file string, point_id long, x double, y double, z double, label int, user_data int, r int, g int, b int, epsg int"
@@ -30,6 +30,10 @@ def header_of(data: bytes) -> dict:
         raise ValueError("no LAS file")
     day, year, size, offset, n_vlr, fmt, length, count = struct.unpack_from("<HHHIIBHI", data, 90)
     numbers = struct.unpack_from("<12d", data, 131)
+    if fmt & 63 not in RECORD:
+        raise ValueError(f"point records of format {fmt & 63} aren't supported")
+    if fmt & 63 > 5:
+        count = struct.unpack_from("<Q", data, 247)[0]
     at, epsg = size, None
     for _ in range(n_vlr):
         record_id, n = struct.unpack_from("<HH", data, at + 18)
@@ -45,12 +49,12 @@ def header_of(data: bytes) -> dict:
 def decode(data: bytes):
     """Blocks of points of one file, as dicts of arrays."""
     h = header_of(data)
-    length, colour = h["length"], RECORD[h["format"]][1]
+    length, (label, colour) = h["length"], RECORD[h["format"]]
     raw = np.frombuffer(data, np.uint8, h["count"] * length, h["offset"]).reshape(-1, length)
     for at in range(0, len(raw), BLOCK):
         part = raw[at : at + BLOCK]
         xyz = part[:, :12].copy().view("<i4") * np.array(h["scale"]) + np.array(h["shift"])
-        out = {"point_id": np.arange(at, at + len(part)), "x": xyz[:, 0], "y": xyz[:, 1], "z": xyz[:, 2], "label": part[:, 15].astype(np.int32), "user_data": part[:, 17].astype(np.int32)}
+        out = {"point_id": np.arange(at, at + len(part)), "x": xyz[:, 0], "y": xyz[:, 1], "z": xyz[:, 2], "label": part[:, label].astype(np.int32), "user_data": part[:, 17].astype(np.int32)}
         rgb = part[:, colour : colour + 6].copy().view("<u2").astype(np.int32) if colour else np.zeros((len(part), 3), np.int32)
         rgb = np.where(rgb > 255, rgb // 256, rgb)
         yield out | {"r": rgb[:, 0], "g": rgb[:, 1], "b": rgb[:, 2], "epsg": h["epsg"]}
@@ -114,12 +118,32 @@ def write_las(df: DataFrame, path: str, epsg: int | None = None) -> None:
 
 
 def _save(rows, path: str) -> None:
-    import uuid
-
+    """Files are named by partition and block, so another attempt of a task takes the place of the first one; each appears whole, by renaming."""
     from pyarrow import fs
+    from pyspark import TaskContext
 
+    task = TaskContext.get()
     store, base = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else "file://" + path)
     store.create_dir(base, recursive=True)
-    for r in rows:
-        with store.open_output_stream(f"{base}/{uuid.uuid4().hex}.las") as out:
+    for block, r in enumerate(rows):
+        name = f"{base}/part-{task.partitionId():06d}-{block:06d}.las"
+        with store.open_output_stream(f"{name}.{task.taskAttemptId()}.tmp") as out:
             out.write(bytes(r["content"]))
+        store.move(f"{name}.{task.taskAttemptId()}.tmp", name)
+
+
+def headers(spark: SparkSession, path: str) -> DataFrame:
+    """file, n: the number of points by the header's four bytes, without decoding points."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.las").load(path)
+    byte = lambda at: F.conv(F.hex(F.substring("content", at, 1)), 16, 10).cast("long")
+    return files.select(F.col("path").alias("file"), sum((byte(108 + i) * (1 << 8 * i) for i in range(1, 4)), byte(108)).alias("n"))
+
+
+def read_points(spark: SparkSession, path: str, voxel_size: float | None = None) -> DataFrame:
+    """Points of all files, or the centroids of the voxels that hold any."""
+    from ..operators.aggregates import voxel
+
+    points = read_las(spark, path)
+    if voxel_size is None:
+        return points
+    return points.groupBy(*voxel(voxel_size)).agg(*[F.avg(c).alias(c) for c in "xyz"]).select("x", "y", "z")
