@@ -116,3 +116,30 @@ def grown_regions(cells: DataFrame, value: str, step: float) -> DataFrame:
     placed = cells.withColumn("id", cell_id(F.col("cx"), F.col("cy")))
     close = F.abs(F.col(value) - F.col(f"n_{value}")) < step
     return placed.join(components(placed.select("id"), cell_edges(placed, ("cx", "cy"), close, (value,))), "id").drop("id")
+
+
+def merged_positions(df: DataFrame, key: str, distance: float, dims: str = "xy") -> DataFrame:
+    """component (its least key), the mean position and n: positions within a distance of each other, over any number of steps, are one."""
+    found = euclidean_components(df, key, distance, dims)
+    return found.groupBy("component").agg(*[F.avg(c).alias(c) for c in "xyz"], F.count(F.lit(1)).alias("n"))
+
+
+def grown_from(cells: DataFrame, seed: Column, allowed: Column, carried: tuple[str, ...] = (), names: tuple[str, ...] = ("cx", "cy")) -> DataFrame:
+    """cells that are seeds or reached from one over neighbours (diagonal ones too), each step allowed by a condition on the carried columns
+    of a cell and, with prefix n_, of the next one. Each round joins the newest cells to their neighbours and is written; it ends when none is new."""
+    spark, i = cells.sparkSession, 0
+    base = scratch(spark, "grown")
+    placed = written(cells.withColumn("id", cell_id(*map(F.col, names))).withColumn("_seed", F.coalesce(seed, F.lit(False))), base, "cells")
+    steps = [0]
+    for _ in names:
+        steps = [(1 << 21) * s + d for s in steps for d in (-1, 0, 1)]
+    new = found = written(placed.where("_seed").select("id"), base, "found-0")
+    other = placed.select(F.col("id").alias("_next"), *[F.col(c).alias(f"n_{c}") for c in carried])
+    while not new.isEmpty():
+        i += 1
+        around = placed.join(new, "id").withColumn("_next", F.explode(F.array(*[F.col("id") + F.lit(s) for s in steps if s])))
+        reached = around.join(other, "_next").where(allowed).select(F.col("_next").alias("id")).distinct()
+        new = written(reached.join(found, "id", "left_anti"), base, f"new-{i}")
+        found = written(found.unionByName(new), base, f"found-{i}")
+        removed(spark, base, f"found-{i - 1}")
+    return placed.join(found, "id", "left_semi").drop("id", "_seed")
