@@ -201,3 +201,34 @@ def robust_weight(r: Column, kind: str, p: float) -> Column:
         "trimmed": F.when(r > p, F.lit(0.0)).otherwise(F.lit(1.0)),
         "welsch": F.exp(-(q * q) / 2),
     }[kind]
+
+
+def projection(x: Column, y: Column, direction: tuple[float, float]) -> Column:
+    """Place along a direction through the origin."""
+    return x * direction[0] + y * direction[1]
+
+
+def ring_bounds(ring: Column) -> list[Column]:
+    """x1, y1, x2, y2 of an array of places."""
+    xs, ys = F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"])
+    return [F.array_min(xs).alias("x1"), F.array_min(ys).alias("y1"), F.array_max(xs).alias("x2"), F.array_max(ys).alias("y2")]
+
+
+def octree_key(i: Column, j: Column, k: Column, bits: int) -> Column:
+    """One number of three cell indices from 0 on, their bits in turns."""
+    out = F.lit(0).cast("long")
+    for b in range(bits):
+        for d, c in enumerate((i, j, k)):
+            out = out.bitwiseOR(F.shiftleft(F.shiftright(c.cast("long"), b).bitwiseAND(1), 3 * b + d))
+    return out
+
+
+def octree_box(key: Column, size: float, bits: int) -> list[Column]:
+    """x1, y1, z1, x2, y2, z2 of a key's cell."""
+    at = []
+    for d in range(3):
+        c = F.lit(0).cast("long")
+        for b in range(bits):
+            c = c.bitwiseOR(F.shiftleft(F.shiftright(key, 3 * b + d).bitwiseAND(1), b))
+        at.append(c * float(size))
+    return [c.alias(f"{n}1") for c, n in zip(at, "xyz")] + [(c + float(size)).alias(f"{n}2") for c, n in zip(at, "xyz")]

@@ -72,7 +72,9 @@ def write_back(df: DataFrame, shape, remap: dict[int, int], outlier: Column, ena
     """New class and visibility of points with ``new_type``: only visible points inside the polygon and of an enabled class change;
     outliers, unless of a kept class, are hidden; classes are remapped, 15 collapses to 2."""
     inside = spatial("polygon", shape) & F.col("display_enable")
-    target = F.coalesce(F.create_map(*[F.lit(v) for kv in remap.items() for v in kv])[F.col("new_type")], F.col("new_type"))
+    target = F.col("new_type")
+    if remap:
+        target = F.coalesce(F.create_map(*[F.lit(v) for kv in remap.items() for v in kv])[target], target)
     target = F.when(target == 15, 2).otherwise(target)
     noise = inside & outlier & ~F.col("new_type").isin(*keep_noise)
     return df.withColumn("seg_type", F.when(inside & ~noise & target.isin(*enabled), target).otherwise(F.col("seg_type"))).withColumn("display_enable", F.col("display_enable") & ~noise)

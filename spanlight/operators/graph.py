@@ -70,11 +70,11 @@ def cell_edges(cells: DataFrame, names: tuple[str, ...], keep: Column | None = N
 
 def voxel_components(df: DataFrame, size: float, dims: str = "xyz") -> DataFrame:
     """df with component: occupied voxels of an edge are connected over faces, edges and corners."""
-    names = tuple(f"v{c}" for c in dims)
-    placed = df.withColumns({n: F.floor(F.col(c) / F.lit(float(size))) for n, c in zip(names, dims)}).withColumn("id", cell_id(*map(F.col, names)))
-    cells = placed.select("id", *names).distinct()
-    found = components(cells.select("id"), cell_edges(cells, names))
-    return placed.join(found, "id").drop("id", *names)
+    names = tuple(f"_v{c}" for c in dims)
+    placed = df.withColumns({n: F.floor(F.col(c) / F.lit(float(size))) for n, c in zip(names, dims)}).withColumn("_cell", cell_id(*map(F.col, names)))
+    cells = placed.select(F.col("_cell").alias("id")).distinct()
+    found = components(cells, cell_edges(cells, names))
+    return placed.drop("component").join(found.withColumnRenamed("id", "_cell"), "_cell").drop("_cell", *names)
 
 
 def sized(df: DataFrame, low: int, high: int, high_included: bool) -> DataFrame:

@@ -86,3 +86,17 @@ def packed_boxes(tiles: DataFrame, order: str, count: str, parts: int) -> DataFr
     total = tiles.agg(F.sum(count).alias("_total"))
     running = F.sum(count).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
     return tiles.crossJoin(F.broadcast(total)).withColumn("box", F.floor(F.coalesce(running, F.lit(0)) * parts / F.col("_total"))).drop("_total")
+
+
+def numbered(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """df with a place from 1 on in an order that tells all rows apart: rows are sorted by ranges, numbered within their partition, and moved on by
+    the numbers of rows in the partitions before (one row a partition)."""
+    from ..sources.staging import scratch, written
+
+    at = F.monotonically_increasing_id()
+    rows = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", at), scratch(df.sparkSession, "numbered"), "rows")
+    part = F.shiftright("_at", 33)
+    sizes = rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    placed = rows.withColumn("_part", part).join(F.broadcast(before), "_part")
+    return placed.withColumn(name, F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_at", "_part", "_before")

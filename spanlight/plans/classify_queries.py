@@ -27,7 +27,13 @@ def p1(spark, sf):
     return c.ground(points(spark, sf)).select(*KEY)
 
 
-@query("p2_normalised_heights")
+#: Heights above the means of ground cells, or of the ground cells up to two away: hg(point columns, hag).
+HEIGHTS = """v2 AS (SELECT avg(x) AS x, avg(y) AS y, avg(z) AS z FROM p WHERE seg_type = 1 GROUP BY floor(x / 0.5), floor(y / 0.5), floor(z / 0.5)), hr2 AS (SELECT floor((x + 2.499995) / 5.0) AS cx, floor((y + 2.499995) / 5.0) AS cy, avg(z) AS value FROM v2 GROUP BY 1, 2),
+ q2 AS (SELECT *, floor((x + 2.499995) / 5.0) AS cx, floor((y + 2.499995) / 5.0) AS cy FROM p), c2 AS (SELECT DISTINCT cx, cy FROM q2), n2 AS (SELECT c2.cx, c2.cy, avg(hr2.value) AS value FROM c2 JOIN hr2 ON abs(hr2.cx - c2.cx) <= 2 AND abs(hr2.cy - c2.cy) <= 2 GROUP BY 1, 2),
+ hg AS (SELECT q2.*, CASE WHEN coalesce(hr2.value, n2.value) IS NULL THEN 0 ELSE greatest(0, z - coalesce(hr2.value, n2.value)) END AS hag FROM q2 LEFT JOIN hr2 USING (cx, cy) LEFT JOIN n2 USING (cx, cy))"""
+
+
+@query("p2_normalised_heights", f"WITH {P}, {HEIGHTS} SELECT {K}, round(hag, 6) AS hag FROM hg")
 def p2(spark, sf):
     return c.normalised(points(spark, sf)).select(*KEY, F.round("hag", 6).alias("hag"))
 

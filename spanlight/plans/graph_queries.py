@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import graph as c
+from ..operators.windows import numbered
 from ..sources.points import E, KEY, P, cloud, points
 from .registry import query
 
@@ -60,10 +61,8 @@ def c11(spark, sf):
 
 @query("c15_cluster_registry", f"WITH {P} SELECT cluster_id, seg_type, count(*) AS n, row_number() OVER (ORDER BY cluster_id, seg_type) AS item FROM p GROUP BY cluster_id, seg_type")
 def c15(spark, sf):
-    from pyspark.sql import Window
-
     t = points(spark, sf).groupBy("cluster_id", "seg_type").agg(F.count(F.lit(1)).alias("n"))
-    return t.withColumn("item", F.row_number().over(Window.orderBy("cluster_id", "seg_type")).cast("long"))
+    return numbered(t, [F.col("cluster_id"), F.col("seg_type")], "item")
 
 
 @query("c16_cluster_boxes", f"WITH RECURSIVE {P}, {VOXELS.format('seg_type = 4')}, {CLOSURE_3D}, q AS (SELECT l.component, p.* FROM p JOIN k ON k.x = floor(p.x / 2.0) AND k.y = floor(p.y / 2.0) AND k.z = floor(p.z / 2.0) JOIN l USING (id) WHERE seg_type = 4) SELECT min(x) AS x1, min(y) AS y1, max(x) AS x2, max(y) AS y2, {N} FROM q GROUP BY component HAVING count(*) >= 3")

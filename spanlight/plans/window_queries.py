@@ -69,7 +69,7 @@ def w7(spark, sf):
 @query("w8_order_along_axis", "WITH t AS (SELECT s_suppkey, s_acctbal / 100.0 AS x, CAST(s_suppkey % 37 AS DOUBLE) AS y FROM supplier) SELECT s_suppkey, row_number() OVER (ORDER BY x * 0.8 + y * 0.6, s_suppkey) AS place FROM t")
 def w8(spark, sf):
     t = spark.read.parquet(f"{sf}/supplier.parquet").selectExpr("s_suppkey", "s_acctbal / 100.0D AS x", "CAST(s_suppkey % 37 AS DOUBLE) AS y")
-    return t.select("s_suppkey", F.row_number().over(Window.orderBy(F.col("x") * 0.8 + F.col("y") * 0.6, "s_suppkey")).cast("long").alias("place"))
+    return w.numbered(t, [F.col("x") * 0.8 + F.col("y") * 0.6, F.col("s_suppkey")], "place").select("s_suppkey", "place")
 
 
 TOWERS = "t AS (SELECT s_nationkey AS line, s_suppkey AS tower, s_acctbal / 100.0 AS x, CAST(s_suppkey % 37 AS DOUBLE) AS y FROM supplier)"
