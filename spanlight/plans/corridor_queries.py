@@ -115,7 +115,7 @@ def g4(spark, sf):
     return ends.select("cluster_id", "reach", *g.ring_bounds(F.col("ring")))
 
 
-@query("g12_octree_cells", f"WITH {P}, k AS (SELECT DISTINCT CAST(floor(x / 125.0) AS BIGINT) AS i, CAST(floor(y / 125.0) AS BIGINT) AS j, CAST(floor(z / 125.0) AS BIGINT) AS l FROM p) SELECT list_sum(list_transform(range(0, 10), b -> ((i >> b) & 1) << (3 * b) | ((j >> b) & 1) << (3 * b + 1) | ((l >> b) & 1) << (3 * b + 2)))::BIGINT AS key, i * 125.0 AS x1, j * 125.0 AS y1, l * 125.0 AS z1, i * 125.0 + 125 AS x2, j * 125.0 + 125 AS y2, l * 125.0 + 125 AS z2 FROM k")
+@query("g12_octree_cells", f"WITH {P}, k AS (SELECT DISTINCT CAST(floor(x / 125.0) AS BIGINT) AS i, CAST(floor(y / 125.0) AS BIGINT) AS j, CAST(floor(z / 125.0) AS BIGINT) AS l FROM p) SELECT list_sum(list_transform(range(0, 10), lambda b: (((i >> b) & 1) << (3 * b)) | (((j >> b) & 1) << (3 * b + 1)) | (((l >> b) & 1) << (3 * b + 2))))::BIGINT AS key, i * 125.0 AS x1, j * 125.0 AS y1, l * 125.0 AS z1, i * 125.0 + 125 AS x2, j * 125.0 + 125 AS y2, l * 125.0 + 125 AS z2 FROM k")
 def g12(spark, sf):
     key = g.octree_key(*[F.floor(F.col(a) / 125.0) for a in "xyz"], 10)
     return points(spark, sf).select(key.alias("key")).distinct().select("key", *g.octree_box(F.col("key"), 125.0, 10))
