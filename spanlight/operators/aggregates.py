@@ -6,6 +6,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..sources.staging import scratch, written
+
 
 def bounds(df: DataFrame, *by: str) -> DataFrame:
     """Bounding box of all points or of each group."""
@@ -89,21 +91,29 @@ def parabola_fit(df: DataFrame, *by: str, y: str = "y", z: str = "z") -> DataFra
 
 
 def robust_parabola(df: DataFrame, by: str, scale: float = 0.5, rounds: int = 30) -> DataFrame:
-    """z = a y² + b y + c of each group under the Cauchy loss, by iteratively reweighted least squares within the group. A group is one wire."""
-    import numpy as np
-    import pandas as pd
-
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        y, z = rows["y"].to_numpy(), rows["z"].to_numpy()
-        m = y.mean()
-        design, w = np.stack([(y - m) ** 2, y - m, np.ones(len(y))], 1), np.ones(len(y))
-        for _ in range(rounds):
-            root = np.sqrt(w)[:, None]
-            a, b, c = np.linalg.lstsq(design * root, z * root[:, 0], rcond=None)[0]
-            w = 1 / (1 + ((design @ np.array([a, b, c]) - z) / scale) ** 2)
-        return pd.DataFrame({by: [rows[by].iloc[0]], "n": [len(y)], "a": [a], "b": [b - 2 * a * m], "c": [a * m * m - b * m + c]})
-
-    return df.select(by, "y", "z").groupBy(by).applyInPandas(fit, df.select(by).schema.simpleString()[7:-1].replace(":", " ") + ", n long, a double, b double, c double")
+    """z = a y² + b y + c of each group under the Cauchy loss, by iteratively reweighted least squares: a round is one join of points to their group's
+    curve and one row of weighted moments a group, so groups may be of any size. Curves of a round are written. Groups of under three different y have nulls."""
+    base = scratch(df.sparkSession, "robust")
+    mean = df.groupBy(by).agg(F.avg("y").alias("m"))
+    rows = written(df.select(by, "y", "z").join(mean, by).select(by, "m", (F.col("y") - F.col("m")).alias("t"), "z"), base, "rows")
+    t, z = F.col("t"), F.col("z")
+    curve = None
+    for i in range(rounds):
+        if curve is None:
+            weighted = rows.withColumn("w", F.lit(1.0))
+        else:
+            off = (F.col("a") * t * t + F.col("b") * t + F.col("c") - z) / scale
+            weighted = rows.join(curve.select(by, "a", "b", "c"), by).withColumn("w", F.coalesce(1 / (1 + off * off), F.lit(1.0)))
+        w = F.col("w")
+        sums = weighted.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.first("m").alias("m"), *[F.sum(w * F.pow(t, F.lit(float(k)))).alias(f"s{k}") for k in range(5)], *[F.sum(w * F.pow(t, F.lit(float(k))) * z).alias(f"q{k}") for k in range(3)])
+        s0, s1, s2, s3, s4, q0, q1, q2 = (F.col(x) for x in ("s0", "s1", "s2", "s3", "s4", "q0", "q1", "q2"))
+        det = F.nullif(s4 * (s2 * s0 - s1 * s1) - s3 * (s3 * s0 - s1 * s2) + s2 * (s3 * s1 - s2 * s2), F.lit(0.0))
+        a = (q2 * (s2 * s0 - s1 * s1) - s3 * (q1 * s0 - s1 * q0) + s2 * (q1 * s1 - s2 * q0)) / det
+        b = (s4 * (q1 * s0 - s1 * q0) - q2 * (s3 * s0 - s1 * s2) + s2 * (s3 * q0 - q1 * s2)) / det
+        c = (s4 * (s2 * q0 - q1 * s1) - s3 * (s3 * q0 - q1 * s2) + q2 * (s3 * s1 - s2 * s2)) / det
+        curve = written(sums.select(by, "n", "m", a.alias("a"), b.alias("b"), c.alias("c")), base, f"curve-{i}")
+    m = F.col("m")
+    return curve.select(by, "n", "a", (F.col("b") - 2 * F.col("a") * m).alias("b"), (F.col("a") * m * m - F.col("b") * m + F.col("c")).alias("c"))
 
 
 def fill_rate(df: DataFrame, axis: str, step: float, *by: str) -> DataFrame:

@@ -102,6 +102,17 @@ def tile_may_meet(ring: g.Ring) -> Column:
     return (x1 <= max(xs)) & (x2 >= min(xs)) & (y1 <= max(ys)) & (y2 >= min(ys)) & found
 
 
+def ring_tiles(spark, ring: g.Ring, size: float) -> DataFrame:
+    """tx, ty, inside of the tiles of a size that may hold points of a polygon, by the tiles' own edges: as many rows as its box has tiles."""
+    xs, ys = [p[0] for p in ring], [p[1] for p in ring]
+    span = lambda v: F.sequence(F.floor(F.lit(float(min(v))) / size), F.floor(F.lit(float(max(v))) / size))
+    cells = spark.range(1).select(F.explode(span(xs)).alias("tx")).withColumn("ty", F.explode(span(ys)))
+    boxes = cells.select("tx", "ty", (F.col("tx") * size).alias("xmin"), (F.col("ty") * size).alias("ymin"), ((F.col("tx") + 1) * size).alias("xmax"), ((F.col("ty") + 1) * size).alias("ymax"))
+    # a side along a tile's edge crosses nothing, so boxes are looked at a little wider
+    wider = boxes.withColumns({c: F.col(c) + d * 1e-6 * size for c, d in (("xmin", -1), ("ymin", -1), ("xmax", 1), ("ymax", 1))})
+    return tiles_by_cover(wider, ring)
+
+
 def tiles_by_cover(tile_table: DataFrame, ring: g.Ring) -> DataFrame:
     """Tiles that may meet the polygon, with ``inside``: all four corners lie in it and none of its vertices or sides in the tile."""
     x1, y1, x2, y2 = (F.col(c) for c in ("xmin", "ymin", "xmax", "ymax"))

@@ -68,13 +68,23 @@ def nearest(left: DataFrame, right: DataFrame, k: int, left_id: str, right_id: s
         radius, i = radius * 2, i + 1
 
 
-def closest_pair(left: DataFrame, right: DataFrame, left_id: str, right_id: str, dims: str = "xyz", radius: float = 1.0, most: float = 1e9) -> DataFrame:
-    """One row a, b, d: the closest pair, ties by ids; empty if a side is. The radius doubles until a pair is within it."""
+def closest_pair(left: DataFrame, right: DataFrame, left_id: str, right_id: str, dims: str = "xyz", radius: float | None = None, most: float = 1e9) -> DataFrame:
+    """One row a, b, d: the closest pair, ties by ids; empty if a side is. The radius doubles until a pair is within it; it starts, unless given, at the edge that
+    leaves about one right point a bucket, so dense clouds don't begin with all their pairs. The best pair of a round is written."""
+    if radius is None:
+        box = right.agg(F.count(F.lit(1)).alias("n"), *[(F.max(c) - F.min(c)).alias(c) for c in dims]).first()
+        edges = [box[c] for c in dims if box[c]]
+        volume = 1.0
+        for e in edges:
+            volume *= e
+        radius = (volume / box["n"]) ** (1 / len(edges)) if edges else 1.0
+    base, i = scratch(left.sparkSession, "closest"), 0
     while True:
-        best = radius_pairs(left, right, radius, left_id, right_id, dims).orderBy("d2", "a", "b").limit(1).select("a", "b", F.sqrt("d2").alias("d"))
+        pairs = radius_pairs(left, right, radius, left_id, right_id, dims).orderBy("d2", "a", "b").limit(1).select("a", "b", F.sqrt("d2").alias("d"))
+        best = written(pairs, base, str(i))
         if radius > most or not best.isEmpty() or left.isEmpty() or right.isEmpty():
             return best
-        radius *= 2
+        radius, i = radius * 2, i + 1
 
 
 def nearest_ground(queries: DataFrame, ground: DataFrame, query_id: str, ground_id: str, radius: float) -> DataFrame:

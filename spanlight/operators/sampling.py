@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..sources.staging import scratch, written
+
 
 def cell_tops(df: DataFrame, size: float, key: Sequence[str]) -> DataFrame:
     """The highest point of each cell, of equals the one with the least key."""
@@ -44,24 +46,17 @@ def subtrees(tiles: DataFrame, levels: int) -> DataFrame:
 
 
 def farthest_points(df: DataFrame, block: str, key: str, n: int) -> DataFrame:
-    """Up to n points of each block, each the farthest from those before; starts at the least key. A block is a piece of bounded size."""
-    import numpy as np
-    import pandas as pd
-
-    def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(key)
-        at = rows[["x", "y", "z"]].to_numpy()
-        chosen, d = [0], ((at - at[0]) ** 2).sum(1)
-        while len(chosen) < min(n, len(at)):
-            i = int(d.argmax())
-            if d[i] <= 0:
-                break
-            chosen.append(i)
-            d = np.minimum(d, ((at - at[i]) ** 2).sum(1))
-        return pd.DataFrame({block: rows[block].iloc[chosen], key: rows[key].iloc[chosen], "rank": range(1, len(chosen) + 1)})
-
-    kinds = dict(df.dtypes)
-    return df.select(block, key, "x", "y", "z").groupBy(block).applyInPandas(pick, f"{block} {kinds[block]}, {key} {kinds[key]}, rank int")
+    """Up to n points of each block with their rank, each the farthest from those before (ties: the least key); starts at the least key. A round joins points to the
+    few chosen of their block and takes one maximum a block, so blocks may be of any size; the chosen ones of a round are written."""
+    base, at = scratch(df.sparkSession, "farthest"), F.struct("x", "y", "z", key)
+    chosen = written(df.groupBy(block).agg(F.array(F.min_by(at, key)).alias("chosen")), base, "chosen-0")
+    for i in range(1, n):
+        d2 = F.array_min(F.transform("chosen", lambda c: (F.col("x") - c["x"]) * (F.col("x") - c["x"]) + (F.col("y") - c["y"]) * (F.col("y") - c["y"]) + (F.col("z") - c["z"]) * (F.col("z") - c["z"])))
+        far = df.select(block, "x", "y", "z", key).join(chosen, block).select(block, d2.alias("d2"), at.alias("at"))
+        top = far.groupBy(block).agg(F.max("d2").alias("_d2"))
+        best = far.join(top.where("_d2 > 0"), block).where("d2 = _d2").groupBy(block).agg(F.min_by("at", F.col(f"at.{key}")).alias("next"))
+        chosen = written(chosen.join(best, block, "left").select(block, F.when(F.col("next").isNull(), F.col("chosen")).otherwise(F.array_append("chosen", F.col("next"))).alias("chosen")), base, f"chosen-{i}")
+    return chosen.select(block, F.posexplode("chosen").alias("rank", "at")).select(block, F.col(f"at.{key}").alias(key), (F.col("rank") + 1).cast("int").alias("rank"))
 
 
 def triangle_area(a: Sequence[Column], b: Sequence[Column], c: Sequence[Column]) -> Column:

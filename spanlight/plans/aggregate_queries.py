@@ -176,7 +176,9 @@ def a27(spark, sf):
     return e.select("cluster_id", F.round(l1 + l2 + l3, 2).alias("trace"), F.round(l1 * l2 + l1 * l3 + l2 * l3, 0).alias("minors"), ((l1 >= l2 - 1e-9) & (l2 >= l3 - 1e-9) & (l3 >= -1e-6)).alias("ordered"))
 
 
-@query("a28_shape_features")
+@query("a28_shape_features", f"""WITH {P}, v AS (SELECT cluster_id, var_pop(x) AS a, var_pop(y) AS b, var_pop(z) AS c, covar_pop(x, y) AS d, covar_pop(x, z) AS e, covar_pop(y, z) AS f FROM p GROUP BY cluster_id), q AS (SELECT *, (a + b + c) / 3 AS q FROM v),
+ s AS (SELECT *, sqrt(((a - q)**2 + (b - q)**2 + (c - q)**2 + 2 * (d * d + e * e + f * f)) / 6) AS s FROM q), t AS (SELECT *, acos(greatest(-1, least(1, ((a - q) * ((b - q) * (c - q) - f * f) - d * (d * (c - q) - f * e) + e * (d * f - (b - q) * e)) / s**3 / 2))) / 3 AS t FROM s WHERE s > 0),
+ l AS (SELECT cluster_id, q + 2 * s * cos(t) AS l1, q + 2 * s * cos(t - 2 * pi() / 3) AS l2, q + 2 * s * cos(t + 2 * pi() / 3) AS l3 FROM t) SELECT cluster_id, round((l1 - l2) / l1, 6) AS linearity, round(l3 / l1, 6) AS sphericity FROM l""")
 def a28(spark, sf):
     return a.shape_features(a.eigenvalues(a.covariance(points(spark, sf), "cluster_id"))).select("cluster_id", F.round("linearity", 6).alias("linearity"), F.round("sphericity", 6).alias("sphericity"))
 

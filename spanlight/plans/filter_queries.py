@@ -1,5 +1,7 @@
 """Queries of filters, predicates, scans and sinks."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g, properties as prop
@@ -80,7 +82,17 @@ def f11(spark, sf):
 TILES = "t AS (SELECT CAST(floor(x / 50.0) AS BIGINT) AS tx, CAST(floor(y / 50.0) AS BIGINT) AS ty, count(*) AS n, min(x) AS xmin, min(y) AS ymin, max(x) AS xmax, max(y) AS ymax FROM p GROUP BY 1, 2)"
 
 
-@query("f12_tiles_that_meet_polygon")
+def corner_inside(x, y):
+    hit = re.sub(r"\bx\b", x, re.sub(r"\by\b", y, HIT))
+    return f"(SELECT count(*) FROM s WHERE {hit}) % 2 = 1"
+
+
+#: Whether two segments cross, a to b and c to d.
+CROSS = "((({2}) - ({0})) * (({5}) - ({1})) - (({3}) - ({1})) * (({4}) - ({0}))) * ((({2}) - ({0})) * (({7}) - ({1})) - (({3}) - ({1})) * (({6}) - ({0}))) < 0 AND ((({6}) - ({4})) * (({1}) - ({5})) - (({7}) - ({5})) * (({0}) - ({4}))) * ((({6}) - ({4})) * (({3}) - ({5})) - (({7}) - ({5})) * (({2}) - ({4}))) < 0"
+MEETS = "xmin <= 900 AND xmax >= 100 AND ymin <= 900 AND ymax >= 100 AND (" + " OR ".join(corner_inside(x, y) for x in ("xmin", "xmax") for y in ("ymin", "ymax")) + " OR EXISTS (SELECT 1 FROM s WHERE x1 BETWEEN xmin AND xmax AND y1 BETWEEN ymin AND ymax) OR EXISTS (SELECT 1 FROM s WHERE " + " OR ".join("(" + CROSS.format("x1", "y1", "x2", "y2", *side) + ")" for side in (("xmin", "ymin", "xmax", "ymin"), ("xmax", "ymin", "xmax", "ymax"), ("xmax", "ymax", "xmin", "ymax"), ("xmin", "ymax", "xmin", "ymin"))) + "))"
+
+
+@query("f12_tiles_that_meet_polygon", f"WITH {P}, {TILES}, {SIDES} SELECT tx, ty, n, xmin, ymin, xmax, ymax FROM t WHERE {MEETS}")
 def f12(spark, sf):
     return f.tiles(points(spark, sf), 50.0).where(f.tile_may_meet(RING))
 
@@ -152,15 +164,15 @@ def f23(spark, sf):
 
 @query("f24_pruned_polygon_query", f"WITH {P}, {SIDES} SELECT {K} FROM p WHERE {INSIDE}")
 def f24(spark, sf):
-    p = points(spark, sf).withColumn("tx", F.floor(F.col("x") / 50.0)).withColumn("ty", F.floor(F.col("y") / 50.0))
-    keep = f.tiles(points(spark, sf), 50.0).where(f.tile_may_meet(RING)).select("tx", "ty")
-    return p.join(keep, ["tx", "ty"], "left_semi").where(f.spatial("polygon", RING)).select(*KEY)
+    """The scan skips row groups beyond the ring's box (of the stored column that x comes from); tiles outside the ring go before points are tested."""
+    p = points(spark, sf, x_between=(100.0, 900.0)).withColumn("tx", F.floor(F.col("x") / 50.0)).withColumn("ty", F.floor(F.col("y") / 50.0))
+    return p.join(f.ring_tiles(spark, RING, 50.0).select("tx", "ty"), ["tx", "ty"], "left_semi").where(f.spatial("polygon", RING)).select(*KEY)
 
 
 @query("f25_inside_and_edge_tiles", f"WITH {P}, {SIDES} SELECT {K} FROM p WHERE {INSIDE}")
 def f25(spark, sf):
-    p = points(spark, sf).withColumn("tx", F.floor(F.col("x") / 50.0)).withColumn("ty", F.floor(F.col("y") / 50.0))
-    cover = f.tiles_by_cover(f.tiles(points(spark, sf), 50.0), RING).select("tx", "ty", "inside")
+    p = points(spark, sf, x_between=(100.0, 900.0)).withColumn("tx", F.floor(F.col("x") / 50.0)).withColumn("ty", F.floor(F.col("y") / 50.0))
+    cover = f.ring_tiles(spark, RING, 50.0).select("tx", "ty", "inside")
     return p.join(cover, ["tx", "ty"]).where(F.col("inside") | f.spatial("polygon", RING)).select(*KEY)
 
 

@@ -84,7 +84,7 @@ def n11(spark, sf):
     return p.select("page_id", s.extension(c).alias("ext"), s.base_name(c).alias("base"), s.parent(c).alias("parent"), s.joined_path(F.lit("root/"), c).alias("joined"))
 
 
-@query("n12_format_bytes")
+@query("n12_format_bytes", "WITH d AS (SELECT doc_id, n_chars * 1000 AS n FROM documents) SELECT doc_id, CASE WHEN n >= 1024**4 THEN printf('%.2f TB', round(n / 1024.0**4, 2)) WHEN n >= 1024**3 THEN printf('%.2f GB', round(n / 1024.0**3, 2)) WHEN n >= 1024**2 THEN printf('%.2f MB', round(n / 1024.0**2, 2)) WHEN n >= 1024 THEN printf('%.2f KB', round(n / 1024.0, 2)) ELSE printf('%d B', n) END AS size FROM d")
 def n12(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet")
     return d.select("doc_id", s.format_bytes(F.col("n_chars") * 1000).alias("size"))

@@ -30,7 +30,7 @@ def j3(spark, sf):
 @query("j4_min_clearance", f"WITH {E} SELECT a.vec_id AS a, b.vec_id AS b, round(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)), 9) AS d FROM e a CROSS JOIN e b WHERE a.label % 2 = 0 AND b.label % 2 = 1 ORDER BY (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z), 1, 2 LIMIT 1")
 def j4(spark, sf):
     e = cloud(spark, sf)
-    return j.closest_pair(e.where("label % 2 = 0"), e.where("label % 2 = 1"), "vec_id", "vec_id", radius=0.02).withColumn("d", F.round("d", 9))
+    return j.closest_pair(e.where("label % 2 = 0"), e.where("label % 2 = 1"), "vec_id", "vec_id").withColumn("d", F.round("d", 9))
 
 
 THIN = "SELECT min(vec_id) AS vec_id, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM e WHERE label % 2 = {0} GROUP BY floor(x / 0.05), floor(y / 0.05), floor(z / 0.05)"
@@ -42,13 +42,13 @@ def j5(spark, sf):
 
     e = cloud(spark, sf)
     thin = lambda k: voxel_centroids(e.where(f"label % 2 = {k}"), 0.05, F.min("vec_id").alias("vec_id"))
-    return j.closest_pair(thin(0), thin(1), "vec_id", "vec_id", radius=0.02).select(F.round("d", 9).alias("d"))
+    return j.closest_pair(thin(0), thin(1), "vec_id", "vec_id").select(F.round("d", 9).alias("d"))
 
 
 @query("j6_min_horizontal_distance", f"WITH {E} SELECT round(min(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y))), 9) AS d FROM e a CROSS JOIN e b WHERE a.label % 2 = 0 AND b.label % 2 = 1")
 def j6(spark, sf):
     e = cloud(spark, sf)
-    return j.closest_pair(e.where("label % 2 = 0"), e.where("label % 2 = 1"), "vec_id", "vec_id", "xy", 0.005).select(F.round("d", 9).alias("d"))
+    return j.closest_pair(e.where("label % 2 = 0"), e.where("label % 2 = 1"), "vec_id", "vec_id", "xy").select(F.round("d", 9).alias("d"))
 
 
 @query("j7_min_vertical_distance", f"WITH {P}, a AS (SELECT z + 3.3 AS z FROM p WHERE seg_type = 4 AND z > 40), b AS (SELECT z FROM p WHERE seg_type = 1 AND z < 60), s AS (SELECT (SELECT min(z) FROM a) AS a1, (SELECT max(z) FROM a) AS a2, (SELECT min(z) FROM b) AS b1, (SELECT max(z) FROM b) AS b2) SELECT round(CASE WHEN a1 > b2 THEN a1 - b2 WHEN a2 < b1 THEN b1 - a2 WHEN a1 BETWEEN b1 AND b2 THEN (SELECT min(abs(z - a1)) FROM b) ELSE (SELECT min(abs(z - b1)) FROM a) END, 6) AS d FROM s")

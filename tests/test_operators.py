@@ -166,3 +166,22 @@ def test_crowns_grow_over_the_whole_raster(spark):
     got = {(r["cx"], r["cy"], r["tree"]) for r in c.crowns(df, 10.0, 0.45, 0.55, 4).collect()}
     assert got == brute_crowns(cells, 10.0, 0.45, 0.55, 4) and (25, 25, 99) in got
     assert c.crowns(df.where("seed = 0"), 10.0, 0.45, 0.55, 4).count() == 0
+
+
+def test_farthest_points_against_a_plain_loop(spark):
+    import random
+
+    r = random.Random(7)
+    rows = [(i, i % 3, r.randint(0, 9) * 1.0, r.randint(0, 9) * 1.0, 0.0) for i in range(90)] + [(100 + i, 9, 1.0, 1.0, 1.0) for i in range(4)]
+    from spanlight.operators import sampling
+
+    got = {(x["block"], x["rank"]): x["id"] for x in sampling.farthest_points(spark.createDataFrame(rows, "id long, block int, x double, y double, z double"), "block", "id", 6).collect()}
+    for block in (0, 1, 2, 9):
+        own = [x for x in rows if x[1] == block]
+        chosen = [own[0]]
+        while len(chosen) < 6:
+            d, _, best = max((min(sum((a - b) ** 2 for a, b in zip(x[2:], c[2:])) for c in chosen), -x[0], x) for x in own)
+            if d <= 0:
+                break
+            chosen.append(best)
+        assert [got.get((block, i + 1)) for i in range(len(chosen) + 1)] == [c[0] for c in chosen] + ([None] if len(chosen) < 6 else [got.get((block, len(chosen) + 1))])
