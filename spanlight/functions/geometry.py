@@ -232,3 +232,21 @@ def octree_box(key: Column, size: float, bits: int) -> list[Column]:
             c = c.bitwiseOR(F.shiftleft(F.shiftright(key, 3 * b + d).bitwiseAND(1), b))
         at.append(c * float(size))
     return [c.alias(f"{n}1") for c, n in zip(at, "xyz")] + [(c + float(size)).alias(f"{n}2") for c, n in zip(at, "xyz")]
+
+
+def triangle_normal(a, b, c) -> list[Column]:
+    """Unit normal of a triangle, by the right-hand rule; nulls for one without area."""
+    u, v = [q - p for p, q in zip(a, b)], [q - p for p, q in zip(a, c)]
+    n = [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
+    size = F.nullif(F.sqrt(n[0] * n[0] + n[1] * n[1] + n[2] * n[2]), F.lit(0.0))
+    return [x / size for x in n]
+
+
+def share_above(h1: Column, h2: Column, h3: Column) -> Column:
+    """Share of a triangle's area on the positive side of a plane, by its corners' heights over it."""
+    tip = lambda a, b, c: a / (a - b) * a / (a - c)
+    up = [h > 0 for h in (h1, h2, h3)]
+    out = F.when(up[0] & up[1] & up[2], 1.0).when(~up[0] & ~up[1] & ~up[2], 0.0)
+    for (a, b, c), (i, j, k) in zip(((h1, h2, h3), (h2, h1, h3), (h3, h1, h2)), ((0, 1, 2), (1, 0, 2), (2, 0, 1))):
+        out = out.when(up[i] & ~up[j] & ~up[k], tip(a, b, c)).when(~up[i] & up[j] & up[k], 1 - tip(a, b, c))
+    return out

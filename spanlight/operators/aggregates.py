@@ -146,3 +146,9 @@ def slices(df: DataFrame, step: float, low: float | None = None, high: float | N
     out = df if low is None else df.where(F.col("z") >= low)
     layer = F.floor((F.col("z") - F.lit(low or 0.0)) / F.lit(float(step)))
     return out.withColumn("layer", layer if high is None else F.when(F.col("z") >= high, F.lit(-1)).otherwise(layer))
+
+
+def pole_layers(df: DataFrame, by: str, step: float, cell: float, most_area: float, least_fill: float) -> DataFrame:
+    """by, layer, area, height of the layers of each group that are narrow (occupied area below ``most_area``) and filled over ``least_fill`` of a step."""
+    layers = df.groupBy(by, F.floor(F.col("z") / step).alias("layer")).agg((F.count_distinct(F.floor(F.col("x") / cell), F.floor(F.col("y") / cell)) * F.lit(cell * cell)).alias("area"), (F.max("z") - F.min("z")).alias("height"))
+    return layers.where((F.col("area") < most_area) & (F.col("height") > least_fill * step))

@@ -74,3 +74,50 @@ def mesh_samples(df: DataFrame, key: str, a, b, c, per_area: float, seed: int =
     u, v = F.sqrt(luck(1)), luck(2)
     at = [(1 - u) * F.col(f"_a{i}") + u * (1 - v) * F.col(f"_b{i}") + u * v * F.col(f"_c{i}") for i in range(3)]
     return rows.select(key, "i", *[x.alias(name) for x, name in zip(at, "xyz")])
+
+
+def sequential_sample(df: DataFrame, n: int, key: Sequence[str], seed: int) -> DataFrame:
+    """``random_sample`` in the order of the key."""
+    return random_sample(df, n, key, seed).orderBy(*key)
+
+
+def chains(df: DataFrame, by: str, key: str, most: float) -> DataFrame:
+    """by, key, place: rows of each line in a chain. It starts at the least key and takes the nearest open row within ``most`` of its last one (ties: the lesser
+    key), then goes on the same way from its first row; place 1 is the end reached last. Rows beyond reach have none. A line's rows are a few towers or spans."""
+    import pandas as pd
+
+    def chain(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(key)
+        at, ids = rows[["x", "y"]].to_numpy(), rows[key].tolist()
+        out, open_ = [0], set(range(1, len(ids)))
+        for end in (-1, 0):
+            while open_:
+                d, i = min((((at[i] - at[out[end]]) ** 2).sum(), i) for i in open_)
+                if d > most * most:
+                    break
+                open_.remove(i)
+                out.insert(len(out) if end else 0, i)
+        return pd.DataFrame({by: rows[by].iloc[0], key: [ids[i] for i in out], "place": range(1, len(out) + 1)})
+
+    kinds = dict(df.dtypes)
+    return df.select(by, key, "x", "y").groupBy(by).applyInPandas(chain, f"{by} {kinds[by]}, {key} {kinds[key]}, place int")
+
+
+def split_nodes(df: DataFrame, tile: float, most: int, levels: int) -> DataFrame:
+    """df with node: the path of halves that each point's tile is split into, at the middle of the longest side of a node's box (x before y before z), until
+    no node has more than ``most`` points or ``levels`` is reached. A level is one sum over nodes and one join, and is written."""
+    base = scratch(df.sparkSession, "nodes")
+    start = F.concat_ws("_", F.floor(F.col("x") / tile), F.floor(F.col("y") / tile))
+    out = df.withColumn("node", F.concat(start, F.lit(":")))
+    for i in range(levels):
+        boxes = out.groupBy("node").agg(F.count(F.lit(1)).alias("_n"), *[f(c).alias(f"_{c}{k}") for c in "xyz" for k, f in (("1", F.min), ("2", F.max))]).where(F.col("_n") > most)
+        sides = [F.col(f"_{c}2") - F.col(f"_{c}1") for c in "xyz"]
+        longest = F.greatest(*sides)
+        boxes = boxes.where(longest > 0).select("node", *[((F.col(f"_{c}1") + F.col(f"_{c}2")) / 2).alias(f"_m{c}") for c in "xyz"], F.when(sides[0] == longest, 0).when(sides[1] == longest, 1).otherwise(2).alias("_axis"))
+        boxes = written(boxes, base, f"boxes-{i}")
+        if boxes.isEmpty():
+            break
+        side = F.when(F.col("_axis") == 0, F.col("x") >= F.col("_mx")).when(F.col("_axis") == 1, F.col("y") >= F.col("_my")).otherwise(F.col("z") >= F.col("_mz"))
+        half = F.when(F.col("_axis").isNull(), "").when(side, "1").otherwise("0")
+        out = written(out.join(boxes, "node", "left").withColumn("node", F.concat("node", half)).select(*df.columns, "node"), base, f"points-{i}")
+    return out

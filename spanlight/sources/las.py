@@ -114,10 +114,10 @@ def write_las(df: DataFrame, path: str, epsg: int | None = None) -> None:
                 held, n = [], 0
 
     files = df.select("x", "y", "z", F.col("label").cast("int").alias("label"), "r", "g", "b").mapInArrow(run, "content binary")
-    files.foreachPartition(lambda rows: _save(rows, path))
+    files.foreachPartition(lambda rows: save(rows, path, "las"))
 
 
-def _save(rows, path: str) -> None:
+def save(rows, path: str, kind: str) -> None:
     """Files are named by partition and block, so another attempt of a task takes the place of the first one; each appears whole, by renaming."""
     from pyarrow import fs
     from pyspark import TaskContext
@@ -126,7 +126,7 @@ def _save(rows, path: str) -> None:
     store, base = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else "file://" + path)
     store.create_dir(base, recursive=True)
     for block, r in enumerate(rows):
-        name = f"{base}/part-{task.partitionId():06d}-{block:06d}.las"
+        name = f"{base}/part-{task.partitionId():06d}-{block:06d}.{kind}"
         with store.open_output_stream(f"{name}.{task.taskAttemptId()}.tmp") as out:
             out.write(bytes(r["content"]))
         store.move(f"{name}.{task.taskAttemptId()}.tmp", name)

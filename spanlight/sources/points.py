@@ -32,3 +32,9 @@ def points(spark: SparkSession, sf_dir: str, x_between: tuple[float, float] | No
 
 def cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet").selectExpr("vec_id", "label", "CAST(embedding[0] AS DOUBLE) AS x", "CAST(embedding[1] AS DOUBLE) AS y", "CAST(embedding[2] AS DOUBLE) AS z")
+
+
+def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The points as a stream of files."""
+    schema = spark.read.parquet(f"{sf_dir}/lineitem.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/lineitem*.parquet").selectExpr(*_COLUMNS)

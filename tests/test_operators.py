@@ -185,3 +185,11 @@ def test_farthest_points_against_a_plain_loop(spark):
                 break
             chosen.append(best)
         assert [got.get((block, i + 1)) for i in range(len(chosen) + 1)] == [c[0] for c in chosen] + ([None] if len(chosen) < 6 else [got.get((block, len(chosen) + 1))])
+
+
+def test_chains(spark):
+    from spanlight.operators import sampling
+
+    rows = [("a", 1, 5.0, 0.0), ("a", 2, 0.0, 0.0), ("a", 3, 9.0, 0.0), ("a", 4, 6.0, 0.0), ("a", 5, 90.0, 0.0), ("b", 7, 1.0, 1.0)]
+    got = sampling.chains(spark.createDataFrame(rows, "line string, tower long, x double, y double"), "line", "tower", 6.0).collect()
+    assert {(r["line"], r["place"]): r["tower"] for r in got} == {("a", 1): 2, ("a", 2): 1, ("a", 3): 4, ("a", 4): 3, ("b", 1): 7}
