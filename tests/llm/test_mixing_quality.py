@@ -64,3 +64,29 @@ def test_rules_on_odd_rows(spark):
     assert [r["kept"] for r in out] == [False, False, True, False]
     assert quality.kept_documents(docs, labels).count() == 1
     assert quality.measured(docs.limit(0)).count() == 0
+
+
+def test_labels_that_certify_cutoffs_and_the_same_by_sql(spark, tmp_path):
+    """Enough labels that cutoffs hold, in one of two languages; bad texts shout, some good ones a little."""
+    import random
+
+    import compare
+    from spanlight.llm import quality
+
+    r = random.Random(11)
+    vocabulary = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8))) for _ in range(900)]
+    docs, labels = [], []
+    for i in range(1500):
+        bad = i % 5 == 0
+        words = r.sample(vocabulary, r.randint(52, 70))
+        if bad:
+            words = [w + "!" * (i % 3) for w in words]
+        docs.append((i, " ".join(words) + ("\n" + words[0].upper() if i % 7 == 0 else ""), "xx" if i < 1300 else None))
+        labels.append((i, 0 if bad else 1, 0))
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = quality.op4_quality_rules(spark, str(tmp_path)).toPandas()
+    want = compare.duck(str(tmp_path)).sql(quality.OP4_SQL).df()
+    assert compare.rows(got) == compare.rows(want)
+    cut = got[~got["base_failed"] & ~got["kept"]]["doc_id"]
+    assert len(cut) > 100 and all(i % 5 == 0 and i < 1300 for i in cut)
