@@ -295,3 +295,17 @@ def transformed(x: Column, y: Column, source: int, target: int, unit: str = "met
     """Coordinates of one system in another one. Datums aren't shifted: longitude and latitude are taken as they are. unit: of the source's lengths."""
     lon, lat = system(source).inverse(x * UNITS[unit], y * UNITS[unit]) if source != 4326 else (x, y)
     return system(target).forward(lon, lat)
+
+
+def well_known_text(code: int) -> str:
+    """A short description of a projected or geographic system that ends with its code, as files carry it."""
+    if code == 4326:
+        return 'GEOGCS["WGS 84",DATUM["WGS_1984",SPHEROID["WGS 84",6378137,298.257223563]],PRIMEM["Greenwich",0],UNIT["degree",0.0174532925199433],AUTHORITY["EPSG","4326"]]'
+    p = system(code)
+    kind = {"TransverseMercator": "Transverse_Mercator", "LambertConformalConic": "Lambert_Conformal_Conic_2SP", "AlbersEqualArea": "Albers_Conic_Equal_Area", "ObliqueStereographic": "Oblique_Stereographic", "HotineObliqueMercator": "Hotine_Oblique_Mercator_Azimuth_Center"}[type(p).__name__]
+    return f'PROJCS["EPSG:{code}",GEOGCS["",SPHEROID["",{p.e.a!r},{1 / p.e.f!r}]],PROJECTION["{kind}"],PARAMETER["central_meridian",{p.lon0!r}],UNIT["metre",1],AUTHORITY["EPSG","{code}"]]'
+
+
+def code_of_text(text: Column) -> Column:
+    """The code that a system's description ends with, null if none does."""
+    return F.nullif(F.regexp_extract(text, r'AUTHORITY\["EPSG","(\d+)"\]\]\s*$', 1), F.lit("")).cast("int")

@@ -77,6 +77,48 @@ def wires(df: DataFrame, span_table: DataFrame, key: str, reach: float = 20.0, l
     return fitted, best.select(key, "w.span", "w.component")
 
 
+def local_linearity(df: DataFrame, size: float) -> DataFrame:
+    """vx, vy, vz, n and linearity of the points of each voxel and those around it: moments are summed a voxel, and then over neighbours. Moments are about the
+    voxel's own corner, so they keep their digits far from the origin."""
+    names = ("vx", "vy", "vz")
+    placed = df.select(*[F.floor(F.col(c) / size).alias(n) for c, n in zip("xyz", names)], *[(F.col(c) - F.floor(F.col(c) / size) * size).alias(c) for c in "xyz"])
+    pairs = [(p, q) for i, p in enumerate("xyz") for q in "xyz"[i:]]
+    sums = placed.groupBy(*names).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s{c}") for c in "xyz"], *[F.sum(F.col(p) * F.col(q)).alias(f"s{p}{q}") for p, q in pairs])
+    step = F.array(*map(F.lit, (-1, 0, 1)))
+    around = sums
+    for n in names:
+        around = around.withColumn(f"_o{n}", F.explode(step)).withColumn(n, F.col(n) + F.col(f"_o{n}"))
+    # moments moved to the corner of the voxel they count for, where this one lies at minus its offset
+    d = {c: -F.col(f"_ov{c}") * size for c in "xyz"}
+    moved = around.select(*names, "n", *[(F.col(f"s{c}") + F.col("n") * d[c]).alias(f"s{c}") for c in "xyz"], *[(F.col(f"s{p}{q}") + d[p] * F.col(f"s{q}") + d[q] * F.col(f"s{p}") + F.col("n") * d[p] * d[q]).alias(f"s{p}{q}") for p, q in pairs])
+    total = moved.groupBy(*names).agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sz", *[f"s{p}{q}" for p, q in pairs])]).join(sums.select(*names), list(names), "left_semi")
+    spread = total.select(*names, "n", *[(F.col(f"s{p}{q}") / F.col("n") - F.col(f"s{p}") * F.col(f"s{q}") / F.col("n") / F.col("n")).alias(f"c{p}{q}") for p, q in pairs])
+    return a.shape_features(a.eigenvalues(spread)).select(*names, "n", "linearity")
+
+
+def linear_points(df: DataFrame, size: float, least: float) -> DataFrame:
+    """Points in voxels of a local linearity of at least ``least``."""
+    names = ["vx", "vy", "vz"]
+    kept = written(local_linearity(df, size), scratch(df.sparkSession, "linear"), "voxels").where(F.col("linearity") >= least).select(*[F.col(n).alias(f"_{n}") for n in names])
+    placed = df.withColumns({f"_{n}": F.floor(F.col(c) / size) for c, n in zip("xyz", names)})
+    return placed.join(kept, [f"_{n}" for n in names], "left_semi").drop(*[f"_{n}" for n in names])
+
+
+def tower_parts(df: DataFrame, towers: DataFrame, key: str, radius: float, cell: float, head: float, least: int = 10) -> DataFrame:
+    """key, tower, part (head or body) of tower points: those near a tower within the hull of its cells with points from ground to head; the head is what lies up
+    to ``head`` below the top, and voxel pieces of under ``least`` points are noise."""
+    near = written(tower_points(df.select(key, "x", "y", "z", "hag"), towers, radius).where("tower is not null"), scratch(df.sparkSession, "parts"), "near")
+    top = near.groupBy("tower").agg(F.max("z").alias("_top"), F.max("hag").alias("_high"))
+    cells = near.join(top, "tower").groupBy("tower", F.floor(F.col("x") / cell).alias("cx"), F.floor(F.col("y") / cell).alias("cy")).agg(F.min("hag").alias("low"), F.max("hag").alias("up"), F.first("_high").alias("h"))
+    core = cells.where((F.col("up") >= F.col("h") / 2) | (F.col("low") < F.col("h") / 2) & (F.col("up") >= F.col("h") / 4)).select("tower", "cx", "cy")
+    ring = raster.hulls(core, "tower")
+    side = lambda p, q: (q["x"] - p["x"]) * (F.col("y") / cell - p["y"]) - (q["y"] - p["y"]) * (F.col("x") / cell - p["x"]) >= 0
+    inside = F.forall(F.sequence(F.lit(1), F.size("ring")), lambda i: side(F.element_at("ring", i), F.element_at("ring", i % F.size("ring") + 1)))
+    held = near.join(ring, "tower").where(inside).join(top, "tower").drop("ring", "_high")
+    kept = graph.sized(graph.voxel_components(held, 2 * cell), least, 1 << 60, True)
+    return kept.select(key, "tower", F.when(F.col("z") > F.col("_top") - head, "head").otherwise("body").alias("part"))
+
+
 def corridor(df: DataFrame, key: str, cell: float, least_height: float, towers: DataFrame | None = None, radius: float = 10.0, **wire_options) -> DataFrame:
     """df with new seg_type: towers (located, or given) and wires. Nothing changes unless there are two towers at least."""
     found = written(towers if towers is not None else tower_positions(df, cell, least_height), scratch(df.sparkSession, "corridor"), "towers")

@@ -18,6 +18,12 @@ def remapped(df: DataFrame, mapping: dict[int, int], column: str = "seg_type") -
     return df.withColumn(column, F.coalesce(table[F.col(column)], F.col(column)))
 
 
+def imported_classes(df: DataFrame, tag: str, mapping: dict[int, int]) -> DataFrame:
+    """Classes of imported points: of files whose ``software`` begins with a tag those of user_data, else those of the file through a map."""
+    own = F.col("software").startswith(tag)
+    return remapped(df, mapping).withColumn("seg_type", F.when(own, F.col("user_data")).otherwise(F.col("seg_type")))
+
+
 def to_cell(df: DataFrame, size: float, origin: Sequence[float] = (0.0, 0.0), names=("cx", "cy")) -> DataFrame:
     for axis, start, name in zip("xyz", origin, names):
         df = df.withColumn(name, g.cell(F.col(axis), start, size))

@@ -118,3 +118,41 @@ def p20(spark, sf):
     path = scratch(spark, "stream")
     tiles.append_tiles(streamed(spark, sf).select("x", "y", "z"), f"{path}/tiles", f"{path}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{path}/tiles").groupBy(F.floor(F.col("x") / 125.0).alias("tx"), F.floor(F.col("y") / 125.0).alias("ty")).agg(F.count(F.lit(1)).alias("n"), F.min("z").alias("z1"), F.max("z").alias("z2"))
+
+
+@query("s6_imported_classes", f"WITH {P}, m AS (SELECT * FROM (VALUES (1, 2), (3, 15), (4, 16)) AS v(f, t)) SELECT CASE WHEN l_suppkey % 3 = 0 THEN CAST(l_partkey % 16 AS INT) ELSE coalesce(t, seg_type) END AS seg_type, count(*) AS n FROM p LEFT JOIN m ON f = seg_type GROUP BY 1")
+def s6_imported(spark, sf):
+    from ..operators.joins import imported_classes
+
+    p = points(spark, sf).withColumn("software", F.when(F.col("l_suppkey") % 3 == 0, "scanner 1.2").otherwise("other")).withColumn("user_data", F.expr("CAST(l_partkey % 16 AS INT)"))
+    return imported_classes(p, "scanner", {1: 2, 3: 15, 4: 16}).groupBy("seg_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("t3_ranked_models", f"WITH {P}, d AS (SELECT cluster_id, max(x) - min(x) AS dx, max(y) - min(y) AS dy, max(z) - min(z) AS dz FROM p GROUP BY cluster_id), m AS (SELECT * FROM (VALUES (1, 900.0, 900.0, 98.0), (2, 800.0, 950.0, 96.0), (3, 950.0, 990.0, 98.0)) AS v(model, mx, my, mz)), r AS (SELECT cluster_id, model, (dx-mx)*(dx-mx)+(dy-my)*(dy-my)+(dz-mz)*(dz-mz) AS rms FROM d CROSS JOIN m) SELECT cluster_id, model, row_number() OVER (PARTITION BY cluster_id ORDER BY rms, model) AS rank FROM r WHERE rms < 30000")
+def t3(spark, sf):
+    """Models of a small library (a literal array), ranked by their distance to each cluster's box, below a threshold."""
+    boxes = points(spark, sf).groupBy("cluster_id").agg(*[(F.max(c) - F.min(c)).alias(f"d{c}") for c in "xyz"])
+    library = [(1, 900.0, 900.0, 98.0), (2, 800.0, 950.0, 96.0), (3, 950.0, 990.0, 98.0)]
+    scored = [F.struct(sum(((F.col(f"d{c}") - m) * (F.col(f"d{c}") - m) for c, m in zip("xyz", box)), F.lit(0.0)).alias("rms"), F.lit(model).alias("model")) for model, *box in library]
+    ranked = F.array_sort(F.filter(F.array(*scored), lambda s: s["rms"] < 30_000))
+    return boxes.select("cluster_id", F.posexplode(ranked).alias("rank", "m")).select("cluster_id", "m.model", (F.col("rank") + 1).cast("long").alias("rank"))
+
+
+@query("x6_codes_of_descriptions", "SELECT s_suppkey, CAST(CASE s_suppkey % 3 WHEN 0 THEN 4326 WHEN 1 THEN 32631 ELSE 28992 END AS INT) AS code FROM supplier")
+def x6_text(spark, sf):
+    from ..functions import crs
+
+    texts = F.array(*[F.lit(crs.well_known_text(code)) for code in (4326, 32631, 28992)])
+    t = spark.read.parquet(f"{sf}/supplier.parquet").select("s_suppkey", F.element_at(texts, (F.col("s_suppkey") % 3 + 1).cast("int")).alias("text"))
+    return t.select("s_suppkey", crs.code_of_text(F.col("text")).alias("code"))
+
+
+@query("p3e_local_linearity", f"""WITH {P}, o AS (SELECT unnest([-1, 0, 1]) AS d), v AS (SELECT DISTINCT CAST(floor(x / 40.0) AS BIGINT) AS vx, CAST(floor(y / 40.0) AS BIGINT) AS vy, CAST(floor(z / 40.0) AS BIGINT) AS vz FROM p WHERE seg_type = 4), q AS (SELECT x, y, z, CAST(floor(x / 40.0) AS BIGINT) + i.d AS vx, CAST(floor(y / 40.0) AS BIGINT) + j.d AS vy, CAST(floor(z / 40.0) AS BIGINT) + k.d AS vz FROM p, o i, o j, o k WHERE seg_type = 4),
+ m AS (SELECT vx, vy, vz, count(*) AS n, var_pop(x) AS a, var_pop(y) AS b, var_pop(z) AS c, covar_pop(x, y) AS d, covar_pop(x, z) AS e, covar_pop(y, z) AS f FROM q JOIN v USING (vx, vy, vz) GROUP BY 1, 2, 3 HAVING count(*) >= 10), u AS (SELECT *, (a + b + c) / 3 AS q FROM m),
+ s AS (SELECT *, sqrt(((a - q)**2 + (b - q)**2 + (c - q)**2 + 2 * (d * d + e * e + f * f)) / 6) AS s FROM u), t AS (SELECT *, acos(greatest(-1, least(1, ((a - q) * ((b - q) * (c - q) - f * f) - d * (d * (c - q) - f * e) + e * (d * f - (b - q) * e)) / s**3 / 2))) / 3 AS t FROM s),
+ l AS (SELECT vx, vy, vz, n, q + 2 * s * cos(t) AS l1, q + 2 * s * cos(t - 2 * pi() / 3) AS l2 FROM t) SELECT vx, vy, vz, n, round((l1 - l2) / l1, 5) AS linearity FROM l""")
+def p3e(spark, sf):
+    from ..operators.corridor import local_linearity
+
+    l = local_linearity(points(spark, sf).where("seg_type = 4"), 40.0).where("n >= 10")
+    return l.withColumn("linearity", F.round("linearity", 5))

@@ -167,3 +167,15 @@ def test_kinds_options_and_growing(spark):
     cells = spark.createDataFrame([(0, 0, 9), (1, 0, 7), (2, 0, 8), (3, 0, 1), (1, 1, 5), (0, 5, 1)], "cx long, cy long, top int")
     got = graph.grown_from(cells, F.col("top") == 9, F.col("n_top") <= F.col("top"), ("top",))
     assert {(r["cx"], r["cy"]) for r in got.collect()} == {(0, 0), (1, 0), (1, 1)}
+
+
+def test_tower_parts(spark, cloud):
+    towers = spark.createDataFrame([(i + 1, 10.0 + 60 * i, 0.0) for i in range(3)], "tower long, x double, y double")
+    rows = cloud.withColumnRenamed("part", "true").join(corridor.tower_parts(cloud, towers, "id", 4.0, 1.0, 6.0), "id").collect()
+    assert sum(r["true"] == "tower" for r in rows) > 1100 and {r["true"] for r in rows} <= {"tower", "wire"} and all((r["part"] == "head") == (r["z"] > 24.4) for r in rows if abs(r["z"] - 24.4) > 0.2)
+
+
+def test_linear_points(spark, cloud):
+    kept = corridor.linear_points(cloud.where("part IN ('wire', 'bush')"), 2.0, 0.95).groupBy("part").count().collect()
+    n = {r["part"]: r["count"] for r in kept}
+    assert n["wire"] == 800 and n.get("bush", 0) < 30

@@ -33,3 +33,10 @@ def test_codes():
     assert crs.system(4547).lon0 == 114 and crs.system(4526).lon0 == 114 and crs.system(25832).lon0 == 9
     with pytest.raises(ValueError):
         crs.system(1)
+
+
+def test_descriptions(spark):
+    for code in (4326, 32631, 28992, 5070):
+        text = crs.well_known_text(code)
+        assert spark.range(1).select(crs.code_of_text(F.lit(text))).first()[0] == code
+    assert spark.range(1).select(crs.code_of_text(F.lit('PROJCS["x"]'))).first()[0] is None
