@@ -86,44 +86,49 @@ def tiles(df: DataFrame, size: float) -> DataFrame:
     return df.groupBy(tx, ty).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("xmin"), F.min("y").alias("ymin"), F.max("x").alias("xmax"), F.max("y").alias("ymax"))
 
 
+def _corners_in(ring: g.Ring) -> list[Column]:
+    return [g.in_polygon(F.col(x), F.col(y), ring) for x in ("xmin", "xmax") for y in ("ymin", "ymax")]
+
+
+def _touched(ring: g.Ring) -> Column:
+    """Whether a vertex of the polygon lies in a tile's box or one of its sides crosses one of the box's; the sides are one literal array."""
+    x1, y1, x2, y2 = (F.col(c) for c in ("xmin", "ymin", "xmax", "ymax"))
+    sides = F.array(*[F.struct(*[F.lit(float(v)).alias(k) for v, k in zip(e, ("ax", "ay", "bx", "by"))]) for e in g.edges(ring)])
+    box = F.array(*[F.struct(*[v.alias(k) for v, k in zip(e, ("cx", "cy", "dx", "dy"))]) for e in ((x1, y1, x2, y1), (x2, y1, x2, y2), (x2, y2, x1, y2), (x1, y2, x1, y1))])
+    vertex = F.exists(sides, lambda e: e["ax"].between(x1, x2) & e["ay"].between(y1, y2))
+    return vertex | F.exists(sides, lambda e: F.exists(box, lambda o: g.segments_cross(e["ax"], e["ay"], e["bx"], e["by"], o["cx"], o["cy"], o["dx"], o["dy"])))
+
+
 def tile_may_meet(ring: g.Ring) -> Column:
     """Whether a tile's box can hold points of a polygon: the boxes overlap and a corner is inside, a vertex is inside the box, or a side crosses one of the box's sides."""
-    x1, y1, x2, y2 = (F.col(c) for c in ("xmin", "ymin", "xmax", "ymax"))
     xs, ys = [p[0] for p in ring], [p[1] for p in ring]
-    found = F.lit(False)
-    for cx in (x1, x2):
-        for cy in (y1, y2):
-            found = found | g.in_polygon(cx, cy, ring)
-    for px, py in ring:
-        found = found | (F.lit(px).between(x1, x2) & F.lit(py).between(y1, y2))
-    for a in g.edges(ring):
-        for b in ((x1, y1, x2, y1), (x2, y1, x2, y2), (x2, y2, x1, y2), (x1, y2, x1, y1)):
-            found = found | g.segments_cross(*a, *b)
-    return (x1 <= max(xs)) & (x2 >= min(xs)) & (y1 <= max(ys)) & (y2 >= min(ys)) & found
+    found = _touched(ring)
+    for corner in _corners_in(ring):
+        found = found | corner
+    return (F.col("xmin") <= max(xs)) & (F.col("xmax") >= min(xs)) & (F.col("ymin") <= max(ys)) & (F.col("ymax") >= min(ys)) & found
+
+
+#: Tiles of about 24 bytes each that are broadcast at most.
+BROADCAST_TILES = 1 << 16
 
 
 def ring_tiles(spark, ring: g.Ring, size: float) -> DataFrame:
-    """tx, ty, inside of the tiles of a size that may hold points of a polygon, by the tiles' own edges: as many rows as its box has tiles."""
+    """tx, ty, inside of the tiles of a size that may hold points of a polygon, by the tiles' own edges: as many rows as its box has tiles, and
+    marked for broadcast if these are up to BROADCAST_TILES."""
     xs, ys = [p[0] for p in ring], [p[1] for p in ring]
+    few = ((max(xs) - min(xs)) / size + 2) * ((max(ys) - min(ys)) / size + 2) <= BROADCAST_TILES
     span = lambda v: F.sequence(F.floor(F.lit(float(min(v))) / size), F.floor(F.lit(float(max(v))) / size))
     cells = spark.range(1).select(F.explode(span(xs)).alias("tx")).withColumn("ty", F.explode(span(ys)))
     boxes = cells.select("tx", "ty", (F.col("tx") * size).alias("xmin"), (F.col("ty") * size).alias("ymin"), ((F.col("tx") + 1) * size).alias("xmax"), ((F.col("ty") + 1) * size).alias("ymax"))
     # a side along a tile's edge crosses nothing, so boxes are looked at a little wider
     wider = boxes.withColumns({c: F.col(c) + d * 1e-6 * size for c, d in (("xmin", -1), ("ymin", -1), ("xmax", 1), ("ymax", 1))})
-    return tiles_by_cover(wider, ring)
+    found = tiles_by_cover(wider, ring)
+    return F.broadcast(found) if few else found
 
 
 def tiles_by_cover(tile_table: DataFrame, ring: g.Ring) -> DataFrame:
     """Tiles that may meet the polygon, with ``inside``: all four corners lie in it and none of its vertices or sides in the tile."""
-    x1, y1, x2, y2 = (F.col(c) for c in ("xmin", "ymin", "xmax", "ymax"))
     corners = F.lit(True)
-    for cx in (x1, x2):
-        for cy in (y1, y2):
-            corners = corners & g.in_polygon(cx, cy, ring)
-    cut = F.lit(False)
-    for px, py in ring:
-        cut = cut | (F.lit(px).between(x1, x2) & F.lit(py).between(y1, y2))
-    for a in g.edges(ring):
-        for b in ((x1, y1, x2, y1), (x2, y1, x2, y2), (x2, y2, x1, y2), (x1, y2, x1, y1)):
-            cut = cut | g.segments_cross(*a, *b)
-    return tile_table.where(tile_may_meet(ring)).withColumn("inside", corners & ~cut)
+    for corner in _corners_in(ring):
+        corners = corners & corner
+    return tile_table.where(tile_may_meet(ring)).withColumn("inside", corners & ~_touched(ring))
