@@ -5,7 +5,7 @@ byte arrays of distinct words, against a literal rank map; ``op9_distinct_words`
 several times the budget (README), so ``encode`` serves whole documents: a task splits texts into
 matches of the pattern and folds each distinct word once, keeping what it has seen in a bounded cache.
 
-``encode_words`` takes a word that is a piece itself without folding; ``fold`` would end at the same piece, as every piece of the vocabulary can be reached by merges.
+Both take a word that is a piece itself without folding; merges would end at the same piece, as every piece of the vocabulary can be reached by them.
 
 Defined results: a null or empty text has no tokens (its digests are those of no bytes); special tokens are plain text;
 equal texts have equal ids; an empty table gives an empty result; added columns replace clashing ones.
@@ -17,6 +17,7 @@ import base64
 import hashlib
 import json
 from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
 import xxhash
@@ -40,20 +41,20 @@ def ranks_of(path: str) -> dict[bytes, int]:
 
 def fold(word: bytes, ranks: dict[bytes, int]) -> list[bytes]:
     """Pieces of a word: the adjacent pair of the lowest rank is merged, the leftmost of equals first, until none has a rank."""
-    parts = [word[i : i + 1] for i in range(len(word))]
-    if len(parts) > 400:
-        return fold_long(parts, ranks)
-    none = len(ranks)
-    scores = [ranks.get(a + b, none) for a, b in zip(parts, parts[1:])]
+    if len(word) > 400:
+        return fold_long([word[i : i + 1] for i in range(len(word))], ranks)
+    if word in ranks:
+        return [word]
+    get, none, edges = ranks.get, len(ranks), list(range(len(word) + 1))
+    scores = [get(word[i : i + 2], none) for i in range(len(word) - 1)]
     while scores and (best := min(scores)) < none:
         i = scores.index(best)
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        del scores[i]
+        del scores[i], edges[i + 1]
         if i:
-            scores[i - 1] = ranks.get(parts[i - 1] + parts[i], none)
+            scores[i - 1] = get(word[edges[i - 1] : edges[i + 1]], none)
         if i < len(scores):
-            scores[i] = ranks.get(parts[i] + parts[i + 1], none)
-    return parts
+            scores[i] = get(word[edges[i] : edges[i + 2]], none)
+    return [word[a:b] for a, b in zip(edges, edges[1:])]
 
 
 def fold_long(parts: list[bytes], ranks: dict[bytes, int]) -> list[bytes]:
@@ -88,28 +89,33 @@ def encode(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) ->
 
         split, ranks = regex.compile(pattern).findall, ranks_of(path)
         pieces = {rank: piece for piece, rank in ranks.items()}
-        known: dict[str, tuple[str, bytes, list[int]]] = {}
+        #: Of the words that the task remembers: ids in decimals, what they decode to, and the ids.
+        known: dict[str, str] = {}
+        decoded_of: dict[str, bytes] = {}
+        ids_of: dict[str, list[int]] = {}
 
-        def word_of(word: str):
-            ids = [ranks[p] for p in fold(word.encode(), ranks)]
-            known[word] = found = (" ".join(map(str, ids)), b"".join(pieces[i] for i in ids), ids)
-            return found
+        def add(word: str) -> None:
+            own = [ranks[p] for p in fold(word.encode(), ranks)]
+            known[word], decoded_of[word] = " ".join(map(str, own)), b"".join([pieces[i] for i in own])
+            if with_ids:
+                ids_of[word] = own
 
         def work(texts):
             counts, ids_digest, decoded_digest, ids = [], [], [], []
             for text in texts:
                 if len(known) > CACHE_WORDS:
                     known.clear()
+                    decoded_of.clear()
+                    ids_of.clear()
                 words = split(text or "")
                 for word in set(words).difference(known):
-                    word_of(word)
-                found = [known[w] for w in words]
-                written = " ".join([f[0] for f in found])
-                counts.append(written.count(" ") + 1 if found else 0)
+                    add(word)
+                written = " ".join(map(known.__getitem__, words))
+                counts.append(written.count(" ") + 1 if words else 0)
                 ids_digest.append(hashlib.sha256(written.encode()).hexdigest())
-                decoded_digest.append(hashlib.sha256(b"".join([f[1] for f in found])).hexdigest())
+                decoded_digest.append(hashlib.sha256(b"".join(map(decoded_of.__getitem__, words))).hexdigest())
                 if with_ids:
-                    ids.append([i for f in found for i in f[2]])
+                    ids.append(list(chain.from_iterable(map(ids_of.__getitem__, words))))
             out = [pa.array(counts, pa.int64()), pa.array(ids_digest), pa.array(decoded_digest)]
             return out + [pa.array(ids, pa.list_(pa.int32()))] * with_ids
 
