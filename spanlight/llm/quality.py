@@ -138,10 +138,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the rules keep, with the columns of docs. Counts are taken twice, so texts are neither shuffled nor stored."""
-    counts = Stage(docs.sparkSession, "quality").write(measured(docs.select("doc_id", "lang", "text")).drop("text"), "counts")
-    cuts = cutoffs(counts, labels)
-    return judged(measured(docs), cuts).where("kept").select(*docs.columns)
+    """The documents that the rules keep, with the columns of docs. Texts are counted once and written with their counts."""
+    own = {c: f"_own_{c}" for c in docs.columns if c.lower() in (*COUNTS, "base_failed", "kept")}
+    counted = Stage(docs.sparkSession, "quality").write(measured(docs.withColumnsRenamed(own)), "counted")
+    kept = judged(counted, cutoffs(counted, labels)).where("kept")
+    return kept.select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
 
 
 OP4_SQL = r"""

@@ -90,3 +90,14 @@ def test_labels_that_certify_cutoffs_and_the_same_by_sql(spark, tmp_path):
     assert compare.rows(got) == compare.rows(want)
     cut = got[~got["base_failed"] & ~got["kept"]]["doc_id"]
     assert len(cut) > 100 and all(i % 5 == 0 and i < 1300 for i in cut)
+
+
+def test_kept_documents_keep_their_own_columns(spark):
+    from spanlight.llm import quality
+
+    text = " ".join(f"word{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text, "en", "mine", 7), (2, "short", "en", "mine", 8), (3, None, None, "mine", 9)], "doc_id long, text string, lang string, kept string, n_words long")
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    (row,) = quality.kept_documents(docs, labels).collect()
+    assert row.asDict() == {"doc_id": 1, "text": text, "lang": "en", "kept": "mine", "n_words": 7}
+    assert quality.kept_documents(docs.limit(0), labels).count() == 0
