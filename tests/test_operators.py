@@ -193,3 +193,16 @@ def test_chains(spark):
     rows = [("a", 1, 5.0, 0.0), ("a", 2, 0.0, 0.0), ("a", 3, 9.0, 0.0), ("a", 4, 6.0, 0.0), ("a", 5, 90.0, 0.0), ("b", 7, 1.0, 1.0)]
     got = sampling.chains(spark.createDataFrame(rows, "line string, tower long, x double, y double"), "line", "tower", 6.0).collect()
     assert {(r["line"], r["place"]): r["tower"] for r in got} == {("a", 1): 2, ("a", 2): 1, ("a", 3): 4, ("a", 4): 3, ("b", 1): 7}
+
+
+def test_mesh_samples_lie_evenly_on_their_triangles(spark):
+    from spanlight.operators import sampling
+
+    a, b, c = (0.0, 0.0, 1.0), (4.0, 0.0, 1.0), (0.0, 2.0, 3.0)
+    lit = lambda p: [F.lit(v) for v in p]
+    rows = sampling.mesh_samples(spark.createDataFrame([(1,), (2,)], "id int"), "id", lit(a), lit(b), lit(c), 300.0).collect()
+    n = int(300 * 4 * (2 * 2 + 2 * 2) ** 0.5 / 2)
+    assert [sum(r["id"] == k for r in rows) for k in (1, 2)] == [n, n]
+    inside = [(r["x"] / 4, r["y"] / 2) for r in rows]
+    assert all(-1e-9 <= u and -1e-9 <= v and u + v <= 1 + 1e-9 and abs(r["z"] - 1 - r["y"]) < 1e-9 for (u, v), r in zip(inside, rows))
+    assert abs(sum(u for u, _ in inside) / len(inside) - 1 / 3) < 0.02 and abs(sum(v for _, v in inside) / len(inside) - 1 / 3) < 0.02
