@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, html_text, language_id, lm_scoring, media, mixing, near_dedup, quality, suffix_dedup, warc
+from . import byte_bpe, html_text, language_id, lm_scoring, media, mixing, near_dedup, quality, suffix_dedup, warc, whitening
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -18,6 +18,7 @@ QUERIES = {
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
     "op9_distinct_words": byte_bpe.op9_distinct_words,
     "op10_mixing": mixing.op10_mixing,
+    "op11_embedding_whitening": whitening.op11_embedding_whitening,
 }
 
 ORACLE_SQL = {
