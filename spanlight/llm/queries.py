@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, html_text, language_id, lm_scoring, media, mixing, near_dedup, quality, substring_dedup, suffix_dedup, warc, whitening
+from . import byte_bpe, collocations, html_text, language_id, lm_scoring, media, mixing, near_dedup, quality, substring_dedup, suffix_dedup, warc, whitening
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -19,6 +19,7 @@ QUERIES = {
     "op9_distinct_words": byte_bpe.op9_distinct_words,
     "op10_mixing": mixing.op10_mixing,
     "op11_embedding_whitening": whitening.op11_embedding_whitening,
+    "op12_phrase_collocations": collocations.op12_phrase_collocations,
     "op13_substring_dedup": substring_dedup.op13_substring_dedup,
 }
 
@@ -29,5 +30,6 @@ ORACLE_SQL = {
     "op5_turns_under_documents": lm_scoring.OP5_TURNS_SQL,
     "op8_warc_revisits": warc.OP8_SQL,
     "op10_mixing": mixing.OP10_SQL,
+    "op12_phrase_collocations": collocations.OP12_SQL,
     "op13_substring_dedup": substring_dedup.OP13_SQL,
 }

@@ -5,10 +5,11 @@ fingerprints of 64 bits together identify it. Only edges that start in two docum
 
 * Windows are found by their minimizer, the ``GRAM`` words with the least fingerprint in them: consecutive windows with one
   minimizer are one row (a run), a fifth of the number of words. Runs whose minimizer stands in one document alone go.
-* Runs with equal words (a context) are one from here on, so copies cost a row each, not a row a window.
-* Edges of the contexts are summed: the earliest document and place of each, and whether a later document has it too.
-* The graph is compacted: where one repeated edge alone enters a node and one alone leaves it, and the second follows the first
-  in the document that both come from first, they are joined; what is joined from end to end is a path.
+* Runs with equal words (a context) are one from here on, so copies cost a row each, not a row a window. A context that its
+  minimizer alone has is a chain of edges that no other text enters; other (mixed) contexts are taken edge by edge.
+* Edges are summed: the earliest document and place of each, and whether a later document has it too.
+* The graph is compacted: where one repeated chain or edge alone enters a node and one alone leaves it, and the second follows
+  the first in the document that both come from first, they are joined; what is joined from end to end is a path.
 * Each document's repeated windows are laid along the paths; a span of consecutive windows on one path is verified word by word
   against the path's text at its source before its words go.
 
@@ -101,12 +102,13 @@ def with_lists(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
     return joined.drop("_of", "_print")
 
 
-def edges_of(docs: DataFrame, contexts: DataFrame) -> DataFrame:
-    """The edges of contexts, from the text that each is first in: u, v, doc_id, print, at (the window), key, context, place, most."""
-    lists = contexts.select("at.doc_id", "at.print", F.struct("at.first", "at.last", "key", "context", "most").alias("run")).groupBy("doc_id", "print").agg(F.collect_set("run").alias("runs"))
+def chains_of(docs: DataFrame, contexts: DataFrame) -> DataFrame:
+    """The edges of contexts, from the text that each is first in: u, v, doc_id, print, at (first window), count (of edges), key, context,
+    place (in the context), most, mixed. A mixed context gives a row an edge, another one its edges as one chain."""
+    lists = contexts.groupBy("doc_id", "print").agg(F.collect_set(F.struct("first", "last", "key", "context", "most", "mixed")).alias("runs"))
     source = with_lists(docs.select("doc_id", "text"), lists, "inner").select("doc_id", "print", "text", "runs")
-    kinds = source.schema
-    schema = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType()), kinds["doc_id"], kinds["print"], T.StructField("at", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("context", T.LongType()), T.StructField("place", T.IntegerType()), T.StructField("most", kinds["doc_id"].dataType)])
+    of_doc = source.schema["doc_id"].dataType
+    kinds = {"u": T.LongType(), "v": T.LongType(), "doc_id": of_doc, "print": T.LongType(), "at": T.IntegerType(), "count": T.IntegerType(), "key": T.LongType(), "context": T.LongType(), "place": T.IntegerType(), "most": of_doc, "mixed": T.BooleanType()}
 
     def run(batches):
         for batch in batches:
@@ -117,45 +119,52 @@ def edges_of(docs: DataFrame, contexts: DataFrame) -> DataFrame:
                 starts, ends, _ = words.spans(data, offsets)
                 node = nodes(words.grams(words.fingerprints(data, starts, ends, _NUMBERS), 8)).view(np.int64)
                 lists_ = part.column("runs").flatten()
-                first, last = (lists_.field(k).to_numpy() for k in ("first", "last"))
-                counts = (last - first + 1).astype(np.int64)
-                of = np.repeat(np.arange(len(first)), counts)
-                place = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
-                at, same, rows = first[of] + place, pa.array(np.zeros(len(of), np.int64)), pa.array(of)
+                first, last, mixed = (lists_.field(k).to_numpy(zero_copy_only=False) for k in ("first", "last", "mixed"))
+                rows = np.where(mixed, last - first + 1, 1).astype(np.int64)
+                of = np.repeat(np.arange(len(first)), rows)
+                place = np.arange(len(of)) - np.repeat(np.cumsum(rows) - rows, rows)
+                count = np.where(mixed, 1, last - first + 1)[of]
+                at, same, take = first[of] + place, pa.array(np.zeros(len(of), np.int64)), pa.array(of)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(node[at]), pa.array(node[at + 1]), part.column("doc_id").take(same), part.column("print").take(same), pa.array(at.astype(np.int32)), *[lists_.field(k).take(rows) for k in ("key", "context")], pa.array(place.astype(np.int32)), lists_.field("most").take(rows)],
-                    names=schema.names,
+                    [pa.array(node[at]), pa.array(node[at + count]), part.column("doc_id").take(same), part.column("print").take(same), pa.array(at.astype(np.int32)), pa.array(count.astype(np.int32)), *[lists_.field(k).take(take) for k in ("key", "context")], pa.array(place.astype(np.int32)), *[lists_.field(k).take(take) for k in ("most", "mixed")]],
+                    names=list(kinds),
                 )
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, T.StructType([T.StructField(k, v) for k, v in kinds.items()]))
+
+
+def earliest(*columns: str) -> list:
+    """Aggregates: the columns of a row of the smallest doc_id. All are taken at the same rows, as they share their order."""
+    return [F.min("doc_id").alias("doc_id"), *[F.min_by(c, "doc_id").alias(c) for c in columns]]
 
 
-def repeated_edges(edges: DataFrame) -> DataFrame:
-    """Edges that start in two documents or more -> u, v and the first place (from_doc, from_print, from_at)."""
-    first = F.min(F.struct("doc_id", "print", "at")).alias("src")
-    out = edges.groupBy("u", "v").agg(first, F.max("most").alias("most")).where("src.doc_id < most")
-    return out.select("u", "v", F.col("src.doc_id").alias("from_doc"), F.col("src.print").alias("from_print"), F.col("src.at").alias("from_at"))
+def repeated_chains(chains: DataFrame) -> DataFrame:
+    """What starts in two documents or more: u, v, count, the first place (from_doc, from_print, from_at), and key and context of whole contexts."""
+    edges = chains.where("mixed").groupBy("u", "v").agg(*earliest("print", "at"), F.max("most").alias("most"), F.lit(1).alias("count")).withColumns({"key": F.lit(None).cast("long"), "context": F.lit(None).cast("long")})
+    both = chains.where("not mixed").select("u", "v", "doc_id", "print", "at", "most", "count", "key", "context").unionByName(edges).where("doc_id < most")
+    return both.select("u", "v", "count", F.col("doc_id").alias("from_doc"), F.col("print").alias("from_print"), F.col("at").alias("from_at"), "key", "context")
 
 
 def compacted(graph: DataFrame) -> DataFrame:
-    """The graph's edges with ``path``: the place at which the nonbranching path of the edge begins in its source."""
-    place = F.struct("from_doc", "from_print", "from_at")
-    ends = graph.select(F.col("v").alias("node"), place.alias("enters"), F.lit(None).cast(graph.select(place.alias("p")).schema["p"].dataType).alias("leaves"))
-    ends = ends.unionByName(graph.select(F.col("u").alias("node"), F.lit(None).cast(ends.schema["leaves"].dataType).alias("enters"), place.alias("leaves")))
-    inner = ends.groupBy("node").agg(F.count("enters").alias("i"), F.count("leaves").alias("o"), F.min("enters").alias("a"), F.min("leaves").alias("b"))
-    follows = inner.where("i = 1 and o = 1 and a.from_doc = b.from_doc and a.from_print = b.from_print and b.from_at = a.from_at + 1")
-    key = ["from_doc", "from_print", "from_at"]
-    flagged = graph.join(follows.select("b.*", F.lit(True).alias("joined")), key, "left")
+    """The graph's chains with ``path``: the place at which the nonbranching path of the chain begins in its source."""
+    place, after = ["from_doc", "from_print", "from_at"], F.col("from_at") + F.col("count")
+    enters = graph.select(F.col("v").alias("node"), F.col("from_doc").alias("a_doc"), F.col("from_print").alias("a_print"), after.alias("a_end"))
+    leaves = graph.select(F.col("u").alias("node"), *place)
+    inner = enters.unionByName(leaves, allowMissingColumns=True).groupBy("node").agg(F.count("a_end").alias("i"), F.count("from_at").alias("o"), *[F.max(c).alias(c) for c in ("a_doc", "a_print", "a_end", *place)])
+    follows = inner.where("i = 1 and o = 1 and a_doc = from_doc and a_print = from_print and a_end = from_at").select(*place, F.lit(True).alias("joined"))
+    source = Window.partitionBy("from_doc", "from_print").orderBy("from_at")
+    marked = graph.withColumn("joined", F.lit(None).cast("boolean")).unionByName(follows, allowMissingColumns=True).withColumn("joined", F.max("joined").over(source.rangeBetween(0, 0)))
     heads = F.when(F.col("joined").isNull(), F.col("from_at"))
-    return flagged.withColumn("path", F.max(heads).over(Window.partitionBy("from_doc", "from_print").orderBy("from_at"))).drop("joined")
+    return marked.withColumn("path", F.max(heads).over(source)).where("u is not null").drop("joined")
 
 
-def laid_out(found: DataFrame, edges: DataFrame, paths: DataFrame) -> DataFrame:
-    """Runs of all documents laid along the paths -> doc_id, print, spans (array of first window, path and place on it)."""
-    on_path = edges.select("u", "v", "key", "context", "place", "most").join(paths, ["u", "v"]).where("from_doc < most")
-    step = F.struct("place", "from_doc", "from_print", "path", (F.col("from_at") - F.col("path")).alias("along"))
-    contexts = on_path.groupBy("key", "context").agg(F.collect_set(step).alias("steps"))
-    rows = found.join(contexts, ["key", "context"]).withColumn("steps", F.expr("filter(steps, s -> s.from_doc < doc_id)")).where("size(steps) > 0")
+def laid_out(found: DataFrame, chains: DataFrame, paths: DataFrame) -> DataFrame:
+    """Runs of all documents laid along the paths -> doc_id, print, runs (first window, steps along paths)."""
+    step = lambda place: F.struct(place.alias("place"), "count", "from_doc", "from_print", "path", (F.col("from_at") - F.col("path")).alias("along"))
+    edges = chains.where("mixed").select("u", "v", "key", "context", "place", "most").join(paths.where("key is null").drop("key", "context"), ["u", "v"]).where("from_doc < most")
+    contexts = edges.groupBy("key", "context").agg(F.collect_set(step(F.col("place"))).alias("steps"))
+    contexts = contexts.unionByName(paths.where("key is not null").select("key", "context", F.array(step(F.lit(0))).alias("steps")))
+    rows = found.select("doc_id", "print", "first", "key", "context").join(contexts, ["key", "context"]).withColumn("steps", F.expr("filter(steps, s -> s.from_doc < doc_id)")).where("size(steps) > 0")
     return rows.groupBy("doc_id", "print").agg(F.collect_set(F.struct("first", "steps")).alias("runs"))
 
 
@@ -176,15 +185,15 @@ def pieces_of(lists: DataFrame) -> DataFrame:
                 steps = lists_.flatten().field("steps")
                 lengths = steps.value_lengths().to_numpy()
                 row, first, s = np.repeat(of_run, lengths), np.repeat(lists_.flatten().field("first").to_numpy(), lengths), steps.flatten()
-                place, path, along, prints = (s.field(k).to_numpy() for k in ("place", "path", "along", "from_print"))
+                place, size, path, along, prints = (s.field(k).to_numpy() for k in ("place", "count", "path", "along", "from_print"))
                 doc = s.field("from_doc").dictionary_encode().indices.to_numpy()
                 at = first + place
                 order = np.lexsort((at, row))
-                row, at, path, along, prints, doc = (x[order] for x in (row, at, path, along, prints, doc))
+                row, at, size, path, along, prints, doc = (x[order] for x in (row, at, size, path, along, prints, doc))
                 new = np.ones(len(row), bool)
-                new[1:] = (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1) | (doc[1:] != doc[:-1]) | (prints[1:] != prints[:-1]) | (path[1:] != path[:-1]) | (along[1:] != along[:-1] + 1)
+                new[1:] = (row[1:] != row[:-1]) | (at[1:] != at[:-1] + size[:-1]) | (doc[1:] != doc[:-1]) | (prints[1:] != prints[:-1]) | (path[1:] != path[:-1]) | (along[1:] != along[:-1] + size[:-1])
                 span = np.flatnonzero(new)
-                count = np.diff(np.append(span, len(row)))
+                count = np.add.reduceat(size, span) if len(span) else size
                 begin = path[span] + along[span]  # words of the source: begin <= word < stop
                 stop = begin + count + K - 1
                 each = (stop - 1) // CHUNK - begin // CHUNK + 1
@@ -245,17 +254,18 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     plain = docs.withColumn("text", text_or_empty())
     known = plain.select("doc_id", "text").where(F.col("doc_id").isNotNull())
 
-    keys = all_runs(known, "key").groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key")
+    keys = all_runs(known, "key", "context").groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.min("context").alias("c"), F.max("context").alias("d")).where("a < b").select("key", F.expr("c <> d").alias("mixed"))
     keys = stage.write(keys, "keys")
-    found = stage.write(all_runs(known, "first", "last", "key", "context").join(keys.hint("shuffle_hash"), "key", "left_semi"), "runs")
+    found = stage.write(all_runs(known, "first", "last", "key", "context").join(keys.hint("shuffle_hash"), "key"), "runs")
     stage.drop("keys")
-    contexts = found.groupBy("key", "context").agg(F.min(F.struct("doc_id", "print", "first", "last")).alias("at"), F.max("doc_id").alias("most"))
-    edges = stage.write(edges_of(known, contexts), "edges")
-    graph = stage.write(repeated_edges(edges), "graph")
+    contexts = stage.write(found.groupBy("key", "context", "mixed").agg(*earliest("print", "first", "last"), F.max("doc_id").alias("most")), "contexts")
+    chains = stage.write(chains_of(known, contexts), "chains")
+    stage.drop("contexts")
+    graph = stage.write(repeated_chains(chains), "graph")
     paths = stage.write(compacted(graph), "paths")
     stage.drop("graph")
-    laid = stage.write(laid_out(found, edges, paths), "laid")
-    stage.drop("runs", "edges", "paths")
+    laid = stage.write(laid_out(found, chains, paths), "laid")
+    stage.drop("runs", "chains", "paths")
     pieces = stage.write(pieces_of(laid), "pieces")
     stage.drop("laid")
     chunks = stage.write(chunk_texts(known, pieces), "chunks")
