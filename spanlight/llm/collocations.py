@@ -192,15 +192,19 @@ def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP12_SQL = r"""
 WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
-w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM pieces),
-f AS (SELECT lang, m, g, count(*) AS f FROM (
-  SELECT lang, m, list_slice(w, i, i + m - 1) AS g FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, (VALUES (1), (2), (3)) AS t(m))) GROUP BY ALL),
-n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
-c AS (SELECT * FROM f WHERE m > 1 AND f >= 10),
-cuts AS (SELECT c.lang, c.m, c.g, c.f AS a, k.k, x.f AS l, y.f AS r, (1000000::HUGEINT * c.f * c.f) // (x.f::HUGEINT * y.f) AS score
-  FROM c JOIN (VALUES (1), (2)) AS k(k) ON k.k < c.m JOIN f x ON x.lang = c.lang AND x.g = list_slice(c.g, 1, k.k) JOIN f y ON y.lang = c.lang AND y.g = list_slice(c.g, k.k + 1, c.m)),
-best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
-kept AS (SELECT * FROM best b WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.lang = b.lang AND c.m = 3 AND b.m = 2 AND (list_slice(c.g, 1, 2) = b.g OR list_slice(c.g, 2, 3) = b.g) AND 100 * c.f >= 50 * b.a)),
-ranked AS (SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, score::BIGINT AS score FROM kept)
-SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) QUALIFY rank <= 2000
+lists AS (SELECT lang, row_number() OVER () AS id, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM pieces),
+words AS (SELECT lang, id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM lists),
+runs AS (SELECT lang, x, lead(x) OVER o AS y, lead(x, 2) OVER o AS z FROM words WINDOW o AS (PARTITION BY id ORDER BY i)),
+f1 AS (SELECT lang, x, count(*) AS f FROM runs GROUP BY ALL),
+f2 AS (SELECT lang, x, y, count(*) AS f FROM runs WHERE y IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+f3 AS (SELECT lang, x, y, z, count(*) AS f FROM runs WHERE z IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f1 GROUP BY lang),
+longer AS (SELECT lang, x, y, max(f) AS most FROM (SELECT lang, x, y, f FROM f3 UNION ALL SELECT lang, y, z, f FROM f3) GROUP BY ALL),
+cuts AS (
+  SELECT f2.lang, concat_ws(' ', f2.x, f2.y) AS phrase, f2.f AS a, 1 AS k, l.f AS l, r.f AS r FROM f2 JOIN f1 l ON l.lang = f2.lang AND l.x = f2.x JOIN f1 r ON r.lang = f2.lang AND r.x = f2.y
+  LEFT JOIN longer g ON g.lang = f2.lang AND g.x = f2.x AND g.y = f2.y WHERE g.most IS NULL OR 100 * g.most < 50 * f2.f
+  UNION ALL SELECT f3.lang, concat_ws(' ', f3.x, f3.y, f3.z), f3.f, 1, l.f, r.f FROM f3 JOIN f1 l ON l.lang = f3.lang AND l.x = f3.x JOIN f2 r ON r.lang = f3.lang AND r.x = f3.y AND r.y = f3.z
+  UNION ALL SELECT f3.lang, concat_ws(' ', f3.x, f3.y, f3.z), f3.f, 2, l.f, r.f FROM f3 JOIN f2 l ON l.lang = f3.lang AND l.x = f3.x AND l.y = f3.y JOIN f1 r ON r.lang = f3.lang AND r.x = f3.z),
+scored AS (SELECT *, ((1000000::HUGEINT * a * a) // (l::HUGEINT * r))::BIGINT AS score FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM scored JOIN n USING (lang) QUALIFY rank <= 2000
 """
