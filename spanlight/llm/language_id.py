@@ -14,7 +14,7 @@ scaled sums. The driver holds the training rows' languages with their numbers an
 
 Defined results: a text that is null or has no letter (Unicode category L) is ``und`` with score 0; so is every text where no training row exists; a null
 language is never learned; documents with a null doc_id are neither held out nor trained on; equal texts score alike; of languages with equal posteriors the first in order is taken; repeated rows are
-kept; an empty table gives an empty result; added columns replace clashing ones.
+kept; words are lower-cased by Spark in the fit and by Python in the prediction, which differ in a few letters alone (İ), so a word with one may be cut unlike those that were fitted; an empty table gives an empty result; added columns replace clashing ones.
 """
 
 from __future__ import annotations
@@ -167,34 +167,37 @@ def expected_pieces(word: str, p: Prefixed) -> dict[str, float]:
     """The expected number of each piece in one word's segmentations, of any length. The sums over beginnings are scaled; a place's share of all
     segmentations is dealt from the word's end to the places before it."""
     n, nothing, get = len(word), (), p.get
-    ahead, level, found = [1.0] + [0.0] * n, [0] * (n + 1), [[] for _ in range(n + 1)]
+    ahead, level, found, now = [1.0] + [0.0] * n, [0] * (n + 1), [[] for _ in range(n + 1)], 0
     for i in range(n):
         if ahead[i] < 1e-150:
-            ahead[i:] = [x * 1e140 for x in ahead[i:]]
-            level[i:] = [level[i] + 1] * (n + 1 - i)
-        before = ahead[i]
+            now += 1
+            for j in range(i, min(n, i + p.longest) + 1):  # no piece has reached further yet
+                ahead[j] *= 1e140
+        level[i], before = now, ahead[i]
         for j in range(i + 1, n + 1):
-            piece = word[i:j]
-            q = get(piece, nothing)
+            q = get(word[i:j], nothing)
             if q:
                 ahead[j] += before * q
-                found[j].append((i, piece, q))
+                found[j].append(i)
             else:
                 if j == i + 1:
                     ahead[j] += before * UNKNOWN
-                    found[j].append((i, None, UNKNOWN))
+                    found[j].append(i)
                 if q is nothing:
                     break
+    level[n] = now
     share, out = [0.0] * n + [1.0], {}
     for j in range(n, 0, -1):
         if share[j]:
-            for i, piece, q in found[j]:
-                part = ahead[i] / ahead[j] * q
+            for i in found[j]:
+                piece = word[i:j]
+                q = get(piece, nothing)
+                part = ahead[i] / ahead[j] * (q or UNKNOWN)
                 if level[i] != level[j]:
                     part *= 1e140 ** (level[j] - level[i])
                 part *= share[j]
                 share[i] += part
-                if piece is not None:
+                if q:
                     out[piece] = out.get(piece, 0.0) + part
     return out
 
@@ -255,6 +258,7 @@ class Prefixed(dict):
 
     def __init__(self, pieces: dict[str, tuple]):
         super().__init__()
+        self.longest = max(map(len, pieces), default=1)
         for x in pieces:
             for i in range(1, len(x)):
                 self.setdefault(x[:i], None)
@@ -274,10 +278,9 @@ def word_scores(word: str, pieces: dict[str, tuple], n_langs: int) -> list[float
         if min(before) < 1e-150:
             for k in span:
                 if before[k] < 1e-150:
-                    for row in ahead[i:]:
-                        if row is None:
-                            break
-                        row[k] *= 1e140
+                    for j in range(i, min(n, i + pieces.longest) + 1):  # no piece has reached further yet
+                        if ahead[j] is not None:
+                            ahead[j][k] *= 1e140
                     scale[k] -= 140 * math.log(10)
         for j in range(i + 1, n + 1):
             q = get(word[i:j], nothing)

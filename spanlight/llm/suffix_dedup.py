@@ -241,7 +241,7 @@ def deduplicated(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     columns = [c for c in docs.columns if c.lower() not in added]
     plain = docs.withColumn("text", text_or_empty())
     found = repeated_windows(plain.select("doc_id", "text"), stage, batches)
-    lists = stage.write(found.groupBy("doc_id", "print").agg(F.collect_list(F.struct("first", "last")).alias("runs")), "ranges")
+    lists = stage.write(found.groupBy("doc_id", "print").agg(F.collect_set(F.struct("first", "last")).alias("runs")), "ranges")
     stage.drop("runs", "contexts", "pieces")
     extra = [F.col(c).alias(f"_c{i}") for i, c in enumerate(columns) if c not in ("doc_id", "text")]
     source = with_runs(plain.select("doc_id", "text", *extra), lists, "left").drop("print")

@@ -118,3 +118,34 @@ def test_whole_prediction_against_brute_force(spark):
         logs = [model["prior"][k] + sum(every_segmentation(w, pieces, k) if len(w) < 12 else L.word_scores(w, pieces, 3)[k] for w in words) for k in range(3)]
         assert r["lang_pred"] == "xyz"[logs.index(max(logs))]
         assert r["score"] == pytest.approx(1 / sum(math.exp(x - max(logs)) for x in logs))
+
+
+def test_words_of_many_characters_take_time_by_their_length():
+    import time
+
+    pieces = {L.START: 0.2, "a": 0.1, "ab": 0.2, "abc": 0.1, "c": 0.1, "bcab": 0.3}
+    word, began = "abcab" * 60_000, time.time()
+    expected = L.expected_pieces(L.START + word, L.Prefixed(pieces))
+    assert 0.5 * len(word) < sum(len(k) * v for k, v in expected.items()) < len(word) + 1.001
+    scores = L.word_scores(word, {k: (v, v / 2) for k, v in pieces.items()}, 2)
+    assert time.time() - began < 20 and scores[0] > scores[1]
+    # as long as exact fractions can follow: the same sums without scaling
+    from fractions import Fraction
+
+    short = "abcab" * 150
+    ahead = [Fraction(1)] + [Fraction(0)] * (len(short) + 1)
+    full = L.START + short
+    for i in range(len(full)):
+        for k, v in pieces.items():
+            if full.startswith(k, i):
+                ahead[i + len(k)] += ahead[i] * Fraction(v)
+        if full[i] not in pieces:
+            ahead[i + 1] += ahead[i] * Fraction(L.UNKNOWN)
+    log = lambda f: math.log(f.numerator) - math.log(f.denominator)
+    assert abs(L.word_scores(short, {k: (v,) for k, v in pieces.items()}, 1)[0] - log(ahead[-1])) < 1e-6
+
+
+def test_scaling_reaches_places_that_a_longer_piece_has_set():
+    pieces = {"b": 1e-155, "bbb": 0.5, L.START: 1.0}
+    got = L.word_scores("bbbb", {k: (v,) for k, v in pieces.items()}, 1)[0]
+    assert abs(got - math.log(2 * 0.5 * 1e-155)) < 1e-6

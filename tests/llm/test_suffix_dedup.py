@@ -70,3 +70,15 @@ def test_empty_and_repeated_rows(spark):
     assert S.deduplicated(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     twice = S.deduplicated(spark.createDataFrame([(None, "q" * 150 + "w" * 150)] * 2, "doc_id long, text string")).collect()
     assert [r["n_removed"] for r in twice] == [300, 300] and [r["text"] for r in twice] == ["", ""]
+
+
+def test_equal_rows_are_not_gathered(spark):
+    r = random.Random(8)
+    text = " ".join(str(r.randrange(10**6)) for _ in range(300))
+    docs = spark.createDataFrame([(1, text)] * 10_000, "doc_id long, text string")
+    stage = S.Stage(spark, "equal")
+    found = S.repeated_windows(docs, stage)
+    lists = found.groupBy("doc_id", "print").agg(S.F.collect_set(S.F.struct("first", "last")).alias("runs")).collect()
+    assert len(lists) == 1 and len(lists[0]["runs"]) < 100
+    out = S.deduplicated(docs).groupBy("n_removed").count().collect()
+    assert [(x["n_removed"], x["count"]) for x in out] == [(len(text), 10_000)]
