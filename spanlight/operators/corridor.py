@@ -39,12 +39,11 @@ def tower_points(df: DataFrame, towers: DataFrame, radius: float, least_hag: flo
     """df with tower (null away from all): the nearest tower within a radius of points off the ground. Both sides meet on cells of that size."""
     place = lambda d, c: F.floor(F.col(c) / radius)
     near = towers.select("tower", F.col("x").alias("tx"), F.col("y").alias("ty"), F.explode(F.sequence(place(towers, "x") - 1, place(towers, "x") + 1)).alias("_cx"), F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("_oy"))
-    near = near.withColumn("_cy", F.floor(F.col("ty") / radius) + F.col("_oy")).drop("_oy")
-    d2 = (F.col("x") - F.col("tx")) * (F.col("x") - F.col("tx")) + (F.col("y") - F.col("ty")) * (F.col("y") - F.col("ty"))
-    pairs = df.withColumn("_cx", place(df, "x")).withColumn("_cy", place(df, "y")).join(near, ["_cx", "_cy"], "left")
-    best = F.min(F.when((d2 <= radius * radius) & (F.col("hag") >= least_hag), F.struct(d2.alias("d2"), "tower")))
-    own = df.columns
-    return pairs.groupBy(*own).agg(best.alias("_t"), F.count_distinct("tower").alias("_n")).select(*own, F.col("_t.tower").alias("tower"))
+    near = near.withColumn("_cy", F.floor(F.col("ty") / radius) + F.col("_oy")).groupBy("_cx", "_cy").agg(F.collect_list(F.struct("tower", "tx", "ty")).alias("_near"))  # towers of a cell are few
+    d2 = lambda t: (F.col("x") - t.tx) * (F.col("x") - t.tx) + (F.col("y") - t.ty) * (F.col("y") - t.ty)
+    best = F.array_min(F.transform(F.filter("_near", lambda t: d2(t) <= radius * radius), lambda t: F.struct(d2(t).alias("d2"), t.tower.alias("tower"))))
+    placed = df.withColumn("_cx", place(df, "x")).withColumn("_cy", place(df, "y")).join(near, ["_cx", "_cy"], "left")
+    return placed.select(*df.columns, F.when(F.col("hag") >= least_hag, best).alias("_t")).select(*df.columns, F.col("_t.tower").alias("tower"))
 
 
 def wire_candidates(df: DataFrame, span_table: DataFrame, reach: float, least_hag: float) -> DataFrame:

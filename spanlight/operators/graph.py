@@ -5,7 +5,8 @@ Components are found in rounds (``stars``) that are written to the shared folder
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -43,38 +44,66 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(found.select(F.col("u").alias("id"), F.col("v").alias("component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-def cell_id(*parts: Column) -> Column:
-    """One id of up to three cell indices between -2^20 and 2^20."""
-    out = F.lit(0).cast("long")
-    for p in parts:
-        out = out * (1 << 21) + (p + (1 << 20))
-    return out
-
-
-def cell_of(cell: Column, names: str) -> list[Column]:
-    """The cell indices of an id, named."""
-    return [(F.shiftright(cell, 21 * (len(names) - 1 - i)) % (1 << 21) - (1 << 20)).alias(n) for i, n in enumerate(names)]
-
-
-def cell_edges(cells: DataFrame, names: tuple[str, ...], keep: Column | None = None, carried: tuple[str, ...] = ()) -> DataFrame:
-    """Pairs (u, v) of neighbouring cells, diagonal ones too; keep: a condition on the carried columns and those with prefix n_. The id of a
-    neighbour is the cell's id plus a constant, and only the half of them with larger ids is asked for."""
-    steps = [0]
-    for _ in names:
-        steps = [(1 << 21) * s + d for s in steps for d in (-1, 0, 1)]
-    around = cells.select(F.col("id").alias("u"), F.explode(F.array(*[F.col("id") + F.lit(s) for s in steps if s > 0])).alias("v"), *carried)
+class Grid:
+    """Numbers the cells of a table, whose indices lie in columns: ids rise with the indices from left to right, and a neighbour's id is
+    the cell's plus a constant. The table's bounds set the numbers, so it may lie anywhere; too many cells for 63 bits are an error."""
+
+    def __init__(self, names: Sequence[str], low: Sequence[int], high: Sequence[int]):
+        self.names, self.low = tuple(names), [v - 1 for v in low]  # a margin on each side keeps neighbours apart
+        self.counts = [b - a + 3 for a, b in zip(low, high)]
+        if math.prod(self.counts) >= 1 << 63:
+            raise ValueError(f"{' x '.join(map(str, self.counts))} cells have no numbers of 63 bits; take larger cells")
+
+    @classmethod
+    def of(cls, cells: DataFrame, names: Sequence[str]) -> Grid:
+        row = cells.agg(*[F.min(n) for n in names], *[F.max(n) for n in names]).first()
+        return cls(names, [int(v or 0) for v in row[: len(names)]], [int(v or 0) for v in row[len(names) :]])
+
+    @classmethod
+    def of_points(cls, df: DataFrame, size: float, dims: str = "xyz") -> Grid:
+        return cls.of(df.select(*[F.floor(F.col(c) / F.lit(float(size))).alias(c) for c in dims]), list(dims))
+
+    def id(self, *columns: Column) -> Column:
+        """The number of a cell, of the columns of its names unless others are given."""
+        out = F.lit(0).cast("long")
+        for c, low, n in zip(columns or map(F.col, self.names), self.low, self.counts):
+            out = out * n + (c.cast("long") - low)
+        return out
+
+    def steps(self) -> list[int]:
+        """From a cell's number to those of its neighbours, diagonal ones and itself too."""
+        out = [0]
+        for n in self.counts:
+            out = [s * n + d for s in out for d in (-1, 0, 1)]
+        return out
+
+    def cell(self, number: Column, *names: str) -> list[Column]:
+        """The indices of a numbered cell."""
+        out, below = [], 1
+        for name, low, n in reversed(list(zip(names or self.names, self.low, self.counts))):
+            whole = F.call_function("div", number, F.lit(below).cast("long"))
+            out.append((whole % n + low).alias(name))
+            below *= n
+        return out[::-1]
+
+
+def cell_edges(cells: DataFrame, grid: Grid, keep: Column | None = None, carried: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs (u, v) of neighbouring cells (with ``id``), diagonal ones too; keep: a condition on the carried columns and those with prefix n_. Only
+    the half of the neighbours with larger numbers is asked for."""
+    around = cells.select(F.col("id").alias("u"), F.explode(F.array(*[F.col("id") + F.lit(s) for s in grid.steps() if s > 0])).alias("v"), *carried)
     other = cells.select(F.col("id").alias("v"), *[F.col(c).alias(f"n_{c}") for c in carried])
     pairs = around.join(other, "v")
     return (pairs if keep is None else pairs.where(keep)).select("u", "v")
 
 
-def voxel_components(df: DataFrame, size: float, dims: str = "xyz") -> DataFrame:
-    """df with component: occupied voxels of an edge are connected over faces, edges and corners."""
-    names = tuple(f"_v{c}" for c in dims)
-    placed = df.withColumns({n: F.floor(F.col(c) / F.lit(float(size))) for n, c in zip(names, dims)}).withColumn("_cell", cell_id(*map(F.col, names)))
-    cells = placed.select(F.col("_cell").alias("id")).distinct()
-    found = components(cells, cell_edges(cells, names))
-    return placed.drop("component").join(found.withColumnRenamed("id", "_cell"), "_cell").drop("_cell", *names)
+def voxel_components(df: DataFrame, size: float, dims: str = "xyz", grid: Grid | None = None) -> DataFrame:
+    """df with component: occupied voxels of an edge are connected over faces, edges and corners. A component's number is that of its least
+    voxel in the grid (``Grid.of_points``, unless one is given)."""
+    grid = grid or Grid.of_points(df, size, dims)
+    placed = df.withColumn("_cell", grid.id(*[F.floor(F.col(c) / F.lit(float(size))) for c in dims]))
+    cells = placed.where(F.col("_cell").isNotNull()).select(F.col("_cell").alias("id")).distinct()
+    found = components(cells, cell_edges(cells, grid))
+    return placed.drop("component").join(found.withColumnRenamed("id", "_cell"), "_cell").drop("_cell")
 
 
 def sized(df: DataFrame, low: int, high: int, high_included: bool) -> DataFrame:
@@ -91,9 +120,9 @@ def euclidean_components(df: DataFrame, key: str, tolerance: float, dims: str =
     return df.join(found.withColumnRenamed("id", key), key)
 
 
-def denoise_by_size(df: DataFrame, size: float, min_points: int) -> DataFrame:
+def denoise_by_size(df: DataFrame, size: float, min_points: int, grid: Grid | None = None) -> DataFrame:
     """df with outlier: its voxel component has under min_points points."""
-    c = voxel_components(df, size)
+    c = voxel_components(df, size, grid=grid)
     n = c.groupBy("component").agg((F.count(F.lit(1)) < min_points).alias("outlier"))
     return c.join(n, "component")
 
@@ -111,11 +140,12 @@ def denoise_radius(df: DataFrame, radius: float, min_points: int) -> DataFrame:
     return df.withColumns({f"v{c}": F.floor(F.col(c) / F.lit(2.0 * radius)) for c in "xyz"}).join(dense, ["vx", "vy", "vz"], "left_semi").drop("vx", "vy", "vz")
 
 
-def grown_regions(cells: DataFrame, value: str, step: float) -> DataFrame:
+def grown_regions(cells: DataFrame, value: str, step: float, grid: Grid | None = None) -> DataFrame:
     """cells (cx, cy, value) with component: neighbouring cells connect if their values differ by less than step."""
-    placed = cells.withColumn("id", cell_id(F.col("cx"), F.col("cy")))
+    grid = grid or Grid.of(cells, ("cx", "cy"))
+    placed = cells.withColumn("id", grid.id())
     close = F.abs(F.col(value) - F.col(f"n_{value}")) < step
-    return placed.join(components(placed.select("id"), cell_edges(placed, ("cx", "cy"), close, (value,))), "id").drop("id")
+    return placed.join(components(placed.select("id"), cell_edges(placed, grid, close, (value,))), "id").drop("id")
 
 
 def merged_positions(df: DataFrame, key: str, distance: float, dims: str = "xy") -> DataFrame:
@@ -129,10 +159,8 @@ def grown_from(cells: DataFrame, seed: Column, allowed: Column, carried: tuple[s
     of a cell and, with prefix n_, of the next one. Each round joins the newest cells to their neighbours and is written; it ends when none is new."""
     spark, i = cells.sparkSession, 0
     base = scratch(spark, "grown")
-    placed = written(cells.withColumn("id", cell_id(*map(F.col, names))).withColumn("_seed", F.coalesce(seed, F.lit(False))), base, "cells")
-    steps = [0]
-    for _ in names:
-        steps = [(1 << 21) * s + d for s in steps for d in (-1, 0, 1)]
+    grid = Grid.of(cells, names)
+    placed, steps = written(cells.withColumn("id", grid.id()).withColumn("_seed", F.coalesce(seed, F.lit(False))), base, "cells"), grid.steps()
     new = found = written(placed.where("_seed").select("id"), base, "found-0")
     other = placed.select(F.col("id").alias("_next"), *[F.col(c).alias(f"n_{c}") for c in carried])
     while not new.isEmpty():

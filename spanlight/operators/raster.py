@@ -44,8 +44,9 @@ def morphed_points(df: DataFrame, size: float, k: int) -> DataFrame:
 
 def labelled(mask: DataFrame) -> DataFrame:
     """cx, cy, component: 8-connected."""
-    placed = mask.select("cx", "cy").distinct().withColumn("id", graph.cell_id(F.col("cx"), F.col("cy")))
-    return placed.join(graph.components(placed.select("id"), graph.cell_edges(placed, ("cx", "cy"))), "id").drop("id")
+    grid = graph.Grid.of(mask, ("cx", "cy"))
+    placed = mask.select("cx", "cy").distinct().withColumn("id", grid.id())
+    return placed.join(graph.components(placed.select("id"), graph.cell_edges(placed, grid)), "id").drop("id")
 
 
 def without_small(mask: DataFrame, size: float, least_area: float) -> DataFrame:

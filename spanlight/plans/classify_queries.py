@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import classify as c, sampling as s, windows as w
+from ..operators.graph import Grid
 from ..sources.points import GROUND, KEY, P, points
 from .aggregate_queries import PARABOLA
 from .filter_queries import K
@@ -57,7 +58,8 @@ def p4b(spark, sf):
 
 @query("p5_tree_crowns")
 def p5(spark, sf):
-    tops = s.cell_tops(points(spark, sf).where("seg_type IN (2, 15)"), 10.0, KEY).withColumn("id", F.col("cx") * 100000 + F.col("cy"))
+    tops = s.cell_tops(points(spark, sf).where("seg_type IN (2, 15)"), 10.0, KEY)
+    tops = tops.withColumn("id", Grid.of(tops, ("cx", "cy")).id())
     seeds = w.local_maxima(tops.select("id", F.col("cx").cast("double").alias("x"), F.col("cy").cast("double").alias("y"), "z"), F.lit(2.0), 2.0, "id").select("id", F.lit(True).alias("is_seed"))
     seeded = tops.join(seeds, "id", "left").withColumn("seed", F.when(F.col("is_seed"), F.col("id") + 1).otherwise(0))
     return c.crowns(seeded.select("cx", "cy", "z", "seed"), 10.0, 0.45, 0.55, 4)

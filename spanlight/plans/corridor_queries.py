@@ -16,8 +16,8 @@ OPTIONS = "[Options]\ncell = 5\nlow_height = 20\nhigh_height = 50\nkinds = groun
 
 
 def with_id(spark, sf):
-    """Points with one key: a hash of their five key columns."""
-    return points(spark, sf).withColumn("id", F.xxhash64(*KEY))
+    """Points with one key: a number of the row, written so that it stays."""
+    return written(points(spark, sf).withColumn("id", F.monotonically_increasing_id()), scratch(spark, "numbered"), "points")
 
 
 def heights(spark, sf):
@@ -110,7 +110,6 @@ def e5(spark, sf):
 @query("g4_ranges", f"WITH {P} SELECT cluster_id, round(max(x * 0.6 + y * 0.8), 6) AS reach, min(x) AS x1, min(y) AS y1, max(x) AS x2, max(y) AS y2 FROM p GROUP BY cluster_id")
 def g4(spark, sf):
     """Farthest projection on a direction, and the bounds of the same points as a ring."""
-    ring = F.collect_set(F.struct("x", "y"))
     ends = points(spark, sf).groupBy("cluster_id").agg(F.round(F.max(g.projection(F.col("x"), F.col("y"), (0.6, 0.8))), 6).alias("reach"), F.array_distinct(F.array(F.min(F.struct("x", "y")), F.max(F.struct("x", "y")), F.min_by(F.struct("x", "y"), "y"), F.max_by(F.struct("x", "y"), "y"))).alias("ring"))
     return ends.select("cluster_id", "reach", *g.ring_bounds(F.col("ring")))
 

@@ -24,14 +24,18 @@ CLOSURE_3D = "o AS (SELECT unnest([-1, 0, 1]) AS d), g AS (SELECT a.id AS u, b.i
 
 @query("c2_voxel_clusters", f"WITH RECURSIVE {P}, {VOXELS.format('true')}, {CLOSURE_3D} SELECT CAST(k.x AS BIGINT) AS x, CAST(k.y AS BIGINT) AS y, CAST(k.z AS BIGINT) AS z, CAST(size AS BIGINT) AS size FROM s JOIN k ON k.id = component WHERE size >= 3 AND size < 1000")
 def c2(spark, sf):
-    kept = c.sized(c.voxel_components(points(spark, sf).select("x", "y", "z"), 2.0), 3, 1000, False)
-    return kept.groupBy("component").agg(F.count(F.lit(1)).alias("size")).select(*c.cell_of(F.col("component"), "xyz"), "size")
+    p = points(spark, sf).select("x", "y", "z")
+    grid = c.Grid.of_points(p, 2.0)
+    kept = c.sized(c.voxel_components(p, 2.0, grid=grid), 3, 1000, False)
+    return kept.groupBy("component").agg(F.count(F.lit(1)).alias("size")).select(*grid.cell(F.col("component"), *"xyz"), "size")
 
 
-@query("c4_denoise_by_size", f"WITH RECURSIVE {P}, {VOXELS.format('seg_type IN (2, 6, 15)')}, {CLOSURE_3D} SELECT CAST(k.x AS BIGINT) AS x, CAST(k.y AS BIGINT) AS y, CAST(k.z AS BIGINT) AS z, size < 3 AS outlier, CAST(size AS BIGINT) AS n FROM s JOIN k ON k.id = component")
+@query("c4_denoise_by_size", f"WITH RECURSIVE {P}, {VOXELS.format('true')}, {CLOSURE_3D} SELECT CAST(k.x AS BIGINT) AS x, CAST(k.y AS BIGINT) AS y, CAST(k.z AS BIGINT) AS z, size < 3 AS outlier, CAST(size AS BIGINT) AS n FROM s JOIN k ON k.id = component")
 def c4(spark, sf):
-    d = c.denoise_by_size(points(spark, sf).where("seg_type IN (2, 6, 15)").select("x", "y", "z"), 2.0, 3)
-    return d.groupBy("component", "outlier").agg(F.count(F.lit(1)).alias("n")).select(*c.cell_of(F.col("component"), "xyz"), "outlier", "n")
+    p = points(spark, sf).select("x", "y", "z")
+    grid = c.Grid.of_points(p, 2.0)
+    d = c.denoise_by_size(p, 2.0, 3, grid)
+    return d.groupBy("component", "outlier").agg(F.count(F.lit(1)).alias("n")).select(*grid.cell(F.col("component"), *"xyz"), "outlier", "n")
 
 
 @query("c5_statistical_denoise", f"WITH {E}, d AS (SELECT a.vec_id, b.vec_id AS other, (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z) AS d2 FROM e a JOIN e b ON a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d2, other) AS rank FROM d), m AS (SELECT vec_id, avg(sqrt(d2)) AS d FROM r WHERE rank <= 8 GROUP BY vec_id), s AS (SELECT avg(d) AS a, stddev_samp(d) AS sd FROM m) SELECT vec_id, round(d, 8) AS d, d > a + 1.5 * sd AS outlier FROM m, s")
@@ -50,13 +54,15 @@ CELLS = "k AS (SELECT row_number() OVER (ORDER BY floor(x / 40.0), floor(y / 40.
 @query("c7_grown_regions", f"WITH RECURSIVE {P}, {CELLS.format('avg(z)', 'true')}, {CLOSURE_2D.format(' AND abs(a.top - b.top) < 4')}, s AS (SELECT component, count(*) AS size FROM l GROUP BY component) SELECT CAST(k.x AS BIGINT) AS x, CAST(k.y AS BIGINT) AS y, CAST(size AS BIGINT) AS size FROM s JOIN k ON k.id = component")
 def c7(spark, sf):
     cells = points(spark, sf).groupBy(F.floor(F.col("x") / 40.0).alias("cx"), F.floor(F.col("y") / 40.0).alias("cy")).agg(F.avg("z").alias("top"))
-    return c.grown_regions(cells, "top", 4.0).groupBy("component").agg(F.count(F.lit(1)).alias("size")).select(*c.cell_of(F.col("component"), "xy"), "size")
+    grid = c.Grid.of(cells, ("cx", "cy"))
+    return c.grown_regions(cells, "top", 4.0, grid).groupBy("component").agg(F.count(F.lit(1)).alias("size")).select(*grid.cell(F.col("component"), "x", "y"), "size")
 
 
-@query("c11_raster_components", f"WITH RECURSIVE {P}, {CELLS.format('0', 'seg_type = 3')}, {CLOSURE_2D.format('')}, s AS (SELECT component, count(*) AS size FROM l GROUP BY component) SELECT CAST(k.x AS BIGINT) AS x, CAST(k.y AS BIGINT) AS y, CAST(size AS BIGINT) AS size FROM s JOIN k ON k.id = component")
+@query("c11_raster_components", f"WITH RECURSIVE {P}, {CELLS.format('0', 'seg_type = 3').replace('40.0', '4.0')}, {CLOSURE_2D.format('')}, s AS (SELECT component, count(*) AS size FROM l GROUP BY component) SELECT CAST(k.x AS BIGINT) AS x, CAST(k.y AS BIGINT) AS y, CAST(size AS BIGINT) AS size FROM s JOIN k ON k.id = component")
 def c11(spark, sf):
-    cells = points(spark, sf).where("seg_type = 3").groupBy(F.floor(F.col("x") / 40.0).alias("cx"), F.floor(F.col("y") / 40.0).alias("cy")).agg(F.lit(0.0).alias("top"))
-    return c.grown_regions(cells, "top", 1.0).groupBy("component").agg(F.count(F.lit(1)).alias("size")).select(*c.cell_of(F.col("component"), "xy"), "size")
+    cells = points(spark, sf).where("seg_type = 3").groupBy(F.floor(F.col("x") / 4.0).alias("cx"), F.floor(F.col("y") / 4.0).alias("cy")).agg(F.lit(0.0).alias("top"))
+    grid = c.Grid.of(cells, ("cx", "cy"))
+    return c.grown_regions(cells, "top", 1.0, grid).groupBy("component").agg(F.count(F.lit(1)).alias("size")).select(*grid.cell(F.col("component"), "x", "y"), "size")
 
 
 @query("c15_cluster_registry", f"WITH {P} SELECT cluster_id, seg_type, count(*) AS n, row_number() OVER (ORDER BY cluster_id, seg_type) AS item FROM p GROUP BY cluster_id, seg_type")
@@ -65,7 +71,7 @@ def c15(spark, sf):
     return numbered(t, [F.col("cluster_id"), F.col("seg_type")], "item")
 
 
-@query("c16_cluster_boxes", f"WITH RECURSIVE {P}, {VOXELS.format('seg_type = 4')}, {CLOSURE_3D}, q AS (SELECT l.component, p.* FROM p JOIN k ON k.x = floor(p.x / 2.0) AND k.y = floor(p.y / 2.0) AND k.z = floor(p.z / 2.0) JOIN l USING (id) WHERE seg_type = 4) SELECT min(x) AS x1, min(y) AS y1, max(x) AS x2, max(y) AS y2, {N} FROM q GROUP BY component HAVING count(*) >= 3")
+@query("c16_cluster_boxes", f"WITH RECURSIVE {P}, {VOXELS.format('true')}, {CLOSURE_3D}, q AS (SELECT l.component, p.* FROM p JOIN k ON k.x = floor(p.x / 2.0) AND k.y = floor(p.y / 2.0) AND k.z = floor(p.z / 2.0) JOIN l USING (id)) SELECT min(x) AS x1, min(y) AS y1, max(x) AS x2, max(y) AS y2, {N} FROM q GROUP BY component HAVING count(*) >= 3")
 def c16(spark, sf):
-    kept = c.sized(c.voxel_components(points(spark, sf).where("seg_type = 4").select("x", "y", "z"), 2.0), 3, 1 << 60, True)
+    kept = c.sized(c.voxel_components(points(spark, sf).select("x", "y", "z"), 2.0), 3, 1 << 60, True)
     return kept.groupBy("component").agg(F.min("x").alias("x1"), F.min("y").alias("y1"), F.max("x").alias("x2"), F.max("y").alias("y2"), F.count(F.lit(1)).alias("n")).drop("component")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..operators import filters as f, raster as r, sampling as s
 from ..operators.aggregates import plane_axis
+from ..operators.graph import Grid
 from ..sources import pcd
 from ..sources.points import KEY, P, points
 from ..sources.staging import scratch
@@ -77,14 +78,14 @@ def g11_clip(spark, sf):
 TURN = "atan2(2 * covar_pop(k.x, k.y), covar_pop(k.x, k.x) - covar_pop(k.y, k.y)) / 2"
 
 
-@query("r6_component_lines", f"WITH RECURSIVE {P}, {M.format('seg_type = 4').replace('20.0', '4.0')}, {COMPONENTS.format('m')} SELECT min(k.x) * 100000 + min(k.y) AS component, count(*) AS cells, round(cos({TURN}) * cos({TURN}), 5) + 0.0 AS xx, round(cos({TURN}) * sin({TURN}), 5) + 0.0 AS xy FROM l JOIN k USING (id) GROUP BY component HAVING count(*) BETWEEN 5 AND 400")
+@query("r6_component_lines", f"WITH RECURSIVE {P}, {M.format('seg_type = 4').replace('20.0', '4.0')}, {COMPONENTS.format('m')} SELECT CAST(min(k.x) AS BIGINT) AS cx, CAST(min(k.y) AS BIGINT) AS cy, count(*) AS cells, round(cos({TURN}) * cos({TURN}), 5) + 0.0 AS xx, round(cos({TURN}) * sin({TURN}), 5) + 0.0 AS xy FROM l JOIN k USING (id) GROUP BY component HAVING count(*) BETWEEN 5 AND 400")
 def r6(spark, sf):
     """The main direction of each piece of a mask, in place of a line detector on pixels; as products, which have no sign of their own."""
     cells = points(spark, sf).where("seg_type = 4").select(F.floor(F.col("x") / 4.0).alias("cx"), F.floor(F.col("y") / 4.0).alias("cy")).distinct()
     l = r.labelled(cells).select("component", F.col("cx").cast("double").alias("x"), F.col("cy").cast("double").alias("y"))
-    n = l.groupBy("component").agg(F.count(F.lit(1)).alias("cells"), (F.min("x") * 100000 + F.min("y")).cast("long").alias("least")).where("cells BETWEEN 5 AND 400")
+    n = l.groupBy("component").agg(F.count(F.lit(1)).alias("cells"), F.min("x").cast("long").alias("cx"), F.min("y").cast("long").alias("cy")).where("cells BETWEEN 5 AND 400")
     both = n.join(plane_axis(l, "component"), "component")
-    return both.select(F.col("least").alias("component"), "cells", (F.round(F.col("ux") * F.col("ux"), 5) + 0.0).alias("xx"), (F.round(F.col("ux") * F.col("uy"), 5) + 0.0).alias("xy"))
+    return both.select("cx", "cy", "cells", (F.round(F.col("ux") * F.col("ux"), 5) + 0.0).alias("xx"), (F.round(F.col("ux") * F.col("uy"), 5) + 0.0).alias("xy"))
 
 
 @query("p3c_pole_layers", f"WITH {P}, c AS (SELECT cluster_id, CAST(floor(z / 10.0) AS BIGINT) AS layer, count(DISTINCT (floor(x / 25.0), floor(y / 25.0))) * 625.0 AS area, max(z) - min(z) AS height FROM p WHERE seg_type = 3 GROUP BY 1, 2) SELECT cluster_id, layer, area, height FROM c WHERE area < 10000 AND height > 0.6 * 10")
@@ -101,7 +102,8 @@ def p19(spark, sf):
     from ..operators import classify as c, windows as w
 
     p = points(spark, sf).where("seg_type IN (2, 15) AND x BETWEEN 100 AND 600 AND y BETWEEN 100 AND 600")
-    tops = s.cell_tops(p, 10.0, KEY).withColumn("id", F.col("cx") * 100000 + F.col("cy"))
+    tops = s.cell_tops(p, 10.0, KEY)
+    tops = tops.withColumn("id", Grid.of(tops, ("cx", "cy")).id())
     seeds = w.local_maxima(tops.select("id", F.col("cx").cast("double").alias("x"), F.col("cy").cast("double").alias("y"), "z"), F.lit(2.0), 2.0, "id").select("id", F.lit(True).alias("is_seed"))
     seeded = tops.join(seeds, "id", "left").withColumn("seed", F.when(F.col("is_seed"), F.col("id") + 1).otherwise(0))
     crowns = c.crowns(seeded.select("cx", "cy", "z", "seed"), 10.0, 0.45, 0.55, 4).where("tree <> 0")

@@ -206,3 +206,32 @@ def test_mesh_samples_lie_evenly_on_their_triangles(spark):
     inside = [(r["x"] / 4, r["y"] / 2) for r in rows]
     assert all(-1e-9 <= u and -1e-9 <= v and u + v <= 1 + 1e-9 and abs(r["z"] - 1 - r["y"]) < 1e-9 for (u, v), r in zip(inside, rows))
     assert abs(sum(u for u, _ in inside) / len(inside) - 1 / 3) < 0.02 and abs(sum(v for _, v in inside) / len(inside) - 1 / 3) < 0.02
+
+
+def test_components_far_from_the_origin_in_small_voxels(spark):
+    from spanlight.operators import graph
+
+    base = [(0.0, 0.0, 0.0), (0.1, 0.0, 0.0), (0.2, 0.1, 0.1), (5.0, 5.0, 5.0), (5.1, 5.0, 5.0), (90_000.0, 40.0, -3.0), (-0.5, 0.0, 0.0)]
+    rows = [(i, 500_000.05 + x, 4_000_000.05 + y, z + 0.05) for i, (x, y, z) in enumerate(base + base[:1])]
+    df = spark.createDataFrame(rows, "id long, x double, y double, z double")
+    grid = graph.Grid.of_points(df, 0.1)
+    out = graph.voxel_components(df, 0.1, grid=grid)
+    groups = {}
+    for r in out.collect():
+        groups.setdefault(r["component"], set()).add(r["id"])
+    assert sorted(map(sorted, groups.values())) == [[0, 1, 2, 7], [3, 4], [5], [6]]
+    cells = {r["component"]: (r["x"], r["y"], r["z"]) for r in out.select("component", *grid.cell(F.col("component"), *"xyz")).distinct().collect()}
+    first = {min(v): k for k, v in groups.items()}
+    assert cells[first[5]] == (5_900_000, 40_000_400, -30)
+    with pytest.raises(ValueError):
+        graph.Grid.of_points(spark.createDataFrame([(0.0, 0.0, 0.0), (1e9, 1e9, 1e9)], "x double, y double, z double"), 0.1)
+    assert graph.voxel_components(df.limit(0), 0.1).count() == 0
+
+
+def test_points_near_a_tower_keep_repeated_rows(spark):
+    from spanlight.operators import corridor
+
+    towers = spark.createDataFrame([(1, 0.0, 0.0, 20.0), (2, 8.0, 0.0, 20.0)], "tower long, x double, y double, height double")
+    rows = [(1.0, 1.0, 3.0)] * 3 + [(7.0, 0.0, 3.0), (7.0, 0.0, 0.5), (50.0, 0.0, 9.0), (4.0, 0.0, 3.0)]
+    got = corridor.tower_points(spark.createDataFrame([(x, y, h, h) for x, y, h in rows], "x double, y double, z double, hag double"), towers, 5.0)
+    assert sorted(((r["x"], r["hag"], r["tower"] or 0) for r in got.collect())) == sorted([(1.0, 3.0, 1)] * 3 + [(7.0, 3.0, 2), (7.0, 0.5, 0), (50.0, 9.0, 0), (4.0, 3.0, 1)])
