@@ -112,21 +112,22 @@ def chains_of(docs: DataFrame, contexts: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for row in range(batch.num_rows):
-                part = batch.slice(row, 1)
-                data, offsets = string_bytes(part.column("text"))
-                data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
-                starts, ends, _ = words.spans(data, offsets)
-                node = nodes(words.grams(words.fingerprints(data, starts, ends, _NUMBERS), 8)).view(np.int64)
-                lists_ = part.column("runs").flatten()
+            data, offsets = string_bytes(batch.column("text"))
+            for i, j in blocks(offsets):
+                part, at_ = batch.slice(i, j - i), offsets[i : j + 1] - offsets[i]
+                raw = data[offsets[i] : offsets[j]]
+                starts, ends, value = words.spans(raw, at_)
+                node = nodes(words.grams(words.fingerprints(raw, starts, ends, _NUMBERS), 8)).view(np.int64)
+                base, lists_ = np.searchsorted(value, np.arange(j - i)), part.column("runs").flatten()
+                of_row = np.repeat(np.arange(j - i), part.column("runs").value_lengths().to_numpy())
                 first, last, mixed = (lists_.field(k).to_numpy(zero_copy_only=False) for k in ("first", "last", "mixed"))
                 rows = np.where(mixed, last - first + 1, 1).astype(np.int64)
                 of = np.repeat(np.arange(len(first)), rows)
                 place = np.arange(len(of)) - np.repeat(np.cumsum(rows) - rows, rows)
-                count = np.where(mixed, 1, last - first + 1)[of]
-                at, same, take = first[of] + place, pa.array(np.zeros(len(of), np.int64)), pa.array(of)
+                count, at = np.where(mixed, 1, last - first + 1)[of], first[of] + place
+                here, same, take = base[of_row[of]] + at, pa.array(of_row[of]), pa.array(of)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(node[at]), pa.array(node[at + count]), part.column("doc_id").take(same), part.column("print").take(same), pa.array(at.astype(np.int32)), pa.array(count.astype(np.int32)), *[lists_.field(k).take(take) for k in ("key", "context")], pa.array(place.astype(np.int32)), *[lists_.field(k).take(take) for k in ("most", "mixed")]],
+                    [pa.array(node[here]), pa.array(node[here + count]), part.column("doc_id").take(same), part.column("print").take(same), pa.array(at.astype(np.int32)), pa.array(count.astype(np.int32)), *[lists_.field(k).take(take) for k in ("key", "context")], pa.array(place.astype(np.int32)), *[lists_.field(k).take(take) for k in ("most", "mixed")]],
                     names=list(kinds),
                 )
 
@@ -220,7 +221,8 @@ def chunk_texts(docs: DataFrame, pieces: DataFrame) -> DataFrame:
         for batch in batches:
             for row in range(batch.num_rows):
                 part = batch.slice(row, 1)
-                found = part.column("text")[0].as_py().encode().split()
+                data, offsets = string_bytes(part.column("text"))
+                found = data[offsets[0] : offsets[1]].tobytes().split()
                 chunks = part.column("chunks")[0].as_py()
                 same = pa.array(np.zeros(len(chunks), np.int64))
                 cut = [b" ".join(found[c * CHUNK : (c + 1) * CHUNK]) for c in chunks]
@@ -229,26 +231,31 @@ def chunk_texts(docs: DataFrame, pieces: DataFrame) -> DataFrame:
     return source.mapInArrow(run, schema).dropDuplicates(["from_doc", "from_print", "chunk"])
 
 
-def removed_words(found: list[bytes], pieces: list[dict]) -> np.ndarray:
-    """Which words lie in a window of a span; windows with a word that its source doesn't have stay."""
+def removed_words(found: list[bytes], pieces: list[tuple]) -> np.ndarray:
+    """Which words lie in a window of a span; windows with a word that its source doesn't have stay. pieces: (first, count, at, n, skip, words)."""
     out = np.zeros(len(found) + 1, np.int64)
     spans: dict[int, np.ndarray] = {}
-    for p in pieces:
-        same = spans.setdefault(p["first"], np.zeros(p["count"] + K - 1, bool))
-        theirs, mine = p["words"].split(b" ")[p["skip"] : p["skip"] + p["n"]], found[p["at"] : p["at"] + p["n"]]
-        i = p["at"] - p["first"]
-        same[i : i + p["n"]] = True if theirs == mine else [a == b for a, b in zip(theirs, mine)] + [False] * (p["n"] - min(len(theirs), len(mine)))
+    for first, count, at, n, skip, text in pieces:
+        same = spans.get(first)
+        if same is None:
+            same = spans[first] = np.zeros(count + K - 1, bool)
+        theirs, mine = text.split(b" ")[skip : skip + n], found[at : at + n]
+        i = at - first
+        same[i : i + n] = True if theirs == mine else [a == b for a, b in zip(theirs, mine)] + [False] * (n - min(len(theirs), len(mine)))
     for first, same in spans.items():
-        good = np.ones(len(same) - K + 1, bool) if same.all() else np.convolve(same, np.ones(K, int), "valid") == K
-        at = first + np.flatnonzero(good)
-        np.add.at(out, at, 1)
-        np.add.at(out, at + K, -1)
+        if same.all():
+            out[first] += 1
+            out[first + len(same)] -= 1
+        else:
+            for at in (first + np.flatnonzero(np.convolve(same, np.ones(K, int), "valid") == K)).tolist():
+                out[at] += 1
+                out[at + K] -= 1
     return np.cumsum(out[:-1]) > 0
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, with_text: bool = True) -> DataFrame:
     """docs with doc_id, text -> the same rows, text without what repeats from earlier documents (its words joined by one space; texts that
-    lose nothing stay as they are), and the columns ``ADDED``."""
+    lose nothing stay as they are; no text at all unless ``with_text``), and the columns ``ADDED``."""
     stage = Stage(docs.sparkSession, "debruijn")
     columns = [c for c in docs.columns if c.lower() not in ADDED]
     plain = docs.withColumn("text", text_or_empty())
@@ -272,38 +279,46 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     texts = pieces.join(chunks, ["from_doc", "from_print", "chunk"]).groupBy("doc_id", "print").agg(F.collect_list(F.struct("first", "count", "at", "n", "skip", "words")).alias("pieces"))
     texts = stage.write(texts, "texts")
     stage.drop("pieces", "chunks")
-    return without(plain, texts, columns)
+    return without(plain, texts, columns, with_text)
 
 
-def without(docs: DataFrame, texts: DataFrame, columns: list[str]) -> DataFrame:
+def without(docs: DataFrame, texts: DataFrame, columns: list[str], with_text: bool) -> DataFrame:
+    """docs without the windows that pieces cover, as far as they hold the words of their source."""
     others = [c for c in columns if c not in ("doc_id", "text")]
     aliases = {c: f"_c{i}" for i, c in enumerate(others)}
     source = with_lists(docs.select("doc_id", "text", *[F.col(c).alias(k) for c, k in aliases.items()]), texts, "left")
-    names = ["doc_id", "text", *aliases.values()]
+    names = ["doc_id", *(["text"] if with_text else []), *aliases.values()]
     schema = plus(source.select(*names).schema, n_words="long", n_removed="long", kept_sha256="string")
 
     def run(batches):
         for batch in batches:
             for start in range(0, batch.num_rows, 64):
                 part = batch.slice(start, 64)
+                (data, offsets), lists = string_bytes(part.column("text")), part.column("pieces")
+                rows, ends = lists.flatten(), np.append(0, np.cumsum(lists.value_lengths().fill_null(0).to_numpy()))
+                numbers = [rows.field(k).to_pylist() for k in ("first", "count", "at", "n", "skip")]
                 texts_, totals, gone, digests = [], [], [], []
-                for text, pieces in zip(part.column("text").to_pylist(), part.column("pieces").to_pylist()):
-                    found = text.encode().split()
-                    out = removed_words(found, pieces) if pieces else None
-                    kept = [w for w, o in zip(found, out.tolist()) if not o] if out is not None and out.any() else found
+                for i in range(part.num_rows):
+                    raw = data[offsets[i] : offsets[i + 1]].tobytes()
+                    kept = found = raw.split()
+                    a, b = int(ends[i]), int(ends[i + 1])
+                    if a < b:
+                        out = removed_words(found, list(zip(*[v[a:b] for v in numbers], rows.field("words")[a:b].to_pylist())))
+                        kept = [w for w, o in zip(found, out.tolist()) if not o]
                     joined = b" ".join(kept)
-                    texts_.append(text if len(kept) == len(found) else joined.decode())
+                    if with_text:
+                        texts_.append((raw if len(kept) == len(found) else joined).decode())
                     totals.append(len(found))
                     gone.append(len(found) - len(kept))
                     digests.append(hashlib.sha256(joined).hexdigest())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts_, pa.string()), *[part.column(k) for k in names[2:]], pa.array(totals, pa.int64()), pa.array(gone, pa.int64()), pa.array(digests)], names=[*names, *ADDED])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *([pa.array(texts_, pa.string())] if with_text else []), *[part.column(k) for k in aliases.values()], pa.array(totals, pa.int64()), pa.array(gone, pa.int64()), pa.array(digests)], names=[*names, *ADDED])
 
-    out = source.select(*names, "pieces").mapInArrow(run, schema)
-    return out.select(*[F.col(aliases.get(c, c)).alias(c) for c in columns], *ADDED)
+    out = source.select("doc_id", "text", *aliases.values(), "pieces").mapInArrow(run, schema)
+    return out.select(*[F.col(aliases.get(c, c)).alias(c) for c in columns if with_text or c != "text"], *ADDED)
 
 
 def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False)
 
 
 OP13_SQL = r"""

@@ -71,9 +71,8 @@ def test_empty(spark):
 
 def test_words_that_differ_from_their_source_stay():
     words = [b"%d" % i for i in range(20)]
-    piece = {"first": 0, "count": 8, "at": 0, "n": 20, "skip": 1, "words": b" ".join([b"x", *words[:15], b"other", *words[16:]])}
-    assert S.removed_words(words, [piece]).tolist() == [True] * 15 + [False] * 5
-    assert S.removed_words(words, [piece | {"words": b" ".join([b"x", *words])}]).all()
+    assert S.removed_words(words, [(0, 8, 0, 20, 1, b" ".join([b"x", *words[:15], b"other", *words[16:]]))]).tolist() == [True] * 15 + [False] * 5
+    assert S.removed_words(words, [(0, 8, 0, 20, 1, b" ".join([b"x", *words]))]).all()
 
 
 def test_whole_table(spark):
