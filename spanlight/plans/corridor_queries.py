@@ -3,10 +3,10 @@
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..operators import corridor as c, fits, graph
+from ..operators import corridor as c, fits, graph, terrain
 from ..operators import classify
 from ..sources.files import Options
-from ..sources.points import KEY, P, points
+from ..sources.points import GROUND, KEY, P, points
 from ..sources.staging import scratch, written
 from .classify_queries import HEIGHTS, _pmf_sql
 from .filter_queries import INSIDE, K, RING, SIDES
@@ -58,8 +58,8 @@ def p3f(spark, sf):
 
 @query("p4a_buildings")
 def p4a(spark, sf):
-    """Roofs among high points; tested on known roofs."""
-    return c.buildings(heights(spark, sf), "id", voxel=8.0, least=10, within=2.0, share=0.3).agg(F.count(F.lit(1)).alias("n"))
+    """Roofs among points high above the triangulated terrain; tested on known roofs."""
+    return c.buildings(terrain.normalised(with_id(spark, sf), GROUND, 0.5, 5.0), "id", voxel=8.0, least=10, within=2.0, share=0.3).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("p8_steep_regions")
