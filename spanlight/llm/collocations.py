@@ -30,7 +30,7 @@ PIECE_ENDS = words.bytes_of([*b".,;:!?", *range(0x0A, 0x0E)])
 BLANK = PIECE_ENDS | words.bytes_of(b" \t")
 #: Bits of a filter, and places that an id sets.
 BITS, PLACES = 1 << 26, 4
-_BLOCK = 4 << 20
+_BLOCK = 2 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _U = np.uint64

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Sequences of a container before it bursts, and of a trie before it spills.
-BURST, MOST = 1 << 15, 3 << 20
+BURST, MOST = 1 << 15, 1 << 20
 Entries = tuple[np.ndarray, np.ndarray]  # (depth, n) ids and n counts, by rising ids
 
 
@@ -35,7 +35,7 @@ class Container:
         self.settled = self.size if len(parts) == 1 else 0
 
     def put(self, ids: np.ndarray, counts: np.ndarray) -> None:
-        self.parts.append((ids, counts))
+        self.parts.append((ids.copy(), counts.copy()))  # a view would hold the whole block
         self.size += ids.shape[1]
 
     def settle(self) -> Entries:
@@ -88,7 +88,7 @@ class Node:
             cut = int(np.searchsorted(at, middle)) or int(np.searchsorted(at, middle, "right"))
             if cut < len(at):
                 self.low = np.insert(self.low, i + 1, at[cut])
-                self.children[i : i + 1] = [Container([(ids[:, :cut], counts[:cut])]), Container([(ids[:, cut:], counts[cut:])])]
+                self.children[i : i + 1] = [Container([(ids[:, a:b].copy(), counts[a:b].copy())]) for a, b in ((0, cut), (cut, len(at)))]
                 stack += [i, i + 1]
             elif self.level + 1 < len(ids):
                 below = Node(self.level + 1, [child])
