@@ -49,3 +49,44 @@ def test_a_task_that_runs_again_leaves_its_points_once(spark, tmp_path):
     las.write_las(points, str(tmp_path))
     las.write_las(points, str(tmp_path))
     assert las.read_las(spark, str(tmp_path)).count() == 10 and las.headers(spark, str(tmp_path)).selectExpr("sum(n)").first()[0] == 10
+
+
+def test_records_by_ranges_boxes_and_numbers(spark, tmp_path):
+    for part, x in (("a", 0.0), ("b", 1000.0)):
+        n = 2500
+        data = bytearray(las.encode(np.arange(n) * 0.1 + x, np.arange(n) * 0.01, np.zeros(n), np.arange(n) % 20, np.zeros((n, 3), int), epsg=32650))
+        if part == "a":
+            data[struct.unpack_from("<I", data, 96)[0] + 15] |= 0xA0  # flags beside the class of the first record
+        (tmp_path / f"{part}.las").write_bytes(data)
+    path = str(tmp_path)
+    everything = las.read_las(spark, path, size=400)
+    assert everything.rdd.getNumPartitions() == 14 and everything.count() == 5000
+    assert sorted(map(tuple, everything.collect())) == sorted(map(tuple, las.read_las(spark, path, whole=True).collect()))
+    assert everything.where("point_id = 0").agg({"label": "max"}).first()[0] == 0 and everything.agg({"label": "max"}).first()[0] == 19
+    box = (10.0, 0.0, 20.05, 9.0)
+    assert las.ranges(spark, path, box).selectExpr("count(*)", "sum(bytes)").first() == (1, 2500 * 26)  # the other file isn't opened again
+    assert [round(r["x"], 1) for r in las.read_las(spark, path, box).orderBy("x").collect()] == [round(10 + 0.1 * i, 1) for i in range(101)]
+    assert las.read_las(spark, path, records=(2490, 9999)).count() == 20 and las.read_las(spark, path, records=(9, 9)).count() == 0
+    assert {tuple(r) for r in las.headers(spark, path).select("n", "format", "epsg", "x1").collect()} == {(2500, 2, 32650, 0.0), (2500, 2, 32650, 1000.0)}
+
+
+def test_a_file_beyond_two_gigabytes(spark, tmp_path):
+    n = 100_000_000
+    head = bytearray(las.encode(np.array([1.0]), np.array([2.0]), np.array([3.0]), np.array([4]), np.zeros((1, 3), int)))
+    struct.pack_into("<I", head, 107, n)
+    offset = struct.unpack_from("<I", head, 96)[0]
+    record = bytes(head[offset:])
+    with open(tmp_path / "large.las", "wb") as f:
+        f.write(head)
+        f.truncate(offset + 26 * n)  # holes, not bytes on disk
+        f.seek(offset + 26 * (n - 1))
+        f.write(record)
+    path = str(tmp_path)
+    plan = las.ranges(spark, path)
+    assert plan.selectExpr("count(*)", "sum(count)", "max(bytes)").first() == (50, n, 2_000_000 * 26) and las.headers(spark, path).first()["n"] == n
+    tail = las.read_las(spark, path, records=(n - 3, n)).orderBy("point_id").collect()
+    assert [r["point_id"] for r in tail] == [n - 3, n - 2, n - 1] and (tail[-1]["x"], tail[-1]["label"]) == (1.0, 4)
+    with open(tmp_path / "large.las", "r+b") as f:
+        f.truncate(offset + 26)
+    with pytest.raises(Exception, match="too few"):
+        las.headers(spark, path).collect()
