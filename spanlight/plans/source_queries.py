@@ -3,9 +3,10 @@
 from pyspark.sql import functions as F
 
 from ..operators import sampling as s
-from ..sources import files, las
-from ..sources.points import P, points
+from ..sources import files, las, layout
+from ..sources.points import KEY, P, points
 from ..sources.staging import scratch
+from .filter_queries import INSIDE, K, RING, SIDES
 from .registry import query
 
 TILE = "CAST(floor(x / 125.0) AS BIGINT) AS tx, CAST(floor(y / 125.0) AS BIGINT) AS ty"
@@ -86,3 +87,17 @@ def k7(spark, sf):
     key = F.md5(F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(F.col("l_extendedprice") * 100).cast("long")).cast("binary"))
     h = points(spark, sf).select(F.floor(F.col("x") / 125.0).alias("px"), F.floor(F.col("y") / 125.0).alias("py"), key.alias("h"))
     return s.pyramid(h, "h", 3, 0.25, 10).groupBy("level", "px", "py").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("first"))
+
+
+@query("f24_stored_layout", f"WITH {P}, {SIDES} SELECT {K} FROM p WHERE {INSIDE}")
+def f24_stored(spark, sf):
+    """The points stored along a curve and read back for a polygon: files by their boxes, row groups by their bounds."""
+    path = scratch(spark, "layout")
+    layout.write_layout(points(spark, sf), path, file_points=max(1000, spark.read.parquet(f"{sf}/lineitem.parquet").count() // 64), group_bytes=1 << 18)
+    return layout.read_layout(spark, path, RING).select(*KEY)
+
+
+@query("s3_record_ranges", "SELECT count(*) AS n, count(*) * 26 AS bytes FROM lineitem")
+def s3_ranges(spark, sf):
+    """The ranges of records that a scan of the points' files would read."""
+    return las.ranges(spark, las_copy(spark, sf), size=1000).agg(F.sum("count").alias("n"), F.sum("bytes").alias("bytes"))

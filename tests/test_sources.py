@@ -1,6 +1,7 @@
 import struct
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from spanlight.sources import files, las
@@ -90,3 +91,43 @@ def test_a_file_beyond_two_gigabytes(spark, tmp_path):
         f.truncate(offset + 26)
     with pytest.raises(Exception, match="too few"):
         las.headers(spark, path).collect()
+
+
+def scanned(df):
+    """Files and rows that the scan of an executed query gave out."""
+    stack, found = [df._jdf.queryExecution().executedPlan()], []
+    while stack:
+        node = stack.pop()
+        if node.nodeName().startswith("AdaptiveSparkPlan"):
+            stack.append(node.executedPlan())
+            continue
+        if node.nodeName().startswith("Scan"):
+            found.append(tuple(node.metrics().apply(k).value() for k in ("numFiles", "numOutputRows")))
+        stack += [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
+def test_a_polygon_reads_few_files_and_row_groups(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from spanlight.functions import geometry as g
+    from spanlight.sources import layout
+
+    n = 400_000
+    r = np.random.default_rng(3)
+    points = spark.createDataFrame(pd.DataFrame({"x": r.uniform(5e5, 5e5 + 1000, n), "y": r.uniform(4e6, 4e6 + 1000, n), "z": r.normal(size=n)}))
+    points = points.unionByName(spark.createDataFrame([(5e5 + 3, 4e6 + 3, 0.0)] * 1000 + [(None, 4e6, 1.0)], "x double, y double, z double"))
+    path = str(tmp_path / "stored")
+    layout.write_layout(points, path, file_points=8_000, group_bytes=1 << 14)
+    assert layout.read_layout(spark, path).count() == n + 1001 and layout.catalogue(spark, path).agg(F.sum("n")).first()[0] == n + 1001
+    ring = [(5e5 + 400, 4e6 + 400), (5e5 + 500, 4e6 + 410), (5e5 + 490, 4e6 + 510), (5e5 + 410, 4e6 + 500)]  # about 1 % of the area
+    found = layout.read_layout(spark, path, ring)
+    rows = found.collect()
+    want = points.where(g.in_polygon(F.col("x"), F.col("y"), ring))
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, want.collect())) and len(rows) > 3000
+    ((files, out),) = scanned(found)
+    assert files <= 5 and out < 0.05 * n
+    assert layout.read_layout(spark, path, box=(5e5, 4e6, 5e5 + 5, 4e6 + 5)).where("z = 0").count() == 1000
+    assert layout.read_layout(spark, path, [(0, 0), (1, 0), (0, 1)]).count() == 0
+    layout.write_layout(points.limit(0), str(tmp_path / "none"))
+    assert layout.read_layout(spark, str(tmp_path / "none"), ring).count() == 0
