@@ -80,8 +80,10 @@ def runs(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def all_runs(docs: DataFrame, *fields: str) -> DataFrame:
-    """docs with doc_id, text -> doc_id, print (of the text) and ``fields`` of all runs."""
-    source = docs.select("doc_id", F.xxhash64("text").alias("print"), "text")
+    """docs with doc_id, text -> doc_id, print (of the text, if it is among the fields) and ``fields`` of all runs."""
+    own = ["doc_id", *(["print"] if "print" in fields else [])]
+    fields = [f for f in fields if f != "print"]
+    source = docs.withColumn("print", F.xxhash64("text")).select(*own, "text")
     kinds = {"first": "int", "last": "int", "key": "long", "context": "long"}
 
     def run(batches):
@@ -90,9 +92,9 @@ def all_runs(docs: DataFrame, *fields: str) -> DataFrame:
             for i, j in blocks(offsets):
                 found = runs(data, offsets[i : j + 1])
                 of = pa.array(found["value"] + i)
-                yield pa.RecordBatch.from_arrays([batch.column(k).take(of) for k in ("doc_id", "print")] + [pa.array(found[k].astype(np.int32) if kinds[k] == "int" else found[k]) for k in fields], names=["doc_id", "print", *fields])
+                yield pa.RecordBatch.from_arrays([batch.column(k).take(of) for k in own] + [pa.array(found[k].astype(np.int32) if kinds[k] == "int" else found[k]) for k in fields], names=[*own, *fields])
 
-    return source.mapInArrow(run, plus(source.select("doc_id", "print").schema, **{k: kinds[k] for k in fields}))
+    return source.mapInArrow(run, plus(source.select(*own).schema, **{k: kinds[k] for k in fields}))
 
 
 def with_lists(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
@@ -263,7 +265,7 @@ def deduplicated(docs: DataFrame, with_text: bool = True) -> DataFrame:
 
     keys = all_runs(known, "key", "context").groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.min("context").alias("c"), F.max("context").alias("d")).where("a < b").select("key", F.expr("c <> d").alias("mixed"))
     keys = stage.write(keys, "keys")
-    found = stage.write(all_runs(known, "first", "last", "key", "context").join(keys.hint("shuffle_hash"), "key"), "runs")
+    found = stage.write(all_runs(known, "print", "first", "last", "key", "context").join(keys.hint("shuffle_hash"), "key"), "runs")
     stage.drop("keys")
     contexts = stage.write(found.groupBy("key", "context", "mixed").agg(*earliest("print", "first", "last"), F.max("doc_id").alias("most")), "contexts")
     chains = stage.write(chains_of(known, contexts), "chains")
