@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 @dataclass(frozen=True)
@@ -258,6 +258,38 @@ SYSTEMS = {
     28992: lambda: ObliqueStereographic(52 + 9 / 60 + 22.178 / 3600, 5 + 23 / 60 + 15.5 / 3600, 0.9999079, 155_000.0, 463_000.0, BESSEL),
     29873: lambda: HotineObliqueMercator(4.0, 115.0, 53 + 18 / 60 + 56.9537 / 3600, 53 + 7 / 60 + 48.3685 / 3600, 0.99984, 590_476.87, 442_857.65, EVEREST),
 }
+
+
+@dataclass(frozen=True)
+class Datum:
+    """Seven parameters that take geocentric places to WGS 84: shifts in metres, turns in seconds of arc (of the position vector), scale in millionths."""
+
+    shift: tuple[float, float, float] = (0.0, 0.0, 0.0)
+    turn: tuple[float, float, float] = (0.0, 0.0, 0.0)
+    scale: float = 0.0
+
+    def matrix(self) -> list[list[float]]:
+        x, y, z = (math.radians(v / 3600) for v in self.turn)
+        return [[(1 + self.scale * 1e-6) * v for v in row] for row in ((1.0, -z, y), (z, 1.0, -x), (-y, x, 1.0))]
+
+    def to_wgs84(self, x: Column, y: Column, z: Column) -> tuple[Column, ...]:
+        return tuple(t + m[0] * x + m[1] * y + m[2] * z for t, m in zip(self.shift, self.matrix()))
+
+    def from_wgs84(self, x: Column, y: Column, z: Column) -> tuple[Column, ...]:
+        a, b, c = self.matrix()
+        cross = lambda p, q: (p[1] * q[2] - p[2] * q[1], p[2] * q[0] - p[0] * q[2], p[0] * q[1] - p[1] * q[0])
+        det = sum(u * v for u, v in zip(a, cross(b, c)))
+        columns = (cross(b, c), cross(c, a), cross(a, b))
+        moved = [v - t for v, t in zip((x, y, z), self.shift)]
+        return tuple(sum((moved[k] * (columns[k][i] / det) for k in range(1, 3)), moved[0] * (columns[0][i] / det)) for i in range(3))
+
+
+#: Of the systems whose datum isn't WGS 84 or one taken as equal to it.
+DATUMS = {
+    27700: Datum((446.448, -125.157, 542.060), (0.1502, 0.2470, 0.8421), -20.4894),
+    28992: Datum((565.2369, 50.0087, 465.658), (-0.406857, 0.350733, -1.87035), 4.0812),
+    29873: Datum((-533.4, 669.2, -52.5), (0.0, 0.0, 4.28), 9.4),
+}
 #: Metres of a unit of length.
 UNITS = {"metre": 1.0, "foot": 0.3048, "us_foot": 1200 / 3937, "kilometre": 1000.0}
 
@@ -292,11 +324,27 @@ def utm_code(lon: Column, lat: Column) -> Column:
 
 
 def transformed(x: Column, y: Column, source: int, target: int, unit: str = "metre") -> tuple[Column, Column]:
-    """Coordinates of one system in another one. Datums aren't shifted: longitude and latitude are taken as they are. unit: of the source's lengths."""
+    """Coordinates of one system in another one. Datums aren't shifted: longitude and latitude are taken as they are (``moved`` shifts them). unit: of the source's lengths."""
     lon, lat = system(source).inverse(x * UNITS[unit], y * UNITS[unit]) if source != 4326 else (x, y)
     return system(target).forward(lon, lat)
 
 
+def moved(df: DataFrame, source: int, target: int, unit: str = "metre") -> DataFrame:
+    """df with x and y of one system in another one, at height 0. Systems with seven parameters (``DATUMS``) are shifted from their datum or to it, through geocentric places
+    on WGS 84; among the others longitude and latitude are taken as they are. Each step is a column of its own, so no expression is written out twice."""
+    step = lambda d, names, columns: d.withColumns(dict(zip(names, columns)))
+    own = system(source).inverse(F.col("x") * UNITS[unit], F.col("y") * UNITS[unit]) if source != 4326 else (F.col("x"), F.col("y"))
+    df = step(df, ("_lon", "_lat"), own)
+    if DATUMS.get(source) != DATUMS.get(target):
+        on, to = (getattr(system(c), "e", WGS84) for c in (source, target))
+        place = ("_gx", "_gy", "_gz")
+        df = step(df, place, to_geocentric(F.col("_lon"), F.col("_lat"), F.lit(0.0), on))
+        df = step(df, place, DATUMS.get(source, Datum()).to_wgs84(*map(F.col, place)))
+        df = step(df, place, DATUMS.get(target, Datum()).from_wgs84(*map(F.col, place)))
+        df = step(df, ("_lon", "_lat"), from_geocentric(*map(F.col, place), to)[:2]).drop(*place)
+    return step(df, ("x", "y"), system(target).forward(F.col("_lon"), F.col("_lat"))).drop("_lon", "_lat")
+
+
 def well_known_text(code: int) -> str:
     """A short description of a projected or geographic system that ends with its code, as files carry it."""
     if code == 4326:

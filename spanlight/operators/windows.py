@@ -75,17 +75,25 @@ def detail_level(place: Column) -> Column:
 
 
 def densest_slices(slices: DataFrame, ahead: int) -> DataFrame:
-    """slices (slice, n): the fullest slice in each forward window, as a set."""
-    w = Window.orderBy("slice").rowsBetween(0, ahead - 1)
-    best = F.max(F.struct("n", (-F.col("slice")).alias("s"))).over(w)
-    return slices.select((-best["s"]).alias("slice")).distinct()
+    """slices (slice, n): the fullest slice in each forward window of ``ahead`` slices that are there, as a set. Each slice goes to the windows that it is in by its place,
+    so no task holds the whole order."""
+    placed = numbered(slices, [F.col("slice")], "_place")
+    each = placed.select(F.explode(F.sequence(F.col("_place") - (ahead - 1), F.col("_place"))).alias("first"), F.struct("n", (-F.col("slice")).alias("s")).alias("v"))
+    return each.where("first > 0").groupBy("first").agg(F.max("v").alias("v")).select((-F.col("v.s")).alias("slice")).distinct()
 
 
 def packed_boxes(tiles: DataFrame, order: str, count: str, parts: int) -> DataFrame:
-    """Tiles packed along an order into boxes of about total / parts points: by the running sum."""
-    total = tiles.agg(F.sum(count).alias("_total"))
-    running = F.sum(count).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    return tiles.crossJoin(F.broadcast(total)).withColumn("box", F.floor(F.coalesce(running, F.lit(0)) * parts / F.col("_total"))).drop("_total")
+    """Tiles packed along an order into boxes of about total / parts points: by the running sum, which is added up within ranges and moved on by the
+    sums of the ranges before (one row a range)."""
+    from ..sources.staging import scratch, written
+
+    rows = written(tiles.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id()), scratch(tiles.sparkSession, "packed"), "rows")
+    sums = rows.groupBy("_part").agg(F.sum(count).alias("_sum"))
+    whole = Window.orderBy("_part")
+    before = sums.select("_part", (F.sum("_sum").over(whole) - F.col("_sum")).alias("_before"), F.sum("_sum").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_total"))
+    running = F.sum(count).over(Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    placed = rows.withColumn("_running", F.coalesce(running, F.lit(0))).join(F.broadcast(before), "_part")
+    return placed.withColumn("box", F.floor((F.col("_before") + F.col("_running")) * parts / F.col("_total"))).drop("_part", "_running", "_before", "_total")
 
 
 def numbered(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:

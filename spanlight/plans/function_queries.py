@@ -252,3 +252,23 @@ def x8(spark, sf):
     at = places(spark, sf).select("s_suppkey", x.alias("x"), y.alias("y"))
     x, y = crs.transformed(F.col("x"), F.col("y"), 2154, 32631)
     return at.select("s_suppkey", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
+
+
+AIRY_E2 = repr(crs.AIRY.e2)
+HELMERT = [[repr(v) for v in row] for row in crs.DATUMS[27700].matrix()]
+
+
+@query("x8_datum_shift", f"WITH {PLACES}, r AS (SELECT *, radians(lat) AS p, radians(lon) AS q, 6377563.396 / sqrt(1 - {AIRY_E2} * sin(radians(lat)) ** 2) AS n FROM t), g AS (SELECT s_suppkey, (n + 100) * cos(p) * cos(q) AS x, (n + 100) * cos(p) * sin(q) AS y, (n * (1 - {AIRY_E2}) + 100) * sin(p) AS z FROM r) SELECT s_suppkey, "
+       + ", ".join(f"round({t} + x * {m[0]}::DOUBLE + y * {m[1]}::DOUBLE + z * {m[2]}::DOUBLE, 3) AS {c}" for t, m, c in zip(("446.448", "-125.157", "542.060"), HELMERT, "xyz")) + " FROM g")
+def x8_shift(spark, sf):
+    """Places on one datum as geocentric ones on WGS 84."""
+    g = crs.DATUMS[27700].to_wgs84(*crs.to_geocentric(F.col("lon"), F.col("lat"), F.lit(100.0), crs.AIRY))
+    return places(spark, sf).select("s_suppkey", *[F.round(c, 3).alias(n) for c, n in zip(g, "xyz")])
+
+
+@query("x8_datum_round_trip", f"WITH {PLACES} SELECT s_suppkey, round(155000 + lon * 100, 2) AS x, round(463000 + lat * 100, 2) AS y FROM t")
+def x8_round_trip(spark, sf):
+    """Coordinates of a national grid in UTM on WGS 84 and back, with the shift of the datum both ways; the height between, which is dropped, moves them by a millimetre."""
+    at = places(spark, sf).select("s_suppkey", (155_000 + F.col("lon") * 100).alias("x"), (463_000 + F.col("lat") * 100).alias("y"))
+    back = crs.moved(crs.moved(at, 28992, 32631), 32631, 28992)
+    return back.select("s_suppkey", *[F.round(c, 2).alias(c) for c in "xy"])

@@ -40,3 +40,18 @@ def test_descriptions(spark):
         text = crs.well_known_text(code)
         assert spark.range(1).select(crs.code_of_text(F.lit(text))).first()[0] == code
     assert spark.range(1).select(crs.code_of_text(F.lit('PROJCS["x"]'))).first()[0] is None
+
+
+def test_seven_parameters_by_their_published_example(spark):
+    d = crs.Datum((0.0, 0.0, 4.5), (0.0, 0.0, 0.554), 0.219)
+    row = spark.range(1).select(*[F.lit(v).alias(n) for v, n in zip((3657660.66, 255768.55, 5201382.11), "xyz")])
+    there = row.select(*[c.alias(n) for c, n in zip(d.to_wgs84(*map(F.col, "xyz")), "xyz")])
+    assert all(abs(v - w) < 0.011 for v, w in zip(there.first(), (3657660.78, 255778.43, 5201387.75)))
+    assert [round(v, 6) for v in there.select(*d.from_wgs84(*map(F.col, "xyz"))).first()] == [3657660.66, 255768.55, 5201382.11]
+
+
+def test_a_grid_on_another_datum_meets_satellite_places(spark):
+    # the worked example of the national grid: 651409.903, 313177.270 is 52 39 28.8282 N, 1 42 57.8663 E by satellite; seven parameters are good to some metres
+    lon, lat = crs.moved(spark.createDataFrame([(651409.903, 313177.270)], "x double, y double"), 27700, 4326).first()
+    assert abs(lon - (1 + 42 / 60 + 57.8663 / 3600)) * 67_500 < 5 and abs(lat - (52 + 39 / 60 + 28.8282 / 3600)) * 111_000 < 5
+    assert abs(lon - (1 + 43 / 60 + 4.5177 / 3600)) * 67_500 > 50
