@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -65,15 +65,20 @@ def triangle_area(a: Sequence[Column], b: Sequence[Column], c: Sequence[Column])
     return F.sqrt(n[0] * n[0] + n[1] * n[1] + n[2] * n[2]) / 2
 
 
-def mesh_samples(df: DataFrame, key: str, a, b, c, per_area: float, seed: int = 1) -> DataFrame:
-    """Points spread evenly over triangles: area times density of them each, at barycentric places from a hash."""
+def mesh_samples(df: DataFrame, key: str, a, b, c, per_area: float, seed: int = 1, noise: Callable | None = None) -> DataFrame:
+    """Points spread evenly over triangles: area times density of them each, at barycentric places from a hash. noise: a callback from a sample's columns x, y, z and
+    from luck(k), even numbers in [0, 1) of its own for k = 0, 1, ..., to what is added to x, y and z."""
     n = F.floor(triangle_area(a, b, c) * F.lit(per_area)).cast("int")
     corners = [x.alias(f"_{k}{i}") for k, p in zip("abc", (a, b, c)) for i, x in enumerate(p)]
     rows = df.select(key, *corners, n.alias("_n")).where("_n > 0").withColumn("i", F.explode(F.sequence(F.lit(1), F.col("_n"))))
     luck = lambda k: F.pmod(F.xxhash64(F.lit(seed), key, "i", F.lit(k)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     u, v = F.sqrt(luck(1)), luck(2)
     at = [(1 - u) * F.col(f"_a{i}") + u * (1 - v) * F.col(f"_b{i}") + u * v * F.col(f"_c{i}") for i in range(3)]
-    return rows.select(key, "i", *[x.alias(name) for x, name in zip(at, "xyz")])
+    if noise is None:
+        return rows.select(key, "i", *[x.alias(name) for x, name in zip(at, "xyz")])
+    placed = rows.select(key, "i", *[x.alias(name) for x, name in zip(at, "xyz")])
+    moves = noise({name: F.col(name) for name in "xyz"}, lambda k: luck(k + 3))
+    return placed.select(key, "i", *[(F.col(name) + d).alias(name) for name, d in zip("xyz", moves)])
 
 
 def sequential_sample(df: DataFrame, n: int, key: Sequence[str], seed: int) -> DataFrame:

@@ -297,6 +297,18 @@ def t10(spark, sf):
     return s.mesh_samples(e, "vec_id", [F.lit(0.0)] * 3, v[:3], v[3:], 400.0).groupBy("vec_id").agg(N())
 
 
+@query("e4_samples_with_noise", f"WITH {TRI}, m AS (SELECT vec_id, ay*bz-az*by_ AS nx, az*bx-ax*bz AS ny, ax*by_-ay*bx AS nz FROM t), a AS (SELECT vec_id, nz, sqrt(nx*nx + ny*ny + nz*nz) AS len FROM m) SELECT vec_id, CAST(floor(len / 2 * 400) AS BIGINT) AS n, round(0.25 * nz / len, 6) + 0.0 AS off FROM a WHERE floor(len / 2 * 400) > 0")
+def e4(spark, sf):
+    """Samples that a callback lifts: how far they lie off their triangles' planes."""
+    v = [F.col("embedding")[i].cast("double") for i in range(6)]
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    lifted = s.mesh_samples(e, "vec_id", [F.lit(0.0)] * 3, v[:3], v[3:], 400.0, noise=lambda p, luck: (F.lit(0.0), F.lit(0.0), F.lit(0.25)))
+    n = [v[1] * v[5] - v[2] * v[4], v[2] * v[3] - v[0] * v[5], v[0] * v[4] - v[1] * v[3]]
+    planes = e.select("vec_id", *[c.alias(f"n{k}") for c, k in zip(n, "xyz")])
+    off = (F.col("x") * F.col("nx") + F.col("y") * F.col("ny") + F.col("z") * F.col("nz")) / F.sqrt(F.col("nx") * F.col("nx") + F.col("ny") * F.col("ny") + F.col("nz") * F.col("nz"))
+    return lifted.join(planes, "vec_id").groupBy("vec_id").agg(N(), (F.round(F.avg(off), 6) + 0.0).alias("off"))
+
+
 @query("u1_union_all", f"WITH {P} SELECT seg_type, count(*) AS n FROM (SELECT * FROM p WHERE seg_type IN (1, 2) UNION ALL SELECT * FROM p WHERE z > 50) GROUP BY seg_type")
 def u1(spark, sf):
     p = points(spark, sf)

@@ -235,3 +235,13 @@ def test_points_near_a_tower_keep_repeated_rows(spark):
     rows = [(1.0, 1.0, 3.0)] * 3 + [(7.0, 0.0, 3.0), (7.0, 0.0, 0.5), (50.0, 0.0, 9.0), (4.0, 0.0, 3.0)]
     got = corridor.tower_points(spark.createDataFrame([(x, y, h, h) for x, y, h in rows], "x double, y double, z double, hag double"), towers, 5.0)
     assert sorted(((r["x"], r["hag"], r["tower"] or 0) for r in got.collect())) == sorted([(1.0, 3.0, 1)] * 3 + [(7.0, 3.0, 2), (7.0, 0.5, 0), (50.0, 9.0, 0), (4.0, 3.0, 1)])
+
+
+def test_noise_of_mesh_samples(spark):
+    lit = lambda p: [F.lit(float(v)) for v in p]
+    mesh = spark.createDataFrame([(1,)], "id int")
+    plain = {r["i"]: r for r in s.mesh_samples(mesh, "id", lit((0, 0, 0)), lit((2, 0, 0)), lit((0, 2, 0)), 200.0).collect()}
+    noisy = s.mesh_samples(mesh, "id", lit((0, 0, 0)), lit((2, 0, 0)), lit((0, 2, 0)), 200.0, noise=lambda p, luck: (F.lit(0.0), p["x"] * 0, luck(0) - 0.5)).collect()
+    assert len(noisy) == 400 and all((r["x"], r["y"]) == (plain[r["i"]]["x"], plain[r["i"]]["y"]) for r in noisy)
+    z = [r["z"] for r in noisy]
+    assert min(z) >= -0.5 and max(z) < 0.5 and abs(sum(z) / 400) < 0.06 and len(set(z)) > 390
