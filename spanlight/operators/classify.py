@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -67,7 +68,7 @@ def road_regions(df: DataFrame, cell: float, flat: float, step: float, area: Seq
     return grown.join(kept.select("component"), "component", "left_semi").select("cx", "cy", "component")
 
 
-def crowns(tops: DataFrame, th_tree: float, th_seed: float, th_crown: float, most: int, top_factor: float = 1.05, sweeps: int = 100) -> DataFrame:
+def crowns(tops: DataFrame, th_tree: float, th_seed: float, th_crown: float, most: int, top_factor: float = 1.05) -> DataFrame:
     """tops (cx, cy, z, seed: id or 0) -> cx, cy, tree: seeds grow over 4-neighbours in sweeps over the whole raster until nothing changes. A sweep
     goes by cx, then cy: cells are free if they were before it, a tree's mean moves with each cell it takes, and of several trees the last keeps the cell. Each
     sweep joins the trees' edges to free cells; a tree's steps are folded in order, no more than four for each cell within its reach."""
@@ -77,7 +78,7 @@ def crowns(tops: DataFrame, th_tree: float, th_seed: float, th_crown: float, mos
     labelled = seeds.select("cx", "cy", "tree")
     trees = seeds.select("tree", F.col("cx").alias("sx"), F.col("cy").alias("sy"), F.col("h").alias("top"), F.col("h").alias("total"), F.lit(1).cast("long").alias("n"))
     sides = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), (F.col("cx") + dx).alias("nx"), (F.col("cy") + dy).alias("ny")) for k, (dx, dy) in enumerate(((0, -1), (-1, 0), (1, 0), (0, 1)))]))
-    for i in range(sweeps):
+    for i in itertools.count():  # each sweep labels a cell at least, or is the last
         edges = labelled.select("tree", "cx", "cy", sides.alias("side")).select("tree", "cx", "cy", "side.*").join(trees, "tree")
         edges = edges.where(F.greatest(F.abs(F.col("nx") - F.col("sx")), F.abs(F.col("ny") - F.col("sy"))) < most)
         edges = edges.join(cells, ["nx", "ny"]).where((F.col("h") > th_tree) & (F.col("h") > F.col("top") * F.lit(th_seed)) & (F.col("h") <= F.col("top") * F.lit(top_factor)))

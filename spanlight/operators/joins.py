@@ -74,11 +74,14 @@ def nearest(left: DataFrame, right: DataFrame, k: int, left_id: str, right_id: s
         radius, i = radius * 2, i + 1
 
 
-def closest_pair(left: DataFrame, right: DataFrame, left_id: str, right_id: str, dims: str = "xyz", radius: float | None = None, most: float = 1e9) -> DataFrame:
-    """One row a, b, d: the closest pair, ties by ids; empty if a side is. The radius doubles until a pair is within it; it starts, unless given, at the edge that
-    leaves about one right point a bucket, so dense clouds don't begin with all their pairs. The best pair of a round is written."""
+def closest_pair(left: DataFrame, right: DataFrame, left_id: str, right_id: str, dims: str = "xyz", radius: float | None = None) -> DataFrame:
+    """One row a, b, d: the closest pair, ties by ids; empty if a side is. The radius doubles until a pair is within it, at the latest when it spans both sides; it starts,
+    unless given, at the edge that leaves about one right point a bucket, so dense clouds don't begin with all their pairs. The best pair of a round is written."""
+    box = right.agg(F.count(F.lit(1)).alias("n"), *[(F.max(c) - F.min(c)).alias(c) for c in dims], *[f(c).alias(f"{k}{c}") for c in dims for k, f in (("l", F.min), ("h", F.max))]).first()
+    other = left.agg(*[f(c).alias(f"{k}{c}") for c in dims for k, f in (("l", F.min), ("h", F.max))]).first()
+    apart = None not in tuple(other) and None not in tuple(box)
+    span = sum(max(box[f"h{c}"], other[f"h{c}"]) - min(box[f"l{c}"], other[f"l{c}"]) for c in dims) if apart else 0.0
     if radius is None:
-        box = right.agg(F.count(F.lit(1)).alias("n"), *[(F.max(c) - F.min(c)).alias(c) for c in dims]).first()
         edges = [box[c] for c in dims if box[c]]
         volume = 1.0
         for e in edges:
@@ -88,7 +91,7 @@ def closest_pair(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     while True:
         pairs = radius_pairs(left, right, radius, left_id, right_id, dims).orderBy("d2", "a", "b").limit(1).select("a", "b", F.sqrt("d2").alias("d"))
         best = written(pairs, base, str(i))
-        if radius > most or not best.isEmpty() or left.isEmpty() or right.isEmpty():
+        if radius > span or not best.isEmpty():
             return best
         radius, i = radius * 2, i + 1
 

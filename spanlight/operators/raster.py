@@ -151,7 +151,7 @@ def hulls(cells: DataFrame, by: str) -> DataFrame:
 CIRCLE = ((0, -1), (1, -1), (1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1))
 
 
-def thinned(mask: DataFrame, rounds: int = 1000) -> DataFrame:
+def thinned(mask: DataFrame) -> DataFrame:
     """The mask's skeleton: in turns, cells on two opposite sides of the border go whose going parts nothing, until none goes. What goes depends on the eight
     neighbours: a look-up by their pattern. Each round is a sum over neighbours and a join, and is written."""
     spark, base = mask.sparkSession, scratch(mask.sparkSession, "thin")
@@ -165,7 +165,7 @@ def thinned(mask: DataFrame, rounds: int = 1000) -> DataFrame:
 
     now = written(mask.select("cx", "cy").distinct(), base, "cells-0")
     idle = i = 0
-    while idle < 2 and i < rounds:
+    while idle < 2:
         around = F.explode(F.array(*[F.struct((F.col("cx") - dx).alias("cx"), (F.col("cy") - dy).alias("cy"), F.lit(1 << k).alias("bit")) for k, (dx, dy) in enumerate(CIRCLE)])).alias("n")
         pattern = now.select(around).groupBy("n.cx", "n.cy").agg(F.sum("n.bit").alias("pattern"))
         table = F.array(*[F.lit(goes(p, i % 2 == 0)) for p in range(256)])

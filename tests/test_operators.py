@@ -245,3 +245,10 @@ def test_noise_of_mesh_samples(spark):
     assert len(noisy) == 400 and all((r["x"], r["y"]) == (plain[r["i"]]["x"], plain[r["i"]]["y"]) for r in noisy)
     z = [r["z"] for r in noisy]
     assert min(z) >= -0.5 and max(z) < 0.5 and abs(sum(z) / 400) < 0.06 and len(set(z)) > 390
+
+
+def test_closest_pair_of_sides_far_apart(spark):
+    one = spark.createDataFrame([(1, 0.0, 0.0, 0.0), (2, 1.0, 0.0, 0.0)], "id long, x double, y double, z double")
+    far = spark.createDataFrame([(7, 3e12, 0.0, 0.0), (8, 3e12, 4.0, 0.0)], "id long, x double, y double, z double")
+    assert [tuple(r) for r in j.closest_pair(one, far, "id", "id").collect()] == [(2, 7, 3e12 - 1)]
+    assert j.closest_pair(one, far.limit(0), "id", "id").count() == 0 and j.closest_pair(one.limit(0), far, "id", "id").count() == 0
