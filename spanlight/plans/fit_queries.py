@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import fits, graph
+from ..operators import fits, graph, registration
 from ..sources.points import E, KEY, P, cloud, points
 from ..sources.staging import scratch, written
 from .aggregate_queries import PARABOLA
@@ -82,6 +82,27 @@ def p14(spark, sf):
     return at.select("vec_id", *[F.round(c, 4).alias(c) for c in "xyz"])
 
 
+def _turned(spark, sf):
+    e = cloud(spark, sf).select("vec_id", "x", "y", "z")
+    return fits.moved(e, [[0.9998, -0.02, 0.0], [0.02, 0.9998, 0.0], [0.0, 0.0, 1.0]], [0.004, -0.003, 0.002]), e
+
+
+@query("p14_registration_to_planes")
+def p14_planes(spark, sf):
+    """The turned cloud registered to the tangent planes of the other; tested on known motions."""
+    base, (turned, e) = scratch(spark, "registration"), _turned(spark, sf)
+    at, _, _ = registration.aligned(turned, e, "vec_id", "vec_id", lambda df, n: written(df, base, n), "planes", 4, flat=0.2, robust=0.05)
+    return at.select("vec_id", *[F.round(c, 4).alias(c) for c in "xyz"])
+
+
+@query("p14_sparse_registration")
+def p14_sparse(spark, sf):
+    """The same by sums of small powers of the distances; tested on known motions with wrong points."""
+    base, (turned, e) = scratch(spark, "registration"), _turned(spark, sf)
+    at, _, _ = registration.aligned(turned, e, "vec_id", "vec_id", lambda df, n: written(df, base, n), "sparse", 3)
+    return at.select("vec_id", *[F.round(c, 4).alias(c) for c in "xyz"])
+
+
 @query("c10_merged_positions", "WITH RECURSIVE t AS (SELECT s_suppkey AS id, s_acctbal / 100.0 AS x, CAST(s_suppkey % 37 AS DOUBLE) AS y FROM supplier), e AS (SELECT a.id AS u, b.id AS v FROM t a JOIN t b ON (a.x-b.x)**2 + (a.y-b.y)**2 <= 9), w AS (SELECT id, id AS root FROM t UNION SELECT e.v, w.root FROM w JOIN e ON e.u = w.id), l AS (SELECT id, min(root) AS component FROM w GROUP BY id) SELECT component, round(avg(x), 6) AS x, round(avg(y), 6) AS y, count(*) AS n FROM l JOIN t USING (id) GROUP BY component")
 def c10(spark, sf):
     t = spark.read.parquet(f"{sf}/supplier.parquet").selectExpr("s_suppkey AS id", "s_acctbal / 100.0D AS x", "CAST(s_suppkey % 37 AS DOUBLE) AS y", "0.0D AS z")
