@@ -22,10 +22,10 @@ def trunks(spark, sf):
     return poles.trunks(points(spark, sf).where("seg_type = 3"), STEP, CELL, AREA, FILL, LAYERS)
 
 
-@query("p3c_trunks", f"WITH RECURSIVE {TRUNKS} SELECT layers, n, z1, z2, round(mx, 5) AS mx, round(my, 5) AS my, round(lx / sqrt(lx * lx + ly * ly + 1), 5) AS ux, round(ly / sqrt(lx * lx + ly * ly + 1), 5) AS uy FROM t")
+@query("p3c_trunks", f"WITH RECURSIVE {TRUNKS} SELECT layers, n, z1, z2, round(mx, 9) AS mx, round(my, 9) AS my, round(lx / sqrt(lx * lx + ly * ly + 1), 5) AS ux, round(ly / sqrt(lx * lx + ly * ly + 1), 5) AS uy FROM t")
 def p3c_trunks(spark, sf):
     """Chains of narrow pieces over adjoining layers among the towers' points, with their axes."""
-    return trunks(spark, sf).select("layers", "n", "z1", "z2", *[F.round(c, 5).alias(c) for c in ("mx", "my", "ux", "uy")])
+    return trunks(spark, sf).select("layers", "n", "z1", "z2", *[F.round(c, 9).alias(c) for c in ("mx", "my")], *[F.round(c, 5).alias(c) for c in ("ux", "uy")])
 
 
 @query("p3c_pole_points")
