@@ -114,7 +114,7 @@ def tower_parts(df: DataFrame, towers: DataFrame, key: str, radius: float, cell:
     side = lambda p, q: (q["x"] - p["x"]) * (F.col("y") / cell - p["y"]) - (q["y"] - p["y"]) * (F.col("x") / cell - p["x"]) >= 0
     inside = F.forall(F.sequence(F.lit(1), F.size("ring")), lambda i: side(F.element_at("ring", i), F.element_at("ring", i % F.size("ring") + 1)))
     held = near.join(ring, "tower").where(inside).join(top, "tower").drop("ring", "_high")
-    kept = graph.sized(graph.voxel_components(held, 2 * cell), least, 1 << 60, True)
+    kept = graph.voxel_clusters(held, 2 * cell, least, 1 << 60, True)
     return kept.select(key, "tower", F.when(F.col("z") > F.col("_top") - head, "head").otherwise("body").alias("part"))
 
 

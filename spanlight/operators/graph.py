@@ -8,6 +8,8 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..sources.staging import removed, scratch, written
@@ -96,14 +98,111 @@ def cell_edges(cells: DataFrame, grid: Grid, keep: Column | None = None, carried
     return (pairs if keep is None else pairs.where(keep)).select("u", "v")
 
 
+def _least(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """For each of n numbers the least that it reaches over the pairs (u, v)."""
+    label = np.arange(n)
+    while True:
+        a, b = label[u], label[v]
+        far = a != b
+        if not far.any():
+            return label
+        u, v, a, b = u[far], v[far], a[far], b[far]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(label[label], label):
+            label = label[label]
+
+
+def labelled_cells(cells: DataFrame, grid: Grid, n: str | None = None) -> DataFrame:
+    """cells (id; n, a number of each) -> id, component (its least cell), size (the sum of n, or its cells): neighbouring cells, diagonal ones too, are connected.
+
+    The grid is cut into blocks of at most some 36,000 cells, each with the next layer of cells of the blocks that follow, so every pair of neighbours lies in one. Blocks are
+    labelled by themselves, many in a batch; only labels that share a cell of such a layer go into rounds, so a dense grid has few."""
+    spark, base, d = cells.sparkSession, scratch(cells.sparkSession, "cells"), len(grid.counts)
+    side = int(32768 ** (1 / d) + 1e-9)
+    div = lambda a, b: F.call_function("div", a, F.lit(b).cast("long"))
+    at, below = [], 1
+    for count in reversed(grid.counts):
+        at.insert(0, div(F.col("id"), below) % count)
+        below *= count
+    counts = [c // side + 2 for c in grid.counts]
+
+    def spread(blocks: Column, i: Column, count: int) -> Column:
+        """Numbers of blocks with one more index: that of the cell's own block, and of the one before if the cell is in its own's first layer."""
+        own = div(i, side) + 1
+        each = lambda b: F.when(i % side == 0, F.array(b * count + own, b * count + own - 1)).otherwise(F.array(b * count + own))
+        return F.flatten(F.transform(blocks, each))
+
+    blocks = F.array(F.lit(0).cast("long"))
+    for i, count in zip(at, counts):
+        blocks = spread(blocks, i, count)
+    rows = cells.select("id", (F.lit(1) if n is None else F.col(n)).cast("long").alias("n"), blocks.alias("_b"))
+    rows = rows.select("id", "n", F.element_at("_b", 1).alias("_own"), (F.size("_b") > 1).alias("shared"), F.explode("_b").alias("block")).select("block", "id", "n", "shared", (F.col("_own") == F.col("block")).alias("own"))
+    sizes, widths = list(grid.counts), [side + 3] * d
+
+    def label(table: pa.Table) -> pa.RecordBatch:
+        block, ids = table.column("block").to_numpy(), table.column("id").to_numpy()
+        code, places, blocks, left = np.cumsum(np.r_[0, block[1:] != block[:-1]]), [], block.copy(), ids.copy()
+        for k in reversed(range(d)):
+            places.insert(0, left % sizes[k] - (blocks % counts[k] - 1) * side + 1)
+            left, blocks = left // sizes[k], blocks // counts[k]
+        steps = [0]
+        for place, width in zip(places, widths):
+            code = code * width + place
+            steps = [s * width + o for s in steps for o in (-1, 0, 1)]
+        u, v = [], []  # codes rise with the rows, as blocks and ids do
+        for s in steps:
+            if s > 0:
+                to = np.minimum(np.searchsorted(code, code + s), len(code) - 1)
+                near = np.flatnonzero(code[to] == code + s)
+                u.append(near)
+                v.append(to[near])
+        found = ids[_least(len(ids), np.concatenate(u), np.concatenate(v))]
+        return pa.RecordBatch.from_arrays([table.column("id").combine_chunks(), pa.array(found), *[table.column(c).combine_chunks() for c in ("n", "shared", "own")]], names=["id", "label", "n", "shared", "own"])
+
+    def run(batches):
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= side**d:
+                table = pa.Table.from_batches(held).combine_chunks()
+                block = table.column("block").to_numpy()
+                whole = int(np.searchsorted(block, block[-1]))  # the last block may go on
+                if whole:
+                    yield label(table.slice(0, whole).combine_chunks())
+                held = table.slice(whole).combine_chunks().to_batches()
+                rows -= whole
+        if rows:
+            yield label(pa.Table.from_batches(held).combine_chunks())
+
+    local = written(rows.repartition("block").sortWithinPartitions("block", "id").mapInArrow(run, "id long, label long, n long, shared boolean, own boolean"), base, "local")
+    met = local.where("own AND shared").select("id", F.col("label").alias("u")).join(local.where("NOT own").select("id", F.col("label").alias("v")), "id")
+    found = stars(met.select("u", "v"), lambda df, name: written(df, base, name), lambda name: removed(spark, base, name)).select(F.col("u").alias("label"), F.col("v").alias("_least"))
+    labels = local.groupBy("label").agg(F.sum(F.when(F.col("own"), F.col("n")).otherwise(0)).alias("n")).join(found, "label", "left").select("label", "n", F.coalesce("_least", "label").alias("component"))
+    labels = written(labels, base, "labels")
+    of = labels.join(labels.groupBy("component").agg(F.sum("n").alias("size")), "component").select("label", "component", "size")
+    return local.where("own").select("id", "label").join(of, "label").select("id", "component", "size")
+
+
+def _voxel_components(df: DataFrame, size: float, dims: str, grid: Grid | None) -> DataFrame:
+    """df with component and _size, the number of its points."""
+    grid = grid or Grid.of_points(df, size, dims)
+    placed = df.withColumn("_cell", grid.id(*[F.floor(F.col(c) / F.lit(float(size))) for c in dims]))
+    cells = placed.where(F.col("_cell").isNotNull()).groupBy(F.col("_cell").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    found = labelled_cells(cells, grid, "n").select(F.col("id").alias("_cell"), "component", F.col("size").alias("_size"))
+    return placed.drop("component").join(found, "_cell").drop("_cell")
+
+
 def voxel_components(df: DataFrame, size: float, dims: str = "xyz", grid: Grid | None = None) -> DataFrame:
     """df with component: occupied voxels of an edge are connected over faces, edges and corners. A component's number is that of its least
     voxel in the grid (``Grid.of_points``, unless one is given)."""
-    grid = grid or Grid.of_points(df, size, dims)
-    placed = df.withColumn("_cell", grid.id(*[F.floor(F.col(c) / F.lit(float(size))) for c in dims]))
-    cells = placed.where(F.col("_cell").isNotNull()).select(F.col("_cell").alias("id")).distinct()
-    found = components(cells, cell_edges(cells, grid))
-    return placed.drop("component").join(found.withColumnRenamed("id", "_cell"), "_cell").drop("_cell")
+    return _voxel_components(df, size, dims, grid).drop("_size")
+
+
+def voxel_clusters(df: DataFrame, size: float, low: int, high: int, high_included: bool, dims: str = "xyz", grid: Grid | None = None) -> DataFrame:
+    """``voxel_components`` of between low and high points."""
+    n = F.col("_size")
+    return _voxel_components(df, size, dims, grid).where((n >= low) & ((n <= high) if high_included else (n < high))).drop("_size")
 
 
 def sized(df: DataFrame, low: int, high: int, high_included: bool) -> DataFrame:
@@ -121,10 +220,8 @@ def euclidean_components(df: DataFrame, key: str, tolerance: float, dims: str =
 
 
 def denoise_by_size(df: DataFrame, size: float, min_points: int, grid: Grid | None = None) -> DataFrame:
-    """df with outlier: its voxel component has under min_points points."""
-    c = voxel_components(df, size, grid=grid)
-    n = c.groupBy("component").agg((F.count(F.lit(1)) < min_points).alias("outlier"))
-    return c.join(n, "component")
+    """df with component and outlier: its voxel component has under min_points points."""
+    return _voxel_components(df, size, "xyz", grid).withColumn("outlier", F.col("_size") < min_points).drop("_size")
 
 
 def denoise_statistical(df: DataFrame, key: str, k: int, factor: float, start: float) -> DataFrame:

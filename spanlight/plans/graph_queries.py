@@ -26,7 +26,7 @@ CLOSURE_3D = "o AS (SELECT unnest([-1, 0, 1]) AS d), g AS (SELECT a.id AS u, b.i
 def c2(spark, sf):
     p = points(spark, sf).select("x", "y", "z")
     grid = c.Grid.of_points(p, 2.0)
-    kept = c.sized(c.voxel_components(p, 2.0, grid=grid), 3, 1000, False)
+    kept = c.voxel_clusters(p, 2.0, 3, 1000, False, grid=grid)
     return kept.groupBy("component").agg(F.count(F.lit(1)).alias("size")).select(*grid.cell(F.col("component"), *"xyz"), "size")
 
 
@@ -73,5 +73,5 @@ def c15(spark, sf):
 
 @query("c16_cluster_boxes", f"WITH RECURSIVE {P}, {VOXELS.format('true')}, {CLOSURE_3D}, q AS (SELECT l.component, p.* FROM p JOIN k ON k.x = floor(p.x / 2.0) AND k.y = floor(p.y / 2.0) AND k.z = floor(p.z / 2.0) JOIN l USING (id)) SELECT min(x) AS x1, min(y) AS y1, max(x) AS x2, max(y) AS y2, {N} FROM q GROUP BY component HAVING count(*) >= 3")
 def c16(spark, sf):
-    kept = c.sized(c.voxel_components(points(spark, sf).select("x", "y", "z"), 2.0), 3, 1 << 60, True)
+    kept = c.voxel_clusters(points(spark, sf).select("x", "y", "z"), 2.0, 3, 1 << 60, True)
     return kept.groupBy("component").agg(F.min("x").alias("x1"), F.min("y").alias("y1"), F.max("x").alias("x2"), F.max("y").alias("y2"), F.count(F.lit(1)).alias("n")).drop("component")
