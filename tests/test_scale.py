@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from spanlight.operators import graph
+from spanlight.operators import graph, joins as j
 
 
 def test_dense_grids_send_few_edges_into_rounds(spark, monkeypatch):
@@ -52,3 +52,17 @@ def test_components_over_blocks(spark):
     assert got == want
     kept = graph.voxel_clusters(df, 1.0, 2, 5, True, grid=grid).count()
     assert kept == sum(len(v) for v in want.values() if 2 <= len(v) <= 5) > 0
+
+
+def test_nearest_of_a_dense_cloud_with_copies(spark):
+    r_ = random.Random(5)
+    rows = [(r_.gauss(0, 0.01), r_.gauss(0, 0.01), 0.0) for _ in range(1500)] + [(3.0, 3.0, 0.0)] * 1500 + [(50.0, 0.0, 0.0)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(rows)], "id long, x double, y double, z double")
+    assert j.crowded_radius(df, "xyz", 1.0, 200.0, 2.0) < 0.01
+    got = {}
+    for r in j.nearest(df, df, 3, "id", "id", skip_self=True).collect():
+        got.setdefault(r["a"], []).append((r["rank"], r["b"], r["d2"]))
+    assert len(got) == len(rows)
+    for i in [*range(0, 1500, 100), 1500, 1501, 1504, 2999, 3000]:
+        order = sorted((sum((u - v) ** 2 for u, v in zip(rows[i], q)), k) for k, q in enumerate(rows) if k != i)[:3]
+        assert sorted(got[i]) == [(n + 1, k, d) for n, (d, k) in enumerate(order)]
