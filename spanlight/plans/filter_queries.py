@@ -57,7 +57,11 @@ def f7(spark, sf):
     return b.select("cluster_id", g.box_contains(own, fixed).alias("holds"), g.boxes_intersect(own, fixed).alias("meets"), g.overlap_area(own, fixed).alias("common"))
 
 
-@query("f8_boxes_by_rounded_corner", f"WITH {P}, {BOXES} SELECT round(x1, 2) AS x1, round(y1, 2) AS y1, count(*) AS n FROM b GROUP BY ALL")
+#: Half a cent goes up by the decimal digits of a number, as in Spark; DuckDB's round of doubles multiplies by 100 first, which puts it on either side.
+HALF_UP = "CAST(round(CAST(CAST({0} AS VARCHAR) AS DECIMAL(38, 20)), 2) AS DOUBLE) AS {0}"
+
+
+@query("f8_boxes_by_rounded_corner", f"WITH {P}, {BOXES} SELECT {HALF_UP.format('x1')}, {HALF_UP.format('y1')}, count(*) AS n FROM b GROUP BY ALL")
 def f8(spark, sf):
     b = points(spark, sf).groupBy("cluster_id").agg(F.min("x").alias("x1"), F.min("y").alias("y1"))
     return b.groupBy(F.round("x1", 2).alias("x1"), F.round("y1", 2).alias("y1")).agg(F.count(F.lit(1)).alias("n"))

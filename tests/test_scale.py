@@ -66,3 +66,18 @@ def test_nearest_of_a_dense_cloud_with_copies(spark):
     for i in [*range(0, 1500, 100), 1500, 1501, 1504, 2999, 3000]:
         order = sorted((sum((u - v) ** 2 for u, v in zip(rows[i], q)), k) for k, q in enumerate(rows) if k != i)[:3]
         assert sorted(got[i]) == [(n + 1, k, d) for n, (d, k) in enumerate(order)]
+
+
+def test_half_a_cent_goes_up_in_boxes_by_corner(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    rows = [(k, 7, k, 1, 5.0, price, 0.0, 0.0, "A", "F") for k, price in enumerate((999.5, 100.5, 267.5, 1428.5, 90011.5))]
+    kinds = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string"
+    spark.createDataFrame(rows, kinds).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = sorted(tuple(r) for r in entry.queries()["f8_boxes_by_rounded_corner"](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert got == sorted(con.sql(entry.oracle_sql()["f8_boxes_by_rounded_corner"]).fetchall())
+    assert [r[0] for r in got] == [1.01, 2.68, 10.0, 14.29, 900.12]
