@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from collections import deque
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -93,15 +95,38 @@ def chains(df: DataFrame, by: str, key: str, most: float) -> DataFrame:
 
     def chain(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(key)
-        at, ids = rows[["x", "y"]].to_numpy(), rows[key].tolist()
-        out, open_ = [0], set(range(1, len(ids)))
+        x, y, ids = rows["x"].tolist(), rows["y"].tolist(), rows[key].tolist()
+        places = [i for i in range(len(ids)) if x[i] == x[i] and y[i] == y[i]]
+        width = max((max(v[i] for i in places) - min(v[i] for i in places) for v in (x, y)), default=0.0)
+        size = min(most, max(width / (len(ids) / 2) ** 0.5, most / 64)) or 1.0  # about two rows a cell, and at most 64 rings of cells within reach
+        cell = lambda i: (math.floor(x[i] / size), math.floor(y[i] / size))
+        open_: dict = {}
+        for i in places:
+            if i:
+                open_.setdefault(cell(i), []).append(i)
+
+        def closest(j: int) -> tuple:
+            """The squared distance and the number of the nearest open row: rings of cells around j's, until none nearer can come."""
+            best, ring, (a, b) = (math.inf, -1), 0, cell(j)
+            while ring - 1 <= most / size and ((ring - 1) * size * (1 - 1e-9)) ** 2 <= best[0]:
+                edge = range(-ring, ring + 1)
+                around = {(u, v) for u in edge for v in ((-ring, ring) if abs(u) < ring else edge)}
+                for u, v in around:
+                    for i in open_.get((a + u, b + v), ()):
+                        best = min(best, ((x[i] - x[j]) * (x[i] - x[j]) + (y[i] - y[j]) * (y[i] - y[j]), i))
+                ring += 1
+            return best
+
+        out = deque([0])
         for end in (-1, 0):
-            while open_:
-                d, i = min((((at[i] - at[out[end]]) ** 2).sum(), i) for i in open_)
-                if d > most * most:
+            while open_ and x[out[end]] == x[out[end]] and y[out[end]] == y[out[end]]:
+                d, i = closest(out[end])
+                if not d <= most * most:
                     break
-                open_.remove(i)
-                out.insert(len(out) if end else 0, i)
+                open_[cell(i)].remove(i)
+                if not open_[cell(i)]:
+                    del open_[cell(i)]
+                (out.append if end else out.appendleft)(i)
         return pd.DataFrame({by: rows[by].iloc[0], key: [ids[i] for i in out], "place": range(1, len(out) + 1)})
 
     kinds = dict(df.dtypes)

@@ -3,10 +3,11 @@
 import itertools
 import math
 import random
+import time
 
 from pyspark.sql import functions as F
 
-from spanlight.operators import graph, joins as j
+from spanlight.operators import graph, joins as j, sampling as s
 
 
 def test_dense_grids_send_few_edges_into_rounds(spark, monkeypatch):
@@ -81,3 +82,22 @@ def test_half_a_cent_goes_up_in_boxes_by_corner(spark, tmp_path):
     con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
     assert got == sorted(con.sql(entry.oracle_sql()["f8_boxes_by_rounded_corner"]).fetchall())
     assert [r[0] for r in got] == [1.01, 2.68, 10.0, 14.29, 900.12]
+
+
+def test_chains_of_many_rows_against_plain_search(spark):
+    r_ = random.Random(3)
+    at = [(r_.randrange(60) / 2, r_.randrange(40) / 2) for _ in range(120)] + [(500.0, 0.0)] + [(r_.uniform(60, 62), 1.0) for _ in range(20)]
+    df = spark.createDataFrame([(1, i, x, y) for i, (x, y) in enumerate(at)], "line int, id long, x double, y double")
+    out, open_ = [0], set(range(1, len(at)))
+    for end in (-1, 0):
+        while open_:
+            d, i = min(((at[i][0] - at[out[end]][0]) ** 2 + (at[i][1] - at[out[end]][1]) ** 2, i) for i in open_)
+            if d > 16:
+                break
+            open_.remove(i)
+            out.insert(len(out) if end else 0, i)
+    assert [r["id"] for r in s.chains(df, "line", "id", 4.0).orderBy("place").collect()] == out
+    many = spark.range(20_000).select(F.lit(1).alias("line"), "id", (F.col("id") * 7919 % 1009).cast("double").alias("x"), (F.col("id") * 31 % 499).cast("double").alias("y"))
+    began = time.time()
+    assert s.chains(many, "line", "id", 2000.0).count() == 20_000
+    assert time.time() - began < 60
