@@ -188,7 +188,7 @@ def write_las(df: DataFrame, path: str, epsg: int | None = None) -> None:
     def run(batches):
         from itertools import chain
 
-        held, n = [], 0
+        held, n, block = [], 0, 0
         for batch in chain(batches, [None]):
             if batch is not None:
                 held.append(batch)
@@ -197,26 +197,27 @@ def write_las(df: DataFrame, path: str, epsg: int | None = None) -> None:
                 t = pa.Table.from_batches(held)
                 a = {k: t.column(k).to_numpy() for k in ("x", "y", "z", "label", "r", "g", "b")}
                 data = encode(a["x"], a["y"], a["z"], a["label"], np.stack([a["r"], a["g"], a["b"]], 1), epsg)
-                yield pa.RecordBatch.from_arrays([pa.array([data], pa.large_binary()).cast(pa.binary())], names=["content"])
-                held, n = [], 0
+                yield saved(data, block, path, "las")
+                held, n, block = [], 0, block + 1
 
-    files = df.select("x", "y", "z", F.col("label").cast("int").alias("label"), "r", "g", "b").mapInArrow(run, "content binary")
-    files.foreachPartition(lambda rows: save(rows, path, "las"))
+    files = df.select("x", "y", "z", F.col("label").cast("int").alias("label"), "r", "g", "b").mapInArrow(run, "bytes long")
+    files.write.format("noop").mode("overwrite").save()
 
 
-def save(rows, path: str, kind: str) -> None:
-    """Files are named by partition and block, so another attempt of a task takes the place of the first one; each appears whole, by renaming."""
+def saved(data: bytes, block: int, path: str, kind: str) -> pa.RecordBatch:
+    """Stores a file in the task that made it, so a task holds one at a time; a row with its size. Files are named by partition and block, so another attempt of a task
+    takes the place of the first one; each appears whole, by renaming."""
     from pyarrow import fs
     from pyspark import TaskContext
 
     task = TaskContext.get()
     store, base = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else "file://" + path)
     store.create_dir(base, recursive=True)
-    for block, r in enumerate(rows):
-        name = f"{base}/part-{task.partitionId():06d}-{block:06d}.{kind}"
-        with store.open_output_stream(f"{name}.{task.taskAttemptId()}.tmp") as out:
-            out.write(bytes(r["content"]))
-        store.move(f"{name}.{task.taskAttemptId()}.tmp", name)
+    name = f"{base}/part-{task.partitionId():06d}-{block:06d}.{kind}"
+    with store.open_output_stream(f"{name}.{task.taskAttemptId()}.tmp") as out:
+        out.write(data)
+    store.move(f"{name}.{task.taskAttemptId()}.tmp", name)
+    return pa.RecordBatch.from_arrays([pa.array([len(data)], pa.int64())], names=["bytes"])
 
 
 def read_points(spark: SparkSession, path: str, voxel_size: float | None = None) -> DataFrame:

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .las import BLOCK, save
+from .las import BLOCK, saved
 
 # Fixed values of the format.
 HEADER = "# .PCD v0.7\nVERSION 0.7\nFIELDS x y z\nSIZE 8 8 8\nTYPE F F F\nCOUNT 1 1 1\nWIDTH {n}\nHEIGHT 1\nVIEWPOINT 0 0 0 1 0 0 0\nPOINTS {n}\nDATA ascii\n"
@@ -15,14 +14,16 @@ def write_pcd(df: DataFrame, path: str) -> None:
     """x, y, z in files of up to BLOCK points, named by partition and block."""
 
     def run(batches):
+        block = 0
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(at, BLOCK)
                 lines = "".join(f"{x!r} {y!r} {z!r}\n" for x, y, z in zip(*(c.to_pylist() for c in part.columns)))
-                yield pa.RecordBatch.from_arrays([pa.array([(HEADER.format(n=part.num_rows) + lines).encode()], pa.binary())], names=["content"])
+                yield saved((HEADER.format(n=part.num_rows) + lines).encode(), block, path, "pcd")
+                block += 1
 
-    files = df.select("x", "y", "z").where("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL").mapInArrow(run, "content binary")
-    files.foreachPartition(lambda rows: save(rows, path, "pcd"))
+    files = df.select("x", "y", "z").where("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL").mapInArrow(run, "bytes long")
+    files.write.format("noop").mode("overwrite").save()
 
 
 def read_pcd(spark: SparkSession, path: str) -> DataFrame:

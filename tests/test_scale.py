@@ -101,3 +101,14 @@ def test_chains_of_many_rows_against_plain_search(spark):
     began = time.time()
     assert s.chains(many, "line", "id", 2000.0).count() == 20_000
     assert time.time() - began < 60
+
+
+def test_las_blocks_are_stored_by_the_task_that_makes_them(spark, tmp_path, monkeypatch):
+    from spanlight.sources import las
+
+    monkeypatch.setattr(las, "BLOCK", 1000)
+    monkeypatch.setattr(type(spark.range(0)), "foreachPartition", lambda *_: 1 / 0)  # whole files as rows of another Python stage
+    df = spark.range(0, 25_000, 1, 2).select(*[(F.col("id") % m).cast("double").alias(c) for c, m in (("x", 100), ("y", 70), ("z", 30))], *[F.lit(1).alias(c) for c in ("label", "r", "g", "b")])
+    las.write_las(df, f"{tmp_path}/las")
+    found = las.headers(spark, f"{tmp_path}/las").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("files")).first()
+    assert found["n"] == 25_000 and found["files"] >= 2
