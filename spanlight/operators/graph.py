@@ -5,6 +5,7 @@ Components are found in rounds (``stars``) that are written to the shared folder
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Callable, Sequence
 
@@ -213,10 +214,38 @@ def sized(df: DataFrame, low: int, high: int, high_included: bool) -> DataFrame:
 
 
 def euclidean_components(df: DataFrame, key: str, tolerance: float, dims: str = "xyz") -> DataFrame:
-    """df with component: points connect within the tolerance (closed)."""
-    pairs = radius_pairs(df, df, tolerance, key, key, dims).where("a < b").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    found = components(df.select(F.col(key).alias("id")), pairs)
-    return df.join(found.withColumnRenamed("id", key), key)
+    """df with component: points connect within the tolerance (closed). A point without a place is alone.
+
+    Points of a cell whose diagonal is below the tolerance are connected. Cells are linked where their outermost points are near enough; only cells that are not connected
+    by then, and whose boxes are, meet point by point, with those points that the other's box is near to. So dense clouds don't make all their pairs."""
+    spark, base, names = df.sparkSession, scratch(df.sparkSession, "near"), [f"_c{c}" for c in dims]
+    if not tolerance > 0:
+        pairs = radius_pairs(df, df, tolerance or 1.0, key, key, dims).where(F.col("d2") <= tolerance * tolerance).where("a < b").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        return df.join(components(df.select(F.col(key).alias("id")), pairs).withColumnRenamed("id", key), key)
+    size, limit = tolerance / math.sqrt(len(dims)) * (1 - 1e-6), tolerance * tolerance
+    finite = " AND ".join(f"{c} IS NOT NULL AND NOT isnan({c}) AND abs({c}) < double('inf')" for c in dims)
+    at = df.where(finite).select(F.col(key).alias("id"), *[F.floor(F.col(c) / F.lit(size)).alias(n) for c, n in zip(dims, names)], F.struct(*[F.col(c).cast("double").alias(c) for c in dims]).alias("p"))
+    ends = F.array_distinct(F.array(*[f("p", f"p.{c}") for c in dims for f in (F.min_by, F.max_by)])).alias("ends")
+    cells = written(at.groupBy(*names).agg(F.min("id").alias("id"), ends, *[f(f"p.{c}").alias(f"{k}{c}") for c in dims for k, f in (("l", F.min), ("h", F.max))]), base, "cells")
+    half = [o for o in itertools.product(range(-2, 3), repeat=len(dims)) if o > (0,) * len(dims)]
+    around = cells.withColumn("_o", F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(o, names)]) for o in half])))
+    around = around.select(*[(F.col(n) + F.col(f"_o.{n}")).alias(n) for n in names], *[F.col(n).alias(f"u{n}") for n in names], *[F.col(c).alias(f"u_{c}") for c in ("id", "ends", *[k + c for c in dims for k in "lh"])])
+    gap = lambda low, high, l2, h2: F.greatest(F.lit(0.0), l2 - high, low - h2)
+    apart = sum((g * g for g in (gap(F.col(f"u_l{c}"), F.col(f"u_h{c}"), F.col(f"l{c}"), F.col(f"h{c}")) for c in dims)), F.lit(0.0))
+    d2 = lambda p, q: sum(((p[c] - q[c]) * (p[c] - q[c]) for c in dims), F.lit(0.0))
+    linked = F.exists("u_ends", lambda p: F.exists("ends", lambda q: d2(p, q) <= limit))
+    pairs = written(around.join(cells, names).where(apart <= limit * (1 + 1e-9)).withColumn("linked", linked).drop("u_ends", "ends"), base, "pairs")
+    spread = lambda edges, name: stars(edges, lambda d, n: written(d, base, f"{name}-{n}"), lambda n: removed(spark, base, f"{name}-{n}"))
+    first = written(cells.select("id").join(spread(pairs.where("linked").select(F.col("u_id").alias("u"), F.col("id").alias("v")), "first").withColumnRenamed("u", "id"), "id", "left").select("id", F.coalesce("v", "id").alias("root")), base, "roots")
+    open_ = pairs.where("NOT linked").join(first.select(F.col("id").alias("u_id"), F.col("root").alias("u")), "u_id").join(first.select("id", F.col("root").alias("v")), "id").where("u <> v").drop("linked")
+    places = at.select(*names, "p").distinct()
+    reach = lambda p, k: sum((g * g for g in (F.greatest(F.lit(0.0), F.col(f"{k}l{c}") - p[c], p[c] - F.col(f"{k}h{c}")) for c in dims)), F.lit(0.0)) <= limit * (1 + 1e-9)
+    met = open_.join(places.select(*[F.col(n).alias(f"u{n}") for n in names], F.col("p").alias("_p")), [f"u{n}" for n in names]).where(reach(F.col("_p"), "")).select(*names, "u", "v", "_p", *[f"u_{k}{c}" for c in dims for k in "lh"])
+    met = met.join(places, names).where(reach(F.col("p"), "u_") & (d2(F.col("_p"), F.col("p")) <= limit)).select("u", "v").distinct()
+    second = spread(met, "second").select(F.col("u").alias("root"), F.col("v").alias("_least"))
+    of = first.join(second, "root", "left").select("id", F.coalesce("_least", "root").alias("component"))
+    found = at.select(F.col("id").alias(key), *names).join(cells.select(*names, "id").join(of, "id").select(*names, "component"), names).select(key, "component")
+    return df.drop("component").join(found, key, "left").withColumn("component", F.coalesce("component", key))
 
 
 def denoise_by_size(df: DataFrame, size: float, min_points: int, grid: Grid | None = None) -> DataFrame:

@@ -112,3 +112,31 @@ def test_las_blocks_are_stored_by_the_task_that_makes_them(spark, tmp_path, monk
     las.write_las(df, f"{tmp_path}/las")
     found = las.headers(spark, f"{tmp_path}/las").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("files")).first()
     assert found["n"] == 25_000 and found["files"] >= 2
+
+
+def test_dense_points_send_few_pairs_into_rounds(spark, monkeypatch):
+    seen, plain = [], graph.stars
+
+    def stars(edges, write, drop):
+        seen.append(edges.count())
+        return plain(edges, write, drop)
+
+    monkeypatch.setattr(graph, "stars", stars)
+    r_ = random.Random(6)
+    at = [(r_.gauss(0, 0.3), r_.gauss(0, 0.3)) for _ in range(1500)] + [(r_.uniform(0, 60), r_.uniform(0, 60)) for _ in range(700)]
+    df = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(at)] + [(5000, None, 1.0)], "id long, x double, y double")
+    root = list(range(len(at)))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    for i, p in enumerate(at):
+        for k in range(i):
+            if (p[0] - at[k][0]) ** 2 + (p[1] - at[k][1]) ** 2 <= 1.5 * 1.5:
+                a, b = find(i), find(k)
+                root[max(a, b)] = min(a, b)
+    got = {r["id"]: r["component"] for r in graph.euclidean_components(df, "id", 1.5, "xy").collect()}
+    assert got == {i: find(i) for i in range(len(at))} | {5000: 5000}
+    assert sum(seen) < 10_000
