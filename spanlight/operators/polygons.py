@@ -1,6 +1,6 @@
 """Union of polygons as joins over their sides, and their simplification.
 
-Sides are cut where they cross or touch (they meet by an equi-join on the grid cells that they run through). A piece belongs to the union's boundary if no
+Sides are cut where they cross or touch (they meet by an equi-join on those cells of a grid, finer where it is crowded, that no polygon holds whole). A piece belongs to the union's boundary if no
 other polygon holds it and no piece runs back along it. Pieces follow each other where they share an end, and rings are told apart and put in order by
 pointers that double their reach each round; no polygon or ring is gathered in one task."""
 
@@ -41,15 +41,52 @@ def sides(polygons: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     return each.select("poly", *[F.when(ahead, F.col(f"e.{p}.{c}")).otherwise(F.col(f"e.{q}.{c}")).alias(f"{p}{c}") for p, q in (("a", "b"), ("b", "a")) for c in "xy"]).where("ax <> bx OR ay <> by")
 
 
-def pieces(all_sides: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
-    """Sides (with side, a number) cut at all places where they cross or touch those of other polygons."""
-    length = all_sides.agg(F.avg(F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")))).first()[0]
-    if length is None:
-        return all_sides.select("poly", *[F.col(c) for c in ("ax", "ay", "bx", "by")])
-    ends = ("ax", "ay", "bx", "by")
-    placed = _cells(all_sides, max(length, 16 * tolerance), ends)
-    other = placed.select("_i", "_j", F.col("side").alias("o_side"), F.col("poly").alias("o_poly"), F.col("ax").alias("cx"), F.col("ay").alias("cy"), F.col("bx").alias("dx"), F.col("by").alias("dy"))
-    pairs = placed.join(other, ["_i", "_j"]).where("side < o_side AND poly <> o_poly").dropDuplicates(["side", "o_side"])
+def live_cells(polygons: DataFrame, all_sides: DataFrame, base: str, tolerance: float = TOLERANCE, most: int = 16) -> DataFrame:
+    """_l, _i, _j, _size and side, poly, ax ... by: the cells that no polygon holds whole, with the sides that run through them. Cells of level l have an edge of the polygons' mean
+    extent / 2^l; those with sides of more than ``most`` polygons are quartered. The union's boundary lies in these cells alone: a dense heap of polygons keeps its rim."""
+    box = polygons.select(F.col("id").alias("poly"), "ring", *[f(F.col("ring")[c]).alias(f"_{c}{n}") for c in "xy" for f, n in ((F.array_min, 1), (F.array_max, 2))])
+    size = float(box.agg(F.avg(F.greatest(F.col("_x2") - F.col("_x1"), F.col("_y2") - F.col("_y1")))).first()[0] or 1.0)
+    at, ends = lambda c: F.floor(F.col(c) / F.lit(size)), ("ax", "ay", "bx", "by")
+    inner = box.withColumn("_i", F.explode(F.sequence(at("_x1"), at("_x2")))).withColumn("_j", F.explode(F.sequence(at("_y1"), at("_y2")))).select("_i", "_j", "poly")
+    run = written(_cells(all_sides, size, ends).select("_i", "_j", "side", "poly", *ends).distinct(), base, "run-0")
+    rings_, level, out = polygons.select(F.col("id").alias("poly"), "ring"), 0, None
+    while True:
+        edge = size / (1 << level)
+        middle = [(F.col(c) + 0.5) * edge for c in ("_i", "_j")]
+        held = inner.join(run.select("_i", "_j", "poly").distinct(), ["_i", "_j", "poly"], "left_anti").join(rings_, "poly").where(g.in_polygon(*middle, F.col("ring"))).select("_i", "_j").distinct()
+        open_ = written(run.join(held, ["_i", "_j"], "left_anti"), base, f"open-{level}")
+        heavy = open_.groupBy("_i", "_j").agg(F.countDistinct("poly").alias("n")).where(F.col("n") > most).select("_i", "_j")
+        heavy = heavy if level < 20 and edge > 256 * tolerance else heavy.limit(0)
+        heavy = written(heavy, base, f"heavy-{level}")
+        here = open_.join(heavy, ["_i", "_j"], "left_anti").select(F.lit(level).alias("_l"), F.lit(edge).alias("_size"), "_i", "_j", "side", "poly", *ends)
+        out = here if out is None else out.unionByName(here)
+        if heavy.isEmpty():
+            return written(out, base, "live")
+        quarters = F.explode(F.array(*[F.struct(F.lit(u).alias("u"), F.lit(v).alias("v")) for u in (0, 1) for v in (0, 1)])).alias("q")
+        down = [(F.col(c) * 2 + F.col(f"q.{k}")).alias(c) for c, k in (("_i", "u"), ("_j", "v"))]
+        down_from = open_.join(heavy, ["_i", "_j"], "left_semi")
+        inner = down_from.select("_i", "_j", "poly").distinct().select("_i", "_j", "poly", quarters).select(*down, "poly")
+        level += 1
+        child = down_from.select("_i", "_j", "side", "poly", *ends, quarters).select(*down, "side", "poly", *ends)
+        run = written(child.where(_meets(size / (1 << level), tolerance)), base, f"run-{level}")
+
+
+def _meets(edge: float, tolerance: float) -> Column:
+    """Whether a side (ax, ay, bx, by) meets its cell (_i, _j), or comes within a small slack of it."""
+    slack = edge * 1e-9 + 2 * tolerance
+    ax, ay, bx, by = (F.col(c) for c in ("ax", "ay", "bx", "by"))
+    x1, x2, y1, y2 = F.col("_i") * edge - slack, (F.col("_i") + 1) * edge + slack, F.col("_j") * edge - slack, (F.col("_j") + 1) * edge + slack
+    beside = [(bx - ax) * (y - ay) - (by - ay) * (x - ax) for x in (x1, x2) for y in (y1, y2)]
+    return (F.greatest(ax, bx) >= x1) & (F.least(ax, bx) <= x2) & (F.greatest(ay, by) >= y1) & (F.least(ay, by) <= y2) & (F.least(*beside) <= 0) & (F.greatest(*beside) >= 0)
+
+
+def pieces(all_sides: DataFrame, live: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+    """Sides (with side, a number) that run through live cells, cut at all places there where they cross or touch those of other polygons."""
+    ends, place_ = ("ax", "ay", "bx", "by"), ["_l", "_i", "_j"]
+    placed = live
+    all_sides = all_sides.join(live.select("side").distinct(), "side", "left_semi")
+    other = placed.select(*place_, F.col("side").alias("o_side"), F.col("poly").alias("o_poly"), F.col("ax").alias("cx"), F.col("ay").alias("cy"), F.col("bx").alias("dx"), F.col("by").alias("dy"))
+    pairs = placed.join(other, place_).where("side < o_side AND poly <> o_poly").dropDuplicates(["side", "o_side"])
     v = {c: F.col(c) for c in (*ends, "cx", "cy", "dx", "dy")}
 
     def on(px: Column, py: Column, a: str, b: str) -> Column:
@@ -76,21 +113,22 @@ def pieces(all_sides: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     return cut.where("bx IS NOT NULL AND (ax <> bx OR ay <> by)")
 
 
-def boundary(polygons: DataFrame, cut: DataFrame) -> DataFrame:
+def boundary(polygons: DataFrame, cut: DataFrame, live: DataFrame) -> DataFrame:
     """ax, ay, bx, by of the pieces that bound the union, which lies to their left."""
     ahead = (F.col("ax") < F.col("bx")) | (F.col("ax") == F.col("bx")) & (F.col("ay") < F.col("by"))
     line = [F.when(ahead, F.col(p)).otherwise(F.col(q)).alias(n) for n, p, q in (("x1", "ax", "bx"), ("y1", "ay", "by"), ("x2", "bx", "ax"), ("y2", "by", "ay"))]
     lines = cut.select("poly", *line, ahead.alias("ahead"))
     key = ["x1", "y1", "x2", "y2"]
     one_way = lines.groupBy(*key).agg(F.max("ahead").alias("ahead"), F.min("ahead").alias("least")).where("ahead = least").drop("least")
-    # polygons that may hold a piece, by cells of a grid in which a polygon covers few
-    box = polygons.select(F.col("id").alias("poly"), "ring", *[f(F.col("ring")[c]).alias(f"_{c}{n}") for c in "xy" for f, n in ((F.array_min, 1), (F.array_max, 2))])
-    size = box.agg(F.avg(F.greatest(F.col("_x2") - F.col("_x1"), F.col("_y2") - F.col("_y1")))).first()[0] or 1.0
-    cell = lambda c: F.floor(c / F.lit(float(size)))
-    spread = box.withColumn("_i", F.explode(F.sequence(cell(F.col("_x1")), cell(F.col("_x2"))))).withColumn("_j", F.explode(F.sequence(cell(F.col("_y1")), cell(F.col("_y2")))))
+    # a piece whose middle is in no live cell is held; in a live one only the polygons whose sides run through it may hold a piece
     middle = one_way.withColumns({"x": (F.col("x1") + F.col("x2")) / 2, "y": (F.col("y1") + F.col("y2")) / 2})
-    near = middle.withColumns({"_i": cell(F.col("x")), "_j": cell(F.col("y"))}).join(spread, ["_i", "_j"])
-    near = near.where(F.col("x").between(F.col("_x1"), F.col("_x2")) & F.col("y").between(F.col("_y1"), F.col("_y2")))
+    sizes = sorted({(r["_l"], r["_size"]) for r in live.select("_l", "_size").distinct().collect()})  # a row a level
+    if not sizes:
+        return cut.limit(0).select("ax", "ay", "bx", "by")
+    levels = F.explode(F.array(*[F.struct(F.lit(l).alias("_l"), F.floor(F.col("x") / F.lit(s)).alias("_i"), F.floor(F.col("y") / F.lit(s)).alias("_j")) for l, s in sizes])).alias("c")
+    placed = middle.select("*", levels).select(*middle.columns, "c.*")
+    one_way = placed.join(live.select("_l", "_i", "_j").distinct(), ["_l", "_i", "_j"], "left_semi")
+    near = one_way.join(live.select("_l", "_i", "_j", "poly").distinct(), ["_l", "_i", "_j"]).join(polygons.select(F.col("id").alias("poly"), "ring"), "poly")
     held = near.join(lines.select("poly", *key).distinct(), ["poly", *key], "left_anti").where(g.in_polygon(F.col("x"), F.col("y"), F.col("ring"))).select(*key).distinct()
     free = one_way.join(held, key, "left_anti")
     return free.select(*[F.when(F.col("ahead"), F.col(p)).otherwise(F.col(q)).alias(n) for n, p, q in (("ax", "x1", "x2"), ("ay", "y1", "y2"), ("bx", "x2", "x1"), ("by", "y2", "y1"))])
@@ -135,8 +173,9 @@ def union(polygons: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     one = polygons.select("id", F.transform("ring", lambda p: F.struct(snap(p["x"]).alias("x"), snap(p["y"]).alias("y"))).alias("ring")).groupBy("ring").agg(F.min("id").alias("id"))
     own = written(one, base, "polygons")
     all_sides = written(sides(own, tolerance).withColumn("side", F.monotonically_increasing_id()), base, "sides")
-    cut = written(pieces(all_sides, tolerance), base, "pieces")
-    return rings(boundary(own, cut), base)
+    live = live_cells(own, all_sides, base, tolerance)
+    cut = written(pieces(all_sides, live, tolerance), base, "pieces")
+    return rings(boundary(own, cut, live), base)
 
 
 def ring_areas(found: DataFrame) -> DataFrame:

@@ -140,3 +140,21 @@ def test_dense_points_send_few_pairs_into_rounds(spark, monkeypatch):
     got = {r["id"]: r["component"] for r in graph.euclidean_components(df, "id", 1.5, "xy").collect()}
     assert got == {i: find(i) for i in range(len(at))} | {5000: 5000}
     assert sum(seen) < 10_000
+
+
+def test_union_leaves_out_cells_that_a_polygon_holds(spark):
+    from spanlight.operators import polygons
+    from spanlight.sources.staging import scratch, written
+
+    r_ = random.Random(4)
+    boxes = [(i, r_.uniform(0, 10), r_.uniform(0, 10), r_.uniform(4, 6)) for i in range(150)]
+    ring = lambda x, y, s: [(x, y), (x + s, y), (x + s, y + s), (x, y + s)]
+    df = spark.createDataFrame([(i, ring(x, y, s)) for i, x, y, s in boxes], "id long, ring array<struct<x: double, y: double>>")
+    base = scratch(spark, "test")
+    sides = written(polygons.sides(df).withColumn("side", F.monotonically_increasing_id()), base, "sides")
+    live = polygons.live_cells(df, sides, base)
+    assert polygons.pieces(sides, live).count() < 1500  # all cuts of all sides are above ten thousand
+    n = 400
+    hit = sum(any(x < u < x + s and y < v < y + s for _, x, y, s in boxes) for u in ((i + 0.5) * 16 / n for i in range(n)) for v in ((k + 0.5) * 16 / n for k in range(n)))
+    area = polygons.ring_areas(polygons.union(df)).agg(F.sum("area")).first()[0]
+    assert abs(area - hit * (16 / n) ** 2) < 1.0
