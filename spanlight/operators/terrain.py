@@ -8,6 +8,10 @@ triangle comes out once, and none depends on the tiles."""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -15,71 +19,114 @@ from ..functions import delaunay
 from ..sources.staging import removed, scratch, written
 from .joins import hag_from_raster
 
-#: Points of a tile in the first round; each further round takes half as many more.
-TILE_POINTS = 2000
+#: Points of a tile in the first round; each further round takes twice as many.
+TILE_POINTS = 20_000
+#: Points that a task triangulates together, of many tiles.
+BATCH_POINTS = 40_000
 _VERTEX = "struct<id: bigint, x: double, y: double, z: double>"
 _TRIANGLE = f"a {_VERTEX}, b {_VERTEX}, c {_VERTEX}"
 
 
-def tiles(df: DataFrame, most: int, low: tuple[float, float], side: float, base: str, name: str) -> DataFrame:
-    """df with tile (level, and its place among the squares of side / 2^level): squares are quartered while they hold more than ``most`` points. Only
-    numbers of points by square are gathered; a square that is dense goes down alone."""
-    place = lambda level: (F.lit(level).alias("level"), F.floor((F.col("x") - low[0]) / F.lit(side / (1 << level))).alias("i"), F.floor((F.col("y") - low[1]) / F.lit(side / (1 << level))).alias("j"))
-    level, open_, out = 0, df, None
+def tiles(df: DataFrame, most: int, low: tuple[float, float], side: float, base: str, name: str, n: int) -> DataFrame:
+    """df (some n rows) with tile (level, and its place among the squares of side / 2^level): squares are quartered while they hold more than ``most`` points. Points are counted
+    by the squares of some levels down, and these counts are summed upwards; only squares that are too dense there go further down."""
+    top, open_, out = 0, df, None
     while True:
-        placed = open_.withColumn("tile", F.struct(*place(level)))
-        heavy = placed.groupBy("tile").count().where(F.col("count") > most).select("tile")
-        heavy = written(heavy, base, f"{name}-heavy-{level}")
-        if heavy.isEmpty() or level == 60:
-            return placed if out is None else out.unionByName(placed)
-        here = placed.join(heavy, "tile", "left_anti")
+        fine = min(60, top + max(2, math.ceil(math.log(max(1.0, 8 * n / most), 4))))
+        place = lambda c, k: F.floor((F.col(c) - low[k]) / F.lit(side / (1 << fine)))
+        placed = open_.withColumn("_i", place("x", 0)).withColumn("_j", place("y", 1))
+        counts = written(placed.groupBy("_i", "_j").agg(F.count(F.lit(1)).alias("_n")), base, f"{name}-counts-{top}")
+        above = lambda c: F.expr(f"shiftright({c}, {fine} - _level)")
+        squares = counts.withColumn("_level", F.explode(F.sequence(F.lit(top), F.lit(fine)))).withColumns({"_is": above("_i"), "_js": above("_j")})
+        light = squares.groupBy("_level", "_is", "_js").agg(F.sum("_n").alias("_sum"))
+        chosen = squares.join(light, ["_level", "_is", "_js"]).groupBy("_i", "_j").agg(F.first("_n").alias("_n"), F.min(F.when(F.col("_sum") <= most, F.col("_level"))).alias("_level"))
+        if fine == 60:
+            chosen = chosen.withColumn("_level", F.coalesce("_level", F.lit(60)))
+        chosen = written(chosen, base, f"{name}-levels-{top}")
+        level = F.col("_level")
+        tile = F.struct(level.alias("level"), above("_i").alias("i"), above("_j").alias("j"))
+        at = placed.join(chosen.drop("_n"), ["_i", "_j"])
+        here = at.where(level.isNotNull()).select(*df.columns, tile.alias("tile"))
         out = here if out is None else out.unionByName(here)
-        open_ = written(placed.join(heavy, "tile", "left_semi").drop("tile"), base, f"{name}-open-{level}")
-        level += 1
+        n = chosen.where(level.isNull()).agg(F.sum("_n")).first()[0]
+        if n is None:
+            return out
+        open_ = written(at.where(level.isNull()).select(*df.columns), base, f"{name}-open-{top}")
+        top = fine + 1
 
 
-def _triangulated(tiled: DataFrame, low: tuple[float, float], side: float, whole: bool) -> DataFrame:
+def _triangulated(tiled: DataFrame, low: tuple[float, float], side: float, whole: bool, box: Sequence[float]) -> DataFrame:
     """tiled points (id, x, y, z, known, tile) -> rows with a, b, c for the triangles found now, and ``open`` for those that touch unfinished points; and
-    rows with ``finished``, the id of a finished point."""
+    rows with ``finished``, the id of a finished point. Tiles are whole in a batch, many together."""
 
-    def visit(key, table):
-        level, i, j = (key[0].as_py()[k] for k in ("level", "i", "j"))
-        size = side / (1 << level)
+    def visit(table: pa.Table) -> pa.RecordBatch:
+        level, i, j, ids, x, y, z, known = (table.column(k).to_numpy() for k in ("level", "i", "j", "id", "x", "y", "z", "known"))
+        group = np.cumsum(np.r_[False, (level[1:] != level[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+        size = side / np.exp2(level)
         x1, y1 = low[0] + i * size, low[1] + j * size
-        # a little less than the tile, as bounds and circles are rounded
+        # a little less than the tile, as bounds and circles are rounded; nothing lies beyond the bounds of all points
         x1, y1, x2, y2 = x1 + 1e-9 * size, y1 + 1e-9 * size, x1 + size * (1 - 1e-9), y1 + size * (1 - 1e-9)
-        ids, x, y, z, known = (table.column(k).to_pylist() for k in ("id", "x", "y", "z", "known"))
-        found = delaunay.triangles(x, y)
-        loose = [not whole and not known[k] for k in range(len(ids))] if not found else [False] * len(ids)
-        for t in found:
-            if not whole and not proven(x, y, t, x1, y1, x2, y2):
-                for k in t:
-                    if k != delaunay.OUTSIDE:
-                        loose[k] = True
-        now = [t for t in found if t[2] != delaunay.OUTSIDE and not any(known[k] for k in t) and not all(loose[k] for k in t)]
-        vertex = lambda k: {"id": ids[k], "x": x[k], "y": y[k], "z": z[k]}
-        finished = [ids[k] for k in range(len(ids)) if not loose[k] and not known[k]]
-        rows = [{"a": vertex(a), "b": vertex(b), "c": vertex(c), "open": loose[a] or loose[b] or loose[c], "finished": None} for a, b, c in now]
-        rows += [{"a": None, "b": None, "c": None, "open": False, "finished": k} for k in finished]
-        return pa.Table.from_pylist(rows, schema=schema)
+        x1, y1 = np.where(x1 < box[0], -np.inf, x1), np.where(y1 < box[2], -np.inf, y1)
+        x2, y2 = np.where(x2 > box[1], np.inf, x2), np.where(y2 > box[3], np.inf, y2)
+        found = delaunay.many(group, x, y)
+        real = found[:, 2] != delaunay.OUTSIDE
+        a, b, c = found.T
+        loose = np.zeros(len(ids), dtype=bool)
+        if not whole:
+            alone = np.ones(len(ids), dtype=bool)  # sets without triangles are not done
+            alone[found[real].ravel()] = False
+            loose |= alone & ~known
+            edge = np.zeros(len(found), dtype=bool)  # on a side of all points' bounds
+            for v, sides in ((x, box[:2]), (y, box[2:])):
+                for s in sides:
+                    edge |= (v[a] == s) & (v[b] == s)
+            sure = np.where(real, proven(x, y, (a, b, np.where(real, c, a)), x1[a], y1[a], x2[a], y2[a]), edge)
+            open_ = found[~sure]
+            loose[open_[open_ != delaunay.OUTSIDE]] = True
+        t = found[real]
+        t = t[~known[t].any(axis=1) & ~loose[t].all(axis=1)]
+        finished = np.flatnonzero(~loose & ~known)
+        n, m = len(t), len(finished)
+        none = pa.nulls(m, kind)
+        corners = [pa.concat_arrays([pa.StructArray.from_arrays([pa.array(v[t[:, k]]) for v in (ids, x, y, z)], fields=list(kind)), none]) for k in range(3)]
+        numbers = pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(ids[finished])])
+        return pa.RecordBatch.from_arrays([*corners, pa.array(np.r_[loose[t].any(axis=1), np.zeros(m, dtype=bool)]), numbers], names=["a", "b", "c", "open", "finished"])
+
+    def run(batches):
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= BATCH_POINTS:
+                table = pa.Table.from_batches(held).combine_chunks()
+                last = np.ones(rows, dtype=bool)
+                for k in ("level", "i", "j"):
+                    v = table.column(k).to_numpy()
+                    last &= v == v[-1]
+                cut = int(np.argmax(last))  # the last tile may go on
+                if cut:
+                    yield visit(table.slice(0, cut))
+                held = table.slice(cut).combine_chunks().to_batches()
+                rows -= cut
+        if rows:
+            yield visit(pa.Table.from_batches(held))
 
     kind = pa.struct([("id", pa.int64()), ("x", pa.float64()), ("y", pa.float64()), ("z", pa.float64())])
-    schema = pa.schema([("a", kind), ("b", kind), ("c", kind), ("open", pa.bool_()), ("finished", pa.int64())])
-    return tiled.groupBy("tile").applyInArrow(visit, f"{_TRIANGLE}, open boolean, finished bigint")
+    rows = tiled.select("tile.*", "id", "x", "y", "z", "known")
+    rows = (rows.coalesce(1) if whole else rows.repartition("level", "i", "j")).sortWithinPartitions("level", "i", "j")
+    return rows.mapInArrow(run, f"{_TRIANGLE}, open boolean, finished bigint")
 
 
-def proven(x, y, t, x1: float, y1: float, x2: float, y2: float) -> bool:
-    """Whether a triangle's circle lies in a box; no, where rounding could matter."""
+def proven(x, y, t, x1, y1, x2, y2):
+    """Whether triangles' circles lie in boxes; no, where rounding could matter."""
     a, b, c = t
-    if c == delaunay.OUTSIDE:
-        return False
     bx, by, cx, cy = x[b] - x[a], y[b] - y[a], x[c] - x[a], y[c] - y[a]
     b2, c2, det = bx * bx + by * by, cx * cx + cy * cy, 2 * (bx * cy - by * cx)
-    if abs(det) <= 1e-6 * max(b2, c2):
-        return False
+    flat = np.abs(det) <= 1e-6 * np.maximum(b2, c2)
+    det = np.where(flat, 1.0, det)
     ox, oy = (cy * b2 - by * c2) / det, (bx * c2 - cx * b2) / det
-    r = (ox * ox + oy * oy) ** 0.5 * (1 + 1e-6)
-    return x1 <= x[a] + ox - r and x[a] + ox + r <= x2 and y1 <= y[a] + oy - r and y[a] + oy + r <= y2
+    r = np.sqrt(ox * ox + oy * oy) * (1 + 1e-6)
+    return ~flat & (x1 <= x[a] + ox - r) & (x[a] + ox + r <= x2) & (y1 <= y[a] + oy - r) & (y[a] + oy + r <= y2)
 
 
 def triangulation(df: DataFrame, tile_points: int = TILE_POINTS) -> DataFrame:
@@ -99,10 +146,11 @@ def triangulation(df: DataFrame, tile_points: int = TILE_POINTS) -> DataFrame:
     while True:
         shift = n * 0.6180339887 % 1  # tiles of another round lie elsewhere
         low, side = (box[0] - shift * extent, box[2] - shift * extent), 2 * extent
-        most = int(tile_points * 1.5**n)
-        whole = points.limit(most + 1).count() <= most
-        tiled = points.withColumn("tile", F.struct(F.lit(0).alias("level"), F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"))) if whole else tiles(points, most, low, side, base, f"tiles-{n}")
-        found = written(_triangulated(tiled, low, side, whole), base, f"found-{n}")
+        most = tile_points * 2**n
+        held = points.count()
+        whole = held <= most
+        tiled = points.withColumn("tile", F.struct(F.lit(0).alias("level"), F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"))) if whole else tiles(points, most, low, side, base, f"tiles-{n}", held)
+        found = written(_triangulated(tiled, low, side, whole, tuple(box)), base, f"found-{n}")
         done.append(found.where("finished is null").select("a", "b", "c"))
         if whole:
             break

@@ -1,8 +1,10 @@
 import itertools
 import math
 import random
+import time
 from fractions import Fraction
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,3 +108,33 @@ def test_heights_above_ground(spark):
     df = spark.createDataFrame(ground + [(10.5, 10.5, 1.05 + 7, 15), (900.0, 900.0, 50.0, 15)], "x double, y double, z double, seg_type int")
     got = {r["x"]: r["hag"] for r in terrain.normalised(df, tile_points=100).where(F.col("seg_type") == 15).collect()}
     assert math.isclose(got[10.5], 7, abs_tol=1e-9) and got[900.0] == 0
+
+
+def cycles(found):
+    """Triangles as cycles from their least corner, those beyond the hull as they are."""
+    rows = [tuple(map(int, t)) for t in found]
+    return {t if t[2] == delaunay.OUTSIDE else t[(k := t.index(min(t))) :] + t[:k] for t in rows}
+
+
+def test_many_sets_at_once_are_the_sets_one_by_one():
+    r = random.Random(4)
+    sets = [[(r.uniform(0, 100), r.gauss(0, 9)) for _ in range(700)], [(x * 0.1, y * 0.1) for x in range(20) for y in range(20)], [], [(1.0, 1.0)], [(float(i), 2.0 * i) for i in range(9)]]
+    sets += [[(math.cos(i), math.sin(i)) for i in range(200)] + [(0.0, 0.0)], list({(r.randrange(90000, 100000) / 100.0, float(r.randrange(8))) for _ in range(250)})]
+    sets += [list({(float(r.randrange(6)), float(r.randrange(6))) for _ in range(r.randrange(20))}) for _ in range(200)]
+    group = [i for i, s in enumerate(sets) for _ in s]
+    want, before = set(), 0
+    for s in sets:
+        want |= cycles([[v if v == delaunay.OUTSIDE else v + before for v in t] for t in delaunay.triangles([p[0] for p in s], [p[1] for p in s])])
+        before += len(s)
+    found = delaunay.many(np.array(group), np.array([p[0] for s in sets for p in s]), np.array([p[1] for s in sets for p in s]))
+    assert len(found) == len(want) and cycles(found) == want
+
+
+def test_dense_lines_take_no_longer_than_their_points(spark):
+    # far more points along lines than across them, as more of the driver's points get
+    n, lines = 24_000, 8
+    df = spark.range(n).select((F.expr(f"id div {lines}") * 7 / 100.0).alias("x"), (F.col("id") % lines).cast("double").alias("y"), F.lit(1.0).alias("z"))
+    began = time.time()
+    found = terrain.triangulation(df)
+    assert found.count() == 2 * (n - 1) - (2 * (n // lines) + 2 * lines - 4)
+    assert time.time() - began < 100
