@@ -23,9 +23,10 @@ def window_schedule(cell: float, slope: float, first: float, most: float, max_wi
     return out
 
 
-def ground(df: DataFrame, cell: float = 5.0, slope: float = 1.0, first: float = 0.5, most: float = 3.0, max_window: float = 9) -> DataFrame:
-    """Ground points by progressive morphological filtering: the surface of least heights is opened with growing windows, and points less than
-    the window's threshold above the opened surface stay. Each round is one pair of windows over the (small) raster and one join on cells."""
+def ground_limits(df: DataFrame, cell: float = 5.0, slope: float = 1.0, first: float = 0.5, most: float = 3.0, max_window: float = 9) -> DataFrame:
+    """df with _top, the height below which a point is ground by progressive morphological filtering: the surface of least heights is opened with growing windows, and points less than
+    the window's threshold above the opened surface stay. Each round is one pair of windows over the (small) raster. The raster of limits is written, so Spark knows that it is small and
+    needn't shuffle the points to meet it."""
     placed = df.withColumn("_cx", F.floor(F.col("x") / F.lit(float(cell)))).withColumn("_cy", F.floor(F.col("y") / F.lit(float(cell))))
     surface = placed.groupBy(F.col("_cx").alias("cx"), F.col("_cy").alias("cy")).agg(F.min("z").alias("value"))
     limit = None
@@ -34,8 +35,13 @@ def ground(df: DataFrame, cell: float = 5.0, slope: float = 1.0, first: float =
         here = surface.select("cx", "cy", (F.col("value") + threshold).alias("top"))
         limit = here if limit is None else limit.unionByName(here)
     # a point stays if it is below the least of its cell's limits
-    least = limit.groupBy(F.col("cx").alias("_cx"), F.col("cy").alias("_cy")).agg(F.min("top").alias("_top"))
-    return placed.join(least, ["_cx", "_cy"]).where("z < _top").drop("_cx", "_cy", "_top")
+    least = written(limit.groupBy(F.col("cx").alias("_cx"), F.col("cy").alias("_cy")).agg(F.min("top").alias("_top")), scratch(df.sparkSession, "limits"), "least")
+    return placed.join(least, ["_cx", "_cy"], "left").drop("_cx", "_cy")
+
+
+def ground(df: DataFrame, cell: float = 5.0, slope: float = 1.0, first: float = 0.5, most: float = 3.0, max_window: float = 9) -> DataFrame:
+    """Ground points, those below ``ground_limits``."""
+    return ground_limits(df, cell, slope, first, most, max_window).where("z < _top").drop("_top")
 
 
 def normalised(df: DataFrame, ground_class: int = 1, voxel: float = 0.5, cell: float = 5.0) -> DataFrame:

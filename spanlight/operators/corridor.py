@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from . import aggregates as a, classify, filters, fits, graph, raster
 from ..sources.files import Options
 from ..sources.points import BUILDING, GROUND, TOWER, WIRE
-from ..sources.staging import scratch, written
+from ..sources.staging import removed, scratch, written
 from .windows import numbered
 
 
@@ -174,8 +174,8 @@ def segmentation(kind: str):
 
 @segmentation("ground")
 def _ground(df: DataFrame, key: str, o: Options) -> DataFrame:
-    found = classify.ground(df, o.cell, o.ground_slope).select(key, F.lit(True).alias("_g"))
-    return df.join(found, key, "left").withColumn("seg_type", F.when(F.col("_g"), GROUND).when(F.col("seg_type") == GROUND, 255).otherwise(F.col("seg_type"))).drop("_g")
+    found = classify.ground_limits(df, o.cell, o.ground_slope)
+    return found.withColumn("seg_type", F.when(F.col("z") < F.col("_top"), GROUND).when(F.col("seg_type") == GROUND, 255).otherwise(F.col("seg_type"))).drop("_top")
 
 
 @segmentation("vegetation")
@@ -196,15 +196,18 @@ def create(kind: str) -> Callable[[DataFrame, str, Options], DataFrame]:
 
 
 def segmented(df: DataFrame, key: str, options: Options, shape: Sequence[Sequence[float]] | None = None, enabled: Sequence[int] | None = None, progress: Callable[[str, int, int], None] | None = None) -> DataFrame:
-    """df after the options' kinds one after the other, each written; with a polygon and enabled classes, results are written back only to visible points inside it."""
-    base, kinds, out = scratch(df.sparkSession, "segmented"), [k.strip() for k in options.kinds.split(",") if k.strip()], df
+    """df after the options' kinds one after the other, each written, with the first class beside the new one; with a polygon and enabled classes, results are written back only to
+    visible points inside it."""
+    base, kinds, out = scratch(df.sparkSession, "segmented"), [k.strip() for k in options.kinds.split(",") if k.strip()], df.withColumn("_first_type", F.col("seg_type"))
     for i, kind in enumerate(kinds):
-        out = written(create(kind)(out, key, options).select(*df.columns), base, f"{i}-{kind}")
+        out = written(create(kind)(out, key, options).select(*df.columns, "_first_type"), base, f"{i}-{kind}")
+        if i:
+            removed(df.sparkSession, base, f"{i - 1}-{kinds[i - 1]}")
         if progress:
             progress(kind, i + 1, len(kinds))
     if shape is None:
-        return out
-    new = df.join(out.select(key, F.col("seg_type").alias("new_type")), key)
+        return out.drop("_first_type")
+    new = out.withColumn("new_type", F.col("seg_type")).withColumn("seg_type", F.col("_first_type")).drop("_first_type")
     return filters.write_back(new, shape, {}, F.lit(False), enabled or [], () if not options.keep_noise else (4, 5)).select(*df.columns)
 
 

@@ -158,3 +158,16 @@ def test_union_leaves_out_cells_that_a_polygon_holds(spark):
     hit = sum(any(x < u < x + s and y < v < y + s for _, x, y, s in boxes) for u in ((i + 0.5) * 16 / n for i in range(n)) for v in ((k + 0.5) * 16 / n for k in range(n)))
     area = polygons.ring_areas(polygons.union(df)).agg(F.sum("area")).first()[0]
     assert abs(area - hit * (16 / n) ** 2) < 1.0
+
+
+def test_points_meet_small_rasters_without_a_shuffle(spark):
+    from spanlight.operators import classify, corridor
+    from spanlight.sources.files import Options
+
+    r_ = random.Random(2)
+    rows = [(i, r_.uniform(0, 99), r_.uniform(0, 99), r_.uniform(0, 60), r_.choice([1, 2, 15]), True) for i in range(900)]
+    df = spark.createDataFrame(rows, "id long, x double, y double, z double, seg_type int, display_enable boolean")
+    shuffles = lambda d: d._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    out = corridor.segmented(df, "id", Options.read("[Options]\nkinds = ground, vegetation\n"), [(0, 0), (99, 0), (99, 99), (0, 99)], [1, 2, 3])
+    assert shuffles(out) == shuffles(classify.ground_limits(df)) == shuffles(classify.normalised(df)) == 0
+    assert out.count() == 900
