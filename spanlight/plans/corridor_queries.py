@@ -27,7 +27,9 @@ def heights(spark, sf):
 @query("p9_tower_positions")
 def p9(spark, sf):
     """Heights above ground and tower positions; tested on a line of known towers."""
-    t = c.tower_positions(heights(spark, sf), 30.0, 15.0)
+    # no numbers of points are asked for, so only what the cells need is written
+    h = written(classify.normalised(points(spark, sf).select("x", "y", "z", "seg_type")).select("x", "y", "hag"), scratch(spark, "heights"), "points")
+    t = c.tower_positions(h, 30.0, 15.0)
     return t.select("tower", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), F.round("height", 6).alias("height"))
 
 
