@@ -15,13 +15,17 @@ from .registry import query
 OPTIONS = "[Options]\ncell = 5\nlow_height = 20\nhigh_height = 50\nkinds = ground, vegetation\n"
 
 
-def with_id(spark, sf):
-    """Points with one key: a number of the row, written so that it stays."""
-    return written(points(spark, sf).withColumn("id", F.monotonically_increasing_id()), scratch(spark, "numbered"), "points")
+#: What the corridor and its buildings read of a point.
+PLACE = ("x", "y", "z", "seg_type")
+
+
+def with_id(spark, sf, *columns):
+    """Points (with all columns unless some are named) with one key: a number of the row, written so that it stays."""
+    return written(points(spark, sf).select(*columns or "*").withColumn("id", F.monotonically_increasing_id()), scratch(spark, "numbered"), "points")
 
 
 def heights(spark, sf):
-    return classify.normalised(with_id(spark, sf))
+    return classify.normalised(with_id(spark, sf, *PLACE))
 
 
 @query("p9_tower_positions")
@@ -61,7 +65,7 @@ def p3f(spark, sf):
 @query("p4a_buildings")
 def p4a(spark, sf):
     """Roofs among points high above the triangulated terrain; tested on known roofs."""
-    return c.buildings(terrain.normalised(with_id(spark, sf), GROUND, 0.5, 5.0), "id", voxel=8.0, least=10, within=2.0, share=0.3).agg(F.count(F.lit(1)).alias("n"))
+    return c.buildings(terrain.normalised(with_id(spark, sf, *PLACE), GROUND, 0.5, 5.0), "id", voxel=8.0, least=10, within=2.0, share=0.3).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("p8_steep_regions")

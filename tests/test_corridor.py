@@ -95,6 +95,19 @@ def test_planes_one_after_another(spark):
     assert abs(got[1]["nx"]) == pytest.approx(math.sqrt(0.5), abs=1e-6)
 
 
+def test_planes_of_large_groups(spark, monkeypatch):
+    r = random.Random(11)
+    rows = [(i, i % 7 * (i % 3 == 0), r.uniform(0, 10), r.uniform(0, 10), r.choice([3.0, r.uniform(0, 9)])) for i in range(700)]
+    df = spark.createDataFrame(rows, "id long, part int, x double, y double, z double")
+    # no tries of points are sorted, or spilled
+    assert "SortAggregate" not in fits.picks(df, "part", ["id"], 8, 3, 0)._jdf.queryExecution().executedPlan().toString()
+    got = []
+    for most in (1, 60, 1 << 40):  # groups that go to all tasks: all, some, none
+        monkeypatch.setattr(fits, "GROUP_POINTS", most)
+        got.append((sorted(fits.best_planes(df, "part", ["id"], 0.01).collect()), sorted((r["part"], r["inliers"], round(r["mx"], 6)) for r in fits.best_lines(df, "part", ["id"], 0.1).collect())))
+    assert got[0] == got[1] == got[2] and [r["part"] for r in got[0][0]] == list(range(7))
+
+
 def test_polynomials_against_numpy(spark):
     r = np.random.default_rng(3)
     y = r.uniform(100, 160, 300)
