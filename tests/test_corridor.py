@@ -95,6 +95,13 @@ def test_planes_one_after_another(spark):
     assert abs(got[1]["nx"]) == pytest.approx(math.sqrt(0.5), abs=1e-6)
 
 
+def test_only_places_are_written_for_wires_and_roofs(spark):
+    from spanlight.plans import corridor_queries as q
+
+    assert q.with_id(spark, "/root/testdata/sf0.001", *q.PLACE).columns == ["x", "y", "z", "seg_type", "id"]
+    assert {*q.KEY, "display_enable", "seg_type", "id"} <= set(q.with_id(spark, "/root/testdata/sf0.001").columns)
+
+
 def test_planes_of_large_groups(spark, monkeypatch):
     r = random.Random(11)
     rows = [(i, i % 7 * (i % 3 == 0), r.uniform(0, 10), r.uniform(0, 10), r.choice([3.0, r.uniform(0, 9)])) for i in range(700)]
